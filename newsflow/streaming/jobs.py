@@ -1,0 +1,282 @@
+"""Continuous forms: entry ingest, rate slots, status fold with throttle, embedding, task completion.
+
+Keyed state lives in Spark's state store (RocksDB), so state follows its key between executors and survives
+their loss through the checkpoint.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from newsflow.functions.bylines import with_authors
+from newsflow.operators.embed import embed, with_passage
+from newsflow.operators.entries import (
+    published_since,
+    with_first_link,
+    with_image,
+    with_required_title,
+    with_summary,
+)
+from newsflow.operators.telemetry import CLEARING_OPS, FORCED_OPS, PERSIST_INTERVAL_MS
+
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+FEED_POLL_SECONDS, EMBEDDING_POLL_SECONDS = 5, 30  # fixed values
+
+
+def use_state_store(spark: SparkSession) -> None:
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
+
+
+def ingest_entries(entries: DataFrame, feeds: DataFrame | None = None, late: str = "1 day") -> DataFrame:
+    """Entry stream -> source stream. Copies of a feed's URL within ``late`` of the first are dropped.
+
+    ``entries`` needs ``arrived_at`` (event time of landing). Dedup stands before the date and title tests, as
+    in the batch form; the state per (feed, url) expires with the watermark.
+    """
+    keyed = with_first_link(entries).withWatermark("arrived_at", late)
+    kept = keyed.dropDuplicatesWithinWatermark(["feed_id", "url"])
+    kept = published_since(kept, feeds).transform(with_required_title)
+    kept = with_authors(kept.transform(with_image), "authors", "__names")
+    return with_summary(kept).select(
+        "feed_id",
+        F.col("entry_pos").alias("source_pos"),
+        "title",
+        "url",
+        "summary",
+        F.col("__names").alias("authors"),
+        "published_at",
+        "image_url",
+    )
+
+
+class RateSlots(StatefulProcessor):
+    """Next free slot of one host."""
+
+    def __init__(self, step_us: int) -> None:
+        self.step_us = step_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.next_slot = handle.getValueState("next_slot", "us bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        state = self.next_slot.get()
+        free = state[0] if state is not None else None
+        for batch in rows:
+            slots = []
+            for at in batch["arrival_us"].to_numpy():
+                slot = int(at) if free is None else max(int(at), free)
+                free = slot + self.step_us
+                slots.append(slot)
+            yield pd.DataFrame(
+                {"host_key": key[0], "event_id": batch["event_id"], "arrival_us": batch["arrival_us"], "slot_us": slots}
+            )
+        if free is not None:
+            self.next_slot.update((free,))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_rate_slots(requests: DataFrame, host: str = "host_key", step_us: int = 100_000) -> DataFrame:
+    """Slot of every request in arrival order: host_key, event_id, arrival_us, slot_us.
+
+    Input: host, event_id, ts. A host is one state key; its rows are walked in the order they arrive.
+    """
+    rows = requests.select(
+        F.col(host).cast("string").alias("host_key"), "event_id", F.unix_micros("ts").alias("arrival_us")
+    )
+    return rows.groupBy("host_key").transformWithStateInPandas(
+        statefulProcessor=RateSlots(step_us),
+        outputStructType="host_key string, event_id bigint, arrival_us bigint, slot_us bigint",
+        outputMode="Append",
+        timeMode="None",
+    )
+
+
+SNAPSHOT = (
+    "phase string, has_task boolean, current_feed_id bigint, last_error string, server_connection string, "
+    "completed_task_count bigint, bytes_received bigint, last_updated_us bigint"
+)
+_START = {
+    "phase": "starting", "has_task": False, "current_feed_id": None, "last_error": None,
+    "server_connection": "unknown", "completed_task_count": 0, "bytes_received": 0, "last_updated_us": 0,
+}
+
+
+def apply_update(snapshot: dict, row: dict) -> dict:
+    """One status update on a snapshot."""
+    op, new = row["op"], dict(snapshot)
+    if op in ("idle", "completed"):
+        new["phase"] = "idle"
+    elif op in ("processing", "error", "stopped"):
+        new["phase"] = op
+    if op in CLEARING_OPS:
+        new.update(has_task=False, current_feed_id=None)
+    if op == "processing":
+        new["has_task"] = True
+    if op in ("connected", "disconnected"):
+        new["server_connection"] = op
+    if op in ("error", "disconnected"):
+        new["last_error"] = row["error"] if row["error"] is not None else op
+    elif op in ("idle", "processing", "completed", "task_recorded"):
+        new["last_error"] = None
+    if op == "set_feed":
+        new["current_feed_id"] = row["feed_id"]
+    new["completed_task_count"] += op in ("completed", "task_recorded")
+    new["bytes_received"] = min(new["bytes_received"] + row["bytes_received"], 2**63 - 1)
+    new["last_updated_us"] = row["us"]
+    return new
+
+
+class StatusFold(StatefulProcessor):
+    """Snapshot of one worker; emits when forced or due, and once more when its event-time timer fires."""
+
+    def __init__(self, interval_us: int) -> None:
+        self.interval_us = interval_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("status", "snapshot string, emitted_us bigint, dirty boolean")
+
+    def _emit(self, worker: str, event_id: int | None, snapshot: dict, flush: bool) -> dict:
+        return {"worker": worker, "event_id": event_id, "flush": flush, **snapshot}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        held = self.state.get()
+        snapshot, emitted, dirty = (json.loads(held[0]), held[1], held[2]) if held is not None else (_START, None, False)
+        for batch in rows:
+            out = []
+            for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+                snapshot = apply_update(snapshot, row)
+                due = emitted is None or row["op"] in FORCED_OPS or row["us"] - emitted >= self.interval_us
+                dirty = not due
+                if due:
+                    emitted = row["us"]
+                    out.append(self._emit(key[0], row["event_id"], snapshot, flush=False))
+            if out:
+                yield _frame(out)
+        self.state.update((json.dumps(snapshot), emitted, dirty))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if dirty:
+            self.handle.registerTimer((emitted + self.interval_us) // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        held = self.state.get()
+        if held is not None and held[2]:
+            snapshot = json.loads(held[0])
+            self.state.update((held[0], snapshot["last_updated_us"], False))
+            yield _frame([self._emit(key[0], None, snapshot, flush=True)])
+
+    def close(self) -> None:
+        pass
+
+
+_STATUS_OUT = f"worker string, event_id bigint, flush boolean, {SNAPSHOT}"
+
+
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows)
+    for column in ("event_id", "current_feed_id"):
+        frame[column] = frame[column].astype("Int64")
+    return frame
+
+
+def stream_status(
+    updates: DataFrame, worker: str = "worker", interval_ms: int = PERSIST_INTERVAL_MS, late: str = "10 seconds"
+) -> DataFrame:
+    """Status updates -> emitted snapshots: forced or due ones at once, the last held one on an event-time timer."""
+    optional = {"error": "string", "feed_id": "bigint"}
+    extra = [
+        F.col(n) if n in updates.columns else F.lit(None).cast(t).alias(n) for n, t in optional.items()
+    ]
+    rows = updates.withWatermark("ts", late).select(
+        F.col(worker).cast("string").alias("worker"), "event_id", "ts", F.unix_micros("ts").alias("us"), "op",
+        F.coalesce("bytes_received", F.lit(0)).cast("bigint").alias("bytes_received"), *extra,
+    )
+    return rows.groupBy("worker").transformWithStateInPandas(
+        statefulProcessor=StatusFold(interval_ms * 1000),
+        outputStructType=_STATUS_OUT,
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
+def stream_embeddings(
+    sources: DataFrame,
+    make_model: Callable[[], Callable],
+    write: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    batch_size: int = 32,
+    poll_seconds: int | None = EMBEDDING_POLL_SECONDS,
+) -> DataStreamWriter:
+    """Sources -> vectors, handed to ``write`` per micro-batch. ``poll_seconds`` None drains what is there."""
+    vectors = embed(with_passage(sources), make_model, batch_size)
+    trigger = {"availableNow": True} if poll_seconds is None else {"processingTime": f"{poll_seconds} seconds"}
+    return vectors.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger)
+
+
+class TaskCompletion(StatefulProcessor):
+    """Delivered slots of one task: its total and one entry per delivered feed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.total = handle.getValueState("total", "n bigint, delivered bigint")
+        self.slots = handle.getMapState("slots", "feed_index bigint", "status string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        held = self.total.get()
+        total, delivered = held if held is not None else (None, 0)
+        for batch in rows:
+            out = []
+            for index, status, n in zip(batch["feed_index"], batch["status"], batch["total_feeds"], strict=True):
+                total = int(n) if total is None else total
+                slot = (int(index),)
+                if not 0 <= int(index) < total:
+                    kind = "missing_slot"
+                elif self.slots.containsKey(slot):
+                    kind = "completed_twice"
+                else:
+                    self.slots.updateValue(slot, (status,))
+                    delivered += 1
+                    kind = "task_complete" if delivered == total else None
+                if kind:
+                    out.append({"kind": kind, "feed_index": int(index), "delivered": delivered, "total_feeds": total})
+            if out:
+                frame = pd.DataFrame(out)
+                frame.insert(0, "execution_id", key[1])
+                frame.insert(0, "task_id", key[0])
+                yield frame
+        self.total.update((total, delivered))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_task_completion(results: DataFrame) -> DataFrame:
+    """Feed results -> one ``task_complete`` row when the last open slot is delivered, plus error rows.
+
+    Input: task_id, execution_id, feed_index, total_feeds, status. The results themselves stay in their table;
+    the completion row says that they can be assembled, so state holds only slot numbers.
+    """
+    rows = results.select("task_id", "execution_id", "feed_index", "total_feeds", "status")
+    return rows.groupBy("task_id", "execution_id").transformWithStateInPandas(
+        statefulProcessor=TaskCompletion(),
+        outputStructType=(
+            "task_id bigint, execution_id bigint, kind string, feed_index bigint, delivered bigint, total_feeds bigint"
+        ),
+        outputMode="Append",
+        timeMode="None",
+    )
