@@ -161,7 +161,7 @@ def inline(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("page_id", inline_image(html).alias("image_url"))
 
 
-_ASSEMBLED = f"""
+ASSEMBLED_SQL = f"""
     SELECT f.feed_id, entry_pos AS source_pos, trim(title) AS title, url, {clean_sql("summary")} AS summary,
            'Alice Martin|AFP' AS authors, epoch_us(published) AS published_us, CAST(NULL AS VARCHAR) AS image_url
     FROM ({_FIRST}) f LEFT JOIN {{v_marks}} m ON f.feed_id = m.feed_id
@@ -192,7 +192,7 @@ def assembled(spark: SparkSession, sf: str) -> DataFrame:
     return entries.assemble_sources(entry_fields(rows), marks)
 
 
-@query("b9_assemble_sources", _ASSEMBLED)
+@query("b9_assemble_sources", ASSEMBLED_SQL)
 def assemble_sources(spark: SparkSession, sf: str) -> DataFrame:
     return assembled(spark, sf).select(
         "feed_id", "source_pos", "title", "url", "summary", joined("authors").alias("authors"),
@@ -202,7 +202,7 @@ def assemble_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "flagship_ingest",
-    f"""WITH s AS ({_ASSEMBLED}),
+    f"""WITH s AS ({ASSEMBLED_SQL}),
              k AS (SELECT feed_id, row_number() OVER (PARTITION BY feed_id % 5, lower(trim(url)) ORDER BY feed_id, source_pos)
                    AS rn, summary FROM s)
         SELECT feed_id, count(*) AS input_candidates, CAST(sum(CASE WHEN rn = 1 THEN 1 ELSE 0 END) AS BIGINT) AS kept,

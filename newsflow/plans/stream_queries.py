@@ -1,0 +1,122 @@
+"""Queries over the continuous forms (group S): each drains its input as a stream and reads back what was written."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsflow.plans.embed_queries import byte_histogram_model
+from newsflow.plans.feed_queries import ASSEMBLED_SQL
+from newsflow.plans.inputs import VIEWS, load
+from newsflow.plans.registry import ORACLES, joined, query, us
+from newsflow.plans.telemetry_queries import SPACING_MS
+from newsflow.plans.work_queries import RATE_SQL, SIX_HOURS_US
+from newsflow.sources import readers
+from newsflow.streaming import jobs
+
+
+def run_folder(spark: SparkSession) -> str:
+    """A new folder for one run: below the cluster's shared checkpoint folder, or temporary where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsflow-")
+    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table as a file stream, with zone-less times as timestamps."""
+    path = f"{sf}/{name}.parquet"
+    # the pattern lets the table be one file as well as a folder
+    table = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    zoneless = [f.name for f in table.schema if f.dataType.simpleString() == "timestamp_ntz"]
+    return table.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
+
+
+def drain(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream until its input is used up, into Parquet, and read the result."""
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/out")
+    running = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query("s1_stream_ingest", ASSEMBLED_SQL)
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Two entries of a page arrive together, so the first keeps its place."""
+    [marks] = load(spark, sf, "v_marks")
+    pages = stream_table(spark, sf, "pages")
+    n, none = F.col("page_id"), F.lit(None).cast("string")
+    hour = F.timestamp_seconds(F.lit(1704067200) + n * 3600)
+    title = F.when(n % 11 == 0, F.lit("   ")).otherwise(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    first = F.struct((n * 10).alias("entry_pos"), title.alias("title"), F.when(n % 7 != 0, hour).alias("published"))
+    copy = F.struct(
+        (n * 10 + 1).alias("entry_pos"), F.lit("copy").alias("title"), F.lit("2024-02-01 00:00:00").cast("timestamp").alias("published")
+    )
+    both = pages.select(
+        "page_id", "url", "html", F.explode(F.when(n % 4 == 0, F.array(first, copy)).otherwise(F.array(first))).alias("e")
+    )
+    entries = both.select(
+        (n % 20).alias("feed_id"), "e.entry_pos", F.array(F.lit(" "), F.concat(F.lit("  "), "url")).alias("links"), "e.title",
+        F.col("html").alias("summary"), none.alias("content_body"), none.alias("content_src"),
+        F.array(F.lit("By Alice Martin, ALICE  MARTIN"), F.lit("AFP")).alias("authors"), "e.published",
+        F.lit(None).cast("timestamp").alias("updated"), F.array().cast(readers.MEDIA).alias("media"), hour.alias("arrived_at"),
+    )
+    rows = drain(jobs.ingest_entries(entries, marks, late="30 days"), run_folder(spark))
+    return rows.select(
+        "feed_id", "source_pos", "title", "url", "summary", joined("authors").alias("authors"),
+        us("published_at").alias("published_us"), "image_url",
+    )
+
+
+@query("s2_stream_rate_slots", RATE_SQL)
+def stream_rate_slots(spark: SparkSession, sf: str) -> DataFrame:
+    jobs.use_state_store(spark)
+    events = stream_table(spark, sf, "events")
+    rows = drain(jobs.stream_rate_slots(events, "user_id", SIX_HOURS_US), run_folder(spark))
+    return rows.select("event_id", "slot_us")
+
+
+@query("s3_stream_status", ORACLES["h3_throttle"])
+def stream_status(spark: SparkSession, sf: str) -> DataFrame:
+    jobs.use_state_store(spark)
+    updates = spark.sql(VIEWS["v_status"], events=stream_table(spark, sf, "events"))
+    rows = drain(jobs.stream_status(updates, interval_ms=SPACING_MS), run_folder(spark))
+    return rows.where(~F.col("flush")).select(F.col("worker").cast("bigint").alias("worker"), "event_id")
+
+
+@query("s4_stream_embeddings")
+def stream_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    folder = run_folder(spark)
+    documents = stream_table(spark, sf, "documents")
+    sources = documents.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("summary"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.select("id", "embedding").write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    jobs.stream_embeddings(sources, byte_histogram_model, write, f"{folder}/checkpoint", 64, None).start().awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out")
+    return rows.select("id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+
+
+@query(
+    "s5_stream_task_completion",
+    """WITH d AS (SELECT doc_id // 5 AS task_id, doc_id % 5 AS feed_index, doc_id FROM {documents} WHERE doc_id % 35 <> 0)
+       SELECT task_id, 'task_complete' AS kind, CAST(NULL AS BIGINT) AS feed_index FROM d GROUP BY task_id HAVING count(*) = 5
+       UNION ALL SELECT task_id, 'completed_twice', feed_index FROM d WHERE doc_id % 22 = 1
+       UNION ALL SELECT task_id, 'missing_slot', feed_index + 9 FROM d WHERE doc_id % 33 = 2""",
+)
+def stream_task_completion(spark: SparkSession, sf: str) -> DataFrame:
+    jobs.use_state_store(spark)
+    n = F.col("doc_id")
+    documents = stream_table(spark, sf, "documents").where(n % 35 != 0)
+    slot = (n % 5).cast("bigint")
+    slots = F.when(n % 22 == 1, F.array(slot, slot)).otherwise(F.array(slot))
+    slots = F.when(n % 33 == 2, F.concat(slots, F.array(slot + 9))).otherwise(slots)
+    results = documents.select(
+        F.floor(n / 5).alias("task_id"), F.lit(1).cast("bigint").alias("execution_id"), F.explode(slots).alias("feed_index"),
+        F.lit(5).cast("bigint").alias("total_feeds"), F.lit("success").alias("status"),
+    )
+    rows = drain(jobs.stream_task_completion(results), run_folder(spark))
+    index = F.when(F.col("kind") != "task_complete", F.col("feed_index"))
+    return rows.select("task_id", "kind", index.alias("feed_index"))
