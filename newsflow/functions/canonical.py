@@ -103,5 +103,7 @@ def signing_secret(api_key: Column) -> Column:
 
 def hmac_sha256(secret: Column, message: Column) -> Column:
     """Hex HMAC-SHA256. A 64-digit hex key fills the hash block, so both pads are a ``translate``."""
-    inner = F.sha2(F.concat(F.translate(secret, _HEX, _INNER), message), 256)
+    # translate drops what maps to NUL, so the one such digit is put in behind it
+    padded = F.replace(F.translate(secret, _HEX, _INNER.replace("\0", "6")), F.lit("6"), F.lit("\0"))
+    inner = F.sha2(F.concat(padded, message), 256)
     return F.sha2(F.concat(F.encode(F.translate(secret, _HEX, _OUTER), "UTF-8"), F.unhex(inner)), 256)

@@ -1,14 +1,11 @@
-"""Text columns: whitespace, quotes, HTML to text, entities, image URLs, hosts, truncation.
+"""Text columns: whitespace, quotes, image URLs, hosts, truncation, dates.
 
 All of it is built-in expressions, so whole texts never leave the JVM.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
-from functools import lru_cache
-from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,20 +19,11 @@ WHITE_SPACE = (
 WHITE_SPACE_CLASS = r"[\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 # Characters removed around a summary.
 BOUNDARY_QUOTES = "\"'`´«»“”„‟‘’‚‹›「」『』〝〞"
-# Tags that separate words.
-BREAK_TAGS = (
-    "article aside blockquote br div figcaption figure footer h1 h2 h3 h4 h5 h6 header hr img li ol p "
-    "section tr ul"
-).split()
 IMAGE_URL = r"(?i)^(?:https?:)?//|\.(?:jpe?g|png|webp|gif|avif)"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 # -------------------------------------------------------------------------------------------------
 
-# Unicode non-characters: they cannot occur in interchanged text, so they can mark tag ends.
-_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it any number of times in ``body``.
 
@@ -69,140 +57,10 @@ def trim_quotes(c: Column) -> Column:
     return F.btrim(c, F.lit(BOUNDARY_QUOTES + WHITE_SPACE))
 
 
-def strip_tags(c: Column) -> Column:
-    """Drop tags; a word-separating tag leaves a space; an unclosed tag swallows the rest.
-
-    Up to the last '>' every tag that opens also closes, so the patterns there never scan for a missing
-    end; the part behind the last '>' can hold only one unclosed tag.
-    """
-    names = "|".join(sorted(BREAK_TAGS, key=len, reverse=True))
-
-    def closed(text: Column) -> Column:
-        marked = F.regexp_replace(
-            F.translate(text, _OPEN + _CLOSE, ""), r"<([A-Za-z/!?][^>]*)>", f"{_OPEN}$1{_CLOSE}"
-        )
-        spaced = F.regexp_replace(
-            marked, rf"(?i){_OPEN}/*!*\?*(?:{names})(?![A-Za-z0-9-])[^{_CLOSE}]*{_CLOSE}", " "
-        )
-        return F.regexp_replace(spaced, f"{_OPEN}[^{_CLOSE}]*{_CLOSE}", "")
-
-    def both(text: Column) -> Column:
-        return let(
-            F.substring_index(text, ">", -1),
-            lambda tail: F.concat(
-                closed(F.left(text, F.length(text) - F.length(tail))),
-                F.regexp_replace(tail, r"(?s)<[A-Za-z/!?].*", ""),
-            ),
-        )
-
-    return let(c, lambda text: F.when(F.contains(text, F.lit("<")), both(text)).otherwise(text))
-
-
-@lru_cache(maxsize=1)
-def _entity_json() -> str:
-    return json.dumps({name[:-1]: text for name, text in html5.items() if name.endswith(";")})
-
-
-def _character(name: Column) -> Column:
-    """Text of one entity name ('amp', '#233', '#xE9'); NULL when it names nothing."""
-    hexadecimal = F.substring(ascii_lower(name), 2, 1) == "x"
-
-    def code_point(digits: Column) -> Column:
-        value = F.when(digits == "", F.lit(0)).otherwise(
-            F.when(hexadecimal, F.conv(digits, 16, 10).cast("bigint")).otherwise(digits.cast("bigint"))
-        )
-        return F.when(F.length(digits) <= 7, value)
-
-    def encode(cp: Column) -> Column:
-        valid = (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
-        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32"))
-
-    numeric = let(
-        let(F.regexp_extract(name, r"^#[xX]?0*([0-9A-Fa-f]*)$", 1), code_point),
-        encode,
-    )
-    common = (
-        F.when(name == "amp", "&").when(name == "lt", "<").when(name == "gt", ">").when(name == "quot", '"')
-        .when(name == "nbsp", "\xa0")
-    )
-    table = F.from_json(F.lit(_entity_json()), "map<string,string>")
-    named = F.coalesce(common, F.try_element_at(table, name))
-    return F.when(F.startswith(name, F.lit("#")), numeric).otherwise(named)
-
-
-def decode_entities(c: Column) -> Column:
-    """Replace every ``&name;``, ``&#n;`` and ``&#xh;``; unknown ones stay as they are."""
-
-    def piece(p: Column) -> Column:
-        name = F.regexp_extract(p, r"^(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);", 1)
-        return let(
-            name,
-            lambda n: F.when(n == "", F.concat(F.lit("&"), p)).otherwise(
-                let(
-                    _character(n),
-                    lambda v: F.when(v.isNull(), F.concat(F.lit("&"), p)).otherwise(
-                        F.concat(v, F.substr(p, F.length(n) + 2))
-                    ),
-                )
-            ),
-        )
-
-    def split_and_join(text: Column) -> Column:
-        return let(
-            F.split(text, "&", -1),
-            lambda parts: F.concat(
-                parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), "")
-            ),
-        )
-
-    return let(c, lambda text: F.when(F.contains(text, F.lit("&")), split_and_join(text)).otherwise(text))
-
-
-def html_to_text(c: Column) -> Column:
-    """Readable text of an HTML fragment: tags out, entities decoded at most twice, NULL when blank."""
-
-    def decode_round(text: Column, then: Callable[[Column], Column]) -> Column:
-        return F.when(~F.contains(text, F.lit("&")), text).otherwise(
-            let(decode_entities(text), lambda d: F.when(d == text, text).otherwise(let(strip_tags(d), then)))
-        )
-
-    plain = let(strip_tags(c), lambda t: decode_round(t, lambda u: decode_round(u, lambda v: v)))
-    return F.nullif(trim_quotes(collapse_ws(plain)), F.lit(""))
-
-
 def looks_like_image(c: Column) -> Column:
     return F.rlike(c, F.lit(IMAGE_URL))
 
 
-def inline_image(c: Column) -> Column:
-    """URL of the first ``src=`` behind the first ``<img`` when it is quoted and looks like an image."""
-
-    def value(html: Column) -> Column:
-        lowered = ascii_lower(html)
-        return let(
-            F.position(F.lit("<img"), lowered),
-            lambda img: F.when(
-                img > 0,
-                let(F.position(F.lit("src="), lowered, img), lambda src: F.when(src > 0, quoted(html, src))),
-            ),
-        )
-
-    def quoted(html: Column, src: Column) -> Column:
-        return let(
-            F.substr(html, src + 4, F.lit(1)),
-            lambda quote: F.when(
-                quote.isin('"', "'"),
-                let(
-                    F.position(quote, html, src + 5),
-                    lambda end: F.when(end > 0, required_text(F.substr(html, src + 5, end - src - 5))),
-                ),
-            ),
-        )
-
-    found = let(c, lambda html: F.when(F.contains(html, F.lit("=")), value(html)))
-    return let(decode_entities(found), lambda url: F.when(looks_like_image(url), url))
-
-
 def host_of(c: Column) -> Column:
     """Lower-case host of a URL or bare host; NULL when there is none."""
     host = F.regexp_extract(

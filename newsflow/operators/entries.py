@@ -6,12 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsflow.functions.bylines import with_authors
-from newsflow.functions.text import (
-    html_to_text,
-    inline_image,
-    looks_like_image,
-    required_text,
-)
+from newsflow.functions.html import html_to_text, inline_image
+from newsflow.functions.text import looks_like_image, required_text
 
 
 def first_link(links: Column) -> Column:
@@ -59,7 +55,7 @@ def with_summary(
     entries: DataFrame, summary: str = "summary", body: str = "content_body", out: str = "summary"
 ) -> DataFrame:
     """Readable summary, else readable content body, else NULL."""
-    return entries.withColumn(out, F.coalesce(html_to_text(F.col(summary)), html_to_text(F.col(body))))
+    return entries.withColumn(out, F.coalesce(html_to_text(summary), html_to_text(body)))
 
 
 def media_image(media: Column) -> Column:
@@ -93,7 +89,7 @@ def with_image(entries: DataFrame, out: str = "image_url") -> DataFrame:
     return entries.withColumn(
         out,
         F.coalesce(
-            media_image(F.col("media")), inline_image(F.col("summary")), inline_image(F.col("content_body")), source
+            media_image(F.col("media")), inline_image("summary"), inline_image("content_body"), source
         ),
     )
 

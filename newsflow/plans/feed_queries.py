@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.functions.text import html_to_text, inline_image
+from newsflow.functions.html import html_to_text, inline_image
 from newsflow.operators import authors, entries, tasks
 from newsflow.plans.inputs import load
 from newsflow.plans.registry import big, joined, query, us
@@ -103,7 +103,7 @@ def summary_fallback(spark: SparkSession, sf: str) -> DataFrame:
 @query("b6_html_to_text", f"SELECT page_id, {clean_sql('html')} AS text FROM {{pages}}")
 def html_text(spark: SparkSession, sf: str) -> DataFrame:
     [pages] = load(spark, sf, "pages")
-    return pages.select("page_id", html_to_text(F.col("html")).alias("text"))
+    return pages.select("page_id", html_to_text("html").alias("text"))
 
 
 def _with_image_fields(pages: DataFrame) -> DataFrame:
@@ -157,8 +157,8 @@ def inline(spark: SparkSession, sf: str) -> DataFrame:
         .when(n % 5 == 3, F.concat(F.lit('<img src="notes.txt"> <img src="'), url, F.lit('.png">')))
         .otherwise(F.concat(F.lit('src="a.png" <img alt="'), n.cast("string"), F.lit('"/>')))
     )
-    html = F.concat(shapes, F.regexp_replace("html", "(?i)src=", ""))
-    return pages.select("page_id", inline_image(html).alias("image_url"))
+    rows = pages.withColumn("html", F.concat(shapes, F.regexp_replace("html", "(?i)src=", "")))
+    return rows.select("page_id", inline_image("html").alias("image_url"))
 
 
 ASSEMBLED_SQL = f"""
