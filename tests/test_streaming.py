@@ -1,0 +1,113 @@
+"""Streams over several micro-batches give what the batch forms give."""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.sql import functions as F
+
+from newsflow.operators import embed, entries, fetch
+from newsflow.plans.embed_queries import byte_histogram_model
+from newsflow.plans.stream_queries import drain
+from newsflow.streaming import jobs
+
+SECOND = 1_000_000
+BASE = 1_704_067_200 * SECOND
+
+
+def file_stream(spark, df, folder, files=1):
+    """A stream that reads the given rows in files of event order, one file per micro-batch."""
+    df = df.orderBy("ts", "event_id").withColumn("n", F.monotonically_increasing_id())
+    rows = df.drop("n").collect()
+    size = -(-len(rows) // files)
+    for i in range(files):
+        part = spark.createDataFrame(rows[i * size : (i + 1) * size], df.drop("n").schema)
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(df.drop("n").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def events(spark, rng, n, keys=4, span=120):
+    ops = ["transfer"] * 6 + ["processing", "completed", "error", "connected", "disconnected", "idle"]
+    rows = [(0 if rng.random() < 0.34 else rng.randrange(1, keys), i, BASE + rng.randrange(span * SECOND), rng.choice(ops), i % 7) for i in range(n)]
+    df = spark.createDataFrame(rows, "worker bigint, event_id bigint, us bigint, op string, bytes_received bigint")
+    return df.withColumn("ts", F.timestamp_micros("us")).drop("us")
+
+
+def test_rate_slots(spark, tmp_path):
+    jobs.use_state_store(spark)
+    df = events(spark, random.Random(1), 300)
+    batch = fetch.assign_rate_slots(df, "worker", "ts", "event_id", SECOND // 2)
+    stream = jobs.stream_rate_slots(file_stream(spark, df, tmp_path, 3), "worker", SECOND // 2)
+    got = drain(stream, str(tmp_path))
+    assert {(r.event_id, r.slot_us) for r in got.collect()} == {(r.event_id, r.slot_us) for r in batch.collect()}
+
+
+def test_status_fold_and_flush(spark, tmp_path):
+    jobs.use_state_store(spark)
+    rows = [
+        ("w", 1, 0.0, "processing", 5), ("w", 2, 0.4, "transfer", 7), ("w", 3, 0.8, "transfer", 1),
+        ("x", 4, 0.0, "connected", 0), ("x", 5, 2.0, "transfer", 2), ("x", 6, 500.0, "idle", 0),
+    ]
+    df = spark.createDataFrame(rows, "worker string, event_id bigint, s double, op string, bytes_received bigint")
+    df = df.withColumn("ts", F.timestamp_micros((F.col("s") * SECOND).cast("bigint") + BASE)).drop("s")
+    stream = jobs.stream_status(file_stream(spark, df, tmp_path, 6), late="1 second")
+    got = drain(stream, str(tmp_path)).collect()
+    emitted = sorted((r.worker, r.event_id, r.phase, r.bytes_received) for r in got if not r.flush)
+    assert emitted == [("w", 1, "processing", 5), ("x", 4, "starting", 0), ("x", 5, "starting", 2), ("x", 6, "idle", 2)]
+    # the two updates of "w" that were held back leave with the timer, as one row with both transfers
+    assert [(r.worker, r.bytes_received, r.phase) for r in got if r.flush] == [("w", 13, "processing")]
+
+
+def test_status_stream_end_equals_the_fold(spark, tmp_path):
+    from newsflow.operators import telemetry
+
+    jobs.use_state_store(spark)
+    df = events(spark, random.Random(2), 240)
+    stream = jobs.stream_status(file_stream(spark, df, tmp_path, 3), interval_ms=0)
+    got = drain(stream, str(tmp_path)).where("NOT flush")
+    assert got.count() == df.count()
+    names = ["phase", "has_task", "last_error", "server_connection", "completed_task_count", "bytes_received"]
+    order = F.struct("last_updated_us", "event_id")
+    last = got.groupBy("worker").agg(F.max_by(F.struct(*names), order).alias("s")).select("worker", "s.*")
+    expected = telemetry.fold_status(df).select(F.col("worker").cast("string").alias("worker"), *names)
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_task_completion_over_batches(spark, tmp_path):
+    jobs.use_state_store(spark)
+    rows = [(t, 1, i, 3, "ok", t * 10 + i) for t in range(5) for i in range(3) if (t, i) != (4, 2)]
+    rows += [(0, 1, 1, 3, "ok", 100), (1, 1, 7, 3, "ok", 101)]
+    df = spark.createDataFrame(rows, "task_id bigint, execution_id bigint, feed_index bigint, total_feeds bigint, status string, event_id bigint")
+    df = df.withColumn("ts", F.timestamp_seconds("event_id"))
+    got = drain(jobs.stream_task_completion(file_stream(spark, df, tmp_path, 3)), str(tmp_path)).collect()
+    assert sorted((r.task_id, r.kind) for r in got) == sorted(
+        [(t, "task_complete") for t in range(4)] + [(0, "completed_twice"), (1, "missing_slot")]
+    )
+
+
+def test_ingest_over_batches(spark, tmp_path):
+    rows = [(i % 3, i, f"https://x/{i % 20}", BASE + i * SECOND) for i in range(90)]
+    df = spark.createDataFrame(rows, "feed_id int, entry_pos int, u string, us bigint").select(
+        "feed_id", "entry_pos", F.array("u").alias("links"), F.lit("t").alias("title"), F.lit("<b>s</b>").alias("summary"),
+        F.lit(None).cast("string").alias("content_body"), F.lit(None).cast("string").alias("content_src"),
+        F.array(F.lit("By Ann Lee")).alias("authors"), F.timestamp_micros("us").alias("published"), F.lit(None).cast("timestamp").alias("updated"),
+        F.array().cast("array<struct<thumbnails:array<string>,content:array<struct<url:string,content_type:string>>>>").alias("media"),
+        F.timestamp_micros("us").alias("arrived_at"), F.timestamp_micros("us").alias("ts"), F.col("entry_pos").alias("event_id"),
+    )
+    got = drain(jobs.ingest_entries(file_stream(spark, df, tmp_path, 3)), str(tmp_path)).drop("published_at")
+    expected = entries.assemble_sources(df).drop("published_at")
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_embedding_stream(spark, tmp_path):
+    df = events(spark, random.Random(3), 40).selectExpr("event_id", "ts", "concat('title ', event_id) AS title", "op AS summary")
+    seen = f"{tmp_path}/out"
+
+    def write(batch, batch_id):
+        batch.select("event_id", "embedding").write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
+
+    stream = file_stream(spark, df, tmp_path, 2)
+    jobs.stream_embeddings(stream, byte_histogram_model, write, f"{tmp_path}/cp", 8, None).start().awaitTermination()
+    got = {r.event_id: r.embedding for r in spark.read.parquet(seen).collect()}
+    expected = embed.embed(embed.with_passage(df), byte_histogram_model, 8).collect()
+    assert got == {r.event_id: r.embedding for r in expected}
