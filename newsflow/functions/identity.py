@@ -13,10 +13,13 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsflow.functions.fragments import lit, sub
+from newsflow.functions.fragments import lit, matches, sub, when
 from newsflow.functions.text import ASCII_LOWER, ASCII_UPPER, let
 
 
+NOT_ASCII = r"[^\x00-\x7F]"
+
+
 def fold_character(character: str) -> str:
     """The key text of one character; signs become a space, combining marks vanish."""
     out = []
@@ -73,7 +76,8 @@ def identity_key(c: Column) -> Column:
         )
         expanded = F.when(F.rlike(text, F.lit(expandable)), spread).otherwise(text)
         unmarked = F.regexp_replace(expanded, r"\p{M}+", "")
-        return F.translate(unmarked, ASCII_UPPER + singles, ASCII_LOWER + targets)
+        full = F.translate(unmarked, ASCII_UPPER + singles, ASCII_LOWER + targets)
+        return F.when(F.rlike(text, F.lit(NOT_ASCII)), full).otherwise(F.lower(text))
 
     return _squeeze(let(c, fold))
 
@@ -100,4 +104,5 @@ def word_key_sql(c: str, words: tuple[str, ...]) -> str:
     table = f"from_json({lit(pairs)}, 'array<array<string>>')"
     spread = f"aggregate({table}, {c}, (text, pair) -> replace(text, pair[0], pair[1]))"
     folded = f"translate({sub(spread, chr(92) + 'p{M}+', '')}, {lit(source)}, {lit(target)})"
-    return f"nullif(btrim({sub(folded, '[^0-9a-z]+', ' ')}), '')"
+    key = when(matches(c, NOT_ASCII), folded, f"lower({c})")
+    return f"nullif(btrim({sub(key, '[^0-9a-z]+', ' ')}), '')"

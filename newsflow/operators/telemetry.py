@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.functions.text import ascii_lower, one_line_detail, trim_ws, truncate_chars
+from newsflow.functions.text import ascii_lower, let, one_line_detail, trim_ws, truncate_chars
 from newsflow.plans.scan import HOUR_US, running, time_segment
 
 # ---- fixed values -------------------------------------------------------------------------------
@@ -322,12 +323,15 @@ def classify_status(snapshots: DataFrame, now: Column) -> DataFrame:
 
 def error_label(detail: Column, fallback: str) -> Column:
     """Short label of a raw error text."""
-    text = F.coalesce(ascii_lower(one_line_detail(detail)), F.lit(""))
-    label = F.lit(fallback)
-    for name, cues in reversed(ERROR_LABELS):
-        found = F.rlike(text, F.lit(cues.replace("(", r"\(").replace(")", r"\)")))
-        label = F.when(found, name).otherwise(label)
-    return label
+
+    def label(text: Column) -> Column:
+        out = F.lit(fallback)
+        for name, cues in reversed(ERROR_LABELS):
+            found = reduce(lambda a, b: a | b, [F.contains(text, F.lit(cue)) for cue in cues.split("|")])
+            out = F.when(found, name).otherwise(out)
+        return out
+
+    return let(F.coalesce(ascii_lower(one_line_detail(detail)), F.lit("")), label)
 
 
 def status_label(status_code: Column, detail: Column | None = None) -> Column:

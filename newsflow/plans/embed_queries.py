@@ -107,9 +107,9 @@ def _pooled(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "f6_l2_normalize",
-    """WITH s AS (SELECT vec_id, unnest(embedding) * (vec_id % 7) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM {embeddings}),
-            n AS (SELECT vec_id, sqrt(sum(CAST(v AS DOUBLE) * v)) AS norm FROM s GROUP BY vec_id)
-       SELECT vec_id, dim, round(CASE WHEN norm > 0 THEN v / norm ELSE v END, 4) AS value FROM s JOIN n USING (vec_id)""",
+    """WITH s AS (SELECT vec_id, CAST(CAST(unnest(embedding) AS DOUBLE) * (vec_id % 7) AS FLOAT) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM {embeddings}),
+            n AS (SELECT vec_id, sqrt(sum(CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) AS norm FROM s GROUP BY vec_id)
+       SELECT vec_id, dim, round(CAST(CAST(CASE WHEN norm > 0 THEN v / norm ELSE v END AS FLOAT) AS DOUBLE), 4) AS value FROM s JOIN n USING (vec_id)""",
 )
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     [vectors] = load(spark, sf, "embeddings")

@@ -93,6 +93,19 @@ VIEWS = {
 }
 
 
+# Tables of long texts: per row far more work than bytes.
+TEXT_TABLES = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the input has fewer files than there are cores.
+
+    A large table has many more files than the cluster has cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
+
+
 def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """Tables or derived views as DataFrames."""
     return [_one(spark, sf_dir, name) for name in names]
@@ -104,7 +117,8 @@ def _one(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.sql(VIEWS[name], **used)
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     zoneless = [f.name for f in table.schema if f.dataType.simpleString() == "timestamp_ntz"]
-    return table.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
+    table = table.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else table
+    return spread(table) if name in TEXT_TABLES else table
 
 
 def view_sql(name: str) -> str:
