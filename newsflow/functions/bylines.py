@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.functions.fragments import group, in_list, let, lit, matches, over, sub, when
+from newsflow.functions.fragments import group, in_list, let, lit, matches, non_empty, over, sub, when
 from newsflow.functions.identity import identity_key, word_key_sql
 from newsflow.functions.text import WHITE_SPACE, WHITE_SPACE_CLASS
 
@@ -186,7 +186,7 @@ def candidate_options(bylines: str) -> str:
     """Bylines -> [{line, options}]: per listed part itself and, behind it, its parts around "and"/"et"/"&"."""
 
     def parts(byline: str) -> str:
-        prepared = sub(f"nullif({_trim(byline)}, '')", SEPARATOR_PHRASE, " ; ")
+        prepared = sub(non_empty(_trim(byline)), SEPARATOR_PHRASE, " ; ")
         named = over("transform", f"coalesce(split({prepared}, {lit(LIST_SPLIT)}), {_NONE})", display_name)
         return over("filter", named, lambda p: f"{p} IS NOT NULL")
 

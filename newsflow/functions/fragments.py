@@ -46,3 +46,8 @@ def let(value: str, body: Callable[[str], str]) -> str:
 
 def when(condition: str, value: str, otherwise: str = "NULL") -> str:
     return f"CASE WHEN {condition} THEN {value} ELSE {otherwise} END"
+
+
+def non_empty(value: str) -> str:
+    """The value, NULL when it is the empty text. nullif() would evaluate a computed value twice."""
+    return let(value, lambda t: when(f"{t} != ''", t))

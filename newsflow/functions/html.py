@@ -14,7 +14,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsflow.functions.fragments import group, let, lit, matches, over, sub, when
+from newsflow.functions.fragments import group, let, lit, matches, non_empty, over, sub, when
 from newsflow.functions.text import (
     ASCII_LOWER,
     ASCII_UPPER,
@@ -119,7 +119,7 @@ def html_to_text_sql(c: str) -> str:
 
     plain = let(strip_tags_sql(c), lambda t: decode_round(t, lambda u: decode_round(u, lambda v: v)))
     runs = f"{WHITE_SPACE_CLASS}{{2,}}|[{WHITE_SPACE_CLASS}&&[^ ]]"
-    return f"nullif(btrim({sub(plain, runs, ' ')}, {lit(BOUNDARY_QUOTES + WHITE_SPACE)}), '')"
+    return non_empty(f"btrim({sub(plain, runs, ' ')}, {lit(BOUNDARY_QUOTES + WHITE_SPACE)})")
 
 
 def inline_image_sql(c: str) -> str:
@@ -134,7 +134,7 @@ def inline_image_sql(c: str) -> str:
                     f"position({quote}, {html}, {src} + 5)",
                     lambda end: when(
                         f"{end} > 0",
-                        f"nullif(btrim(substr({html}, {src} + 5, {end} - {src} - 5), {lit(WHITE_SPACE)}), '')",
+                        non_empty(f"btrim(substr({html}, {src} + 5, {end} - {src} - 5), {lit(WHITE_SPACE)})"),
                     ),
                 ),
             ),

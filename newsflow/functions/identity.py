@@ -13,8 +13,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsflow.functions.fragments import lit, matches, sub, when
-from newsflow.functions.text import ASCII_LOWER, ASCII_UPPER, let
+from newsflow.functions.fragments import lit, matches, non_empty, sub, when
+from newsflow.functions.text import ASCII_LOWER, ASCII_UPPER, let, non_empty_text
 
 
 NOT_ASCII = r"[^\x00-\x7F]"
@@ -61,7 +61,7 @@ def _character_class(characters: str) -> str:
 
 
 def _squeeze(c: Column) -> Column:
-    return F.nullif(F.btrim(F.regexp_replace(c, "[^0-9a-z]+", " ")), F.lit(""))
+    return non_empty_text(F.btrim(F.regexp_replace(c, "[^0-9a-z]+", " ")))
 
 
 def identity_key(c: Column) -> Column:
@@ -105,4 +105,4 @@ def word_key_sql(c: str, words: tuple[str, ...]) -> str:
     spread = f"aggregate({table}, {c}, (text, pair) -> replace(text, pair[0], pair[1]))"
     folded = f"translate({sub(spread, chr(92) + 'p{M}+', '')}, {lit(source)}, {lit(target)})"
     key = when(matches(c, NOT_ASCII), folded, f"lower({c})")
-    return f"nullif(btrim({sub(key, '[^0-9a-z]+', ' ')}), '')"
+    return non_empty(f"btrim({sub(key, '[^0-9a-z]+', ' ')})")

@@ -33,13 +33,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def non_empty_text(c: Column) -> Column:
+    """The value, NULL when it is the empty text. nullif() would evaluate a computed value twice."""
+    return let(c, lambda t: F.when(t != "", t))
+
+
 def trim_ws(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def required_text(c: Column) -> Column:
     """Trimmed text, NULL when blank."""
-    return F.nullif(trim_ws(c), F.lit(""))
+    return non_empty_text(trim_ws(c))
 
 
 def collapse_ws(c: Column) -> Column:
@@ -66,7 +71,7 @@ def host_of(c: Column) -> Column:
     host = F.regexp_extract(
         trim_ws(c), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://)?(?:[^/?#\\@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#\\:@\s]+)", 1
     )
-    return F.nullif(F.lower(host), F.lit(""))
+    return non_empty_text(F.lower(host))
 
 
 def truncate_chars(c: Column, limit: int) -> Column:
@@ -75,7 +80,7 @@ def truncate_chars(c: Column, limit: int) -> Column:
 
 def one_line_detail(c: Column) -> Column:
     """First line of an error text, collapsed, at most 140 characters; NULL when blank."""
-    line = F.nullif(collapse_ws(F.split(c, r"\r?\n", 2)[0]), F.lit(""))
+    line = non_empty_text(collapse_ws(F.split(c, r"\r?\n", 2)[0]))
     return let(
         line, lambda t: F.when(F.length(t) > 140, F.concat(F.left(t, F.lit(137)), F.lit("..."))).otherwise(t)
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsflow.functions import bylines as b
 from newsflow.functions.fragments import over
+from newsflow.plans.scan import explode_once
 from newsflow.functions.identity import identity_key
 
 
@@ -29,10 +30,13 @@ def split_bylines(df: DataFrame, byline: str = "byline") -> DataFrame:
         )
 
     df = df.withColumn("__parts", F.expr(over("transform", "__raw", pick, indexed=True))).drop("__raw", "__clean")
-    rows = df.select(*[c for c in df.columns if c != "__parts"], F.posexplode("__parts").alias("line_part", "__p"))
-    return rows.select(
-        *[c for c in rows.columns if c != "__p"], F.posexplode("__p").alias("part", "part_text")
+    numbered = over(
+        "transform",
+        "__parts",
+        lambda ps, i: over("transform", ps, lambda p, j: f"struct({i} AS line_part, {j} AS part, {p} AS part_text)", indexed=True),
+        indexed=True,
     )
+    return explode_once(df.withColumn("__parts", F.expr(f"flatten({numbered})")), "__parts", "__p", "__p.*")
 
 
 def clean_candidates(df: DataFrame, candidate: str = "candidate", out: str = "name") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from newsflow.functions.text import collapse_ws
+from newsflow.functions.text import collapse_ws, non_empty_text
 from newsflow.plans.scan import position_segment, running
 
 MAX_SEQUENCE_LENGTH = 512  # fixed value: used where the model file names none
@@ -18,7 +18,7 @@ MAX_SEQUENCE_LENGTH = 512  # fixed value: used where the model file names none
 
 def passage_text(title: Column, summary: Column) -> Column:
     """``passage: title: T`` and, when it is not blank, `` | summary: S``."""
-    short = F.nullif(collapse_ws(summary), F.lit(""))
+    short = non_empty_text(collapse_ws(summary))
     return F.concat_ws(
         " | ", F.concat(F.lit("passage: title: "), collapse_ws(title)), F.concat(F.lit("summary: "), short)
     )

@@ -65,22 +65,23 @@ def dedup_groups(
     array grows with the number of copies; the parts of a group, in order, are the full list.
     """
     parts = parts or {"part": feed_part()}
-    keyed = sources.withColumn("dedup_key", dedup_key(F.col("url")))
     keys = [*task, "dedup_key"]
     row = F.struct("feed_index", "source_pos", "url")
-    groups = keyed.groupBy(*keys).agg(F.min(row).alias("__first"), F.count("*").alias("__n")).where(F.col("__n") > 1)
-    position = F.struct("feed_index", "source_pos")
-    first = F.struct(F.col("__first.feed_index"), F.col("__first.source_pos"))
-    dropped = keyed.join(groups, keys).where(position > first)
-    gathered = dropped.groupBy(*keys, *[c.alias(name) for name, c in parts.items()]).agg(
-        F.min("__first.url").alias("kept_url"), F.array_sort(F.collect_list(row)).alias("__rows")
+    keyed = sources.withColumn("dedup_key", dedup_key(F.col("url")))
+    # Rows meet per part first, so what is joined on the bare key has one row per part of a group.
+    gathered = keyed.groupBy(*keys, *[c.alias(name) for name, c in parts.items()]).agg(
+        F.array_sort(F.collect_list(row)).alias("__rows")
     )
-    return gathered.select(
-        *keys,
-        *parts,
-        F.lit(DEDUP_REASON).alias("reason"),
-        "kept_url",
-        F.transform("__rows", lambda r: r.url).alias("dropped_urls"),
+    first = F.min(F.get("__rows", F.lit(0)))
+    groups = gathered.groupBy(*keys).agg(first.alias("__first"), F.sum(F.size("__rows")).alias("__n")).where(
+        F.col("__n") > 1
+    )
+    dropped = F.filter("__rows", lambda r: r > F.col("__first"))
+    return (
+        gathered.join(groups, keys)
+        .withColumn("dropped_urls", F.transform(dropped, lambda r: r.url))
+        .where(F.size("dropped_urls") > 0)
+        .select(*keys, *parts, F.lit(DEDUP_REASON).alias("reason"), F.col("__first.url").alias("kept_url"), "dropped_urls")
     )
 
 
@@ -122,12 +123,17 @@ def assemble_results(
     done: str = "done",
     feeds_per_part: int = FEEDS_PER_PART,
 ) -> DataFrame:
-    """Complete tasks with their results in feed_index order, in parts of ``feeds_per_part`` slots."""
-    return (
-        completed_results(slots, task, done)
-        .groupBy(*task, feed_part(feeds_per_part).alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("feed_index", *value))).alias("results"))
+    """Complete tasks with their results in feed_index order, in parts of ``feeds_per_part`` slots.
+
+    Slots meet per part first; whether the task is complete is then asked per part, not per slot, so a very
+    large task stays spread over the cluster.
+    """
+    gathered = slots.groupBy(*task, feed_part(feeds_per_part).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("feed_index", *value))).alias("results"),
+        F.count_if(~F.col(done)).alias("__open"),
     )
+    complete = gathered.groupBy(*task).agg(F.sum("__open").alias("__open")).where(F.col("__open") == 0)
+    return gathered.join(complete.select(*task), task, "left_semi").drop("__open")
 
 
 def audit_completeness(slots: DataFrame, results: DataFrame, task: list[str] = TASK) -> DataFrame:

@@ -83,3 +83,16 @@ def running(
             out[name] = F.greatest(F.max(value).over(upto), carry_in)
     joined = rows.join(carry, [*keys, SEGMENT], "left").withColumns(out)
     return joined.select(*df.columns, *out)
+
+
+def explode_once(df: DataFrame, array: str, item: str, *fields: str, position: str | None = None) -> DataFrame:
+    """One row per element of a computed array, which is dropped; empty and NULL arrays give no row.
+
+    A plain explode makes the optimizer test the array's size below the projection that computes it, which
+    computes it again. The outer form with a later test on the position computes it once.
+    """
+    others = [c for c in df.columns if c != array]
+    place = position or "__place"
+    rows = df.select(*others, F.posexplode_outer(array).alias(place, item)).where(F.col(place).isNotNull())
+    kept = [*others, *([position] if position else [])]
+    return rows.select(*kept, *(fields or [item]))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.functions.text import parse_http_date
+from newsflow.plans.scan import explode_once
 from newsflow.sources import schemas
 
 MEDIA = "array<struct<thumbnails: array<string>, content: array<struct<url: string, content_type: string>>>>"
@@ -55,7 +56,7 @@ def parse_feeds(bodies: DataFrame, body: str = "body") -> DataFrame:
     atom = F.from_xml(text, schemas.ATOM_FEED, options)
     is_atom = F.rlike(F.left(text, F.lit(2000)), F.lit(r"<feed[\s>]"))
     entries = F.when(is_atom, _atom_entries(atom)).otherwise(_rss_entries(rss))
-    return bodies.select(*keys, F.posexplode(entries).alias("entry_pos", "e")).select(*keys, "entry_pos", "e.*")
+    return explode_once(bodies.select(*keys, entries.alias("__e")), "__e", "e", "e.*", position="entry_pos")
 
 
 def _timestamp(text: Column) -> Column:
@@ -193,7 +194,7 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 def decode_catalog(documents: DataFrame, text: str = "value") -> DataFrame:
     items = F.from_json(F.col(text), f"items array<struct<{_fields(schemas.RELEASE)}>>")
     others = [c for c in documents.columns if c != text]
-    return documents.select(*others, F.explode(items.getField("items")).alias("i")).select(*others, "i.*")
+    return explode_once(documents.select(*others, items.getField("items").alias("__i")), "__i", "i", "i.*")
 
 
 def _fields(ddl: str) -> str:
