@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,27 +23,31 @@ def with_first_link(entries: DataFrame, links: str = "links", out: str = "url")
 
 
 def first_per_url(
-    entries: DataFrame, feed: str = "feed_id", url: str = "url", position: str = "entry_pos"
+    entries: DataFrame, feed: Sequence[str] = ("feed_id",), url: str = "url", position: str = "entry_pos"
 ) -> DataFrame:
-    """First entry of every URL of a feed.
+    """First entry of every URL of a feed (``feed``: the columns that name one fetched document).
 
     Written as a rank filter so that the plan cuts every input partition to one row per key before the
     shuffle; a URL with very many copies never meets in one task.
     """
-    rank = F.row_number().over(Window.partitionBy(feed, url).orderBy(position))
+    rank = F.row_number().over(Window.partitionBy(*feed, url).orderBy(position))
     return entries.withColumn("__rank", rank).where(F.col("__rank") == 1).drop("__rank")
 
 
 def published_since(entries: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
     """``published_at`` = published, else updated; rows without one or before the feed's mark are dropped.
 
-    ``feeds``: feed_id, last_db_article_published_at. Spark broadcasts it only below its size threshold.
+    The mark is the entries' own ``last_db_article_published_at`` column, or comes from ``feeds`` (feed_id,
+    last_db_article_published_at), which Spark broadcasts only below its size threshold.
     """
     entries = entries.withColumn("published_at", F.coalesce("published", "updated")).where(
         F.col("published_at").isNotNull()
     )
-    if feeds is None:
+    mark = "last_db_article_published_at"
+    if feeds is None and mark not in entries.columns:
         return entries
+    if feeds is None:
+        return entries.where(F.col(mark).isNull() | (F.col("published_at") >= F.col(mark)))
     marks = feeds.select("feed_id", F.col("last_db_article_published_at").alias("__since"))
     fresh = F.col("__since").isNull() | (F.col("published_at") >= F.col("__since"))
     return entries.join(marks, "feed_id", "left").where(fresh).drop("__since")
@@ -94,17 +100,24 @@ def with_image(entries: DataFrame, out: str = "image_url") -> DataFrame:
     )
 
 
-def assemble_sources(entries: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
-    """Entries -> sources.
+def assemble_sources(
+    entries: DataFrame, feeds: DataFrame | None = None, feed: Sequence[str] = ("feed_id",)
+) -> DataFrame:
+    """Entries -> sources, keyed by the ``feed`` columns.
 
     Cheap tests come first; dedup stands before the time and title tests because a first occurrence that
     fails them still hides its copies. The costly text work runs on the survivors only.
     """
-    kept = entries.transform(with_first_link).transform(first_per_url)
+    kept = first_per_url(with_first_link(entries), feed)
     kept = published_since(kept, feeds).transform(with_required_title)
+    return finish_sources(kept, feed)
+
+
+def finish_sources(kept: DataFrame, feed: Sequence[str] = ("feed_id",)) -> DataFrame:
+    """Image, authors and summary of surviving entries, as source rows."""
     kept = with_authors(kept.transform(with_image), "authors", "__names")
     return with_summary(kept).select(
-        "feed_id",
+        *feed,
         F.col("entry_pos").alias("source_pos"),
         "title",
         "url",

@@ -59,6 +59,13 @@ def parse_feeds(bodies: DataFrame, body: str = "body") -> DataFrame:
     return explode_once(bodies.select(*keys, entries.alias("__e")), "__e", "e", "e.*", position="entry_pos")
 
 
+def feed_updated(body: Column) -> Column:
+    """The time a landed feed body gives for itself, NULL when it gives none."""
+    rss = F.from_xml(body, "channel struct<lastBuildDate: string>").channel.lastBuildDate
+    atom = F.from_xml(body, "updated string").updated
+    return _timestamp(F.when(F.rlike(F.left(body, F.lit(2000)), F.lit(r"<feed[\s>]")), atom).otherwise(rss))
+
+
 def _timestamp(text: Column) -> Column:
     return F.coalesce(parse_http_date(text), F.try_to_timestamp(text))
 
@@ -127,10 +134,10 @@ def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
 
 
-def read_status(spark: SparkSession, path: str) -> DataFrame:
-    """Status snapshots, one JSON document per line, with ``load`` = loaded | error."""
+def read_status(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Status snapshots, one JSON document per line, with ``load`` = loaded | error; batch or stream."""
     schema = f"{schemas.STATUS_SNAPSHOT}, {CORRUPT} string"
-    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    reader = (spark.readStream if stream else spark.read).schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     return label_loads(reader.json(path))
 
 

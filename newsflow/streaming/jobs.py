@@ -16,15 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from newsflow.functions.bylines import with_authors
 from newsflow.operators.embed import embed, with_passage
-from newsflow.operators.entries import (
-    published_since,
-    with_first_link,
-    with_image,
-    with_required_title,
-    with_summary,
-)
+from newsflow.operators.entries import finish_sources, published_since, with_first_link, with_required_title
 from newsflow.operators.telemetry import CLEARING_OPS, FORCED_OPS, PERSIST_INTERVAL_MS
 
 STATE_STORE = {
@@ -49,18 +42,7 @@ def ingest_entries(entries: DataFrame, feeds: DataFrame | None = None, late: str
     """
     keyed = with_first_link(entries).withWatermark("arrived_at", late)
     kept = keyed.dropDuplicatesWithinWatermark(["feed_id", "url"])
-    kept = published_since(kept, feeds).transform(with_required_title)
-    kept = with_authors(kept.transform(with_image), "authors", "__names")
-    return with_summary(kept).select(
-        "feed_id",
-        F.col("entry_pos").alias("source_pos"),
-        "title",
-        "url",
-        "summary",
-        F.col("__names").alias("authors"),
-        "published_at",
-        "image_url",
-    )
+    return finish_sources(published_since(kept, feeds).transform(with_required_title))
 
 
 class RateSlots(StatefulProcessor):
