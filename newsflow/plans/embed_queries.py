@@ -89,7 +89,7 @@ def pad_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "f5_mean_pool",
-    """SELECT label AS doc, dim, round(avg(CASE WHEN vec_id % 5 <> 0 THEN v END), 6) AS value
+    """SELECT CAST(label AS BIGINT) AS doc, dim, round(avg(CASE WHEN vec_id % 5 <> 0 THEN v END), 6) AS value
        FROM (SELECT label, vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM {embeddings})
        GROUP BY label, dim""",
 )
@@ -122,7 +122,7 @@ def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "f7_shape_audit",
     """WITH b AS (SELECT label, count(*) AS n, count(CASE WHEN vec_id % 50 <> 0 THEN 1 END) AS m FROM {embeddings} GROUP BY label)
-       SELECT label, CASE WHEN label = 0 THEN 'unexpected embedding tensor rank: expected 3, got 2'
+       SELECT CAST(label AS BIGINT) AS label, CASE WHEN label = 0 THEN 'unexpected embedding tensor rank: expected 3, got 2'
                           WHEN label % 3 = 1 THEN concat('unexpected embedding tensor size: expected ', (n + 1) * 64, ', got ', n * 64)
                           ELSE concat('unexpected attention mask size: expected ', n, ', got ', m) END AS reason
        FROM b WHERE label = 0 OR label % 3 = 1 OR n <> m""",
@@ -272,7 +272,7 @@ def task_result_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "a9_embedding_documents",
-    """SELECT vec_id % 10 AS task_id, 0 AS part, count(*) AS n_sources, string_agg(vec_id, ',' ORDER BY vec_id) AS ids,
+    """SELECT vec_id % 10 AS task_id, CAST(0 AS BIGINT) AS part, count(*) AS n_sources, string_agg(vec_id, ',' ORDER BY vec_id) AS ids,
               round(sum(embedding[1]::DOUBLE), 5) AS first_sum
        FROM {embeddings} GROUP BY vec_id % 10""",
 )

@@ -352,7 +352,7 @@ def entry_authors(spark: SparkSession, sf: str) -> DataFrame:
 # ---- sources ------------------------------------------------------------------------------------
 @query(
     "a1_task_feed_source",
-    """SELECT page_id AS task_id, page_id % 3 AS execution_id, concat('j', page_id) AS job_id, i AS feed_index,
+    """SELECT page_id AS task_id, page_id % 3 AS execution_id, concat('j', page_id) AS job_id, CAST(i AS BIGINT) AS feed_index,
               page_id * 10 + i AS feed_id, concat(url, '/', i) AS feed_url, epoch_us(TIMESTAMP '2024-01-01 10:00:00') AS requested_us
        FROM {pages}, (VALUES (0), (1)) v(i) WHERE page_id % 10 <> 0""",
 )
@@ -385,7 +385,7 @@ def task_feed_source(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "a2_embedding_task_source",
-    """SELECT doc_id AS task_id, 'v1' AS worker_version, i AS source_pos, doc_id * 10 + i AS id,
+    """SELECT doc_id AS task_id, 'v1' AS worker_version, CAST(i AS BIGINT) AS source_pos, doc_id * 10 + i AS id,
               CASE i WHEN 0 THEN text ELSE source END AS title, CASE i WHEN 0 THEN lang END AS summary
        FROM {documents}, (VALUES (0), (1)) v(i)""",
 )
@@ -429,7 +429,7 @@ def feed_bodies(pages: DataFrame) -> DataFrame:
 
 @query(
     "a3_feed_document_source",
-    """SELECT page_id, i AS entry_pos, CASE i WHEN 0 THEN url ELSE concat(url, '/2') END AS link,
+    """SELECT page_id, CAST(i AS BIGINT) AS entry_pos, CASE i WHEN 0 THEN url ELSE concat(url, '/2') END AS link,
               CASE i WHEN 0 THEN CAST(page_id AS VARCHAR) ELSE 'second' END AS title,
               CASE i WHEN 0 THEN length(html) END AS summary_chars,
               CASE i WHEN 0 THEN 1704067200000000 + page_id * 3600000000 END AS at_us,

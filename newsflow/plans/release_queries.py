@@ -35,7 +35,7 @@ def release_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "a6_catalog_source",
-    """SELECT p_partkey, i AS item, concat(p_name, '-', i) AS artifact_name, p_type AS product FROM {part}, (VALUES (0), (1), (2)) v(i)
+    """SELECT p_partkey, CAST(i AS BIGINT) AS item, concat(p_name, '-', i) AS artifact_name, p_type AS product FROM {part}, (VALUES (0), (1), (2)) v(i)
        WHERE i < p_partkey % 4""",
 )
 def catalog_source(spark: SparkSession, sf: str) -> DataFrame:

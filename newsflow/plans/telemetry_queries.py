@@ -55,7 +55,7 @@ def status_history(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "h2_transfer_totals",
-    "SELECT worker, 0 AS bytes_sent, CAST(sum(bytes_received) AS BIGINT) AS bytes_received FROM {v_status} s GROUP BY worker",
+    "SELECT worker, CAST(0 AS BIGINT) AS bytes_sent, CAST(sum(bytes_received) AS BIGINT) AS bytes_received FROM {v_status} s GROUP BY worker",
 )
 def transfer_totals(spark: SparkSession, sf: str) -> DataFrame:
     [updates] = load(spark, sf, "v_status")

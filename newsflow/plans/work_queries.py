@@ -10,7 +10,7 @@ from newsflow.plans.inputs import load
 from newsflow.plans.registry import big, joined, query, us
 
 SIX_HOURS_US = 6 * 3_600_000_000
-_PLAN = """SELECT f.*, s.pos AS strategy_pos, s.strategy, a.n AS attempt_no FROM {v_feeds} f
+_PLAN = """SELECT f.*, CAST(s.pos AS BIGINT) AS strategy_pos, CAST(s.strategy AS BIGINT) AS strategy, CAST(a.n AS BIGINT) AS attempt_no FROM {v_feeds} f
     JOIN (VALUES (0, true, 0, 0), (0, false, 0, 0), (1, true, 0, 1), (1, true, 1, 2), (2, true, 0, 2), (2, true, 1, 1),
                  (3, true, 0, 3), (1, false, 0, 1), (1, false, 1, 2), (2, false, 0, 1), (2, false, 1, 2), (3, false, 0, 1),
                  (3, false, 1, 2)) s(p, g, pos, strategy) ON f.fetchprotection = s.p AND f.ingest = s.g
@@ -33,7 +33,7 @@ def strategy_plan(spark: SparkSession, sf: str) -> DataFrame:
                CASE WHEN strategy = 2 AND host_header IS NOT NULL THEN concat('https://', host_header) END AS origin,
                CASE WHEN strategy = 2 AND host_header IS NOT NULL THEN concat('https://', host_header, '/') END AS referer,
                etag AS if_none_match, strftime(last_update, '%a, %d %b %Y %H:%M:%S GMT') AS if_modified_since,
-               4 + CASE WHEN strategy = 2 AND host_header IS NOT NULL THEN 3 ELSE 0 END
+               CAST(4 AS BIGINT) + CASE WHEN strategy = 2 AND host_header IS NOT NULL THEN 3 ELSE 0 END
                  + CASE WHEN etag IS NULL THEN 0 ELSE 1 END + CASE WHEN last_update IS NULL THEN 0 ELSE 1 END AS n_headers
         FROM ({_PLAN}) WHERE strategy <> 0""",
 )
@@ -82,7 +82,7 @@ def resolve_outcome(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _RESULTS = f"""
-    SELECT r.feed_id, status, CASE WHEN fetchprotection <> 0 THEN status_code END AS status_code,
+    SELECT r.feed_id, status, CAST(CASE WHEN fetchprotection <> 0 THEN status_code END AS BIGINT) AS status_code,
            CASE WHEN fetchprotection = 0 THEN 'Blocked by fetch protection'
                 WHEN chosen IS NULL THEN 'No fetch strategy available' WHEN status = 'error' THEN error END AS error_message,
            CASE WHEN status = 'error' THEN etag ELSE log_etag END AS new_etag,
