@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.functions.text import ascii_lower, let, one_line_detail, trim_ws, truncate_chars
-from newsflow.plans.scan import HOUR_US, running, time_segment
+from newsflow.plans.scan import HOUR_US, SEGMENT, running, time_segment
 
 # ---- fixed values -------------------------------------------------------------------------------
 PERSIST_INTERVAL_MS = 1_000
@@ -196,45 +196,122 @@ def throttle(
 ) -> DataFrame:
     """The updates that are emitted: forced ones, and others at least ``interval_ms`` after the last emission.
 
-    Whether an update is emitted depends on the emission before it, but a forced update, a worker's first
-    one, and one after a long enough gap are always emitted. They cut a worker into independent runs, and only
-    inside a run the rows are walked in order. Runs are spread by (worker, run) and streamed batch by batch
-    with one timestamp as state, so no run has to fit in memory.
+    Whether an update is emitted depends on the emission before it. A forced update, a worker's first one, and
+    one after a long enough gap are emitted whatever came before ("certain"). For the others a worker is cut
+    into time segments, also inside one endless run of updates:
+
+    1. every segment reports, for each update that can be its first emission, the last emission that follows
+       from it; only updates within one interval of the segment's start (or up to its first certain one) can be;
+    2. these short reports are chained per worker, which gives the last emission before every segment;
+    3. every segment is walked once from that time.
+
+    Steps 1 and 3 run per (worker, segment); step 2 sees a few rows per segment.
     """
-    us = F.unix_micros(F.col("ts"))
     step = interval_ms * 1000
     rows = running(
-        updates.withColumn("__us", us),
+        updates.withColumn("__us", F.unix_micros(F.col("ts"))),
         [worker],
         ORDER,
         time_segment(F.col("ts"), segment_us),
         previous={"__before": F.col("__us")},
     )
     certain = F.col("op").isin(FORCED_OPS) | F.col("__before").isNull() | (F.col("__us") - F.col("__before") >= step)
-    rows = rows.withColumn("__certain", certain)
-    rows = running(
-        rows,
-        [worker],
-        ORDER,
-        time_segment(F.col("ts"), segment_us),
-        last={"__run": F.when(F.col("__certain"), F.struct("__us", "event_id"))},
+    rows = rows.withColumns({"__certain": certain, SEGMENT: time_segment(F.col("ts"), segment_us)})
+    key = f"{worker} {updates.schema[worker].dataType.simpleString()}, {SEGMENT} bigint"
+    place = [worker, SEGMENT, "__us", "event_id"]
+
+    narrow = rows.select(*place, "__certain").repartition(worker, SEGMENT).sortWithinPartitions(*place)
+    reports = narrow.mapInPandas(
+        _first_emissions(worker, step, segment_us), f"{key}, entry_us bigint, certain boolean, last_us bigint"
     )
-    schema = updates.schema
-    walked = rows.repartition(worker, "__run").sortWithinPartitions(worker, "__run", *ORDER)
-    names = list(updates.columns)
+    ordered = reports.repartition(worker).sortWithinPartitions(worker, SEGMENT, "entry_us", "certain")
+    chained = ordered.mapInPandas(_chain_segments(worker, step), f"{key}, __last bigint")
+
+    joined = rows.join(chained, [worker, SEGMENT]).repartition(worker, SEGMENT).sortWithinPartitions(*place)
+    return joined.mapInPandas(_walk_segments(worker, step, list(updates.columns)), updates.schema)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = 0
+
+_NEVER = -(2**62)
+_Batches = Iterator[pd.DataFrame]
+
+
+def _first_emissions(worker: str, step: int, width: int) -> Callable[[_Batches], _Batches]:
+    def report(segment: int, times: list[int], certain: list[bool]) -> Iterator[tuple[int, bool, int]]:
+        n = far = sure = len(times)
+        last = [0] * n
+        for i in range(n - 1, -1, -1):
+            while far - 1 > i and times[far - 1] >= times[i] + step:
+                far -= 1
+            following = min(far, sure)
+            last[i] = times[i] if following == n else last[following]
+            if certain[i]:
+                sure = i
+        for i in range(n):
+            if certain[i] or i == 0 or times[i] != times[i - 1]:
+                yield times[i], certain[i], last[i]
+            if certain[i] or times[i] >= segment * width + step:
+                return
+
+    def run(batches: _Batches) -> _Batches:
+        current, times, certain = None, [], []
+
+        def finish() -> list[tuple]:
+            return [(*current, *r) for r in report(current[1], times, certain)] if current else []
+
+        def frame(out: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(out, columns=[worker, SEGMENT, "entry_us", "certain", "last_us"])
+
+        for batch in batches:
+            out = []
+            columns = (batch[c].tolist() for c in (worker, SEGMENT, "__us", "__certain"))
+            for who, segment, at, sure in zip(*columns, strict=True):
+                if current != (who, segment):
+                    out += finish()
+                    current, times, certain = (who, segment), [], []
+                times.append(at)
+                certain.append(sure)
+            if out:
+                yield frame(out)
+        if current:
+            yield frame(finish())
+
+    return run
+
+
+def _chain_segments(worker: str, step: int) -> Callable[[_Batches], _Batches]:
+    def run(batches: _Batches) -> _Batches:
+        current, last, decided = (None, None), _NEVER, False
+        for batch in batches:
+            out = []
+            columns = (batch[c].tolist() for c in (worker, SEGMENT, "entry_us", "certain", "last_us"))
+            for who, segment, entry, sure, after in zip(*columns, strict=True):
+                if current != (who, segment):
+                    last = last if current[0] == who else _NEVER
+                    current, decided = (who, segment), False
+                    out.append((who, segment, last))
+                if not decided and (sure or entry - last >= step):
+                    last, decided = after, True
+            yield pd.DataFrame(out, columns=[worker, SEGMENT, "__last"])
+
+    return run
+
+
+def _walk_segments(worker: str, step: int, names: list[str]) -> Callable[[_Batches], _Batches]:
+    def run(batches: _Batches) -> _Batches:
+        current, last = None, _NEVER
         for batch in batches:
             keep = []
-            for certain_row, at in zip(batch["__certain"].to_numpy(), batch["__us"].to_numpy(), strict=True):
-                emit = bool(certain_row) or at - last >= step
+            columns = (batch[c].tolist() for c in (worker, SEGMENT, "__us", "__certain", "__last"))
+            for who, segment, at, sure, before in zip(*columns, strict=True):
+                if current != (who, segment):
+                    current, last = (who, segment), before
+                emit = sure or at - last >= step
                 if emit:
                     last = at
                 keep.append(emit)
             yield batch.loc[keep, names]
 
-    return walked.mapInPandas(walk, schema)
+    return run
 
 
 def is_stale(last_updated_at: Column, now: Column) -> Column:

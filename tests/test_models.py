@@ -97,20 +97,19 @@ def test_rate_slots_equal_the_recurrence(spark):
     assert {r.event_id: r.slot_us for r in got.collect()} == expected
 
 
-@pytest.mark.parametrize("interval", [300, 1000])
-def test_throttle_equals_the_walk(spark, interval):
-    rng = random.Random(3)
-    rows = [
-        (f"w{hot_key(rng, 4)}", i, BASE + rng.randrange(0, 600_000_000), rng.choice(["transfer"] * 8 + ["error", "connected"]))
-        for i in range(3000)
-    ]
+@pytest.mark.parametrize(("interval", "span", "segment"), [(300, 600, 10), (1000, 600, 10), (1000, 60, 2), (3000, 60, 1), (1, 5, 1)])
+def test_throttle_equals_the_walk(spark, interval, span, segment):
+    """From sparse updates to one endless run, with intervals below and above the segment width."""
+    rng = random.Random(interval + span)
+    ops = ["transfer"] * 60 + ["error", "connected"]
+    rows = [(f"w{hot_key(rng, 4)}", i, BASE + rng.randrange(0, span * 1000) * 1000, rng.choice(ops)) for i in range(3000)]
     last, expected = {}, set()
     for worker, i, us, op in sorted(rows, key=lambda r: (r[2], r[1])):
         if worker not in last or op == "error" or us - last[worker] >= interval * 1000:
             last[worker] = us
             expected.add(i)
     df = at(spark.createDataFrame(rows, "worker string, event_id int, us bigint, op string"))
-    got = telemetry.throttle(df, interval_ms=interval, segment_us=10 * SECOND)
+    got = telemetry.throttle(df, interval_ms=interval, segment_us=segment * SECOND)
     assert {r.event_id for r in got.collect()} == expected
 
 
