@@ -20,11 +20,3 @@ def build_session(app_name: str = "newsflow", **extra: str) -> SparkSession:
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The folder named by spark.checkpoint.dir; ``fallback`` is used only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if folder and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder

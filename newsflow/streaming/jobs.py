@@ -55,8 +55,10 @@ class RateSlots(StatefulProcessor):
         self.next_slot = handle.getValueState("next_slot", "us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        frame = pd.concat(list(rows)).sort_values(["arrival_us", "event_id"], kind="stable")
-        arrivals = frame["arrival_us"].to_numpy("int64")
+        batches = list(rows)
+        arrivals, events = (np.concatenate([b[c].to_numpy("int64") for b in batches]) for c in ("arrival_us", "event_id"))
+        order = np.lexsort((events, arrivals))
+        arrivals, events = arrivals[order], events[order]
         state = self.next_slot.get()
         steps = np.arange(len(arrivals), dtype="int64") * self.step_us
         lag = arrivals - steps
@@ -64,9 +66,7 @@ class RateSlots(StatefulProcessor):
             lag[0] = max(lag[0], state[0])
         slots = steps + np.maximum.accumulate(lag)
         self.next_slot.update((int(slots[-1]) + self.step_us,))
-        yield pd.DataFrame(
-            {"host_key": key[0], "event_id": frame["event_id"].to_numpy(), "arrival_us": arrivals, "slot_us": slots}
-        )
+        yield pd.DataFrame({"host_key": key[0], "event_id": events, "arrival_us": arrivals, "slot_us": slots})
 
     def close(self) -> None:
         pass
@@ -124,6 +124,19 @@ def apply_update(snapshot: dict, row: dict) -> dict:
     return new
 
 
+_UPDATE = ["us", "event_id", "op", "bytes_received", "error", "feed_id"]
+
+
+def _updates(batches: Iterator[pd.DataFrame]) -> list[dict]:
+    """The updates of one key in this micro-batch, in event order."""
+    rows = []
+    for batch in batches:
+        rows += [dict(zip(_UPDATE, row, strict=True)) for row in zip(*(batch[c].tolist() for c in _UPDATE), strict=True)]
+    for row in rows:
+        row["feed_id"] = None if row["feed_id"] != row["feed_id"] else row["feed_id"]
+    return sorted(rows, key=lambda r: (r["us"], r["event_id"]))
+
+
 class StatusFold(StatefulProcessor):
     """Snapshot of one worker; emits when forced or due, and once more when its event-time timer fires."""
 
@@ -140,9 +153,9 @@ class StatusFold(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         held = self.state.get()
         snapshot, emitted, dirty = (json.loads(held[0]), held[1], held[2]) if held is not None else (_START, None, False)
-        batch = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable").drop(columns="ts")
+        had_timer = dirty
         out = []
-        for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+        for row in _updates(rows):
             snapshot = apply_update(snapshot, row)
             due = emitted is None or row["op"] in FORCED_OPS or row["us"] - emitted >= self.interval_us
             dirty = not due
@@ -152,8 +165,9 @@ class StatusFold(StatefulProcessor):
         if out:
             yield _frame(out)
         self.state.update((json.dumps(snapshot), emitted, dirty))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if had_timer:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         if dirty:
             self.handle.registerTimer((emitted + self.interval_us) // 1000)
 
