@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -18,17 +19,32 @@ from newsflow.sources import readers, sinks
 DIMENSIONS = 64
 
 
-def byte_histogram_model() -> Callable[[np.ndarray], np.ndarray]:
-    """A stand-in model: share of each byte value modulo 16 in the text. Real models plug in the same way."""
+LETTERS = " etaoinsrhldcumf"
+
+
+def letter_share_model() -> Callable[[np.ndarray], np.ndarray]:
+    """A stand-in model: share of each of 16 characters in the text. Real models plug in the same way."""
 
     def predict(texts: np.ndarray) -> np.ndarray:
-        rows = [np.bincount(np.frombuffer(t.encode(), dtype=np.uint8) % 16, minlength=16) for t in texts]
-        counts = np.asarray(rows, dtype=np.float32)
-        return counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+        return np.asarray([[t.count(c) / max(len(t), 1) for c in LETTERS] for t in texts])
 
     return predict
 
 
+def vector_rows(vectors: DataFrame) -> DataFrame:
+    """id, dim, value: one row per vector element."""
+    rows = vectors.select("id", F.posexplode("embedding").alias("dim", "value"))
+    return rows.select("id", big("dim"), F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+def share_sql(text: str) -> str:
+    """The stand-in model as SQL over a subquery (id, t)."""
+    letters = ", ".join(f"({i}, '{c}')" for i, c in enumerate(LETTERS))
+    share = "CAST(length(t) - length(replace(t, c, '')) AS DOUBLE) / greatest(length(t), 1)"
+    return f"""SELECT id, CAST(dim AS BIGINT) AS dim, round(CAST(CAST({share} AS FLOAT) AS DOUBLE), 6) AS value
+               FROM ({text}), (VALUES {letters}) l(dim, c)"""
+
+
 def passages(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as embedding sources: first line words as title, text as summary for most."""
     [documents] = load(spark, sf, "documents")
@@ -40,12 +56,13 @@ def passages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "f1_passage_text",
-    r"""SELECT doc_id AS id, concat('passage: title: ', source, ' ', lang,
-               CASE WHEN doc_id % 5 > 1 THEN concat(' | summary: ', trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))) ELSE '' END) AS passage
-        FROM {documents}""",
-)
+PASSAGE_SQL = r"""
+    SELECT doc_id AS id, concat('passage: title: ', source, ' ', lang,
+           CASE WHEN doc_id % 5 > 1 THEN concat(' | summary: ', trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))) ELSE '' END) AS passage
+    FROM {documents}"""
+
+
+@query("f1_passage_text", PASSAGE_SQL)
 def passage_text(spark: SparkSession, sf: str) -> DataFrame:
     return embed.with_passage(passages(spark, sf)).select("id", "passage")
 
@@ -60,10 +77,9 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return embed.with_chunks(turns, 3, ["conv_id"], "turn").select("conv_id", "turn", "chunk")
 
 
-@query("f3_embed")
+@query("f3_embed", share_sql(f"SELECT id, passage AS t FROM ({PASSAGE_SQL})"))
 def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
-    rows = embed.embed(embed.with_passage(passages(spark, sf)), byte_histogram_model, 64)
-    return rows.select("id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+    return vector_rows(embed.embed(embed.with_passage(passages(spark, sf)), letter_share_model, 64))
 
 
 _WORDS = "list_transform(string_split(text, ' '), lambda w: length(w))"
@@ -169,15 +185,48 @@ def pair_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- integrity ----------------------------------------------------------------------------------
-@query("g1_canonical_payload")
+def json_string_sql(text: str) -> str:
+    """A JSON string of ASCII characters only."""
+    code = "unicode(c)"
+    pair = f"format('\\u{{:04x}}\\u{{:04x}}', 55296 + (({code} - 65536) >> 10), 56320 + (({code} - 65536) & 1023))"
+    escaped = (
+        f"CASE c WHEN '\"' THEN '\\\"' WHEN '\\' THEN '\\\\' WHEN chr(10) THEN '\\n' WHEN chr(13) THEN '\\r' WHEN chr(9) THEN '\\t' "
+        f"WHEN chr(8) THEN '\\b' WHEN chr(12) THEN '\\f' ELSE CASE WHEN {code} BETWEEN 32 AND 127 THEN c "
+        f"WHEN {code} < 65536 THEN format('\\u{{:04x}}', {code}) ELSE {pair} END END"
+    )
+    return f"concat('\"', array_to_string(list_transform(string_split({text}, ''), lambda c: {escaped}), ''), '\"')"
+
+
+@query(
+    "g1_canonical_payload",
+    f"""SELECT doc_id, concat('{{"doc_id":', doc_id, ',"from":{{"lang":', {json_string_sql("lang")}, ',"source":', {json_string_sql("source")},
+                              '}},"share":', CASE WHEN doc_id % 2 = 0 THEN '1e-07' ELSE '0.25' END, ',"text":', {json_string_sql("text")}, '}}') AS canonical
+        FROM {{documents}}""",
+)
 def canonical_payload(spark: SparkSession, sf: str) -> DataFrame:
     [documents] = load(spark, sf, "documents")
-    body = F.to_json(F.struct("text", "doc_id", (F.col("n_chars") / 1e9).alias("share"), F.struct("source", "lang").alias("from")))
+    share = F.when(F.col("doc_id") % 2 == 0, F.lit(1e-7)).otherwise(F.lit(0.25))
+    body = F.to_json(F.struct("text", "doc_id", share.alias("share"), F.struct("source", "lang").alias("from")))
     rows = integrity.with_canonical(documents.select("doc_id", body.alias("payload")), mode=EXPONENT_SIGN)
     return rows.select("doc_id", "canonical")
 
 
-@query("g2_signatures")
+API_KEY = "secret-api-key"
+
+
+def _signed_sql() -> str:
+    """The signature with HMAC written out: the pads of the constant key are literals."""
+    key = hashlib.sha256(API_KEY.encode()).hexdigest().encode()
+    inner, outer = (bytes(k ^ pad for k in key).hex() for pad in (0x36, 0x5C))
+    head = """concat('{"lease_id":"lease-', doc_id, '","nonce":"', md5(CAST(doc_id AS VARCHAR)), '","result_payload":{"n_chars":', n_chars, ',"text":', """
+    head += json_string_sql("text") + """, '},"session_id":"s1"')"""
+    tail = """concat(',"signed_at":"2024-01-01T00:00:00Z","task_type":"embed.source","trace_id":"', doc_id, '","worker_version":null}')"""
+    return f"""SELECT doc_id, signature, concat(head, ',"signature":"', signature, '"', tail) AS request_body FROM (
+        SELECT *, sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode(concat(head, tail))))) AS signature
+        FROM (SELECT doc_id, {head} AS head, {tail} AS tail FROM {{documents}}))"""
+
+
+@query("g2_signatures", _signed_sql())
 def signatures(spark: SparkSession, sf: str) -> DataFrame:
     [documents] = load(spark, sf, "documents")
     n = F.col("doc_id").cast("string")
@@ -187,7 +236,7 @@ def signatures(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("2024-01-01T00:00:00Z").alias("signed_at"), F.md5(n).alias("nonce"),
         F.to_json(F.struct("text", "n_chars")).alias("result_payload"),
     )
-    signed = integrity.sign_payloads(rows, F.lit("secret-api-key"), mode=EXPONENT_SIGN)
+    signed = integrity.sign_payloads(rows, F.lit(API_KEY), mode=EXPONENT_SIGN)
     return signed.select("doc_id", "signature", "request_body")
 
 

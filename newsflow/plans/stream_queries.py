@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.plans.embed_queries import byte_histogram_model
+from newsflow.plans.embed_queries import letter_share_model, share_sql, vector_rows
 from newsflow.plans.feed_queries import ASSEMBLED_SQL
 from newsflow.plans.inputs import VIEWS, load
 from newsflow.plans.registry import ORACLES, joined, query, us
@@ -85,7 +85,13 @@ def stream_status(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(~F.col("flush")).select(F.col("worker").cast("bigint").alias("worker"), "event_id")
 
 
-@query("s4_stream_embeddings")
+@query(
+    "s4_stream_embeddings",
+    share_sql(
+        r"""SELECT doc_id AS id, concat('passage: title: ', source, ' | summary: ', trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))) AS t
+            FROM {documents}"""
+    ),
+)
 def stream_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     folder = run_folder(spark)
     documents = stream_table(spark, sf, "documents")
@@ -94,9 +100,8 @@ def stream_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.select("id", "embedding").write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    jobs.stream_embeddings(sources, byte_histogram_model, write, f"{folder}/checkpoint", 64, None).start().awaitTermination()
-    rows = spark.read.parquet(f"{folder}/out")
-    return rows.select("id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+    jobs.stream_embeddings(sources, letter_share_model, write, f"{folder}/checkpoint", 64, None).start().awaitTermination()
+    return vector_rows(spark.read.parquet(f"{folder}/out"))
 
 
 @query(

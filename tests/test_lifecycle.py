@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from newsflow.plans import lifecycle
-from newsflow.plans.embed_queries import byte_histogram_model
+from newsflow.plans.embed_queries import letter_share_model
 from test_io import ATOM, RSS
 
 LOG = (
@@ -70,7 +70,7 @@ def test_embedding_task(spark):
     sources = [{"id": 7, "title": " A\n b ", "summary": None, "url": "u"}, {"id": 5, "title": "c", "summary": " d ", "url": "v"}]
     payload = {"job_id": "j", "worker_version": "1", "sources": sources}
     leases = spark.createDataFrame([(1, 2, "l", "s", "t", "embed.source", "1", json.dumps(payload))], LEASE)
-    vectors, documents = lifecycle.embedding_tasks(leases, byte_histogram_model, 1)
+    vectors, documents = lifecycle.embedding_tasks(leases, letter_share_model, 1)
     assert sorted((r.source_pos, r.id, len(r.embedding)) for r in vectors.collect()) == [(0, 7, 16), (1, 5, 16)]
     signed = lifecycle.sign_documents(documents, leases, F.lit("key"), F.lit("t"), F.lit("n"), embedding=True).first()
     assert [s["id"] for s in json.loads(signed.request_body)["result_payload"]["sources"]] == [7, 5]

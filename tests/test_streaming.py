@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from newsflow.operators import embed, entries, fetch
-from newsflow.plans.embed_queries import byte_histogram_model
+from newsflow.plans.embed_queries import letter_share_model
 from newsflow.plans.stream_queries import drain
 from newsflow.streaming import jobs
 
@@ -107,7 +107,7 @@ def test_embedding_stream(spark, tmp_path):
         batch.select("event_id", "embedding").write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
 
     stream = file_stream(spark, df, tmp_path, 2)
-    jobs.stream_embeddings(stream, byte_histogram_model, write, f"{tmp_path}/cp", 8, None).start().awaitTermination()
+    jobs.stream_embeddings(stream, letter_share_model, write, f"{tmp_path}/cp", 8, None).start().awaitTermination()
     got = {r.event_id: r.embedding for r in spark.read.parquet(seen).collect()}
-    expected = embed.embed(embed.with_passage(df), byte_histogram_model, 8).collect()
+    expected = embed.embed(embed.with_passage(df), letter_share_model, 8).collect()
     assert got == {r.event_id: r.embedding for r in expected}
