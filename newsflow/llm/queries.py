@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from newsflow.llm import html_blocks, sharding, vptree
+from newsflow.llm import dart_minhash, html_blocks, sharding, substrings, toxicity, vptree
 
 QUERIES = {
+    "op1_ordinal_toxicity": toxicity.query,
     "op3_html_blocks": html_blocks.query,
+    "op4_seed_extend": substrings.query,
+    "op5_dart_minhash": dart_minhash.query,
     "op6_vp_tree": vptree.query,
     "op10_bounded_ring": sharding.query,
 }
