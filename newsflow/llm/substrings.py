@@ -34,40 +34,20 @@ PART_BITS = 32_768  # of one row of Spark's bitmap functions
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-class Powers:
-    """Powers of the base and of its inverse, as far as needed so far."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, U64)
-
-    def grow(self, n: int) -> None:
-        if n > len(self.up):
-            size = max(n, 2 * len(self.up))
-            inverse = pow(BASE, -1, 2**64)
-            with np.errstate(over="ignore"):
-                for name, base in (("up", BASE), ("down", inverse)):
-                    powers = np.full(size, U64(base))
-                    powers[0] = 1
-                    setattr(self, name, np.cumprod(powers, dtype=U64))
-
-
 class Hasher:
     """Hashes of any stretch of a document's words."""
 
     def __init__(self):
-        self.words, self.powers = common.WordHashes(seed=20), Powers()
+        self.powers = common.Powers(BASE)
 
-    def load(self, words: list[bytes]) -> int:
-        n = len(words)
-        self.powers.grow(n + 1)
-        with np.errstate(over="ignore"):
-            self.sums = np.zeros(n + 1, U64)
-            np.cumsum(self.words(words) * self.powers.up[:n], out=self.sums[1:])
-        return n
+    def load(self, text: str) -> int:
+        """Take a text; returns its number of words."""
+        words = common.word_hashes(text.encode())
+        self.sums = self.powers.sums(words)
+        return len(words)
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return common.mix((self.sums[start + length] - self.sums[start]) * self.powers.down[start])
+        return self.powers.stretch(self.sums, start, start + length)
 
     def anchors(self, n_words: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all anchors-to-be and, for every window, the place of its anchor (the leftmost least hash)."""
@@ -130,10 +110,10 @@ def anchor_hashes(docs: DataFrame) -> DataFrame:
 
         def work(batch):
             out = []
-            for text in batch.column(0).to_pylist():
-                words = text.encode().split()
-                if len(words) >= WINDOW:
-                    out.append(hasher.runs(hasher.load(words))[0])
+            for text in batch.column(0):
+                n_words = hasher.load(text.as_py())
+                if n_words >= WINDOW:
+                    out.append(hasher.runs(n_words)[0])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["anchor"])
 
@@ -152,15 +132,15 @@ def occurrences(docs: DataFrame, seeds: np.ndarray) -> DataFrame:
 
         def work(batch):
             parts = [[] for _ in names]
-            for doc, crc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words = text.encode().split()
-                if len(words) < WINDOW:
+            for doc, crc, text in zip(*batch.columns):
+                n_words = hasher.load(text.as_py())
+                if n_words < WINDOW:
                     continue
-                anchor, run, start, n = hasher.runs(hasher.load(words))
+                anchor, run, start, n = hasher.runs(n_words)
                 ok = has(bits, anchor)
                 count = int(ok.sum())
                 if count:
-                    row = (anchor[ok].view(np.int64), run[ok].view(np.int64), np.full(count, doc), np.full(count, crc))
+                    row = (anchor[ok].view(np.int64), run[ok].view(np.int64), np.full(count, doc.as_py()), np.full(count, crc.as_py()))
                     for p, v in zip(parts, (*row, start[ok].astype(np.int32), n[ok].astype(np.int32))):
                         p.append(v)
             if parts[0]:
@@ -199,12 +179,13 @@ def window_hashes(spans: DataFrame) -> DataFrame:
 
         def work(batch):
             parts = [[] for _ in names]
-            for doc, crc, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
-                hasher.load(text.encode().split())
+            for doc, crc, text, runs in zip(*batch.columns):
+                hasher.load(text.as_py())
+                runs = runs.as_py()
                 n = np.array([r["n"] for r in runs])
                 start = np.repeat([r["start"] for r in runs], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 anchor = np.repeat(np.array([r["anchor"] for r in runs], np.int64), n)
-                row = (anchor, hasher.of(start, WINDOW).view(np.int64), np.full(len(start), doc), np.full(len(start), crc))
+                row = (anchor, hasher.of(start, WINDOW).view(np.int64), np.full(len(start), doc.as_py()), np.full(len(start), crc.as_py()))
                 for p, v in zip(parts, (*row, start.astype(np.int32))):
                     p.append(v)
             if parts[0]:
@@ -215,27 +196,33 @@ def window_hashes(spans: DataFrame) -> DataFrame:
     return mapped(spans, make, "anchor bigint, window bigint, doc bigint, crc bigint, start int")
 
 
-def later(rows: DataFrame, *content: str) -> DataFrame:
+def order() -> Column:
+    return F.struct("doc", "crc", "start")
+
+
+def later(rows: DataFrame, firsts: DataFrame, *content: str) -> DataFrame:
     """The rows that are not the first of their content, in order of (doc, crc, start)."""
-    order = F.struct("doc", "crc", "start")
-    firsts = rows.groupBy(*content).agg(F.count("*").alias("_n"), F.min(order).alias("_first")).where("_n > 1")
-    return rows.join(firsts, list(content)).where(order != F.col("_first")).drop("_n", "_first")
+    return rows.join(firsts.where("_n > 1").select(*content, "_first"), list(content)).where(order() != F.col("_first"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc, crc, spans): per document the starts and lengths in words of all windows that occur earlier."""
     seeds = anchor_hashes(docs).groupBy("anchor").count().where("count > 1").select("anchor")
     found = common.store(occurrences(docs, bitmap(seeds, "anchor")))
-    whole = later(found, "anchor", "run").select("doc", "crc", "start", (F.col("n") + WINDOW - 1).alias("length"))
-    order = F.struct("doc", "crc", "start", "n")
-    kinds = common.store(found.groupBy("anchor", "run").agg(F.min(order).alias("first")))
+    kinds = common.store(
+        found.groupBy("anchor", "run").agg(F.count("*").alias("_n"), F.min(order()).alias("_first"), F.min("n").alias("n"))
+    )
+    whole = later(found, kinds, "anchor", "run").select("doc", "crc", "start", (F.col("n") + WINDOW - 1).alias("length"))
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    edges = common.store(kinds.join(mixed, "anchor").select("anchor", "first.*"))
+    edges = common.store(kinds.join(mixed, "anchor").select("anchor", "_first.*", "n"))
     spans = edges.groupBy("doc", "crc").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
     texts = only(docs, edges, True).join(spans, ["doc", "crc"]).select("doc", "crc", "text", "runs")
-    single = later(window_hashes(texts).distinct(), "anchor", "window")
-    parts = whole.unionAll(single.select("doc", "crc", "start", F.lit(WINDOW).alias("length"))).distinct()
-    return common.store(parts.groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "length")).alias("spans")))
+    windows = common.store(window_hashes(texts))
+    firsts = windows.groupBy("anchor", "window").agg(F.count("*").alias("_n"), F.min(order()).alias("_first"))
+    single = later(windows, firsts, "anchor", "window").select("doc", "crc", "start", F.lit(WINDOW).alias("length"))
+    return common.store(
+        whole.unionAll(single).groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    )
 
 
 def covered(n_words: int, spans) -> np.ndarray:
