@@ -18,7 +18,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         links.select(F.col(a).alias("u"), F.col(b).alias("v"))
         .unionAll(links.select(F.col(b).alias("u"), F.col(a).alias("v")))
         .where(F.col("u") != F.col("v"))
-        .distinct()
     )
     labels = common.store(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "node"))
     while True:

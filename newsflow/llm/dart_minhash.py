@@ -6,9 +6,10 @@ weight`` of the ranks are looked at, so a long text costs no more darts than a s
 of the ``bands * rows`` coordinates is the signature; two documents agree in a coordinate with the probability of
 their weighted Jaccard similarity.
 
-Documents that agree in a whole band share a bucket. A bucket is not expanded into pairs: one member at a time is
-compared with those not yet known to be in its class and then leaves, until all that remain are of one class. Every pair
-of a bucket is thus compared or joined already, and a group of thousands of copies costs a comparison for each.
+Documents that agree in a whole band share a bucket. A bucket is not expanded into pairs: one member is compared with
+all others, then a few more with those not yet known to be in their class, and at last the members outside the largest
+class with all others. Every pair of a bucket is thus compared or joined already, and a group of thousands of copies
+costs a few comparisons for each.
 """
 
 from __future__ import annotations
@@ -33,12 +34,12 @@ BASE = 0x9E3779B97F4A7C15
 CHUNK_WORDS = 400_000  # words handled together in a task
 
 
-def shingles(text: str | None, hashes: common.WordHashes) -> np.ndarray:
+def shingles(text: str | None) -> np.ndarray:
     """Hashes of all runs of five words; a shorter text is one shingle, an empty one has none."""
-    words = (text or "").split()
-    if not words:
+    words = common.word_hashes((text or "").encode())
+    if not len(words):
         return np.empty(0, U64)
-    return common.rolling(hashes(words), min(WORDS, len(words)), BASE)
+    return common.rolling(words, min(WORDS, len(words)), BASE)
 
 
 def weighted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,11 +155,10 @@ def bands_of(texts: DataFrame, bands: int, rows: int) -> DataFrame:
     """(rid, band): band keys of every text that has words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = common.WordHashes()
         for batch in batches:
             ids, parts, held = [], [], 0
             for i, (rid, text) in enumerate(zip(batch["rid"], batch["text"])):
-                own = shingles(text, hashes)
+                own = shingles(text)
                 if len(own):
                     ids.append(rid)
                     parts.append(own)
@@ -183,18 +183,42 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, last, own = common.WordHashes(), None, None
+        last, own = None, None
         for batch in batches:
             keep = []
             for a, x, y in zip(batch["a"], batch["text_a"], batch["text_b"]):
                 if last is None or a != last:
-                    last, own = a, shingles(x, hashes)
-                keep.append(similarity(own, shingles(y, hashes)) >= least)
+                    last, own = a, shingles(x)
+                keep.append(similarity(own, shingles(y)) >= least)
             yield batch.loc[keep, ["a", "b"]]
 
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary")
 
 
+def next_turn(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """What remains of the buckets that still hold several classes, with the members to be compared next.
+
+    Second come 15 members by lot. From then on all members outside the bucket's largest class are compared with all
+    others, after which no bucket holds a pair that is neither compared nor joined.
+    """
+    now = members.select("band", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left")
+    now = now.select(
+        "band", "rid", F.coalesce("root", "rid").alias("root"), F.coalesce("size", F.lit(1)).alias("size"), F.xxhash64("rid").alias("luck")
+    )
+    buckets = now.groupBy("band").agg(
+        F.count("*").alias("n"),
+        F.min("luck").alias("least"),
+        F.min(F.xxhash64("root")).alias("r0"),
+        F.max(F.xxhash64("root")).alias("r1"),
+        F.max(F.struct("size", "root")).alias("top"),
+    )
+    if turn == 1:
+        pivot = (F.col("luck") == F.col("least")) | ((F.col("luck") / 2.0**64 + 0.5) * F.col("n") < 15)
+    else:
+        pivot = F.col("root") != F.col("top.root")
+    return now.join(buckets.where("r0 != r1"), "band").select("band", "rid", "root", pivot.alias("pivot"))
+
+
 def digest(text: str) -> Column:
     """128 bits that stand for a text."""
     return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32))
@@ -221,50 +245,36 @@ def classes(
     docs = docs.withColumn("rid", digest("text"))
     ids, texts = docs.select("id", "rid"), docs.select("rid", "text")
     firsts = ids.groupBy("rid").agg(F.min("id").alias("first"))
-    signed = common.store(bands_of(texts, bands, rows))
-    spread = signed.groupBy("band").agg(F.min(F.xxhash64("rid")).alias("l0"), F.max(F.xxhash64("rid")).alias("l1"))
-    members = common.store(signed.join(spread.where("l0 != l1").select("band"), "band").distinct())
+    signed = common.store(bands_of(texts, bands, rows).withColumn("luck", F.xxhash64("rid")))
+    spread = signed.groupBy("band").agg(F.min("luck").alias("l0"), F.max("luck").alias("l1"))
+    members = common.store(
+        signed.join(spread.where("l0 != l1").select("band", "l0"), "band")
+        .select("band", "rid", F.col("rid").alias("root"), (F.col("luck") == F.col("l0")).alias("pivot"))
+        .distinct()
+    )
     near = texts.join(members.select("rid").distinct(), "rid", "left_semi")
     texts = common.store(near.groupBy("rid").agg(F.first("text").alias("text")))
-    roots = None  # (node, root): classes known so far; a text that is not in it is its own
-    turn = 0
-    while True:
-        now = members.withColumn("root", F.col("rid"))
-        if roots is not None:
-            now = members.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select(
-                "band", "rid", F.coalesce("root", "rid").alias("root")
-            )
-        now = now.withColumn("luck", F.xxhash64("rid"))
-        buckets = now.groupBy("band").agg(
-            F.count("*").alias("n"), F.min("luck").alias("least"), F.min("root").alias("r0"), F.max("root").alias("r1")
-        )
-        # The next to be compared: one at first, then ever more of what remains.
-        share = (F.col("luck") / 2.0**64 + 0.5) * F.col("n") < (4.0**turn - 1)
-        pivot = (F.col("luck") == F.col("least")) | (share if turn else F.lit(False))
-        now = common.store(
-            now.join(buckets.where(F.col("r0") != F.col("r1")).drop("r0", "r1"), "band").select(
-                "band", "rid", "root", pivot.alias("pivot")
-            )
-        )
-        if not now.limit(1).count():
-            break
-        pivots = now.where("pivot").select("band", F.col("rid").alias("a"), F.col("root").alias("ra"))
+    roots, turn = None, 0  # (node, root, size) of the classes known so far; a text that is not in it is its own
+    while members.limit(1).count():
+        pivots = members.where("pivot").select("band", F.col("rid").alias("a"), F.col("root").alias("ra"))
         pairs = (
-            now.join(pivots, "band")
+            members.join(pivots, "band")
             .where(F.col("root") != F.col("ra"))
             .select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b"))
             .distinct()
         )
-        links = common.store(verified(pairs, texts, least))
+        links = verified(pairs, texts, least)
         if roots is not None:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = components(links)
-        members = now.where(~F.col("pivot")).select("band", "rid")
+        found = components(links)
+        sizes = found.groupBy("root").agg(F.count("*").alias("size"))
+        roots = common.store(found.join(sizes, "root").select("node", "root", "size"))
         turn += 1
+        members = common.store(next_turn(members.where(~F.col("pivot")), roots, turn))
     if roots is None:
         known = firsts.withColumn("root", F.col("rid"))
     else:
-        known = firsts.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select(
+        known = firsts.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").select(
             "rid", "first", F.coalesce("root", "rid").alias("root")
         )
     lowest = F.struct(F.col("first").isNull(), "first", "rid")
