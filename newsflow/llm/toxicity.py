@@ -66,7 +66,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -500, 500)))
 
 
-def fit(rows: list[list[tuple[int, int]]], grades: np.ndarray, n_features: int, l2: float = 1e-3, steps: int = 400):
+def fit(rows: list[list[tuple[int, int]]], grades: np.ndarray, n_features: int, l2: float = 1e-3, steps: int = 800):
     """Weights and thresholds of the proportional-odds model, by accelerated gradient descent.
 
     ``rows`` holds (feature, count) pairs; ``grades`` are 0 to K - 1. The loss is that of the K - 1 binary questions
@@ -85,7 +85,7 @@ def fit(rows: list[list[tuple[int, int]]], grades: np.ndarray, n_features: int,
     w, raw = np.zeros(n_features), np.zeros(levels)
     w_old, raw_old = w, raw
     norm = max(1.0, np.bincount(row, val * val, len(rows)).max(initial=1.0))
-    rate = 16.0 / norm
+    rate = 3.0 / (norm + levels + 1)
     for step in range(steps):
         momentum = step / (step + 3)
         yw, yr = w + momentum * (w - w_old), raw + momentum * (raw - raw_old)
