@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
-from newsflow.llm import dart_minhash, html_blocks, sharding, substrings, toxicity, vptree
+from newsflow.llm import (
+    dart_minhash,
+    decontamination,
+    html_blocks,
+    pieces,
+    quality,
+    sharding,
+    substrings,
+    token_files,
+    toxicity,
+    vptree,
+)
 
 QUERIES = {
     "op1_ordinal_toxicity": toxicity.query,
+    "op2_repair_tokens": token_files.query,
     "op3_html_blocks": html_blocks.query,
     "op4_seed_extend": substrings.query,
     "op5_dart_minhash": dart_minhash.query,
     "op6_vp_tree": vptree.query,
+    "op7_neighbour_quality": quality.query,
+    "op8_piece_transducer": pieces.query,
+    "op9_decontamination": decontamination.query,
     "op10_bounded_ring": sharding.query,
 }
 # Tested against brute force instead: no SQL states these results at the size of whole tables.
