@@ -67,11 +67,25 @@ def looks_like_image(c: Column) -> Column:
 
 
 def host_of(c: Column) -> Column:
-    """Lower-case host of a URL or bare host; NULL when there is none."""
-    host = F.regexp_extract(
-        trim_ws(c), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://)?(?:[^/?#\\@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#\\:@\s]+)", 1
+    """Lower-case host of a URL or bare host, percent signs decoded and in ASCII form; NULL when there is none.
+
+    The whole text must be a URL or a host with an optional port, and the host free of characters no host holds.
+    """
+    found = F.regexp_extract(
+        trim_ws(c),
+        r"^(?![A-Za-z][A-Za-z0-9+.\-]*://(?:[/?#]|$))(?:[A-Za-z][A-Za-z0-9+.\-]*://)?(?:[^/?#\\@\s]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#\\:@\s\[\]]+)(?::[0-9]*)?(?:[/?#\\].*)?$",
+        1,
     )
-    return non_empty_text(F.lower(host))
+
+    def ascii_form(host: Column) -> Column:
+        plain = F.rlike(host, F.lit(r"^[\x21-\x7e]+$"))
+        return F.when(plain, host).otherwise(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host))
+
+    def checked(host: Column) -> Column:
+        return F.when(~F.rlike(host, F.lit(r"[\x00-\x20#%/<>?@\\^|]")), F.lower(host))
+
+    decoded = F.when(F.contains(found, F.lit("%")), F.try_url_decode(F.replace(found, F.lit("+"), F.lit("%2B")))).otherwise(found)
+    return non_empty_text(let(let(decoded, ascii_form), checked))
 
 
 def truncate_chars(c: Column, limit: int) -> Column:

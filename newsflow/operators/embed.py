@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.ml.functions import predict_batch_udf
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
 
 from newsflow.functions.text import collapse_ws, non_empty_text
 from newsflow.plans.scan import position_segment, running
@@ -49,19 +48,41 @@ def embed(
     batch_size: int = 32,
     text: str = "passage",
     out: str = "embedding",
+    error: str | None = None,
 ) -> DataFrame:
     """Vectors of a text column from a pluggable model.
 
     ``make_model`` runs once per Python worker and returns a function from a batch of texts to a 2-D array.
-    Spark decides the partitions; rows need no shuffle.
+    Spark decides the partitions; rows need no shuffle. With ``error`` a batch on which the model fails gets NULL vectors
+    and the message in that column, and the others go on; without it the failure ends the job.
     """
+    size = max(batch_size, 1)
 
-    def make_predict() -> Callable[[np.ndarray], np.ndarray]:
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = make_model()
-        return lambda texts: np.asarray(model(texts), dtype=np.float32)
-
-    predict = predict_batch_udf(make_predict, return_type=ArrayType(FloatType()), batch_size=max(batch_size, 1))
-    return sources.withColumn(out, predict(F.col(text)))
+        for batch in batches:
+            vectors: list = []
+            messages: list = []
+            for at in range(0, len(batch), size):
+                texts = batch.iloc[at : at + size].to_numpy()
+                try:
+                    made = np.asarray(model(texts), dtype=np.float32)
+                    if len(made) != len(texts):
+                        raise ValueError(f"{len(made)} vectors for {len(texts)} texts")
+                    vectors += list(made)
+                    messages += [None] * len(texts)
+                except Exception as failure:  # noqa: BLE001  whatever the model raises belongs to its batch
+                    if error is None:
+                        raise
+                    vectors += [None] * len(texts)
+                    messages += [str(failure)] * len(texts)
+            yield pd.DataFrame({"v": vectors, "e": messages})
+
+    # Taken for non-deterministic so that the optimizer never computes it twice.
+    run = F.pandas_udf(predict, "v array<float>, e string").asNondeterministic()
+    rows = sources.withColumn("__made", run(F.col(text)))
+    columns = {out: F.col("__made.v")} | ({error: F.col("__made.e")} if error else {})
+    return rows.withColumns(columns).drop("__made")
 
 
 def pad_batches(
@@ -100,11 +121,15 @@ def mean_pool(
 ) -> DataFrame:
     """Mean of a document's token vectors where the mask is positive; no live token gives the zero vector.
 
-    One sum per dimension in a single groupBy: partial sums leave each input partition as one row per
-    document, so neither long documents nor wide vectors multiply rows.
+    A live vector of another size than ``dimensions`` ends the job. One sum per dimension in a single groupBy: partial
+    sums leave each input partition as one row per document, so neither long documents nor wide vectors multiply rows.
     """
     live = F.col(mask) > 0
-    sums = [F.sum(F.when(live, F.get(F.col(vector), F.lit(i)).cast("double"))).alias(f"__d{i}") for i in range(dimensions)]
+    size = F.coalesce(F.size(vector), F.lit(0))
+    wrong = F.raise_error(F.format_string("token vector of size %d, expected %d", size, F.lit(dimensions)))
+    fitting = F.when(size == dimensions, F.col(vector)).otherwise(wrong.cast(states.schema[vector].dataType))
+    states = states.withColumn(vector, F.when(live, fitting))
+    sums = [F.sum(F.get(F.col(vector), F.lit(i)).cast("double")).alias(f"__d{i}") for i in range(dimensions)]
     pooled = states.groupBy(*doc).agg(F.count_if(live).alias("tokens"), *sums)
     values = [F.when(F.col("tokens") > 0, F.col(f"__d{i}") / F.col("tokens")).otherwise(F.lit(0.0)) for i in range(dimensions)]
     return pooled.select(*doc, "tokens", F.array(*values).alias(out))

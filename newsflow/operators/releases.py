@@ -14,7 +14,7 @@ VERSION_IN_NAME = r"(?U)(\d+\.\d+\.\d+)"
 SEMVER = (
     r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)"
     r"(?:-((?:0|[1-9][0-9]*|[0-9]*[A-Za-z-][0-9A-Za-z-]*)(?:\.(?:0|[1-9][0-9]*|[0-9]*[A-Za-z-][0-9A-Za-z-]*))*))?"
-    r"(?:\+[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*)?\z"
+    r"(?:\+([0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*))?\z"
 )
 # -------------------------------------------------------------------------------------------------
 
@@ -62,21 +62,24 @@ def semver(version: Column) -> Column:
     """Comparable form of a semantic version, NULL when it does not parse.
 
     Numbers become fixed-width text and identifiers get a class prefix, so array order is semver precedence:
-    a release sorts above its pre-releases, numeric identifiers below names.
+    a release sorts above its pre-releases, numeric identifiers below names. Build metadata comes last: none is below
+    any, and its identifiers compare like those of a pre-release.
     """
 
     def number(index: int) -> Column:
         return F.lpad(F.regexp_extract(version, SEMVER, index), 20, "0")
 
-    pre = F.regexp_extract(version, SEMVER, 4)
-    identifiers = F.transform(
-        F.split(pre, r"\."),
-        lambda p: F.when(F.rlike(p, F.lit("^[0-9]+$")), F.concat(F.lit("0"), F.lpad(p, 20, "0"))).otherwise(
-            F.concat(F.lit("1"), p)
-        ),
-    )
-    release = F.when(pre == "", F.array(F.lit("2"))).otherwise(identifiers)
-    parsed = F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch"), release.alias("pre"))
+    def identifiers(text: Column) -> Column:
+        number_ = F.lit("^[0-9]+$")
+        return F.transform(
+            F.split(text, r"\."),
+            lambda p: F.when(F.rlike(p, number_), F.concat(F.lit("0"), F.lpad(p, 20, "0"))).otherwise(F.concat(F.lit("1"), p)),
+        )
+
+    pre, build = F.regexp_extract(version, SEMVER, 4), F.regexp_extract(version, SEMVER, 5)
+    release = F.when(pre == "", F.array(F.lit("2"))).otherwise(identifiers(pre))
+    built = F.when(build == "", F.array().cast("array<string>")).otherwise(identifiers(build))
+    parsed = F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch"), release.alias("pre"), built.alias("build"))
     return F.when(F.rlike(version, F.lit(SEMVER)), parsed)
 
 

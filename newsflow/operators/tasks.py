@@ -25,16 +25,6 @@ REPORTED_STATE = [
 # -------------------------------------------------------------------------------------------------
 
 TASK = ["task_id", "execution_id"]
-FEEDS_PER_PART = 200
-SOURCES_PER_PART = 1_000
-
-
-def feed_part(feeds_per_part: int = FEEDS_PER_PART) -> Column:
-    return F.floor(F.col("feed_index") / feeds_per_part).cast("int")
-
-
-def source_part(sources_per_part: int = SOURCES_PER_PART) -> Column:
-    return F.floor(F.col("source_pos") / sources_per_part).cast("int")
 
 
 def dedup_key(url: Column) -> Column:
@@ -56,33 +46,25 @@ def dedup_sources(sources: DataFrame, task: list[str] = TASK, keep_dropped: bool
     return keyed.withColumn("__rank", F.row_number().over(window)).where(F.col("__rank") == 1).drop("__rank")
 
 
-def dedup_groups(
-    sources: DataFrame, task: list[str] = TASK, parts: dict[str, Column] | None = None
-) -> DataFrame:
-    """Per URL with copies: the kept URL and the dropped URLs in order.
+def dedup_groups(sources: DataFrame, task: list[str] = TASK) -> DataFrame:
+    """Dropped copies with what was kept: one row per dropped source, so nothing grows with a group of copies.
 
-    Dropped URLs are delivered in parts by their position (default: 200 feeds each, ``part`` 0, 1, ...), so no
-    array grows with the number of copies; the parts of a group, in order, are the full list.
+    Columns: task, dedup_key, reason, kept_url, feed_index, source_pos, dropped_url; a group's rows are in order of
+    (feed_index, source_pos).
     """
-    parts = parts or {"part": feed_part()}
     keys = [*task, "dedup_key"]
-    row = F.struct("feed_index", "source_pos", "url")
-    keyed = sources.withColumn("dedup_key", dedup_key(F.col("url")))
-    # Rows meet per part first, so what is joined on the bare key has one row per part of a group.
-    gathered = keyed.groupBy(*keys, *[c.alias(name) for name, c in parts.items()]).agg(
-        F.array_sort(F.collect_list(row)).alias("__rows")
-    )
-    first = F.min(F.get("__rows", F.lit(0)))
-    groups = gathered.groupBy(*keys).agg(first.alias("__first"), F.sum(F.size("__rows")).alias("__n")).where(
-        F.col("__n") > 1
-    )
-    dropped = F.filter("__rows", lambda r: r > F.col("__first"))
+    keyed = sources.select(*task, dedup_key(F.col("url")).alias("dedup_key"), "feed_index", "source_pos", "url")
+    position = F.struct("feed_index", "source_pos")
+    first = keyed.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(F.struct("feed_index", "source_pos", "url")).alias("__first"))
+    kept = first.where(F.col("__n") > 1)
     return (
-        gathered.join(groups, keys)
-        .withColumn("dropped_urls", F.transform(dropped, lambda r: r.url))
-        .where(F.size("dropped_urls") > 0)
-        .select(*keys, *parts, F.lit(DEDUP_REASON).alias("reason"), F.col("__first.url").alias("kept_url"), "dropped_urls")
-    )
+        keyed.join(kept, keys)
+        .where(position != F.struct("__first.feed_index", "__first.source_pos"))
+        .select(
+            *keys, F.lit(DEDUP_REASON).alias("reason"), F.col("__first.url").alias("kept_url"), "feed_index", "source_pos",
+            F.col("url").alias("dropped_url"),
+        )
+    )
 
 
 def dedup_counts(sources: DataFrame, task: list[str] = TASK) -> DataFrame:
@@ -111,49 +93,33 @@ def complete_tasks(slots: DataFrame, task: list[str] = TASK, done: str = "done")
     return slots.groupBy(*task).agg(F.count_if(~F.col(done)).alias("__open")).where(F.col("__open") == 0).select(*task)
 
 
-def completed_results(slots: DataFrame, task: list[str] = TASK, done: str = "done") -> DataFrame:
-    """Result rows of complete tasks, one row per slot."""
+def assemble_results(slots: DataFrame, task: list[str] = TASK, done: str = "done") -> DataFrame:
+    """Slots of complete tasks, one row each; their order is feed_index."""
     return slots.join(complete_tasks(slots, task, done), task, "left_semi")
 
 
-def assemble_results(
-    slots: DataFrame,
-    value: list[str],
-    task: list[str] = TASK,
-    done: str = "done",
-    feeds_per_part: int = FEEDS_PER_PART,
-) -> DataFrame:
-    """Complete tasks with their results in feed_index order, in parts of ``feeds_per_part`` slots.
-
-    Slots meet per part first; whether the task is complete is then asked per part, not per slot, so a very
-    large task stays spread over the cluster.
-    """
-    gathered = slots.groupBy(*task, feed_part(feeds_per_part).alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("feed_index", *value))).alias("results"),
-        F.count_if(~F.col(done)).alias("__open"),
-    )
-    complete = gathered.groupBy(*task).agg(F.sum("__open").alias("__open")).where(F.col("__open") == 0)
-    return gathered.join(complete.select(*task), task, "left_semi").drop("__open")
-
-
 def audit_completeness(slots: DataFrame, results: DataFrame, task: list[str] = TASK) -> DataFrame:
     """Every disagreement between expected slots and delivered results: (task, feed_index, issue).
 
-    missing_result, unknown_task, missing_slot (known task, unknown index), completed_twice.
+    missing_result, unknown_task, missing_slot (known task, unknown index), completed_twice. Both inputs are counted
+    per slot in one aggregate; whether a task is known is a second, small one.
     """
     slot = [*task, "feed_index"]
-    expected = slots.select(*slot)
-    delivered = results.groupBy(*slot).agg(F.count("*").alias("n"))
-    known = slots.select(*task).distinct().withColumn("__known", F.lit(True))
-    missing = expected.join(delivered, slot, "left_anti").withColumn("issue", F.lit("missing_result"))
-    stray = (
-        delivered.join(expected, slot, "left_anti")
-        .join(known, task, "left")
-        .withColumn("issue", F.when(F.col("__known"), "missing_slot").otherwise("unknown_task"))
+    both = slots.select(*slot, F.lit(1).alias("s"), F.lit(0).alias("r")).unionByName(
+        results.select(*slot, F.lit(0).alias("s"), F.lit(1).alias("r"))
     )
-    twice = delivered.where(F.col("n") > 1).withColumn("issue", F.lit("completed_twice"))
-    columns = [*slot, "issue"]
-    return missing.select(columns).unionByName(stray.select(columns)).unionByName(twice.select(columns))
+    counted = both.groupBy(*slot).agg(F.max("s").alias("s"), F.sum("r").alias("r"))
+    known = slots.groupBy(*task).agg(F.lit(True).alias("__known"))
+    rows = counted.where((F.col("s") == 0) | (F.col("r") != 1)).join(known, task, "left")
+    stray = F.when(F.col("__known"), "missing_slot").otherwise("unknown_task")
+    issues = F.array_compact(
+        F.array(
+            F.when((F.col("s") == 1) & (F.col("r") == 0), "missing_result"),
+            F.when(F.col("s") == 0, stray),
+            F.when(F.col("r") > 1, "completed_twice"),
+        )
+    )
+    return rows.select(*slot, F.explode(issues).alias("issue"))
 
 
 def queue_totals(slots: DataFrame, pending_completions: int = 0, task: list[str] = TASK) -> DataFrame:
@@ -200,9 +166,12 @@ def queue_totals(slots: DataFrame, pending_completions: int = 0, task: list[str]
         state.alias("connection_state"),
         (F.col("tasks") + pending_completions).alias("pending_tasks"),
         *[F.col(f"first.{c}").alias(f"current_{c}") for c in task],
-        truncate_chars(
-            F.format_string("%s | %d rss task(s), %d feeds, %d queued", first_label, "tasks", "feeds_claimed", "feeds_queued"),
-            MAX_LABEL_CHARS,
+        F.when(
+            busy,
+            truncate_chars(
+                F.format_string("%s | %d rss task(s), %d feeds, %d queued", first_label, "tasks", "feeds_claimed", "feeds_queued"),
+                MAX_LABEL_CHARS,
+            ),
         ).alias("current_task_label"),
         F.col("current.f.feed_id").alias("current_feed_id"),
         truncate_chars(F.col("current.f.feed_url"), MAX_URL_CHARS).alias("current_feed_url"),
@@ -248,12 +217,3 @@ def changed_states(
         states, [worker], order, time_segment(F.col(order[0]), segment_us), previous={"__previous": reported}
     )
     return rows.where(F.col("__previous").isNull() | (F.col("__previous") != reported)).drop("__previous")
-
-
-def sanitize_state(states: DataFrame) -> DataFrame:
-    return states.withColumns(
-        {
-            "current_task_label": truncate_chars(F.col("current_task_label"), MAX_LABEL_CHARS),
-            "current_feed_url": truncate_chars(F.col("current_feed_url"), MAX_URL_CHARS),
-        }
-    )

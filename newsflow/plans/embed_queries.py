@@ -14,6 +14,7 @@ from newsflow.operators import embed, integrity
 from newsflow.plans.feed_queries import assembled
 from newsflow.plans.inputs import load
 from newsflow.plans.registry import big, joined, query
+from newsflow.plans.scan import explode_once
 from newsflow.sources import readers, sinks
 
 DIMENSIONS = 64
@@ -33,7 +34,7 @@ def letter_share_model() -> Callable[[np.ndarray], np.ndarray]:
 
 def vector_rows(vectors: DataFrame) -> DataFrame:
     """id, dim, value: one row per vector element."""
-    rows = vectors.select("id", F.posexplode("embedding").alias("dim", "value"))
+    rows = explode_once(vectors.select("id", "embedding"), "embedding", "value", position="dim")
     return rows.select("id", big("dim"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
@@ -286,26 +287,31 @@ def artifact_digests(spark: SparkSession, sf: str) -> DataFrame:
 # ---- sinks --------------------------------------------------------------------------------------
 @query(
     "a8_task_result_documents",
-    """WITH s AS (SELECT page_id % 20 AS feed_id, trim(link) AS url, entry_pos, title, published,
-                         row_number() OVER (PARTITION BY feed_id, trim(link) ORDER BY entry_pos) AS rn
-                  FROM (SELECT feed_id AS page_id, * EXCLUDE feed_id, feed_id FROM {v_entries} e)),
+    """WITH s AS (SELECT feed_id, trim(link) AS url, entry_pos, title, published,
+                         row_number() OVER (PARTITION BY feed_id, trim(link) ORDER BY entry_pos) AS rn FROM {v_entries} e),
             f AS (SELECT s.* FROM s LEFT JOIN {v_marks} m ON s.feed_id = m.feed_id
                   WHERE rn = 1 AND published IS NOT NULL AND trim(title) <> ''
                     AND (m.last_db_article_published_at IS NULL OR published >= m.last_db_article_published_at)),
-            k AS (SELECT *, feed_id % 5 AS task_id, row_number() OVER (PARTITION BY feed_id % 5, lower(url) ORDER BY feed_id, entry_pos) AS r2 FROM f)
+            k AS (SELECT *, CAST(floor(entry_pos / 200) AS BIGINT) AS task_id,
+                         row_number() OVER (PARTITION BY floor(entry_pos / 200), lower(url) ORDER BY feed_id, entry_pos) AS r2 FROM f)
        SELECT t.task_id, 'rss-worker-result' AS contract_version, 'task' AS scope, t.n_events, coalesce(c.input_candidates, 0) AS input_candidates,
               coalesce(c.output_candidates, 0) AS output_candidates, coalesce(c.output_candidates, 0) AS n_sources, coalesce(c.urls, '') AS urls
-       FROM (SELECT feed_id % 5 AS task_id, count(*) AS n_events FROM {v_marks} m GROUP BY 1) t
+       FROM (SELECT CAST(floor(page_id / 20) AS BIGINT) AS task_id, count(*) AS n_events FROM {pages} GROUP BY 1) t
        LEFT JOIN (SELECT task_id, count(*) AS input_candidates, count(CASE WHEN r2 = 1 THEN 1 END) AS output_candidates,
                          string_agg(CASE WHEN r2 = 1 THEN url END, ' ' ORDER BY feed_id, entry_pos) AS urls FROM k GROUP BY task_id) c
               ON t.task_id = c.task_id""",
 )
 def task_result_documents(spark: SparkSession, sf: str) -> DataFrame:
-    [marks] = load(spark, sf, "v_marks")
-    task, execution = (F.col("feed_id") % 5).alias("task_id"), F.lit(1).cast("bigint").alias("execution_id")
-    results = marks.select(task, execution, F.col("feed_id").alias("feed_index"), F.lit("j").alias("job_id"), F.lit("success").alias("status"), "feed_id")
+    """Twenty neighbouring pages make a task, so documents do not grow with the table."""
+    [pages] = load(spark, sf, "pages")
+    execution, feed = F.lit(1).cast("bigint").alias("execution_id"), (F.col("page_id") % 20)
+    results = pages.select(
+        F.floor(F.col("page_id") / 20).alias("task_id"), execution, feed.alias("feed_index"), F.lit("j").alias("job_id"),
+        F.lit("success").alias("status"), feed.alias("feed_id"),
+    )
+    task = F.floor(F.col("source_pos") / 200).alias("task_id")
     sources = assembled(spark, sf).select(task, execution, F.col("feed_id").alias("feed_index"), "*")
-    documents = sinks.task_result_payloads(results, sources.drop("feed_id"), sources_per_part=1_000_000)
+    documents = sinks.task_result_payloads(results, sources.drop("feed_id"))
     shape = (
         "contract_version string, result_events array<struct<feed_id: bigint, sources: array<struct<url: string>>>>, "
         "local_dedup struct<scope: string, input_candidates: bigint, output_candidates: bigint>"
@@ -321,20 +327,20 @@ def task_result_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "a9_embedding_documents",
-    """SELECT vec_id % 10 AS task_id, CAST(0 AS BIGINT) AS part, count(*) AS n_sources, string_agg(vec_id, ',' ORDER BY vec_id) AS ids,
+    """SELECT CAST(floor(vec_id / 20) AS BIGINT) AS task_id, count(*) AS n_sources, string_agg(vec_id, ',' ORDER BY vec_id) AS ids,
               round(sum(embedding[1]::DOUBLE), 5) AS first_sum
-       FROM {embeddings} GROUP BY vec_id % 10""",
+       FROM {embeddings} GROUP BY 1""",
 )
 def embedding_documents(spark: SparkSession, sf: str) -> DataFrame:
     [vectors] = load(spark, sf, "embeddings")
     n = F.col("vec_id")
-    rows = vectors.select((n % 10).alias("task_id"), F.lit(1).alias("execution_id"), n.alias("source_pos"), n.alias("id"), "embedding")
-    documents = sinks.embedding_payloads(rows, sources_per_part=1_000_000)
+    rows = vectors.select(F.floor(n / 20).alias("task_id"), F.lit(1).alias("execution_id"), n.alias("source_pos"), n.alias("id"), "embedding")
+    documents = sinks.embedding_payloads(rows)
     parsed = documents.select(
-        "task_id", big("part"), F.from_json("payload", "sources array<struct<id: bigint, embedding: array<double>>>").alias("p")
+        "task_id", F.from_json("payload", "sources array<struct<id: bigint, embedding: array<double>>>").alias("p")
     )
     first = F.aggregate("p.sources", F.lit(0.0), lambda a, s: a + F.get(s.embedding, F.lit(0)))
     ids = F.transform("p.sources", lambda s: s.id.cast("string"))
     return parsed.select(
-        "task_id", "part", F.size("p.sources").cast("bigint").alias("n_sources"), joined(ids, ",").alias("ids"), F.round(first, 5).alias("first_sum")
+        "task_id", F.size("p.sources").cast("bigint").alias("n_sources"), joined(ids, ",").alias("ids"), F.round(first, 5).alias("first_sum")
     )

@@ -257,7 +257,7 @@ CANDIDATES = {
     "Jean Dupont, correspondant à Kiev": "Jean Dupont",
     "avec by AFP": "by AFP",
     "By par Jean Dupont": "Jean Dupont",
-    "Jean (a (b) c) Dupont": "Jean Dupont",
+    "Bo (a (b) c) Ray": "Bo Ray",
     "Jean Dupont with example.com": "Jean Dupont",
     "www.example.com": None,
     "à Paris": None,
@@ -288,16 +288,33 @@ def _quoted(value: str | bool | None) -> str:
     return str(value).lower() if isinstance(value, bool) else "'" + value.replace("'", "''") + "'"
 
 
+# Names in the bylines are made from the first and the last word of each document.
+NAMES = {
+    "Jean Dupont": ("Jean Q", "([A-Za-z]{2,})"),
+    "Ann Lee": ("Ann Z", "([A-Za-z]{2,})[^A-Za-z]*$"),
+}
+
+
+def _named_sql(value: str) -> str:
+    for name, (start, word) in NAMES.items():
+        value = f"replace({value}, '{name}', concat('{start}', lower(regexp_extract(text, '{word}', 1))))"
+    return value
+
+
 def _expected(golden: dict, column: str) -> str:
     rows = ", ".join(f"({i}, {_quoted(v)})" for i, v in enumerate(golden.values()))
-    return f"""SELECT doc_id, g.v AS {column} FROM {{documents}} d
+    value = "g.v" if isinstance(next(iter(golden.values())), bool) else _named_sql("g.v")
+    return f"""SELECT doc_id, {value} AS {column} FROM {{documents}} d
                JOIN (VALUES {rows}) g(i, v) ON d.doc_id % {len(golden)} = g.i"""
 
 
 def _bylined(spark: SparkSession, sf: str, golden: dict, column: str) -> DataFrame:
     [documents] = load(spark, sf, "documents")
-    texts = F.array(*[F.lit(t) for t in golden])
-    return documents.select("doc_id", F.get(texts, (F.col("doc_id") % len(golden)).cast("int")).alias(column))
+    byline = F.get(F.array(*[F.lit(t) for t in golden]), (F.col("doc_id") % len(golden)).cast("int"))
+    for name, (start, word) in NAMES.items():
+        own = F.concat(F.lit(start), F.lower(F.regexp_extract("text", word, 1)))
+        byline = F.replace(byline, F.lit(name), own)
+    return documents.select("doc_id", byline.alias(column))
 
 
 _PART_ROWS = ", ".join(
@@ -307,7 +324,7 @@ _PART_ROWS = ", ".join(
 
 @query(
     "c1_split_bylines",
-    f"""SELECT doc_id, string_agg(g.t, '|' ORDER BY g.p) AS parts FROM {{documents}} d
+    f"""SELECT doc_id, string_agg({_named_sql("g.t")}, '|' ORDER BY g.p) AS parts FROM {{documents}} d
         JOIN (VALUES {_PART_ROWS}) g(i, p, t) ON d.doc_id % {len(PARTS)} = g.i GROUP BY doc_id""",
 )
 def split_bylines(spark: SparkSession, sf: str) -> DataFrame:
@@ -407,22 +424,26 @@ def _xml(c: Column) -> Column:
 
 
 def feed_bodies(pages: DataFrame) -> DataFrame:
-    """One landed feed body per page: RSS 2.0 for even ids, Atom for odd ones, two entries each."""
+    """One landed feed body per page: RSS 2.0 for even ids, Atom for odd ones, two entries each.
+
+    Every fourth RSS body names a feed element in its title, every Atom body stands behind a long comment.
+    """
     n, url, html = F.col("page_id"), _xml(F.col("url")), _xml(F.col("html"))
     at = F.timestamp_seconds(F.lit(1704067200) + n * 3600)
     rss_date = F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
     iso_date = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rss = F.concat(
-        F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:dc="d" xmlns:media="m"><channel><title>c</title><item><title>'),
-        n.cast("string"), F.lit("</title><link>"), url, F.lit("</link><description>"), html, F.lit("</description><pubDate>"),
+        F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:dc="d" xmlns:media="m"><channel><title>'),
+        F.when(n % 4 == 0, F.lit("<![CDATA[the <feed > element]]>")).otherwise(F.lit("c")), F.lit("</title><item><title>"), n.cast("string"), F.lit("</title><link>"), url, F.lit("</link><description>"), html, F.lit("</description><pubDate>"),
         rss_date, F.lit('</pubDate><dc:creator>Ann Lee</dc:creator><media:thumbnail url="'), url,
         F.lit('.png"/></item><item><title>second</title><link>'), url, F.lit("/2</link></item></channel></rss>"),
     )
     atom = F.concat(
-        F.lit('<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><entry><title>'),
+        F.lit('<?xml version="1.0"?><!-- '), F.repeat(F.lit("long "), F.lit(600)),
+        F.lit('--><feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="m"><entry><title>'),
         n.cast("string"), F.lit('</title><link href="'), url, F.lit('" rel="alternate"/><summary>'), html,
-        F.lit("</summary><updated>"), iso_date, F.lit('</updated><author><name>Ann Lee</name></author></entry><entry><title>second</title><link href="'),
-        url, F.lit('/2"/></entry></feed>'),
+        F.lit("</summary><updated>"), iso_date, F.lit('</updated><author><name>Ann Lee</name></author><media:group><media:thumbnail url="'), url,
+        F.lit('.png"/></media:group></entry><entry><title>second</title><link href="'), url, F.lit('/2"/></entry></feed>'),
     )
     return pages.select("page_id", F.when(n % 2 == 0, rss).otherwise(atom).alias("body"))
 
@@ -434,7 +455,7 @@ def feed_bodies(pages: DataFrame) -> DataFrame:
               CASE i WHEN 0 THEN length(html) END AS summary_chars,
               CASE i WHEN 0 THEN 1704067200000000 + page_id * 3600000000 END AS at_us,
               CASE i WHEN 0 THEN 'Ann Lee' ELSE '' END AS authors,
-              CASE WHEN i = 0 AND page_id % 2 = 0 THEN concat(url, '.png') END AS thumbnail
+              CASE WHEN i = 0 THEN concat(url, '.png') END AS thumbnail
        FROM {pages}, (VALUES (0), (1)) v(i)""",
 )
 def feed_document_source(spark: SparkSession, sf: str) -> DataFrame:
@@ -443,7 +464,7 @@ def feed_document_source(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(
         "page_id", big("entry_pos"), F.get("links", F.lit(0)).alias("link"), "title",
         F.length("summary").cast("bigint").alias("summary_chars"), us(F.coalesce("published", "updated")).alias("at_us"),
-        joined("authors").alias("authors"), F.get(F.get("media", F.lit(0)).thumbnails, F.lit(0)).alias("thumbnail"),
+        joined("authors").alias("authors"), F.get(F.flatten(F.transform("media", lambda m: m.thumbnails)), F.lit(0)).alias("thumbnail"),
     )
 
 

@@ -25,10 +25,10 @@ VIEWS = {
         SELECT page_id % 20, page_id * 10 + 1, url, 'copy', html, TIMESTAMP '2024-02-01 00:00:00'
         FROM {pages} WHERE page_id % 4 = 0""",
     "v_marks": """
-        SELECT page_id AS feed_id,
-               CASE WHEN page_id % 3 = 0 THEN NULL ELSE TIMESTAMP '2024-01-02 00:00:00' + page_id * INTERVAL '1' HOUR END
+        SELECT page_id % 20 AS feed_id,
+               min(CASE WHEN page_id % 20 % 3 = 0 THEN NULL ELSE TIMESTAMP '2024-01-02 00:00:00' + page_id * INTERVAL '1' HOUR END)
                AS last_db_article_published_at
-        FROM {pages} WHERE page_id < 20""",
+        FROM {pages} GROUP BY page_id % 20""",
     "v_sources": """
         SELECT page_id % 10 AS task_id, page_id % 3 AS execution_id, page_id % 30 AS feed_index, page_id AS source_pos, url
         FROM {pages}
@@ -93,19 +93,6 @@ VIEWS = {
 }
 
 
-# Tables of long texts: per row far more work than bytes.
-TEXT_TABLES = ("documents", "pages")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores where the input has fewer files than there are cores.
-
-    A large table has many more files than the cluster has cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
-
-
 def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """Tables or derived views as DataFrames."""
     return [_one(spark, sf_dir, name) for name in names]
@@ -118,7 +105,7 @@ def _one(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     zoneless = [f.name for f in table.schema if f.dataType.simpleString() == "timestamp_ntz"]
     table = table.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else table
-    return spread(table) if name in TEXT_TABLES else table
+    return table
 
 
 def view_sql(name: str) -> str:

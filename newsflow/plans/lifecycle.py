@@ -14,6 +14,7 @@ from newsflow.sources import readers, sinks
 
 SLOT = [*tasks.TASK, "feed_index"]
 ATTEMPT = [*SLOT, "strategy_pos", "attempt_no"]
+UNREADABLE = "feed document cannot be read"
 
 
 class FeedTasks(NamedTuple):
@@ -28,27 +29,31 @@ def feed_tasks(leases: DataFrame, fetch_log: DataFrame) -> FeedTasks:
     """Leases and their landed fetch attempts -> results, sources and result documents.
 
     ``fetch_log``: task_id, execution_id, feed_index, strategy_pos, strategy, attempt_no, status_code,
-    error_kind, error, etag, last_modified, body. Bodies are left out while outcomes are resolved and joined
-    back for the successful attempts alone, and only those are parsed.
+    error_kind, error, etag, last_modified, body. A landed body that is no feed makes its attempt a permanent failure,
+    so that the next strategy can win and the feed keeps its etag. Bodies are left out while outcomes are resolved;
+    the parsed feeds are joined back for the successful attempts alone.
     """
     feeds = readers.decode_feed_tasks(leases.select(*tasks.TASK, "payload")).where(~F.col("decode_error"))
-    bodies = fetch_log.where(F.col("body").isNotNull()).select(*ATTEMPT, "body")
-    light = fetch.classify_attempts(fetch_log.drop("body"))
-    resolved = fetch.resolve_outcomes(feeds, light, SLOT, ["strategy_pos", "attempt_no"])
+    landed_ok = F.col("body").isNotNull() & F.col("status_code").between(200, 299)
+    parsed = readers.with_feed(fetch_log.withColumn("landed", landed_ok))
+    unreadable = F.col("landed") & ~F.coalesce(F.col("feed.readable"), F.lit(False))
+    light = parsed.withColumns(
+        {
+            "error_kind": F.when(unreadable, "parse").otherwise(F.col("error_kind")),
+            "error": F.when(unreadable, UNREADABLE).otherwise(F.col("error")),
+            "feed_updated": F.col("feed.updated"),
+        }
+    )
+    light = fetch.classify_attempts(light.drop("feed", "landed"))
+    dated = fetch.resolve_outcomes(feeds, light, SLOT, ["strategy_pos", "attempt_no"])
 
     won = (F.col("attempt.outcome") == "success") & (F.col("fetchprotection") != fetch.BLOCKED)
-    winners = resolved.where(won).select(
+    winners = dated.where(won).select(
         *SLOT, "feed_id", "last_db_article_published_at", "attempt.strategy_pos", "attempt.attempt_no"
     )
-    landed = winners.join(bodies, ATTEMPT).drop("strategy_pos", "attempt_no")
-    sources = entries.assemble_sources(readers.parse_feeds(landed), None, SLOT)
-
-    updated = landed.select(*SLOT, readers.feed_updated(F.col("body")).alias("__updated"))
-    dated = resolved.join(updated, SLOT, "left")
-    attempt = F.when(
-        F.col("attempt").isNotNull(), F.col("attempt").withField("feed_updated", F.col("__updated"))
-    )
-    results = fetch.shape_results(dated.withColumn("attempt", attempt).drop("__updated"))
+    landed = winners.join(parsed.select(*ATTEMPT, "feed"), ATTEMPT).drop("strategy_pos", "attempt_no")
+    sources = entries.assemble_sources(readers.feed_entries(landed), None, SLOT)
+    results = fetch.shape_results(dated)
     shown = results.select(
         *SLOT, "job_id", "ingest", "feed_id", "feed_url", "status", "status_code", "error_message", "new_etag",
         "new_last_update", "fetchprotection", "resolved_fetchprotection",

@@ -43,7 +43,8 @@ def running(
     total     running sum including the row
     peak      running maximum including the row
 
-    ``order`` must be unique within a key and ``segment`` must never decrease along it; keys are non-NULL.
+    ``order`` must be unique within a key and ``segment`` must never decrease along it. NULL is a key like any other.
+    Totals of whole numbers stop at the ends of their range instead of failing.
     """
     kinds = {"last": last or {}, "previous": previous or {}, "total": total or {}, "peak": peak or {}}
     inputs = {f"__in_{name}": expr for group in kinds.values() for name, expr in group.items()}
@@ -58,7 +59,7 @@ def running(
             # max_by skips rows whose ordering value is NULL, so rows without a value do not count
             summary = F.max_by(value, F.when(value.isNotNull(), position))
         else:
-            summary = F.sum(value) if kind == "total" else F.max(value)
+            summary = F.sum(_wide(value, rows)) if kind == "total" else F.max(value)
         summaries.append(summary.alias(name))
     before = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     carried = []
@@ -78,13 +79,32 @@ def running(
         elif kind == "previous":
             out[name] = F.coalesce(F.last(value, ignorenulls=True).over(until), carry_in)
         elif kind == "total":
-            out[name] = F.coalesce(carry_in, F.lit(0)) + F.coalesce(F.sum(value).over(upto), F.lit(0))
+            wide = F.coalesce(carry_in, F.lit(0)) + F.coalesce(F.sum(_wide(value, rows)).over(upto), F.lit(0))
+            out[name] = _bounded(wide, value, rows)
         else:
             out[name] = F.greatest(F.max(value).over(upto), carry_in)
-    joined = rows.join(carry, [*keys, SEGMENT], "left").withColumns(out)
+    matched = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, SEGMENT]]
+    carries = [F.col(f"c.__carry_{name}") for name in kind_of]
+    joined = rows.alias("r").join(carry.alias("c"), matched, "left").select("r.*", *carries).withColumns(out)
     return joined.select(*df.columns, *out)
 
 
+def _whole(c: Column, rows: DataFrame) -> bool:
+    return rows.select(c).schema[0].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
+def _wide(c: Column, rows: DataFrame) -> Column:
+    """Whole numbers in a form whose sums do not overflow."""
+    return c.cast("decimal(25,0)") if _whole(c, rows) else c
+
+
+def _bounded(total: Column, c: Column, rows: DataFrame) -> Column:
+    if not _whole(c, rows):
+        return total
+    low, high = (F.lit(x).cast("decimal(38,0)") for x in (-(2**63), 2**63 - 1))
+    return F.greatest(F.least(total, high), low).cast("bigint")
+
+
 def explode_once(df: DataFrame, array: str, item: str, *fields: str, position: str | None = None) -> DataFrame:
     """One row per element of a computed array, which is dropped; empty and NULL arrays give no row.
 

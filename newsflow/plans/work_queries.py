@@ -150,15 +150,15 @@ def rate_slots(spark: SparkSession, sf: str) -> DataFrame:
     "d9_next_admissions",
     """WITH p AS (SELECT host_key, task_id, feed_index, row_number() OVER (PARTITION BY host_key ORDER BY task_id, feed_index) AS rn
                   FROM {v_task_feeds} f WHERE state = 'pending'),
-            a AS (SELECT host_key, count(*) AS n FROM {v_task_feeds} f WHERE state = 'active' AND task_id % 997 = 0 GROUP BY host_key)
+            a AS (SELECT host_key, 1 AS n FROM {v_task_feeds} f WHERE state = 'active' GROUP BY host_key)
        SELECT p.host_key, task_id, CAST(feed_index AS BIGINT) AS feed_index FROM p LEFT JOIN a ON p.host_key = a.host_key
        WHERE rn <= 3 - coalesce(n, 0) ORDER BY p.host_key, task_id, feed_index LIMIT 40""",
 )
 def next_admissions(spark: SparkSession, sf: str) -> DataFrame:
-    """What to start next, with the feeds of every 997th task's active slots as the running ones."""
+    """What to start next, with one feed running on every host that has an active slot."""
     [slots] = load(spark, sf, "v_task_feeds")
     pending = slots.where(F.col("state") == "pending")
-    active = slots.where((F.col("state") == "active") & (F.col("task_id") % 997 == 0))
+    active = slots.where(F.col("state") == "active").select("host_key").distinct()
     rows = fetch.next_admissions(pending, active, ["task_id", "feed_index"], per_host=3, free_slots=40)
     return rows.select("host_key", "task_id", big("feed_index"))
 
@@ -180,14 +180,13 @@ def task_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "e2_dedup_groups",
-    f"""SELECT task_id, execution_id, dedup_key, 'same_url' AS reason, min(CASE WHEN rn = 1 THEN url END) AS kept_url,
-               string_agg(CASE WHEN rn > 1 THEN url END, '|' ORDER BY feed_index, source_pos) AS dropped_urls
-        FROM ({_KEYED}) GROUP BY task_id, execution_id, dedup_key HAVING count(*) > 1""",
+    f"""SELECT task_id, execution_id, dedup_key, 'same_url' AS reason, kept_url, feed_index, source_pos, url AS dropped_url
+        FROM (SELECT *, first_value(url) OVER (PARTITION BY task_id, execution_id, dedup_key ORDER BY rn) AS kept_url FROM ({_KEYED}))
+        WHERE rn > 1""",
 )
 def dedup_groups(spark: SparkSession, sf: str) -> DataFrame:
     [sources] = load(spark, sf, "v_sources")
-    rows = tasks.dedup_groups(sources)
-    return rows.select("task_id", "execution_id", "dedup_key", "reason", "kept_url", joined("dropped_urls").alias("dropped_urls"))
+    return tasks.dedup_groups(sources)
 
 
 @query(
@@ -217,14 +216,12 @@ def task_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "e5_assemble_results",
-    """SELECT task_id, execution_id, string_agg(concat(feed_index, ':', feed_id), ',' ORDER BY feed_index, feed_id) AS results
-       FROM {v_task_feeds} f GROUP BY task_id, execution_id HAVING bool_and(done)""",
+    """SELECT task_id, execution_id, CAST(feed_index AS BIGINT) AS feed_index, feed_id
+       FROM (SELECT *, bool_and(done) OVER (PARTITION BY task_id, execution_id) AS complete FROM {v_task_feeds} f) WHERE complete""",
 )
 def assemble_results(spark: SparkSession, sf: str) -> DataFrame:
     [slots] = load(spark, sf, "v_task_feeds")
-    rows = tasks.assemble_results(slots, ["feed_id"])
-    text = F.transform("results", lambda r: F.concat_ws(":", r.feed_index.cast("string"), r.feed_id.cast("string")))
-    return rows.select("task_id", "execution_id", joined(text, ",").alias("results"))
+    return tasks.assemble_results(slots).select("task_id", "execution_id", big("feed_index"), "feed_id")
 
 
 @query(

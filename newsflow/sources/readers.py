@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,21 +20,32 @@ def read_leases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_feed_tasks(leases: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row per feed of every task, with its index. A bad payload gives one row with ``decode_error``."""
-    return _decode(leases, payload, schemas.TASK_PAYLOAD, "feeds", "feed_index", ["job_id", "requested_at", "ingest"])
+    """One row per feed of every task, with its index. A bad payload gives one row with ``decode_error``.
+
+    A payload is bad when it is no JSON of this shape or lacks a required field, in itself or in one of its feeds.
+    """
+    need, each = ["job_id", "requested_at", "ingest"], ["feed_id", "feed_url", "fetchprotection"]
+    return _decode(leases, payload, schemas.TASK_PAYLOAD, "feeds", "feed_index", need, need, each)
 
 
 def decode_embedding_tasks(leases: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per source of every embedding task, with its position."""
-    return _decode(leases, payload, schemas.EMBEDDING_PAYLOAD, "sources", "source_pos", ["job_id", "worker_version"])
+    header = ["job_id", "worker_version"]
+    return _decode(leases, payload, schemas.EMBEDDING_PAYLOAD, "sources", "source_pos", header, ["job_id"], ["id"])
 
 
-def _decode(leases: DataFrame, payload: str, schema: str, items: str, position: str, header: list[str]) -> DataFrame:
+def _decode(
+    leases: DataFrame, payload: str, schema: str, items: str, position: str, header: list[str], need: list[str], each: list[str]
+) -> DataFrame:
     with_corrupt = f"{schema}, {CORRUPT} string"
     parsed = F.from_json(F.col(payload), with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     keys = [c for c in leases.columns if c != payload and c not in header]
     rows = leases.select(*keys, parsed.alias("__p"))
     bad = F.col("__p").isNull() | F.col(f"__p.{CORRUPT}").isNotNull() | F.col(f"__p.{items}").isNull()
+    for name in need:
+        bad = bad | F.col(f"__p.{name}").isNull()
+    for name in each:
+        bad = bad | F.exists(f"__p.{items}", _lacks(name))
     rows = rows.withColumn("decode_error", bad)
     exploded = rows.select(
         *keys,
@@ -43,27 +56,37 @@ def _decode(leases: DataFrame, payload: str, schema: str, items: str, position:
     return exploded.select(*[c for c in exploded.columns if c != "__item"], "__item.*")
 
 
-def parse_feeds(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """Landed feed bodies -> entries. RSS 2.0 and Atom; a body that is neither gives no rows.
+def with_feed(bodies: DataFrame, body: str = "body", out: str = "feed") -> DataFrame:
+    """``bodies`` with their parsed form in place of the text: entries, updated, and readable.
 
-    Keeps the other columns of ``bodies`` and adds entry_pos, links, title, summary, content_body,
-    content_src, authors, published, updated, media.
+    RSS 2.0 and Atom, told apart by what the parsed root holds; a body that is neither is not readable and has no
+    entries. The text is parsed once.
     """
-    options = {"mode": "PERMISSIVE", "ignoreNamespace": "false"}
+    feed = F.from_xml(F.col(body), schemas.FEED_BODY, {"mode": "PERMISSIVE", "ignoreNamespace": "false"})
     keys = [c for c in bodies.columns if c != body]
-    text = F.col(body)
-    rss = F.from_xml(text, schemas.RSS_FEED, options)
-    atom = F.from_xml(text, schemas.ATOM_FEED, options)
-    is_atom = F.rlike(F.left(text, F.lit(2000)), F.lit(r"<feed[\s>]"))
-    entries = F.when(is_atom, _atom_entries(atom)).otherwise(_rss_entries(rss))
-    return explode_once(bodies.select(*keys, entries.alias("__e")), "__e", "e", "e.*", position="entry_pos")
+    rows = bodies.select(*keys, feed.alias("__f"))
+    f = F.col("__f")
+    rss = f.channel.isNotNull()
+    atom = f.entry.isNotNull() | (f.id.isNotNull() & f.updated.isNotNull())
+    entries = F.when(rss, _rss_entries(f)).when(atom, _atom_entries(f))
+    updated = _timestamp(F.when(rss, f.channel.lastBuildDate).otherwise(f.updated))
+    return rows.select(*keys, F.struct(entries.alias("entries"), updated.alias("updated"), (rss | atom).alias("readable")).alias(out))
 
 
-def feed_updated(body: Column) -> Column:
-    """The time a landed feed body gives for itself, NULL when it gives none."""
-    rss = F.from_xml(body, "channel struct<lastBuildDate: string>").channel.lastBuildDate
-    atom = F.from_xml(body, "updated string").updated
-    return _timestamp(F.when(F.rlike(F.left(body, F.lit(2000)), F.lit(r"<feed[\s>]")), atom).otherwise(rss))
+def feed_entries(feeds: DataFrame, feed: str = "feed") -> DataFrame:
+    """One row per entry of parsed feeds, with entry_pos, links, title, summary, content_body, content_src, authors,
+    published, updated, media and the other columns of ``feeds``."""
+    keys = [c for c in feeds.columns if c != feed]
+    return explode_once(feeds.select(*keys, F.col(f"{feed}.entries").alias("__e")), "__e", "e", "e.*", position="entry_pos")
+
+
+def _lacks(name: str) -> Callable[[Column], Column]:
+    return lambda item: item[name].isNull()
+
+
+def parse_feeds(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """Landed feed bodies -> entries; a body that is no feed gives no rows."""
+    return feed_entries(with_feed(bodies, body, "__feed"), "__feed")
 
 
 def _timestamp(text: Column) -> Column:
@@ -78,23 +101,39 @@ def _entry(**fields: Column) -> Column:
     return F.struct(*[value.alias(name) for name, value in fields.items()])
 
 
+LINKED = "array<struct<_url: string, _type: string>>"
+
+
+def _media_of(holder: Column, enclosures: Column) -> Column:
+    """Thumbnails and contents of an element that holds media elements."""
+    given = holder.getField("media:content")
+    plain = F.transform(given, lambda c: F.struct(c.getField("_url").alias("_url"), c.getField("_type").alias("_type")))
+    contents = F.concat(F.coalesce(plain, F.array().cast(LINKED)), enclosures)
+    inner = F.flatten(F.transform(given, lambda c: _urls(c.getField("media:thumbnail"))))
+    return F.struct(
+        F.concat(_urls(holder.getField("media:thumbnail")), _strings(inner)).alias("thumbnails"),
+        F.transform(
+            contents, lambda c: F.struct(c.getField("_url").alias("url"), c.getField("_type").alias("content_type"))
+        ).alias("content"),
+    )
+
+
+def _media(item: Column, enclosures: Column | None = None) -> Column:
+    """Media of an item or entry: its own with the enclosures, then those of its groups."""
+    none = F.array().cast(LINKED)
+    own = _media_of(item, none if enclosures is None else F.coalesce(enclosures, none))
+    groups = F.transform(item.getField("media:group"), lambda g: _media_of(g, F.array().cast(LINKED)))
+    return F.concat(F.array(own).cast(MEDIA), F.coalesce(groups.cast(MEDIA), F.array().cast(MEDIA)))
+
+
+def _urls(elements: Column) -> Column:
+    return _strings(F.transform(elements, lambda t: t.getField("_url")))
+
+
 def _rss_entries(feed: Column) -> Column:
     none = F.lit(None).cast("string")
 
     def entry(i: Column) -> Column:
-        contents = F.concat(
-            F.coalesce(i.getField("media:content"), F.array().cast("array<struct<_url:string,_type:string>>")),
-            F.coalesce(i.enclosure, F.array().cast("array<struct<_url:string,_type:string>>")),
-        )
-        thumbs = F.transform(i.getField("media:thumbnail"), lambda t: t.getField("_url"))
-        media = F.array(
-            F.struct(
-                _strings(thumbs).alias("thumbnails"),
-                F.transform(
-                    contents, lambda c: F.struct(c.getField("_url").alias("url"), c.getField("_type").alias("content_type"))
-                ).alias("content"),
-            )
-        )
         creators = _strings(i.getField("dc:creator"))
         bylines = F.filter(F.concat(F.array(i.author), creators), lambda a: a.isNotNull())
         return _entry(
@@ -106,7 +145,7 @@ def _rss_entries(feed: Column) -> Column:
             authors=bylines,
             published=F.coalesce(_timestamp(i.pubDate), _timestamp(i.getField("dc:date"))),
             updated=F.lit(None).cast("timestamp"),
-            media=media.cast(MEDIA),
+            media=_media(i, i.enclosure),
         )
 
     return F.transform(feed.channel.item, entry)
@@ -123,7 +162,7 @@ def _atom_entries(feed: Column) -> Column:
             authors=_strings(F.transform(e.author, lambda a: a.getField("name"))),
             published=_timestamp(e.published),
             updated=_timestamp(e.updated),
-            media=F.array().cast(MEDIA),
+            media=_media(e),
         )
 
     return F.transform(feed.entry, entry)
@@ -158,13 +197,13 @@ def label_loads(snapshots: DataFrame) -> DataFrame:
 
 def read_release_lines(spark: SparkSession, path: str) -> DataFrame:
     """Release metadata: 11 tab-separated fields, blank lines skipped."""
-    return tidy_release_lines(spark.read.csv(path, sep="\t", schema=schemas.RELEASE_LINE))
+    return tidy_release_lines(spark.read.csv(path, sep="\t", schema=schemas.RELEASE_LINE, quote="", escape=""))
 
 
 def decode_release_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """The same from a text column."""
     kept = lines.where(F.trim(F.regexp_replace(line, r"\s+", " ")) != "")
-    fields = F.from_csv(F.col(line), schemas.RELEASE_LINE, {"sep": "\t"})
+    fields = F.from_csv(F.col(line), schemas.RELEASE_LINE, {"sep": "\t", "quote": "", "escape": ""})
     others = [c for c in lines.columns if c != line]
     return tidy_release_lines(kept.select(*others, fields.alias("f")).select(*others, "f.*"))
 
@@ -193,15 +232,17 @@ def release_batch(
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a catalogue document ``{"items": [...]}``."""
+    """Items of catalogue documents ``{"items": [...]}``; a document that cannot be read is an error."""
     documents = spark.read.text(path, wholetext=True)
     return decode_catalog(documents, "value")
 
 
 def decode_catalog(documents: DataFrame, text: str = "value") -> DataFrame:
-    items = F.from_json(F.col(text), f"items array<struct<{_fields(schemas.RELEASE)}>>")
+    """One row per item; a text that is no catalogue ends the job instead of passing for an empty one."""
+    parsed = F.from_json(F.col(text), f"items array<struct<{_fields(schemas.RELEASE)}>>")
+    items = F.coalesce(parsed.getField("items"), F.raise_error(F.lit("not a catalogue document")))
     others = [c for c in documents.columns if c != text]
-    return explode_once(documents.select(*others, items.getField("items").alias("__i")), "__i", "i", "i.*")
+    return explode_once(documents.select(*others, items.alias("__i")), "__i", "i", "i.*")
 
 
 def _fields(ddl: str) -> str:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-FEED = (
-    "feed_id bigint, feed_url string, company_id bigint, host_header string, fetchprotection smallint, "
-    "etag string, last_update timestamp, last_db_article_published_at timestamp"
-)
 TASK_PAYLOAD = (
     "job_id string, requested_at timestamp, ingest boolean, feeds array<struct<feed_id: bigint, feed_url: string, "
     "company_id: bigint, host_header: string, fetchprotection: smallint, etag: string, last_update: timestamp, "
@@ -18,10 +14,6 @@ LEASE = (
     "lease_id string, trace_id string, task_type string, worker_version string, task_id bigint, execution_id bigint, "
     "payload_ref string, payload string, expires_at timestamp, signed_at timestamp, nonce string, signature string"
 )
-SOURCE = (
-    "feed_id bigint, source_pos bigint, title string, url string, summary string, authors array<string>, "
-    "published_at timestamp, image_url string"
-)
 STATUS_SNAPSHOT = (
     "app_version string, worker_type string, acceleration_mode string, execution_backend string, pid bigint, "
     "phase string, server_connection string, started_at timestamp, last_updated_at timestamp, "
@@ -41,16 +33,18 @@ RELEASE = (
     "runtime_bundle string, download_auth string, download_url string, release_notes_url string, "
     "published_at string, storage_relative_path string"
 )
-# One landed feed body, RSS 2.0 or Atom, as the XML reader sees it.
-RSS_FEED = (
+# Media elements, which stand in RSS items and Atom entries alike, alone or in groups.
+_MEDIA_CONTENT = "array<struct<_url: string, _type: string, `media:thumbnail`: array<struct<_url: string>>>>"
+_MEDIA = (
+    f"`media:thumbnail`: array<struct<_url: string>>, `media:content`: {_MEDIA_CONTENT}, "
+    f"`media:group`: array<struct<`media:thumbnail`: array<struct<_url: string>>, `media:content`: {_MEDIA_CONTENT}>>"
+)
+# One landed feed body as the XML reader sees it: ``channel`` is there for RSS 2.0, the rest for Atom.
+FEED_BODY = (
     "channel struct<lastBuildDate: string, pubDate: string, item: array<struct<title: string, link: string, "
     "description: string, `content:encoded`: string, pubDate: string, `dc:date`: string, author: string, "
-    "`dc:creator`: array<string>, `media:thumbnail`: array<struct<_url: string>>, "
-    "`media:content`: array<struct<_url: string, _type: string>>, "
-    "enclosure: array<struct<_url: string, _type: string>>>>>"
-)
-ATOM_FEED = (
-    "updated string, entry array<struct<title: string, link: array<struct<_href: string, _rel: string>>, "
+    f"`dc:creator`: array<string>, enclosure: array<struct<_url: string, _type: string>>, {_MEDIA}>>>, "
+    "id string, title string, updated string, entry array<struct<title: string, link: array<struct<_href: string, _rel: string>>, "
     "summary: string, content: struct<_VALUE: string, _type: string, _src: string>, published: string, "
-    "updated: string, author: array<struct<name: string>>>>"
+    f"updated: string, author: array<struct<name: string>>, {_MEDIA}>>"
 )

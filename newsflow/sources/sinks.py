@@ -7,90 +7,74 @@ from pyspark.sql import functions as F
 
 from newsflow.functions.text import rfc3339
 from newsflow.operators.releases import order_catalog
-from newsflow.operators.tasks import (
-    FEEDS_PER_PART,
-    SOURCES_PER_PART,
-    TASK,
-    dedup_counts,
-    dedup_groups,
-    dedup_sources,
-    feed_part,
-    source_part,
-)
+from newsflow.operators.tasks import TASK, dedup_counts, dedup_groups, dedup_sources
 
 CONTRACT_VERSION = "rss-worker-result"  # fixed value
-PART = [*TASK, "part", "source_part"]
 
 
-def task_result_events(
-    results: DataFrame, sources: DataFrame, sources_per_part: int = SOURCES_PER_PART
-) -> DataFrame:
-    """Feed results with their deduplicated sources nested, one row per (task, feed_index, source_part)."""
+def with_text_times(df: DataFrame) -> DataFrame:
+    """Timestamps as the text that stands in documents."""
+    times = [f.name for f in df.schema if f.dataType.typeName() == "timestamp"]
+    return df.withColumns({c: rfc3339(F.col(c)) for c in times}) if times else df
+
+
+def task_result_events(results: DataFrame, sources: DataFrame) -> DataFrame:
+    """Feed results with their deduplicated sources nested in order, one row per (task, feed_index)."""
     slot = [*TASK, "feed_index"]
     document = F.struct(
         "source_pos", "title", "url", "summary", "authors", rfc3339(F.col("published_at")).alias("published_at"), "image_url"
     )
-    nested = (
-        dedup_sources(sources)
-        .groupBy(*slot, source_part(sources_per_part).alias("source_part"))
-        .agg(F.array_sort(F.collect_list(document)).alias("__s"))
-    )
+    nested = dedup_sources(sources).groupBy(*slot).agg(F.array_sort(F.collect_list(document)).alias("__s"))
     none = F.array().cast(nested.schema["__s"].dataType)
-    rows = results.join(nested, slot, "left").withColumn("source_part", F.coalesce("source_part", F.lit(0)))
-    listed = F.transform(F.coalesce("__s", none), lambda s: s.dropFields("source_pos"))
-    return rows.withColumn("sources", listed).drop("__s")
-
-
-def task_result_payloads(
-    results: DataFrame,
-    sources: DataFrame,
-    feeds_per_part: int = FEEDS_PER_PART,
-    sources_per_part: int = SOURCES_PER_PART,
-) -> DataFrame:
-    """Result documents of every task as JSON.
-
-    ``results``: task key, feed_index and result columns. ``sources``: task key, feed_index and source columns.
-    A task of up to ``feeds_per_part`` feeds with up to ``sources_per_part`` entries each gives one document.
-    A larger one gives numbered parts, each with its own events and dedup groups and all with the task's
-    totals; together they hold every row, and none grows with the task.
+    rows = with_text_times(results).join(nested, slot, "left")
+    return rows.withColumn("sources", F.transform(F.coalesce("__s", none), lambda s: s.dropFields("source_pos"))).drop("__s")
+
+
+def task_result_payloads(results: DataFrame, sources: DataFrame) -> DataFrame:
+    """Result document of every task as JSON: one lease in, one document out, whatever its size.
+
+    ``results``: task key, feed_index and result columns. ``sources``: task key, feed_index and source columns. A document
+    holds what the lease asked for, and the lease stood in one row as well; everything before this last step is in long
+    form.
     """
-    events = task_result_events(results, sources, sources_per_part)
-    value = [c for c in events.columns if c not in (*TASK, "feed_index", "source_part")]
+    events = task_result_events(results, sources)
+    value = [c for c in events.columns if c not in (*TASK, "feed_index")]
     event = F.struct("feed_index", F.struct(*value).alias("event"))
-    by_part = events.groupBy(*TASK, feed_part(feeds_per_part).alias("part"), "source_part").agg(
+    by_task = events.groupBy(*TASK).agg(
         F.array_sort(F.collect_list(event), lambda a, b: (a.feed_index - b.feed_index).cast("int")).alias("__e")
     )
-    parts = {"part": feed_part(feeds_per_part), "source_part": source_part(sources_per_part)}
-    group = F.struct("dedup_key", "reason", "kept_url", "dropped_urls")
+    dropped = F.transform(F.array_sort(F.collect_list(F.struct("feed_index", "source_pos", "dropped_url"))), lambda d: d.dropped_url)
     groups = (
-        dedup_groups(sources, TASK, parts).groupBy(*PART).agg(F.array_sort(F.collect_list(group)).alias("groups"))
+        dedup_groups(sources)
+        .groupBy(*TASK, "dedup_key")
+        .agg(F.first("reason").alias("reason"), F.first("kept_url").alias("kept_url"), dropped.alias("dropped_urls"))
+        .groupBy(*TASK)
+        .agg(F.array_sort(F.collect_list(F.struct("dedup_key", "reason", "kept_url", "dropped_urls"))).alias("groups"))
     )
     none = F.array().cast(groups.schema["groups"].dataType)
-    rows = by_part.join(groups, PART, "full_outer").join(dedup_counts(sources, TASK), TASK, "left")
+    rows = by_task.join(groups, TASK, "full_outer").join(dedup_counts(sources, TASK), TASK, "left")
     counts = [
         F.coalesce(F.col(n), F.lit(0)).alias(n) for n in ("input_candidates", "output_candidates", "duplicates_dropped")
     ]
     dedup = F.struct(F.lit("task").alias("scope"), *counts, F.coalesce("groups", none).alias("groups"))
-    result_events = F.transform(F.coalesce("__e", F.array().cast(by_part.schema["__e"].dataType)), lambda e: e.event)
+    result_events = F.transform(F.coalesce("__e", F.array().cast(by_task.schema["__e"].dataType)), lambda e: e.event)
     payload = F.struct(
         F.lit(CONTRACT_VERSION).alias("contract_version"),
         result_events.alias("result_events"),
         dedup.alias("local_dedup"),
     )
-    return rows.select(*PART, F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
+    return rows.select(*TASK, F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
 
 
-def embedding_payloads(vectors: DataFrame, sources_per_part: int = SOURCES_PER_PART) -> DataFrame:
-    """Embedding documents of every task, ``{"sources": [{id, embedding}]}``, in parts of bounded size.
+def embedding_payloads(vectors: DataFrame) -> DataFrame:
+    """Embedding document of every task, ``{"sources": [{id, embedding}]}``, in order of position.
 
-    ``vectors``: task key, source_pos, id, embedding.
+    ``vectors``: task key, source_pos, id, embedding; one lease in, one document out.
     """
     item = F.struct("source_pos", F.struct("id", F.col("embedding").cast("array<double>").alias("embedding")).alias("s"))
-    rows = vectors.groupBy(*TASK, source_part(sources_per_part).alias("part")).agg(
-        F.array_sort(F.collect_list(item)).alias("__i")
-    )
+    rows = vectors.groupBy(*TASK).agg(F.array_sort(F.collect_list(item)).alias("__i"))
     payload = F.struct(F.transform("__i", lambda i: i.s).alias("sources"))
-    return rows.select(*TASK, "part", F.to_json(payload).alias("payload"))
+    return rows.select(*TASK, F.to_json(payload).alias("payload"))
 
 
 def write_payloads(payloads: DataFrame, path: str, mode: str = "append") -> None:
@@ -102,6 +86,19 @@ def write_embeddings(vectors: DataFrame, path: str, mode: str = "append") -> Non
     vectors.withColumn("embedding", F.col("embedding").cast("array<double>")).write.mode(mode).parquet(path)
 
 
+def catalog_documents(items: DataFrame) -> DataFrame:
+    """Catalogue items in total order as documents ``{"items": [...]}``, one for each partition of the order.
+
+    Read one after another, in order of the files, the documents are the whole catalogue; a small one is one document.
+    """
+    rows = order_catalog(items).withColumn("__at", F.monotonically_increasing_id())
+    item = F.struct("__at", F.struct(*items.columns).alias("item"))
+    part = F.shiftright("__at", 33).alias("part")
+    gathered = rows.groupBy(part).agg(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["item"]).alias("items"))
+    document = F.to_json(F.struct("items"), {"ignoreNullFields": "true"})
+    return gathered.select("part", document.alias("value"))
+
+
 def write_catalog(items: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Catalogue items in total order, one JSON object per line over range-partitioned files."""
-    order_catalog(items).write.mode(mode).option("ignoreNullFields", "true").json(path)
+    """The catalogue in the form that ``read_catalog`` reads."""
+    catalog_documents(items).orderBy("part").select("value").write.mode(mode).text(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsflow.operators import releases
@@ -29,9 +30,15 @@ def test_feed_files(spark, tmp_path):
     (tmp_path / "rss.xml").write_text(RSS)
     (tmp_path / "atom.xml").write_text(ATOM)
     (tmp_path / "junk.xml").write_text("not a feed")
+    late = f"<!-- {'x' * 3000} -->" + ATOM.split("?>")[1]
+    group = '<media:group><media:content url="https://y/v"/><media:thumbnail url="https://y/g.png"/></media:group></entry>'
+    (tmp_path / "late.xml").write_text(late.replace("</entry>", group).replace('Atom"', 'Atom" xmlns:media="m"'))
+    (tmp_path / "odd.xml").write_text(RSS.replace("<title>c<", "<title><![CDATA[a <feed > b]]><"))
     bodies = readers.read_feed_files(spark, str(tmp_path)).withColumn("feed", F.substring_index("path", "/", -1)).drop("path")
     rows = {(r.feed, r.entry_pos): r for r in readers.parse_feeds(bodies).collect()}
-    assert set(rows) == {("rss.xml", 0), ("rss.xml", 1), ("atom.xml", 0)}
+    names = {("rss.xml", 0), ("rss.xml", 1), ("atom.xml", 0), ("late.xml", 0), ("odd.xml", 0), ("odd.xml", 1)}
+    assert set(rows) == names
+    assert [m.thumbnails for m in rows["late.xml", 0].media] == [[], ["https://y/g.png"]]
     one = rows["rss.xml", 0]
     assert (one.title, one.links[0].strip(), one.summary) == ("One", "https://x/1", "<p>Hi</p>")
     assert one.content_body == '<img src="https://x/i.jpg">'
@@ -48,17 +55,18 @@ def test_feed_files(spark, tmp_path):
 
 
 def test_task_payloads(spark, tmp_path):
-    payload = {"job_id": "j", "requested_at": "2024-01-01T00:00:00Z", "ingest": True, "feeds": [{"feed_id": 1, "feed_url": "u"}, {"feed_id": 2, "feed_url": "v", "etag": "e"}]}
+    payload = {"job_id": "j", "requested_at": "2024-01-01T00:00:00Z", "ingest": True, "feeds": [{"feed_id": 1, "feed_url": "u", "fetchprotection": 1}, {"feed_id": 2, "feed_url": "v", "fetchprotection": 1, "etag": "e"}]}
     lines = [
         {"task_id": 1, "execution_id": 7, "lease_id": "l", "payload": json.dumps(payload)},
         {"task_id": 2, "execution_id": 7, "lease_id": "m", "payload": "{broken"},
         {"task_id": 3, "execution_id": 7, "lease_id": "n", "payload": json.dumps({**payload, "feeds": []})},
+        {"task_id": 4, "execution_id": 7, "lease_id": "o", "payload": json.dumps({**payload, "feeds": [{"feed_id": 1, "feed_url": "u"}]})},
     ]
     (tmp_path / "leases.json").write_text("\n".join(map(json.dumps, lines)))
     rows = readers.decode_feed_tasks(readers.read_leases(spark, str(tmp_path))).collect()
     good = sorted((r.task_id, r.feed_index, r.feed_id, r.etag) for r in rows if not r.decode_error)
     assert good == [(1, 0, 1, None), (1, 1, 2, "e")]
-    assert [r.task_id for r in rows if r.decode_error] == [2]
+    assert [r.task_id for r in rows if r.decode_error] == [2, 4]
 
 
 def test_status_files(spark, tmp_path):
@@ -91,11 +99,23 @@ def test_release_round_trip(spark, tmp_path):
     catalog = readers.read_catalog(spark, str(tmp_path / "catalog.json"))
     merged = releases.upsert_catalog(catalog, batch)
     sinks.write_catalog(merged, str(tmp_path / "out"))
-    written = [json.loads(x) for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
+    texts = [p.read_text() for p in sorted((tmp_path / "out").glob("part-*")) if p.stat().st_size]
+    written = [item for text in texts for item in json.loads(text)["items"]]
     assert [(w["artifact_name"], w["latest_version"], w["minimum_supported_version"]) for w in written] == [
         ("plain.tar", "1.0.0", "0.9.0"), ("old-1.4.2.tar", "1.4.2", "1.4.2"), ("new-2.0.0.tar", "2.0.0", "2.0.0"),
     ]
     assert releases.upsert_catalog(readers.empty_catalog(spark), batch).count() == 1
+    # What was written is the catalogue of the next release.
+    again = readers.read_catalog(spark, str(tmp_path / "out"))
+    assert again.count() == 3
+    newer = batch.withColumns({"artifact_name": F.lit("new-3.0.0.tar"), "latest_version": F.lit("3.0.0")})
+    sinks.write_catalog(releases.upsert_catalog(again, newer), str(tmp_path / "out2"))
+    names = {r.artifact_name for r in readers.read_catalog(spark, str(tmp_path / "out2")).collect()}
+    assert names == {"plain.tar", "old-1.4.2.tar", "new-2.0.0.tar", "new-3.0.0.tar"}
+    with pytest.raises(Exception, match="not a catalogue"):
+        readers.decode_catalog(spark.createDataFrame([("{broken",)], "value string")).collect()
+    quoted = readers.decode_release_lines(spark.createDataFrame([('"a\tb\tc"\td\te\tf\tg\th\ti\tj\tk',)], "line string"))
+    assert quoted.select("source_path", "family", "product").first() == ('"a', "b", 'c"')
 
 
 def test_embedding_sink(spark, tmp_path):

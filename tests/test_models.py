@@ -175,7 +175,7 @@ def model_dedup(rows):
     return groups, kept
 
 
-def test_dedup_report_equals_the_walk_in_any_parts(spark):
+def test_dedup_report_equals_the_walk(spark):
     rows = random_sources(random.Random(6))
     groups, kept = model_dedup(rows)
     df = spark.createDataFrame(rows, "task_id int, execution_id int, feed_index int, source_pos int, url string")
@@ -183,13 +183,11 @@ def test_dedup_report_equals_the_walk_in_any_parts(spark):
     flagged = tasks.dedup_sources(df, keep_dropped=True)
     assert flagged.count() == len(rows)
     assert flagged.where("kept").count() == len(kept)
-    for size in (3, 200):
-        parts = tasks.dedup_groups(df, parts={"part": tasks.feed_part(size)}).orderBy("part").collect()
-        got = defaultdict(list)
-        for r in parts:
-            assert r.kept_url == groups[r.task_id, r.dedup_key][0]
-            got[r.task_id, r.dedup_key] += r.dropped_urls
-        assert got == {k: v[1] for k, v in groups.items() if v[1]}
+    got = defaultdict(list)
+    for r in tasks.dedup_groups(df).orderBy("feed_index", "source_pos").collect():
+        assert r.kept_url == groups[r.task_id, r.dedup_key][0]
+        got[r.task_id, r.dedup_key].append(r.dropped_url)
+    assert got == {k: v[1] for k, v in groups.items() if v[1]}
     counts = {r.task_id: (r.input_candidates, r.output_candidates, r.duplicates_dropped) for r in tasks.dedup_counts(df).collect()}
     for task, (n_in, n_out, n_drop) in counts.items():
         assert n_in == sum(r[0] == task for r in rows)
@@ -197,7 +195,7 @@ def test_dedup_report_equals_the_walk_in_any_parts(spark):
         assert n_drop == n_in - n_out
 
 
-def test_result_documents_hold_every_row_in_any_parts(spark):
+def test_result_documents_hold_every_row(spark):
     import json
 
     rows = random_sources(random.Random(7), 300)
@@ -209,25 +207,23 @@ def test_result_documents_hold_every_row_in_any_parts(spark):
     )
     slots = {(r[0], 1, r[2]) for r in rows} | {(9, 1, 0)}
     results = spark.createDataFrame(sorted(slots), "task_id int, execution_id int, feed_index int").withColumn("status", F.lit("success"))
-    for feeds, per in ((200, 1_000_000), (2, 50)):
-        documents = sinks.task_result_payloads(results, df, feeds, per).collect()
-        urls, dropped, events = set(), defaultdict(list), set()
-        for d in sorted(documents, key=lambda d: (d.part, d.source_part)):
-            body = json.loads(d.payload)
-            assert list(body) == ["contract_version", "result_events", "local_dedup"]
-            assert body["local_dedup"]["input_candidates"] == sum(r[0] == d.task_id for r in rows)
-            for e in body["result_events"]:
-                events.add(d.task_id)
-                urls |= {(d.task_id, s["url"]) for s in e["sources"]}
-                assert all(s["published_at"] == "2024-01-01T00:00:00Z" for s in e["sources"])
-            for g in body["local_dedup"]["groups"]:
-                dropped[d.task_id, g["dedup_key"]] += g["dropped_urls"]
-        assert events == {s[0] for s in slots}
-        assert urls == {(k[0], groups[k][0]) for k in groups}
-        assert {k: sorted(v) for k, v in dropped.items()} == {k: sorted(v[1]) for k, v in groups.items() if v[1]}
-        if feeds == 200:
-            assert len(documents) == len({s[0] for s in slots})
-            assert dict(dropped) == {k: v[1] for k, v in groups.items() if v[1]}
+    results = results.withColumn("new_last_update", F.lit("2024-01-01 10:00:00.1234").cast("timestamp"))
+    documents = sinks.task_result_payloads(results, df).collect()
+    urls, dropped, events = set(), defaultdict(list), set()
+    for d in documents:
+        body = json.loads(d.payload)
+        assert list(body) == ["contract_version", "result_events", "local_dedup"]
+        assert body["local_dedup"]["input_candidates"] == sum(r[0] == d.task_id for r in rows)
+        for e in body["result_events"]:
+            events.add(d.task_id)
+            urls |= {(d.task_id, s["url"]) for s in e["sources"]}
+            assert all(s["published_at"] == "2024-01-01T00:00:00Z" for s in e["sources"])
+            assert e["new_last_update"] == "2024-01-01T10:00:00.123400Z"
+        for g in body["local_dedup"]["groups"]:
+            dropped[d.task_id, g["dedup_key"]] += g["dropped_urls"]
+    assert events == {s[0] for s in slots} and len(documents) == len(events)
+    assert urls == {(k[0], groups[k][0]) for k in groups}
+    assert dict(dropped) == {k: v[1] for k, v in groups.items() if v[1]}
 
 
 def test_admissions_equal_the_queue_walk(spark):
@@ -311,3 +307,51 @@ def test_pooling_and_padding(spark):
         (2, [0], [0], [0]),
         (3, [0, 1, 2, 3], [1, 1, 1, 1], [0, 0, 0, 0]),
     ]
+
+
+def test_running_totals_with_null_keys_and_without_overflow(spark):
+    from newsflow.plans.scan import position_segment, running
+
+    rows = [(k, i, 2**62) for k in (None, "a") for i in range(6)]
+    df = spark.createDataFrame(rows, "k string, i int, v bigint")
+    got = running(df, ["k"], ["i"], position_segment(F.col("i"), 2), total={"n": F.lit(1), "t": F.col("v")}).collect()
+    assert sorted((r.k or "", r.i, r.n) for r in got) == sorted((k or "", i, i + 1) for k, i, _ in rows)
+    assert all(r.t == min((r.i + 1) * 2**62, 2**63 - 1) for r in got)
+
+
+def test_a_failing_batch_stays_alone(spark):
+    from newsflow.operators import embed
+
+    def make():
+        def model(texts):
+            if "bad" in texts:
+                raise RuntimeError("model broke")
+            return [[float(len(t))] for t in texts]
+
+        return model
+
+    df = spark.createDataFrame([(i, "bad" if i == 5 else "x" * i) for i in range(12)], "i int, passage string").coalesce(1)
+    got = {r.i: (r.embedding, r.failure) for r in embed.embed(df, make, 3, error="failure").collect()}
+    assert [i for i, (v, _) in got.items() if v is None] == [3, 4, 5]
+    assert {e for _, e in got.values()} == {None, "model broke"} and got[7][0] == [7.0]
+    plan = embed.embed(df, make, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    with pytest.raises(Exception, match="size 3, expected 2"):
+        states = spark.createDataFrame([(1, True, [1.0, 2.0, 3.0])], "doc int, mask boolean, vector array<double>")
+        embed.mean_pool(states.withColumn("mask", F.lit(1)), 2, ["doc"]).collect()
+
+
+def test_hosts_versions_and_idle_queue(spark):
+    from newsflow.functions.text import host_of
+    from newsflow.operators import releases
+
+    texts = ["not a host", "EXA%4dple.com", "https://u:p@Bücher.example:8080/x", "[::1]:80", "a.b/c d", "https://", "bad%2Fhost", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.h for r in df.select(host_of(F.col("t")).alias("h")).collect()] == [
+        None, "example.com", "xn--bcher-kva.example", "[::1]", "a.b", None, None, None,
+    ]
+    order = ["1.0.0-rc.1", "1.0.0", "1.0.0+2", "1.0.0+10", "1.0.0+a", "1.0.1"]
+    rows = spark.createDataFrame([(v,) for v in reversed(order)], "v string").orderBy(releases.semver(F.col("v")))
+    assert [r.v for r in rows.collect()] == order
+    slots = spark.createDataFrame([], "task_id int, execution_id int, job_id string, feed_index int, feed_id int, feed_url string, host_key string, state string")
+    assert tasks.queue_totals(slots).first().current_task_label is None
