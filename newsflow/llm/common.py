@@ -35,6 +35,11 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(stored: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A stored table of narrow rows in as many partitions as its row count needs; one partition saves its shuffles."""
+    return stored.coalesce(1 + stored.count() // rows)
+
+
 def literal_rows(spark: SparkSession, rows: str, schema: str) -> DataFrame:
     """A small table from JSON text, made by Spark itself."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(rows), f"array<struct<{schema}>>")))

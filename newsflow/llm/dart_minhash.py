@@ -30,6 +30,8 @@ U64 = np.uint64
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 6
+BLOCK = 128  # members of a bucket that meet as many others in one group
+LOTS = 4  # members compared in the second turn
 BASE = 0x9E3779B97F4A7C15
 CHUNK_WORDS = 400_000  # words handled together in a task
 
@@ -176,29 +178,74 @@ def bands_of(texts: DataFrame, bands: int, rows: int) -> DataFrame:
     )
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are at least so similar."""
-    both = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b"
-    )
+def occurrences(texts: DataFrame) -> DataFrame:
+    """(rid, units): 32-bit hashes of every shingle with the number of its occurrence, all different."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, own = None, None
         for batch in batches:
-            keep = []
-            for a, x, y in zip(batch["a"], batch["text_a"], batch["text_b"]):
-                if last is None or a != last:
-                    last, own = a, shingles(x)
-                keep.append(similarity(own, shingles(y)) >= least)
-            yield batch.loc[keep, ["a", "b"]]
+            units = []
+            for text in batch["text"]:
+                _, key, level = weighted([shingles(text)])
+                units.append(np.unique((common.mix(key + common.mix(level.astype(U64) + U64(1))) >> U64(32)).astype(np.uint32).view(np.int32)))
+            yield pd.DataFrame({"rid": batch["rid"], "units": units})
+
+    return texts.select("rid", "text").mapInPandas(run, "rid binary, units array<int>")
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary")
+
+def verified(pairs: DataFrame, units: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts are at least so similar: common occurrences over all."""
+    both = pairs.join(units.select(F.col("rid").alias("a"), F.col("units").alias("x")), "a").join(
+        units.select(F.col("rid").alias("b"), F.col("units").alias("y")), "b"
+    )
+    common_ = F.size(F.array_intersect("x", "y"))
+    return both.where(common_ >= least * (F.size("x") + F.size("y") - common_)).select("a", "b")
+
+
+def bucket_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the pivots of each bucket with its members of other classes."""
+    pivots = members.where("pivot").select("band", F.col("rid").alias("a"), F.col("root").alias("ra"))
+    return (
+        members.join(pivots, "band")
+        .where(F.col("root") != F.col("ra"))
+        .select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b"))
+        .distinct()
+    )
+
+
+def within(members: DataFrame, units: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the pivots of a bucket and its other members, for turns with many pivots.
+
+    A bucket is cut into blocks of about ``BLOCK`` members; every pair of blocks is one group, to which the members bring
+    their units once instead of once for each pair.
+    """
+    rows = members.join(units, "rid").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    kept = ("band", "rid", "root", "units")
+    asked = rows.where("pivot").select(*kept, F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("asks"))
+    others = rows.select(*kept, every.alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"))
+
+    def compare(met: pd.DataFrame) -> pd.DataFrame:
+        left, right, a, b = met[met["asks"]], met[~met["asks"]], [], []
+        if len(left) and len(right):
+            sizes = right["units"].map(len).to_numpy()
+            owner, flat = np.repeat(np.arange(len(right)), sizes), np.concatenate(right["units"].to_list())
+            for rid, root, own in zip(left["rid"], left["root"], left["units"]):
+                at = np.minimum(np.searchsorted(own, flat), max(len(own) - 1, 0))
+                both = np.bincount(owner[own[at] == flat], minlength=len(right))
+                for k in np.flatnonzero(both >= least * (len(own) + sizes - both)):
+                    if right["root"].iloc[k] != root:
+                        a.append(rid)
+                        b.append(right["rid"].iloc[k])
+        return pd.DataFrame({"a": a, "b": b})
+
+    return asked.unionByName(others).groupBy("band", "i", "j").applyInPandas(compare, "a binary, b binary")
 
 
 def next_turn(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     """What remains of the buckets that still hold several classes, with the members to be compared next.
 
-    Second come 15 members by lot. From then on all members outside the bucket's largest class are compared with all
+    Second come a few members by lot. From then on all members outside the bucket's largest class are compared with all
     others, after which no bucket holds a pair that is neither compared nor joined.
     """
     now = members.select("band", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left")
@@ -213,10 +260,10 @@ def next_turn(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
         F.max(F.struct("size", "root")).alias("top"),
     )
     if turn == 1:
-        pivot = (F.col("luck") == F.col("least")) | ((F.col("luck") / 2.0**64 + 0.5) * F.col("n") < 15)
+        pivot = (F.col("luck") == F.col("least")) | ((F.col("luck") / 2.0**64 + 0.5) * F.col("n") < LOTS)
     else:
         pivot = F.col("root") != F.col("top.root")
-    return now.join(buckets.where("r0 != r1"), "band").select("band", "rid", "root", pivot.alias("pivot"))
+    return now.join(buckets.where("r0 != r1"), "band").select("band", "rid", "root", "n", pivot.alias("pivot"))
 
 
 def digest(text: str) -> Column:
@@ -253,24 +300,22 @@ def classes(
         .distinct()
     )
     near = texts.join(members.select("rid").distinct(), "rid", "left_semi")
-    texts = common.store(near.groupBy("rid").agg(F.first("text").alias("text")))
+    units = common.store(occurrences(near.groupBy("rid").agg(F.first("text").alias("text"))))
     roots, turn = None, 0  # (node, root, size) of the classes known so far; a text that is not in it is its own
     while members.limit(1).count():
-        pivots = members.where("pivot").select("band", F.col("rid").alias("a"), F.col("root").alias("ra"))
-        pairs = (
-            members.join(pivots, "band")
-            .where(F.col("root") != F.col("ra"))
-            .select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b"))
-            .distinct()
-        )
-        links = verified(pairs, texts, least)
+        narrow = common.sized(members)
+        if turn > 1:
+            links = within(members, units, least).distinct()
+        else:
+            pairs = bucket_pairs(narrow)
+            links = verified(common.store(pairs), units, least)
         if roots is not None:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         found = components(links)
         sizes = found.groupBy("root").agg(F.count("*").alias("size"))
         roots = common.store(found.join(sizes, "root").select("node", "root", "size"))
         turn += 1
-        members = common.store(next_turn(members.where(~F.col("pivot")), roots, turn))
+        members = common.store(next_turn(narrow.where(~F.col("pivot")), common.sized(roots), turn))
     if roots is None:
         known = firsts.withColumn("root", F.col("rid"))
     else:
