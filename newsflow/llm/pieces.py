@@ -28,8 +28,8 @@ from newsflow.llm import common
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
-WORDS_KEPT = 700_000  # encodings remembered in each of two generations
-PAIRS_KEPT = 1_000_000
+WORDS_KEPT = 400_000  # encodings remembered in each of two generations
+PAIRS_KEPT = 500_000
 
 
 class Remembered(dict):

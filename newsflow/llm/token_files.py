@@ -40,7 +40,7 @@ class Encoder:
     Texts that hold other white space around a space are encoded whole.
     """
 
-    KEPT = 700_000  # parts remembered in each of two generations
+    KEPT = 400_000  # parts remembered in each of two generations
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
