@@ -49,13 +49,14 @@ DOMAIN = (
 NAME_WORD = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+(?:[-'’][A-Za-zÀ-ÖØ-öø-ÿ]+)*\z"
 INITIALS = r"^(?:[A-Za-zÀ-ÖØ-öø-ÿ]\.)+(?:-[A-Za-zÀ-ÖØ-öø-ÿ]\.)*\z"
 
-PREPOSITIONS = "in at a au aux en dans depuis sur".split()
-CUTOFFS = PREPOSITIONS + (
-    "aumonier aumoniere diocese editor editors edited executive producer producers reporter regional "
-    "regionale special speciale speciales specialiste correspondance correspondant correspondante "
-    "hospital hopital bureau"
-).split()
-PARTICLES = "de du des del della di da van von bin ibn al la le".split()
+PREPOSITIONS = ["in", "at", "a", "au", "aux", "en", "dans", "depuis", "sur"]
+CUTOFFS = [
+    *PREPOSITIONS,
+    "aumonier", "aumoniere", "diocese", "editor", "editors", "edited", "executive", "producer", "producers", "reporter",
+    "regional", "regionale", "special", "speciale", "speciales", "specialiste", "correspondance", "correspondant",
+    "correspondante", "hospital", "hopital", "bureau",
+]
+PARTICLES = ["de", "du", "des", "del", "della", "di", "da", "van", "von", "bin", "ibn", "al", "la", "le"]
 # -------------------------------------------------------------------------------------------------
 
 

@@ -25,10 +25,10 @@ from newsflow.functions.text import (
 )
 
 # ---- fixed values: tags that separate words -------------------------------------------------------
-BREAK_TAGS = (
-    "article aside blockquote br div figcaption figure footer h1 h2 h3 h4 h5 h6 header hr img li ol p "
-    "section tr ul"
-).split()
+BREAK_TAGS = [
+    "article", "aside", "blockquote", "br", "div", "figcaption", "figure", "footer", "h1", "h2", "h3", "h4", "h5", "h6",
+    "header", "hr", "img", "li", "ol", "p", "section", "tr", "ul",
+]
 # -------------------------------------------------------------------------------------------------
 
 # Unicode non-characters: they cannot occur in interchanged text, so they can mark tag ends.

@@ -202,4 +202,4 @@ def release_notice(classified: DataFrame, name: Column) -> DataFrame:
 
 
 def fleet_summary(classified: DataFrame) -> DataFrame:
-    return classified.groupBy("status").agg(F.count("*").alias("workers"))
+    return classified.groupBy("status").agg(F.count("*").alias("installs"))

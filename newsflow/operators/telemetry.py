@@ -23,16 +23,23 @@ TONE_PRIORITY = {"danger": 4, "warning": 3, "neutral": 2, "success": 1}
 ERROR_LABELS = [
     (
         "Invalid API key",
-        "invalid_worker_api_key|invalid api key|api error (401)|api error (403)|not authorized|forbidden",
+        ("invalid_worker_api_key", "invalid api key", "api error (401)", "api error (403)", "not authorized", "forbidden"),
     ),
-    ("Invalid API URL", "builder error|api error (404)|not found|relative url|invalid url"),
-    ("Request timeout", "timed out|timeout"),
+    ("Invalid API URL", ("builder error", "api error (404)", "not found", "relative url", "invalid url")),
+    ("Request timeout", ("timed out", "timeout")),
     (
         "Backend offline",
-        "error sending request|connection refused|dns error|failed to lookup|tcp connect|backend unreachable",
+        (
+            "error sending request",
+            "connection refused",
+            "dns error",
+            "failed to lookup",
+            "tcp connect",
+            "backend unreachable",
+        ),
     ),
-    ("Backend unavailable", "api error (5|bad gateway|service unavailable|internal server error"),
-    ("Invalid response", "response decode|invalid json|invalid response"),
+    ("Backend unavailable", ("api error (5", "bad gateway", "service unavailable", "internal server error")),
+    ("Invalid response", ("response decode", "invalid json", "invalid response")),
 ]
 KIND_LABELS = {
     "json": "Invalid response",
@@ -404,7 +411,7 @@ def error_label(detail: Column, fallback: str) -> Column:
     def label(text: Column) -> Column:
         out = F.lit(fallback)
         for name, cues in reversed(ERROR_LABELS):
-            found = reduce(lambda a, b: a | b, [F.contains(text, F.lit(cue)) for cue in cues.split("|")])
+            found = reduce(lambda a, b: a | b, [F.contains(text, F.lit(cue)) for cue in cues])
             out = F.when(found, name).otherwise(out)
         return out
 
@@ -456,7 +463,7 @@ def top_notice(notices: DataFrame, now: Column, worker: str = "worker") -> DataF
 
 
 def alert_rows(snapshots: DataFrame, now: Column) -> DataFrame:
-    """Notices of workers in error phase or with a lost server; stale workers raise none."""
+    """Notices of sessions in error phase or with a lost server; stale ones raise none."""
     fresh = ~is_stale(F.col("last_updated_at"), now)
     text = F.when(F.col("phase") == "error", error_label(F.col("last_error"), "Worker error")).when(
         F.col("server_connection") == "disconnected", error_label(F.col("last_error"), "Backend offline")

@@ -211,12 +211,15 @@ def assemble_sources(spark: SparkSession, sf: str) -> DataFrame:
 )
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Entries to cleaned sources, deduplicated over the feeds of a task, counted per feed."""
-    sources = assembled(spark, sf).withColumns({"task_id": F.col("feed_id") % 5, "feed_index": F.col("feed_id")})
+    sources = assembled(spark, sf).select(
+        "feed_id", "source_pos", "url", F.length("summary").alias("chars"), (F.col("feed_id") % 5).alias("task_id"),
+        F.col("feed_id").alias("feed_index"),
+    )
     rows = tasks.dedup_sources(sources, ["task_id"], keep_dropped=True)
     return rows.groupBy("feed_id").agg(
         F.count("*").alias("input_candidates"),
         F.count_if("kept").alias("kept"),
-        F.sum(F.when(F.col("kept"), F.length("summary")).otherwise(0)).cast("bigint").alias("kept_chars"),
+        F.sum(F.when(F.col("kept"), F.col("chars")).otherwise(0)).cast("bigint").alias("kept_chars"),
     )
 
 

@@ -111,7 +111,7 @@ def preserved_repair(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _installed(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers as workers with an installed version and a manifest key; some versions do not parse."""
+    """Customers as installs with a version and a manifest key; some versions do not parse."""
     [suppliers] = load(spark, sf, "customer")
     n = F.col("c_custkey")
     version = F.concat_ws(".", (n % 3).cast("string"), (n % 12).cast("string"), (n % 10).cast("string"))
@@ -185,6 +185,6 @@ def fleet_view(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("i6_fleet_summary", f"SELECT status, count(*) AS workers FROM ({_CHECK}) GROUP BY status")
+@query("i6_fleet_summary", f"SELECT status, count(*) AS installs FROM ({_CHECK}) GROUP BY status")
 def fleet_summary(spark: SparkSession, sf: str) -> DataFrame:
     return releases.fleet_summary(releases.check_releases(_installed(spark, sf), _manifests(spark, sf, None)))
