@@ -45,6 +45,13 @@ def literal_rows(spark: SparkSession, rows: str, schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(rows), f"array<struct<{schema}>>")))
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches cut into smaller ones, so that a task holds few texts and results at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers (a bijection)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

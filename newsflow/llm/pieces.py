@@ -28,7 +28,7 @@ from newsflow.llm import common
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
-WORDS_KEPT = 400_000  # encodings remembered in each of two generations
+WORDS_KEPT = 250_000  # encodings remembered in each of two generations
 PAIRS_KEPT = 500_000
 
 
@@ -168,20 +168,25 @@ def compile_model(path: str) -> Transducer:
     return Transducer(pieces, byte_ids)
 
 
-def _mapped(df: DataFrame, model: Transducer, source: str, target: str, kind: str, work) -> DataFrame:
-    """``df`` with a column more, made from ``source`` by ``work(transducer, arrow array)``."""
-    kept = df.drop(target) if target != source else df
+def _mapped(df: DataFrame, model: Transducer, source: str, made: dict[str, str], work) -> DataFrame:
+    """``df`` with more columns (name: type), made from ``source`` by ``work(transducer, arrow array)``."""
+    kept = df.drop(*(c for c in made if c != source))
     place = [f.name for f in kept.schema].index(source)
     plain = [(p, s, i) for (p, s), i in zip(model.scores.items(), model.ids.values())]
     known = df.sparkSession.sparkContext.broadcast((plain, model.byte_ids))  # the model: its vocabulary's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Transducer(*known.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, work(own, batch.column(place))], [*batch.schema.names, target])
+        for batch in common.slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *work(own, batch.column(place))], [*batch.schema.names, *made])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{schema}, `{target}` {kind}")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
+    return kept.mapInArrow(run, ", ".join([*fields, *(f"`{n}` {t}" for n, t in made.items())]))
+
+
+def _listed(rows: list[bytes]) -> pa.Array:
+    offsets = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
 
 
 def encode(docs: DataFrame, model: Transducer, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -190,12 +195,10 @@ def encode(docs: DataFrame, model: Transducer, text_col: str = "text", ids_col:
     NULL and empty texts have no ids. Other columns pass, one named ``ids_col`` is replaced; an empty table stays one.
     """
 
-    def work(own: Transducer, texts: pa.Array) -> pa.Array:
-        rows = [own.encode(t) for t in texts.to_pylist()]
-        offsets = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+    def work(own: Transducer, texts: pa.Array) -> list[pa.Array]:
+        return [_listed([own.encode(t) for t in texts.to_pylist()])]
 
-    return _mapped(docs, model, text_col, ids_col, "array<int>", work)
+    return _mapped(docs, model, text_col, {ids_col: "array<int>"}, work)
 
 
 def decode(docs: DataFrame, model: Transducer, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -204,10 +207,24 @@ def decode(docs: DataFrame, model: Transducer, ids_col: str = "ids", text_col: s
     The text of encoded ids is the text that was encoded, but that U+2581 comes back as a space.
     """
 
-    def work(own: Transducer, ids: pa.Array) -> pa.Array:
-        return pa.array([own.decode(i or []) for i in ids.to_pylist()], pa.string())
+    def work(own: Transducer, ids: pa.Array) -> list[pa.Array]:
+        return [pa.array([own.decode(i or []) for i in ids.to_pylist()], pa.string())]
+
+    return _mapped(docs, model, ids_col, {text_col: "string"}, work)
+
+
+def encode_checked(docs: DataFrame, model: Transducer, text_col: str = "text") -> DataFrame:
+    """``docs`` with ids and round_trip: whether decoding the ids gives the text back, in one pass."""
+
+    def work(own: Transducer, texts: pa.Array) -> list[pa.Array]:
+        rows, same = [], []
+        for text in texts:
+            said = text.as_py() or ""
+            rows.append(own.encode(said))
+            same.append(own.decode(np.frombuffer(rows[-1], "<i4").tolist()) == said.replace(SPACE, " "))
+        return [_listed(rows), pa.array(same, pa.bool_())]
 
-    return _mapped(docs, model, ids_col, text_col, "string", work)
+    return _mapped(docs, model, text_col, {"ids": "array<int>", "round_trip": "boolean"}, work)
 
 
 def coded(docs: DataFrame) -> DataFrame:
@@ -215,14 +232,8 @@ def coded(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     model = compile_model(public_tokenizers.path("piece_bpe_32k.model"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    back = decode(encode(docs.select("doc_id", "text"), model), model)
-    return back.select(
-        "doc_id",
-        F.size("ids").alias("n_tokens"),
-        "ids",
-        (F.col("decoded") == F.replace(text, F.lit(SPACE), F.lit(" "))).alias("round_trip"),
-    )
+    rows = encode_checked(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", F.size("ids").alias("n_tokens"), "ids", "round_trip")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -96,7 +96,7 @@ def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     def run(batches):
         work = make()
-        for batch in batches:
+        for batch in common.slices(batches):
             yield from work(batch)
 
     return df.mapInArrow(run, schema)
