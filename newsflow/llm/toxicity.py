@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from newsflow.llm import common
 
-MAX_ROWS = 20_000  # labelled rows the model is fitted on
+MAX_ROWS = 12_000  # labelled rows the model is fitted on
 MAX_FEATURES = 4_096
 MIN_ROWS = 5  # training rows that must hold a feature
 MAX_SHARE = 0.2  # of the training rows that may hold it: function words say how long a text is, not what
@@ -66,31 +66,29 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -500, 500)))
 
 
-def fit(rows: list[list[tuple[int, int]]], grades: np.ndarray, n_features: int, l2: float = 1e-3, steps: int = 800):
+def fit(row: np.ndarray, col: np.ndarray, count: np.ndarray, grades: np.ndarray, n_features: int, l2: float = 1e-3, steps: int = 800):
     """Weights and thresholds of the proportional-odds model, by accelerated gradient descent.
 
-    ``rows`` holds (feature, count) pairs; ``grades`` are 0 to K - 1. The loss is that of the K - 1 binary questions
+    Row ``row[i]`` holds feature ``col[i]`` ``count[i]`` times; ``grades`` of the rows are 0 to K - 1. The loss is that of the K - 1 binary questions
     "is the grade above j", which share the weights; the thresholds are kept in order by positive gaps. Rows of the
     rarer side of each question weigh as much in all as those of the other side.
     """
     levels = int(grades.max(initial=0))
     if levels == 0:
         return np.zeros(n_features), np.array([20.0])
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.array([f for r in rows for f, _ in r], dtype=np.int64)
-    val = np.log1p(np.array([c for r in rows for _, c in r], dtype=float))
+    val, n_rows = np.log1p(count.astype(float)), len(grades)
     above = np.array([grades > j for j in range(levels)])
     share = np.clip(above.mean(axis=1, keepdims=True), 1e-6, 1 - 1e-6)
-    balance = np.where(above, 0.5 / share, 0.5 / (1 - share)) / len(rows) / levels
+    balance = np.where(above, 0.5 / share, 0.5 / (1 - share)) / n_rows / levels
     w, raw = np.zeros(n_features), np.zeros(levels)
     w_old, raw_old = w, raw
-    norm = max(1.0, np.bincount(row, val * val, len(rows)).max(initial=1.0))
+    norm = max(1.0, np.bincount(row, val * val, n_rows).max(initial=1.0))
     rate = 3.0 / (norm + levels + 1)
     for step in range(steps):
         momentum = step / (step + 3)
         yw, yr = w + momentum * (w - w_old), raw + momentum * (raw - raw_old)
         theta = np.concatenate([yr[:1], yr[:1] + np.cumsum(np.exp(yr[1:]))])
-        score = np.bincount(row, yw[col] * val, len(rows))
+        score = np.bincount(row, yw[col] * val, n_rows)
         p = 1 / (1 + np.exp(-np.clip(score[None, :] - theta[:, None], -500, 500)))
         gap = (p - above) * balance
         gw = np.bincount(col, gap.sum(axis=0)[row] * val, n_features) + l2 * yw
@@ -172,8 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
     bad = sample["toxic"].to_numpy() > 0
     severe = sample["cues"].to_numpy() >= max(2, np.median(sample["cues"].to_numpy()[bad]))
     grades = bad.astype(int) + (bad & severe)
-    pairs = [list(zip(c, v)) for c, v in zip(sample["col"], sample["val"])]
-    weights, thresholds = fit(pairs, grades, len(index))
+    row = np.repeat(np.arange(len(sample)), sample["col"].map(len).to_numpy())
+    col, val = (np.concatenate([*sample[c], np.empty(0, np.int32)]).astype(np.int32) for c in ("col", "val"))
+    weights, thresholds = fit(row, col, val, grades, len(index))
     return Model({f: float(weights[i]) for f, i in index.items()}, thresholds)
 
 
