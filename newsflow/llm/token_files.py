@@ -40,7 +40,7 @@ class Encoder:
     Texts that hold other white space around a space are encoded whole.
     """
 
-    KEPT = 400_000  # parts remembered in each of two generations
+    KEPT = 700_000  # parts remembered in each of two generations
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -75,13 +75,14 @@ class Encoder:
         first, *rest = text.split(" ")
         if not first or first[-1].isspace():
             return self.ids(text).tobytes()
-        new = list(set(rest).difference(self.known))
-        if new:
-            if not self.learn(new):
+        got = [*map(self.known.get, rest)]
+        if None in got:
+            new = list({p for p, g in zip(rest, got) if g is None})
+            full = len(self.known) + len(new) > self.KEPT
+            if not self.learn(list(set(rest)) if full else new):
                 return self.ids(text).tobytes()
-            if not self.known.keys() >= set(rest):  # a generation has just ended
-                self.learn(list(set(rest).difference(self.known)))
-        return self.ids(first).tobytes() + b"".join(map(self.known.__getitem__, rest))
+            got = map(self.known.__getitem__, rest)
+        return self.ids(first).tobytes() + b"".join(got)
 
 
 @dataclass
@@ -129,44 +130,45 @@ def repair(tokens: np.ndarray, ends: np.ndarray, first: int) -> tuple[Grammar, n
     A round counts the pairs in a table, takes the most frequent and replaces them from left to right; new symbols take
     part in the next round.
     """
-    symbols, ends = tokens.astype(np.int64), ends.copy()
+    symbols, ends = tokens.astype(np.uint32), ends.copy()
     rules, lengths = [], []
     made = 0
-    holder = np.empty(1 << SLOTS, np.int64)
+    left_of, right_of = np.zeros((2, (1 << SLOTS) + 1), np.uint32)
     for turn_ in range(ROUNDS):
         if len(symbols) < 2:
             break
-        code = (symbols[:-1] << 32) | symbols[1:]
-        factor = np.uint64((0x9E3779B97F4A7C15 * (2 * turn_ + 1)) % 2**64)
-        slot = (code.view(np.uint64) * factor >> np.uint64(64 - SLOTS)).astype(np.int64)
+        left, right = symbols[:-1], symbols[1:]
+        slot = left * np.uint32(0x9E3779B1 ^ (turn_ << 8)) + right * np.uint32(0x85EBCA77)
+        slot = ((slot ^ (slot >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - SLOTS)
+        slot[ends[:-1]] = 1 << SLOTS
         # One pair stands for each slot of the table; another one in the same slot waits for the next round.
-        open_ = np.flatnonzero(~ends[:-1])
-        holder[slot[open_]] = code[open_]
-        at = open_[holder[slot[open_]] == code[open_]]
-        count = np.bincount(slot[at], minlength=1 << SLOTS)
+        left_of[slot], right_of[slot] = left, right
+        at = np.flatnonzero((left_of[slot] == left) & (right_of[slot] == right) & (slot < 1 << SLOTS))
+        slot = slot[at]
+        count = np.bincount(slot, minlength=1 << SLOTS)
         best = np.flatnonzero(count >= MIN_PAIRS)
         if not len(best):
             break
         best = best[np.argsort(-count[best], kind="stable")[:ROUND_RULES]]
-        number = np.full(1 << SLOTS, -1)
-        number[best] = np.arange(len(best))
-        rule = number[slot[at]]
+        number = np.full(1 << SLOTS, -1, np.int32)
+        number[best] = np.arange(len(best), dtype=np.int32)
+        rule = number[slot]
         at, rule = at[rule >= 0], rule[rule >= 0]
         # Of neighbouring places take every second one, from the left.
         fresh = np.append(True, np.diff(at) > 1)
         run = np.flatnonzero(fresh)
         turn = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
         at, rule = at[turn % 2 == 0], rule[turn % 2 == 0]
-        used, rule = np.unique(rule, return_inverse=True)
-        pair = holder[best[used]]
-        pair = np.stack([pair >> 32, pair & 0xFFFFFFFF], axis=1)
+        seen = np.bincount(rule, minlength=len(best)) > 0
+        used, rule = np.flatnonzero(seen), (np.cumsum(seen) - 1)[rule]
+        pair = np.stack([left_of[best[used]], right_of[best[used]]], axis=1).astype(np.int64)
         known = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
         size = np.ones(pair.shape, np.int64)
         inner = pair >= first
         size[inner] = known[pair[inner] - first]
         rules.append(pair)
         lengths.append(size.sum(axis=1))
-        symbols[at] = first + made + rule
+        symbols[at] = (first + made + rule).astype(np.uint32)
         ends[at] = ends[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
@@ -174,7 +176,7 @@ def repair(tokens: np.ndarray, ends: np.ndarray, first: int) -> tuple[Grammar, n
         made += len(used)
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
     sizes = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
-    return Grammar(first, table, sizes, symbols), np.flatnonzero(ends) + 1
+    return Grammar(first, table, sizes, symbols.astype(np.int64)), np.flatnonzero(ends) + 1
 
 
 def write_shards(docs: DataFrame, tokenizer: str, path: str, parts: int, id_col: str = "doc_id", text_col: str = "text") -> None:
