@@ -9,10 +9,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from newsflow.plans import registry
 from newsflow.plans.inputs import TABLES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 # Python runs only where Spark has no built-in: inference, canonical number text, greedy walk, keyed state.
 PYTHON = {"f3_embed", "g1_canonical_payload", "g2_signatures", "h3_throttle"}
 
@@ -58,6 +59,11 @@ def test_query(spark, duck, name):
     assert rows_of(got) == rows_of(expected)
 
 
+def test_every_query_is_registered():
+    assert entry_points.queries().keys() >= QUERIES.keys()
+    assert entry_points.oracle_sql().items() >= ORACLES.items()
+
+
 def test_flagship(spark):
     assert entry_points.entry(spark).count() > 0
 
