@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-A word is what stands between white space, in lower case and without ASCII punctuation. Of every few consecutive three-word runs of a test item those are
-seeds that hardly more documents hold than the rarest of them, so every part of an item keeps a seed, however often it
-was copied. A
-document that holds a seed is aligned with the item around it; the score is that of the best local alignment, divided
-by that of the item with itself. A copy with words changed, inserted or left out keeps a high score.
+A word is what stands between white space, in lower case and without ASCII punctuation. Every run of three consecutive
+words of a test item is a seed, however many documents hold it. A document that holds a seed is aligned with the item
+around it; the score is that of the best local alignment, divided by that of the item with itself. A copy with words
+changed, inserted or left out keeps a high score. Regions that share too few words with the item to reach the score
+asked for are not aligned; equal regions are aligned once.
 
 The test items are read in blocks of at most ``BLOCK_WORDS`` words, so what the tasks get is bounded; a larger benchmark
-takes more passes over the documents. One pass counts in how many documents the runs occur, one aligns.
+takes more passes over the documents.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from newsflow.llm import common
 
 U64 = np.uint64
 GRAM = 3  # words of a seed
-NEAR = 3  # consecutive runs of an item of which the rare ones are seeds
-FACTOR, SLACK = 3, 8  # documents that hold a seed: at most FACTOR times those of the rarest, plus SLACK
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5  # score from which a document counts as contaminated
 BLOCK_WORDS = 1_000_000
@@ -93,65 +91,68 @@ class Items:
     """A block of test items with their seeds."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.words, self.grams = [], [], []
+        self.ids, self.words, self.bags, grams = [], [], [], []
         for item, text in rows:
             words = words_of(text)
             if len(words):
                 self.ids.append(item)
                 self.words.append(words)
-                self.grams.append(grams_of(words, min(GRAM, len(words))))
-        self.all = Lookup(np.concatenate(self.grams) if self.grams else np.empty(0, U64))
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
-
-    def choose(self, held: dict[int, int]) -> None:
-        """Seeds by the number of documents that hold each run (``held``, by index; missing: none)."""
-        seeds: dict[int, set] = {}
-        for i, grams in enumerate(self.grams):
-            index = np.searchsorted(self.all.keys, grams)
-            for at in range(max(1, len(grams) - NEAR + 1)):
-                near = range(at, min(at + NEAR, len(grams)))
-                count = [held.get(int(index[p]), 0) for p in near]
-                for place, n in zip(near, count):
-                    if n <= FACTOR * min(count) + SLACK:
-                        seeds.setdefault(int(grams[place]), set()).add((i, place))
-        self.seeds = {g: sorted(s) for g, s in seeds.items()}
-        self.rare = Lookup(np.array(sorted(self.seeds), dtype=U64))
-        self.at = [self.seeds[int(k)] for k in self.rare.keys]
+                self.bags.append(np.unique(words, return_counts=True))
+                grams.append(grams_of(words, min(GRAM, len(words))))
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        every = np.concatenate(grams) if grams else np.empty(0, U64)
+        self.seeds = Lookup(every)
+        # where each seed stands: entries first[k] to first[k + 1] of item and offset
+        order = np.argsort(every, kind="stable")
+        self.first = np.append(np.searchsorted(every[order], self.seeds.keys), len(every))
+        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
+        self.offset = np.concatenate([*(np.arange(len(g)) for g in grams), np.empty(0, np.int64)]).astype(np.int64)[order]
+
+    def regions(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first word, end word) around the seeds in a text, overlapping ones of an item as one."""
+        lengths = np.minimum(GRAM, self.sizes)
+        for n in np.unique(lengths):
+            place, key = self.seeds(grams_of(hashes, int(n)))
+            if not len(place):
+                continue
+            held = self.first[key + 1] - self.first[key]
+            at = np.repeat(self.first[key] - np.cumsum(held) + held, held) + np.arange(held.sum())
+            item, start = self.item[at], np.repeat(place, held) - self.offset[at]
+            fits = lengths[item] == n
+            item, start = item[fits], start[fits]
+            slack = 4 + self.sizes[item] // 4
+            low = np.maximum(0, start - slack)
+            high = np.minimum(len(hashes), start + self.sizes[item] + slack)
+            order = np.lexsort((low, item))
+            item, low, high = item[order], low[order], high[order]
+            apart = item * (len(hashes) + 1)  # regions of two items never touch
+            reach = np.maximum.accumulate(high + apart)
+            new = np.flatnonzero(np.append(True, (low + apart)[1:] > reach[:-1])) if len(item) else item
+            yield from zip(item[new].tolist(), low[new].tolist(), (reach[np.append(new[1:], len(item)) - 1] - apart[new]).tolist())
+
+    def shared(self, item: int, part: np.ndarray) -> int:
+        """Words that the item and ``part`` have in common, repeats included: no alignment matches more."""
+        words, most = self.bags[item]
+        at = np.minimum(np.searchsorted(words, part), len(words) - 1)
+        return int(np.minimum(np.bincount(at[words[at] == part], minlength=len(words)), most).sum())
 
     def matches(self, hashes: np.ndarray, least: float, memory: dict) -> list[tuple[int, float, int, int]]:
         """(item id, score, first word, end word) of the best alignment with each item that reaches ``least``."""
-        lengths = {min(GRAM, len(w)) for w in self.words}
-        regions: dict[int, list[list[int]]] = {}
-        for n in lengths:
-            for place, key in zip(*self.rare(grams_of(hashes, n))):
-                for item, offset in self.at[key]:
-                    size = len(self.words[item])
-                    if min(GRAM, size) != n:
-                        continue
-                    slack = 4 + size // 4
-                    low = max(0, int(place) - offset - slack)
-                    high = min(len(hashes), int(place) - offset + size + slack)
-                    spans = regions.setdefault(item, [])
-                    if spans and low <= spans[-1][1]:
-                        spans[-1][0], spans[-1][1] = min(low, spans[-1][0]), max(high, spans[-1][1])
-                    else:
-                        spans.append([low, high])
-        out = []
-        for item, spans in sorted(regions.items()):
-            full, best = MATCH * len(self.words[item]), (0, 0, 0)
-            for low, high in spans:
-                part = hashes[low:high]
-                key = item, part.tobytes()
-                if key not in memory:
-                    if len(memory) > 20_000:
-                        memory.clear()
-                    memory[key] = align(self.words[item], part)
-                score, first, end = memory[key]
-                if score > best[0]:
-                    best = score, low + first, low + end
-            if best[0] >= least * full:
-                out.append((self.ids[item], best[0] / full, best[1], best[2]))
-        return out
+        found: dict[int, tuple[int, int, int]] = {}
+        for item, low, high in self.regions(hashes):
+            part = hashes[low:high]
+            if MATCH * self.shared(item, part) < least * MATCH * len(self.words[item]):
+                continue
+            key = item, part.tobytes()
+            if key not in memory:
+                if len(memory) > 20_000:
+                    memory.clear()
+                memory[key] = align(self.words[item], part)
+            score, first, end = memory[key]
+            if score > found.get(item, (0,))[0]:
+                found[item] = score, low + first, low + end
+        full = {i: MATCH * len(self.words[i]) for i in found}
+        return [(self.ids[i], s / full[i], a, b) for i, (s, a, b) in sorted(found.items()) if s >= least * full[i]]
 
 
 def blocks_of(benchmark: DataFrame) -> Iterator[Items]:
@@ -167,23 +168,6 @@ def blocks_of(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(rows)
 
 
-def holders(docs: DataFrame, items: Items) -> dict[int, int]:
-    """In how many documents each run of the items occurs (at most as many numbers as the block has words)."""
-    known = docs.sparkSession.sparkContext.broadcast(items.all)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = known.value
-        counts = np.zeros(len(find.keys), np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                counts[np.unique(find(grams_of(words_of(text)))[1])] += 1
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"run": at, "n": counts[at]})
-
-    found = docs.select("text").mapInPandas(run, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
-    return {r.run: r.n for r in found.toLocalIterator()}
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, score, first_word, end_word): documents with a passage of a test item, one row for each item.
 
@@ -196,7 +180,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: s
     schema = f"id {docs.schema['id'].dataType.simpleString()}, item_id bigint, score double, first_word int, end_word int"
     out = docs.sparkSession.createDataFrame([], schema)
     for items in blocks_of(benchmark):
-        items.choose(holders(docs, items))
         known = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:

@@ -142,6 +142,29 @@ def test_leaks(spark, documents, prose):
     assert decontamination.leaks(documents(rows), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("step, verbatim", [(4, 0), (5, 0), (5, 3)])
+def test_many_copies_of_one_edited_item(spark, documents, prose, step, verbatim):
+    item = prose(40, 71)
+    words = item.split()
+    for k in range(step - 1, len(words), step):
+        words[k] = "changed"
+    rows = [(i, f"{prose(30, 200 + i)} {' '.join(words)} {prose(10, 300 + i)}") for i in range(50)]
+    rows += [(100 + i, item) for i in range(verbatim)] + [(200 + i, prose(60, 400 + i)) for i in range(5)]
+    bench = spark.createDataFrame([(1, item), (2, prose(25, 72))], "item_id bigint, text string")
+    got = decontamination.leaks(documents(rows), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, 1) for i in [*range(50), *range(100, 100 + verbatim)]]
+    assert all(r.score >= 0.6 for r in got)
+
+
+def test_bound_of_alignment():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        item = rng.integers(0, 9, rng.integers(1, 14))
+        items = decontamination.Items([(0, " ".join(map(str, item)))])
+        part = decontamination.words_of(" ".join(map(str, rng.integers(0, 9, 20))))
+        assert decontamination.align(items.words[0], part)[0] <= decontamination.MATCH * items.shared(0, part)
+
+
 ODD = ["", " ", "  ", "a  b   c ", "\x00\ttab\nnew", "x \n y\n\nz  \t w", " lead", "don't 'll we've a's", "日本 語🙂 é̈\xa0q",
        "<|endoftext|> a <|endoftext|>b", "▁x▁▁y", "<s></s><unk><0x0A>", "a" * 60 + " " + "ab" * 40, "  p \x85 s \x1c t"]
 
