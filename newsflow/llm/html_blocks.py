@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +25,38 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr".split()
 )
-DROPPED = frozenset("script style noscript template textarea select option iframe object svg math head title".split())
+MATH = frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup "
+    "msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mlabeledtr maction semantics".split()
+)
+INLINE |= MATH
+RAW = frozenset("script style textarea title iframe".split())  # hold no elements: read up to the own end tag
+DROPPED = frozenset("noscript template select datalist optgroup option object svg annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th".split())  # closed by what follows, not kept on the stack
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PLAIN = HEADINGS | frozenset("p li dt dd tr td th".split())  # may end without an end tag
+ENDS_P = HEADINGS | frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form header hgroup "
+    "hr main menu nav ol p pre section summary table ul li dd dt".split()
+)
+BOUNDS = frozenset(
+    "ul ol menu dir dl table caption td th article section main aside nav header footer form fieldset blockquote figure "
+    "details dialog body html button".split()
+)  # what starts or ends inside them closes nothing outside
+TABLE, GROUPS, CELLS = frozenset(["table"]), frozenset("caption colgroup thead tbody tfoot".split()), frozenset(["td", "th"])
+IMPLIED = {t: [(frozenset(["p"]), BOUNDS | DROPPED), (frozenset(["option"]), BOUNDS)] for t in ENDS_P}  # ends by a start tag
+IMPLIED |= {
+    "li": [(frozenset(["li"]), BOUNDS | DROPPED), *IMPLIED["li"]],
+    "dt": [(frozenset(["dt", "dd"]), BOUNDS | DROPPED), *IMPLIED["dt"]],
+    "dd": [(frozenset(["dt", "dd"]), BOUNDS | DROPPED), *IMPLIED["dd"]],
+    "td": [(CELLS, TABLE | {"tr"})],
+    "th": [(CELLS, TABLE | {"tr"})],
+    "tr": [(frozenset(["tr"]), TABLE), (CELLS, TABLE), (frozenset(["caption", "colgroup"]), TABLE)],
+    "option": [(frozenset(["option"]), frozenset("select datalist optgroup".split()))],
+    "optgroup": [(frozenset([t]), frozenset("select datalist".split())) for t in ("optgroup", "option")],
+    "body": [(frozenset(["head"]), frozenset())],
+} | {t: [(GROUPS, TABLE), (frozenset(["tr"]), TABLE), (CELLS, TABLE)] for t in GROUPS}
+HTML = ENDS_P | BOUNDS | PLAIN | GROUPS | INLINE - frozenset("a font".split())  # ends an svg without an end tag
 BOILERPLATE_TAGS = frozenset("nav header footer aside form dialog menu button fieldset".split())
 ARTICLE_TAGS = frozenset("article main".split())
 BOILERPLATE_WORDS = frozenset(
@@ -45,6 +75,7 @@ TAG = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in RAW}
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -79,12 +110,95 @@ def hint(tag: str, attributes: str, outer: int) -> int:
     return 1 if any(w in ARTICLE_WORDS for w in said) else 0
 
 
+class Open:
+    """Open elements of a page, outermost first, each with a value."""
+
+    def __init__(self):
+        self.names, self.values, self.count = [], [], Counter()
+
+    def push(self, tag: str, value) -> None:
+        self.names.append(tag)
+        self.values.append(value)
+        self.count[tag] += 1
+
+    def cut(self, size: int) -> None:
+        for tag in self.names[size:]:
+            self.count[tag] -= 1
+        del self.names[size:], self.values[size:]
+
+    def find(self, wanted: frozenset, bounds: frozenset) -> int:
+        """Place of the innermost element of ``wanted`` that is not outside one of ``bounds``, or -1."""
+        if any(self.count[t] for t in wanted):
+            for i in range(len(self.names) - 1, -1, -1):
+                if self.names[i] in wanted:
+                    return i
+                if self.names[i] in bounds:
+                    break
+        return -1
+
+    def start(self, tag: str) -> None:
+        """Close what a start tag closes."""
+        for wanted, bounds in IMPLIED.get(tag, ()):
+            if (at := self.find(wanted, bounds)) >= 0:
+                self.cut(at)
+        if tag in HEADINGS and self.names and self.names[-1] in HEADINGS:
+            self.cut(len(self.names) - 1)
+
+    def end(self, tag: str):
+        """Close what an end tag closes; the value of its element, or None."""
+        bounds = frozenset() if tag not in PLAIN else TABLE if tag in ("td", "th", "tr") else BOUNDS
+        at = self.find(HEADINGS if tag in HEADINGS else frozenset([tag]), bounds)
+        if at < 0:
+            return None
+        value = self.values[at]
+        self.cut(at)
+        return value
+
+
+def tokens(page: str) -> list[tuple[int, int, bool, str, str]]:
+    """Tags and comments in page order: start, end, is end tag, element, attributes. Without element: nothing but a gap."""
+    out, at = [], 0
+    while m := TAG.search(page, at):
+        at = m.end()
+        closing, tag, attributes = m[1] or m[4], (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
+        if tag in RAW:
+            if not closing and not attributes.endswith("/"):
+                over = RAW_END[tag].search(page, at)
+                at = over.end() if over else len(page)
+            tag = ""
+        out.append((m.start(), at, bool(closing), tag, attributes))
+    return out
+
+
+def own_ends(found: list[tuple[int, int, bool, str, str]]) -> dict[int, int]:
+    """Start tags and their end tags by place; without those that are closed by what follows or by their parent's end."""
+    ends: dict[int, int] = {}
+    stack = Open()
+    for i, (_, _, closing, tag, attributes) in enumerate(found):
+        if not tag or tag in INLINE:
+            continue
+        if closing:
+            if (begin := stack.end(tag)) is not None:
+                ends[begin] = i
+            continue
+        stack.start(tag)
+        if tag not in VOID and not (tag in DROPPED and attributes.endswith("/")):
+            stack.push(tag, i)
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
-    """Flat text blocks in page order, white space folded, without empty ones."""
+    """Flat text blocks in page order, white space folded, without empty ones.
+
+    Elements of ``DROPPED`` are left out up to their own end tag; without one, they end with the first block-level tag.
+    """
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, int]] = []  # open containers with the hint that holds in them
-    inside, heading, links, at = 0, 0, 0, 0
+    found = tokens(page)
+    ends = own_ends(found)
+    stack = Open()  # values: the hint that holds in the element, whether it has an own end tag
+    inside, heading, links, at, i = 0, 0, 0, 0, 0
+    left_out = ""  # an element of DROPPED without an own end tag
 
     def end() -> None:
         nonlocal parts
@@ -96,18 +210,30 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(text, words, min(linked, words), inside, heading))
             parts = []
 
-    while m := TAG.search(page, at):
-        if m.start() > at:
-            parts.append((html.unescape(page[at : m.start()]), links > 0))
-        at = m.end()
-        closing, tag, attributes = m[1] or m[4], (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
+    while i < len(found):
+        begin, stop, closing, tag, attributes = found[i]
+        if begin > at and not left_out:
+            parts.append((html.unescape(page[at:begin]), links > 0))
+        at = stop
+        own = ends.get(i)
+        i += 1
         if not tag:
             continue
         if tag in DROPPED:
-            if tag != "head" and not closing and not attributes.endswith("/"):
-                over = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-                at = over.end() if over else len(page)
+            if closing:
+                left_out = ""
+            elif own is not None:
+                at, i = found[own][1], own + 1
+            elif not attributes.endswith("/"):
+                left_out = tag
             continue
+        if left_out == "svg":
+            if tag in HTML or closing and tag == "a":
+                left_out = ""
+            else:
+                continue
+        elif left_out and tag not in INLINE and (tag not in VOID or tag == "hr"):
+            left_out = ""
         if tag == "a":
             links = 0 if closing else 1
         if tag == "br" or tag == "img":
@@ -115,22 +241,20 @@ def blocks(page: str) -> list[Block]:
         if tag in INLINE:
             continue
         end()
-        heading = int(len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() and not closing)
+        heading = int(tag in HEADINGS and not closing)
         links = 0
-        if tag in VOID or tag in PLAIN:
-            if closing:
-                heading = 0
-            continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            stack.end(tag)
         else:
-            said = hint(tag, attributes, inside)
-            stack.append((tag, said or inside))
-        inside = stack[-1][1] if stack else 0
-    if at < len(page):
+            stack.start(tag)
+            if tag in ENDS_P and stack.names and stack.names[-1] in HEADINGS and not stack.values[-1][1]:
+                stack.cut(len(stack.names) - 1)
+            if tag not in VOID:
+                outer = stack.values[-1][0] if stack.names else 0
+                said = 0 if tag in PLAIN else hint(tag, attributes, outer)
+                stack.push(tag, (said or outer, own is not None))
+        inside = stack.values[-1][0] if stack.names else 0
+    if at < len(page) and not left_out:
         parts.append((html.unescape(page[at:]), links > 0))
     end()
     return out

@@ -106,6 +106,36 @@ def test_page_text(spark):
     assert html_blocks.extract(pages.limit(0)).count() == 0
 
 
+TEXT = " ".join(f"word{i}" for i in range(40))
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<form><datalist id=d><option value=a><option value=b></datalist></form>",
+        "<form><select><option>Kept out<option>Kept out</form>",
+        "<option value=a>Kept out",
+        *(f"<div><{t}>Kept out</div>" for t in ("object", "svg", "template", "noscript", "select", "datalist")),
+        "<object data=x><param name=y>Kept out",
+        "<svg><g><path d=x><text>Kept out</text></g>",
+        "<noscript><img src=x>",
+        "<head><noscript><style>x</style></head>",
+        "<div><template><p>Kept out</p><article>Kept out</article></template></div>",
+    ],
+)
+def test_elements_without_end_tag_keep_the_article(before):
+    tree = html_blocks.grow(*html_blocks.training_table())
+    after = "<footer><select><option>English</option></select><object></object><svg></svg><noscript></noscript></footer>"
+    for tail in ("", after):
+        text = html_blocks.main_text(f"<body>{before}<article><h1>Head</h1><p>{TEXT}</p></article>{tail}</body>", tree)[0]
+        assert text == f"Head\n{TEXT}"
+
+
+def test_math_is_text():
+    page = f"<article><p>{TEXT} <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> holds</p></article>"
+    assert [b.text for b in html_blocks.blocks(page)] == [f"{TEXT} x=1 holds"]
+
+
 def test_page_tree_learns_its_table():
     x, y = html_blocks.training_table()
     assert (html_blocks.decide(html_blocks.grow(x, y), x) == y).all()
