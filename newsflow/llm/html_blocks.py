@@ -92,8 +92,12 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
-def hint(tag: str, attributes: str, outer: int) -> int:
-    """What an element says of its content: 1 article, -1 boilerplate, 0 nothing."""
+def hint(tag: str, attributes: str, outer: int, begins: str = "") -> int:
+    """What an element says of its content, which ``begins`` so: 1 article, -1 boilerplate, 0 nothing.
+
+    Headings and terms are often called header, and their ids are often made of their text: neither says anything. Names
+    of paragraphs, headings and list items lift no text out of boilerplate.
+    """
     named = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
     style = named.get("style", "").replace(" ", "").lower()
     if "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in style:
@@ -105,8 +109,15 @@ def hint(tag: str, attributes: str, outer: int) -> int:
     if tag in ARTICLE_TAGS:
         return 1
     said = [w.lower() for k in ("class", "id", "role") for w in NAME_WORDS.findall(named.get(k, ""))]
+    if tag in HEADINGS or tag in ("th", "dt", "dd"):
+        slug = [w.lower() for w in NAME_WORDS.findall(named.get("id", ""))]
+        if slug and slug == [w.lower() for w in NAME_WORDS.findall(begins)][: len(slug)]:
+            said = [w.lower() for k in ("class", "role") for w in NAME_WORDS.findall(named.get(k, ""))]
+        said = [w for w in said if w != "header"]
     if any(w in BOILERPLATE_WORDS for w in said):
         return -1
+    if outer < 0 and tag in PLAIN and tag not in CELLS:
+        return 0
     return 1 if any(w in ARTICLE_WORDS for w in said) else 0
 
 
@@ -251,7 +262,8 @@ def blocks(page: str) -> list[Block]:
                 stack.cut(len(stack.names) - 1)
             if tag not in VOID:
                 outer = stack.values[-1][0] if stack.names else 0
-                said = 0 if tag in PLAIN else hint(tag, attributes, outer)
+                begins = page[stop : max(page.find("<", stop), stop)] if tag in PLAIN and attributes else ""
+                said = hint(tag, attributes, outer, begins)
                 stack.push(tag, (said or outer, own is not None))
         inside = stack.values[-1][0] if stack.names else 0
     if at < len(page) and not left_out:

@@ -131,6 +131,37 @@ def test_elements_without_end_tag_keep_the_article(before):
         assert text == f"Head\n{TEXT}"
 
 
+@pytest.mark.parametrize("says", ['class="advert"', "id=cookieNotice", 'role="search"', "hidden", 'style="display: none"'])
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<p {}>Out of it</p>",
+        "<p {}>Out of it",
+        *(f"<h{n} {{}}>Out of it</h{n}>" for n in range(1, 7)),
+        "<h2 {}>Out of it",
+        "<ul><li {}>Out of it</ul>",
+        "<ul><li {}><p>Out of it</p><div>Out too</div></li></ul>",
+        "<dl><dt {}>Out of it</dl>",
+        "<dl><dd {}>Out of it</dl>",
+        "<table><tr {}><td>Out of it</table>",
+        "<table><tr><td {}>Out of it</table>",
+        "<table><tr><th {}>Out of it</table>",
+    ],
+)
+def test_hints_of_elements_that_end_by_themselves(inner, says):
+    tree = html_blocks.grow(*html_blocks.training_table())
+    page = f"<article><p>{TEXT}</p>{inner.format(says)}<p>{TEXT}</p></article>"
+    assert html_blocks.main_text(page, tree)[0] == f"{TEXT}\n{TEXT}"
+
+
+def test_cells_of_a_table_layout():
+    tree = html_blocks.grow(*html_blocks.training_table())
+    page = f"<form><table><tr><td class=sidebar>{TEXT}<td class=content><p>{TEXT} end<ul><li>One<li class=comment>No<li>Two</ul></table></form>"
+    assert html_blocks.main_text(page, tree)[0] == f"{TEXT} end\nOne\nTwo"
+    page = f"<article><h2 id=discussion class=header>Discussion</h2><p>{TEXT}</p></article><footer><p class=text>{TEXT}</p></footer>"
+    assert html_blocks.main_text(page, tree)[0] == f"Discussion\n{TEXT}"
+
+
 def test_math_is_text():
     page = f"<article><p>{TEXT} <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> holds</p></article>"
     assert [b.text for b in html_blocks.blocks(page)] == [f"{TEXT} x=1 holds"]
