@@ -3,7 +3,7 @@
 Grades 0 (clean), 1 and 2 (severe) are predicted from sparse text features: words and their first four and five
 characters. All thresholds share one weight vector: P(grade > j) = sigmoid(w.x - theta_j) with theta_0 < theta_1. The
 result is the expected grade. Features are chosen by their association with the label, counted in Spark over the
-training rows; the weights are fitted on the same rows, of which there are at most ``max_rows``.
+training rows, equal texts once; the weights are fitted on the same rows, of which there are at most ``max_rows``.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from newsflow.llm import common
 
 MAX_ROWS = 12_000  # labelled rows the model is fitted on
 MAX_FEATURES = 4_096
-MIN_ROWS = 5  # training rows that must hold a feature
-MAX_SHARE = 0.2  # of the training rows that may hold it: function words say how long a text is, not what
+MIN_ROWS = 5  # training rows that must hold a feature, copies included
+MAX_SHARE = 0.2  # of the clean training rows that may hold it: function words say how long a text is, not what
 REJECT = 0.35  # least probability of grade 1 or more
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5)
@@ -103,7 +103,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
     """A model from labelled documents: ``labels`` has doc_id and toxic (0 or 1).
 
     Severity is derived: a toxic row is of grade 2 when it holds at least the median number of toxic cues (features that
-    stand in toxic rows nine times in ten), else of grade 1. At most ``max_rows`` labelled rows are used, chosen by the
+    stand in toxic rows nine times in ten), else of grade 1. Rows of equal text count as one, toxic if any of them is;
+    common words are left out by their share of the clean rows, so none for being common among toxic ones. At most ``max_rows`` labelled rows are used, chosen by the
     hash of their id; without toxic rows the model never rejects.
     """
     spark = docs.sparkSession
@@ -122,27 +123,30 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
                 {
                     "doc_id": batch["doc_id"],
                     "toxic": batch["toxic"],
+                    "copies": batch["copies"],
                     "f": [list(c) for c in got],
                     "n": [list(c.values()) for c in got],
                 }
             )
 
     rows = common.store(
-        docs.select("doc_id", "text")
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # at most max_rows pairs of numbers
-        .mapInPandas(count, "doc_id bigint, toxic int, f array<string>, n array<int>")
+        .groupBy("text")
+        .agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.count("*").alias("copies"))
+        .mapInPandas(count, "doc_id bigint, toxic int, copies bigint, f array<string>, n array<int>")
     )
     toxic = F.col("toxic") > 0
     totals = rows.agg(F.count("*").alias("n"), F.sum(toxic.cast("int")).alias("t")).first()
     if not totals.t:
         return Model({}, np.array([20.0]))
-    table = rows.select(toxic.alias("toxic"), F.explode("f").alias("f")).groupBy("f").agg(
-        F.count("*").alias("n"), F.sum(F.col("toxic").cast("int")).alias("t")
+    table = rows.select(toxic.alias("toxic"), "copies", F.explode("f").alias("f")).groupBy("f").agg(
+        F.count("*").alias("n"), F.sum(F.col("toxic").cast("int")).alias("t"), F.sum("copies").alias("held")
     )
     rate = totals.t / totals.n
     surprise = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate) or 1.0))
     best = (
-        table.where((F.col("n") >= MIN_ROWS) & (F.col("n") <= MAX_SHARE * totals.n))
+        table.where((F.col("held") >= MIN_ROWS) & (F.col("n") - F.col("t") <= MAX_SHARE * (totals.n - totals.t)))
         .orderBy(F.abs(surprise).desc(), "f")
         .limit(max_features)
         .collect()  # at most max_features rows

@@ -206,6 +206,22 @@ def test_toxicity(spark, documents, prose):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_where_toxic_rows_are_common(spark, documents, prose):
+    def text(i):
+        return prose(60, i) + (" blorg snarfed" if i % 20 < 7 else "")
+
+    rows = [(i, text(i)) for i in range(240)]
+    train, held = [i for i in range(240) if i % 3], [i for i in range(240) if i % 3 == 0]
+    labels = [(i, 1, int(i % 20 < 7)) for i in train]
+    copies = [(1000 + i, prose(60, 999) + " vextor") for i in range(150)]  # a hot group of toxic copies
+    for group in ([], copies):
+        docs = documents(rows + group)
+        marks = spark.createDataFrame(labels + [(i, 1, 1) for i, _ in group], "doc_id bigint, quality int, toxic int")
+        got = {r.doc_id: r.tox_rejected for r in toxicity.score(docs, toxicity.train(docs, marks)).collect()}
+        assert all(got[i] == (i % 20 < 7) for i in held)
+        assert all(got[i] for i, _ in group)
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 6, 400)
