@@ -1,7 +1,8 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
 The terms of a text are the shapes of its words, of neighbouring words and of its lines, repeats included: whatever the
-language, prose and junk differ in how they are set. Terms are hashed into a fixed number of columns, weighted by tf-idf
+language, prose and junk differ in how they are set. A word of a long shape gives a term for each piece of it, and one for
+its length. Terms are hashed into a fixed number of columns, weighted by tf-idf
 and projected on the leading singular vectors of a sample of labelled rows. Labelled vectors are broadcast (at most
 ``max_rows``); every document is compared with all of them by blocked matrix products, and its nearest ones vote for
 their label with their cosine as weight.
@@ -13,6 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,41 +30,65 @@ NEIGHBOURS = 25
 BLOCK = 512  # documents of one matrix product
 CUT = 0.3
 RUN = re.compile(r"(.)\1+")
+PIECE = 12  # shape characters of a term
+
+
+LONG = 64  # characters from which a word is shaped by arrays and not remembered
+
+
+def kind(c: str) -> str:
+    return "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
 
 
 def shape(word: str) -> str:
-    """Upper-case letters as X, others as x, digits as 9, runs as one: ``Two-fold!!`` is ``Xx-x!``."""
-    letters = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
-    return RUN.sub(r"\1", letters)[:12]
+    """Upper-case letters as X, others as x, digits as 9, runs as one: ``Two-fold!!`` is ``Xx-x!``. The whole word counts."""
+    if len(word) <= LONG:
+        return RUN.sub(r"\1", "".join(map(kind, word)))
+    own, at = np.unique(np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    letters = np.array([ord(kind(c)) for c in map(chr, own.tolist())], np.uint32)[at]
+    return letters[np.append(True, letters[1:] != letters[:-1])].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def column(term: str) -> int:
     return zlib.crc32(term.encode()) % TERMS
 
 
+def pieces_of(word: str) -> tuple[int, ...]:
+    """Columns of the consecutive pieces of a word's shape."""
+    whole = shape(word)
+    return tuple(column(whole[i : i + PIECE]) for i in range(0, len(whole), PIECE))
+
+
 class Shapes:
-    """Shape numbers of words, remembered per Python worker."""
+    """Shape numbers of words, remembered per Python worker; those of long words are made anew each time."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Columns of the pieces of all words in order, and of the length classes of words of several pieces."""
         known = self.known
         if len(known) > common.CACHE:
             known.clear()
-        for w in set(words).difference(known):
-            known[w] = column(shape(w))
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        long = {w: pieces_of(w) for w in set(words).difference(known)}
+        for w in [w for w in long if len(w) <= LONG]:
+            known[w] = long.pop(w)
+        found = [known[w] if w in known else long[w] for w in words] if long else list(map(known.__getitem__, words))
+        classes = [column(f"length {len(p).bit_length()}") for p in found if len(p) > 1]
+        return np.fromiter(chain.from_iterable(found), dtype=np.int64), classes
 
 
 def terms(text: str | None, shapes: Shapes) -> np.ndarray:
     """Counts of the hashed terms of a text."""
     text = text or ""
     words = text.split()
-    own = shapes(words)
+    own, classes = shapes(words)
     out = np.bincount(own, minlength=TERMS).astype(np.float64)
-    if len(words) > 1:
+    for c in classes:
+        out[c] += 1
+    if len(own) > 1:
         out += np.bincount((own[:-1] * 31 + own[1:] * 17 + 7) % TERMS, minlength=TERMS)
+    if len(words) > 1:
         same = sum(map(str.__eq__, words[:-1], words[1:]))
         out[column("word again")] += 4 * same
     lines = text.split("\n")

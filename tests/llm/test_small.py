@@ -232,6 +232,18 @@ def test_ordinal_fit_orders_grades():
     assert ((score[:, None] > theta).sum(axis=1) == grades).mean() > 0.95
 
 
+def test_quality_reads_whole_words():
+    assert quality.shape("Two-fold!!") == "Xx-x!" and quality.shape("") == "" and quality.shape("日本é٣🙂🙂") == "x9🙂"
+    mixed = "Ab9-é日٣!!aa" * 9
+    assert quality.shape(mixed) == "Xx9-x9!x" + "Xx9-x9!x" * 8
+    head, shapes = "Ab9-" * 40, quality.Shapes()
+    one, other = (quality.terms(head + tail, shapes) for tail in ("aB3/" * 3000, "+7xY=" * 3000))
+    assert (one != other).any() and one.sum() > 1000
+    assert (one == quality.terms(head + "aB3/" * 3000, shapes)).all() and not shapes.known
+    assert (quality.terms("日本、" * 50 + "。" * 9 + "日「本」" * 50, shapes) != quality.terms("日本、" * 50, shapes)).any()
+    assert len(quality.pieces_of("word")) == 1
+
+
 def test_quality(spark, documents, prose):
     rows, marks = labelled(prose)
     docs = documents([*rows, (900, None), (901, "")]).withColumn("quality_score", F.lit("clash"))
