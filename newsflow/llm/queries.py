@@ -5,7 +5,9 @@ from __future__ import annotations
 from newsflow.llm import (
     dart_minhash,
     decontamination,
+    fill_middle,
     html_blocks,
+    periodic_runs,
     pieces,
     quality,
     sharding,
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_piece_transducer": pieces.query,
     "op9_decontamination": decontamination.query,
     "op10_bounded_ring": sharding.query,
+    "op11_periodic_runs": periodic_runs.query,
+    "op13_fill_middle": fill_middle.query,
 }
-# Tested against brute force instead: no SQL states these results at the size of whole tables.
-ORACLES: dict[str, str] = {}
+# The others are tested against brute force.
+ORACLES: dict[str, str] = {"op13_fill_middle": fill_middle.SQL}
