@@ -7,6 +7,7 @@ from newsflow.llm import (
     decontamination,
     fill_middle,
     html_blocks,
+    kneser_ney,
     periodic_runs,
     pieces,
     quality,
@@ -29,7 +30,8 @@ QUERIES = {
     "op9_decontamination": decontamination.query,
     "op10_bounded_ring": sharding.query,
     "op11_periodic_runs": periodic_runs.query,
+    "op12_kneser_ney": kneser_ney.query,
     "op13_fill_middle": fill_middle.query,
 }
 # The others are tested against brute force.
-ORACLES: dict[str, str] = {"op13_fill_middle": fill_middle.SQL}
+ORACLES: dict[str, str] = {"op12_kneser_ney": kneser_ney.SQL, "op13_fill_middle": fill_middle.SQL}

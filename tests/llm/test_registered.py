@@ -12,7 +12,7 @@ from newsflow.llm import substrings
 from newsflow.llm.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-WHOLE = {1, 2, 4, 5, 7, 8, 10}  # one row for each document
+WHOLE = {1, 2, 4, 5, 7, 8, 10, 11, 12, 13}  # one row for each document
 
 
 @pytest.fixture(scope="module")
