@@ -10,6 +10,7 @@ from newsflow.operators import authors, entries, tasks
 from newsflow.plans.inputs import load
 from newsflow.plans.registry import big, joined, query, us
 from newsflow.sources import readers
+from newsflow.sources.dialects import decode_bytes
 
 # ---- SQL pieces of the oracles ------------------------------------------------------------------
 _TAGS = (
@@ -426,48 +427,94 @@ def _xml(c: Column) -> Column:
     return F.regexp_replace(escaped, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
 
 
+DIALECTS = ("rss", "atom", "rdf", "prefixed", "json", "western")
+
+
 def feed_bodies(pages: DataFrame) -> DataFrame:
-    """One landed feed body per page: RSS 2.0 for even ids, Atom for odd ones, two entries each.
+    """Every page as a landed feed of two entries in each of six dialects, as bytes.
 
-    Every fourth RSS body names a feed element in its title, every Atom body stands behind a long comment.
+    RSS 2.0 (which may name a feed element in its title), Atom behind a long comment, RSS 1.0 with prefixes of its own,
+    Atom with every element prefixed and XHTML content, JSON Feed, and RSS 2.0 in a Western one-byte encoding where the
+    page's characters allow it.
     """
     n, url, html = F.col("page_id"), _xml(F.col("url")), _xml(F.col("html"))
-    at = F.timestamp_seconds(F.lit(1704067200) + n * 3600)
+    lit = F.lit
+    at = F.timestamp_seconds(lit(1704067200) + n * 3600)
     rss_date = F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
     iso_date = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    rss = F.concat(
-        F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:dc="d" xmlns:media="m"><channel><title>'),
-        F.when(n % 4 == 0, F.lit("<![CDATA[the <feed > element]]>")).otherwise(F.lit("c")), F.lit("</title><item><title>"), n.cast("string"), F.lit("</title><link>"), url, F.lit("</link><description>"), html, F.lit("</description><pubDate>"),
-        rss_date, F.lit('</pubDate><dc:creator>Ann Lee</dc:creator><media:thumbnail url="'), url,
-        F.lit('.png"/></item><item><title>second</title><link>'), url, F.lit("/2</link></item></channel></rss>"),
-    )
+
+    def rss(declaration: str, title: Column) -> Column:
+        return F.concat(
+            lit(declaration + '<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:media="http://search.yahoo.com/mrss/"><channel><title>'),
+            F.when(n % 4 == 0, lit("<![CDATA[the <feed > element]]>")).otherwise(lit("c")), lit("</title><item><title>"), title,
+            lit("</title><link>"), url, lit("</link><description>"), html, lit("</description><pubDate>"), rss_date,
+            lit('</pubDate><dc:creator>Ann Lee</dc:creator><media:thumbnail url="'), url,
+            lit('.png"/></item><item><title>second</title><link>'), url, lit("/2</link></item></channel></rss>"),
+        )
+
     atom = F.concat(
-        F.lit('<?xml version="1.0"?><!-- '), F.repeat(F.lit("long "), F.lit(600)),
-        F.lit('--><feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="m"><entry><title>'),
-        n.cast("string"), F.lit('</title><link href="'), url, F.lit('" rel="alternate"/><summary>'), html,
-        F.lit("</summary><updated>"), iso_date, F.lit('</updated><author><name>Ann Lee</name></author><media:group><media:thumbnail url="'), url,
-        F.lit('.png"/></media:group></entry><entry><title>second</title><link href="'), url, F.lit('/2"/></entry></feed>'),
+        lit('<?xml version="1.0"?><!-- '), F.repeat(lit("long "), lit(600)),
+        lit('--><feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="http://search.yahoo.com/mrss/"><entry><title>'),
+        n.cast("string"), lit('</title><link href="'), url, lit('" rel="alternate"/><summary>'), html,
+        lit("</summary><updated>"), iso_date, lit('</updated><author><name>Ann Lee</name></author><media:group><media:thumbnail url="'), url,
+        lit('.png"/></media:group></entry><entry><title>second</title><link href="'), url, lit('/2"/></entry></feed>'),
+    )
+    rdf = F.concat(
+        lit('<?xml version="1.0"?><!DOCTYPE r:RDF><r:RDF xmlns:r="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" '
+            'xmlns:d="http://purl.org/dc/elements/1.1/" xmlns:dc="http://search.yahoo.com/mrss/"><channel><title>c</title></channel><item r:about="1"><title>'),
+        n.cast("string"), lit("</title><link>"), url, lit("</link><description>"), html, lit("</description><d:date>"), iso_date,
+        lit('</d:date><d:creator>Ann Lee</d:creator><dc:thumbnail url="'), url,
+        lit('.png"/></item><item><title>second</title><link>'), url, lit("/2</link></item></r:RDF>"),
     )
-    return pages.select("page_id", F.when(n % 2 == 0, rss).otherwise(atom).alias("body"))
+    prefixed = F.concat(
+        lit('<a:feed xmlns:a="http://www.w3.org/2005/Atom" xmlns:m="http://search.yahoo.com/mrss/" xmlns:h="http://www.w3.org/1999/xhtml"><a:entry><a:title>'),
+        n.cast("string"), lit('</a:title><a:link href="'), url, lit('"/><a:content type="xhtml"><h:div><h:p>'), html,
+        lit("</h:p></h:div></a:content><a:updated>"), iso_date, lit('</a:updated><a:author><a:name>Ann Lee</a:name></a:author><m:thumbnail url="'), url,
+        lit('.png"/></a:entry><a:entry><a:title>second</a:title><a:link href="'), url, lit('/2"/></a:entry></a:feed>'),
+    )
+    plain = F.struct(
+        F.col("url").alias("url"), n.cast("string").alias("title"), F.col("html").alias("content_html"), iso_date.alias("date_modified"),
+        F.array(F.struct(lit("Ann Lee").alias("name"))).alias("authors"), F.concat(F.col("url"), lit(".png")).alias("image"),
+    )
+    none = lit(None)
+    second = F.struct(
+        F.concat(F.col("url"), lit("/2")).alias("url"), lit("second").alias("title"), none.cast("string").alias("content_html"),
+        none.cast("string").alias("date_modified"), none.cast("array<struct<name: string>>").alias("authors"), none.cast("string").alias("image"),
+    )
+    json = F.to_json(F.struct(lit("https://jsonfeed.org/version/1.1").alias("version"), F.array(plain, second).alias("items")))
+    western = rss('<?xml version="1.0" encoding="ISO-8859-1"?>', F.concat(n.cast("string"), lit(" caf\u00e9")))
+    one_byte = F.rlike(western, lit(r"^[\x00-\x7f\xa0-\xff]*$"))
+    in_utf_8 = F.encode(F.replace(western, lit("ISO-8859-1"), lit("UTF-8")), "UTF-8")
+    bodies = [F.encode(x, "UTF-8") for x in (rss('<?xml version="1.0"?>', n.cast("string")), atom, rdf, prefixed, json)]
+    bodies.append(F.when(one_byte, F.encode(F.when(one_byte, western), "ISO-8859-1")).otherwise(in_utf_8))
+    each = F.array(*[F.struct(lit(d).alias("dialect"), b.alias("content")) for d, b in zip(DIALECTS, bodies, strict=True)])
+    return pages.select("page_id", F.explode(each).alias("d")).select("page_id", "d.dialect", "d.content")
+
+
+_ESCAPED = r"""replace(replace(replace(regexp_replace(html, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"""
 
 
 @query(
     "a3_feed_document_source",
-    """SELECT page_id, CAST(i AS BIGINT) AS entry_pos, CASE i WHEN 0 THEN url ELSE concat(url, '/2') END AS link,
-              CASE i WHEN 0 THEN CAST(page_id AS VARCHAR) ELSE 'second' END AS title,
-              CASE i WHEN 0 THEN length(html) END AS summary_chars,
-              CASE i WHEN 0 THEN 1704067200000000 + page_id * 3600000000 END AS at_us,
-              CASE i WHEN 0 THEN 'Ann Lee' ELSE '' END AS authors,
-              CASE WHEN i = 0 THEN concat(url, '.png') END AS thumbnail
-       FROM {pages}, (VALUES (0), (1)) v(i)""",
+    f"""SELECT page_id, dialect, CAST(i AS BIGINT) AS entry_pos, CASE i WHEN 0 THEN url ELSE concat(url, '/2') END AS link,
+               CASE WHEN i = 1 THEN 'second' WHEN dialect = 'western' THEN concat(page_id, ' café') ELSE CAST(page_id AS VARCHAR) END AS title,
+               CASE WHEN i = 0 AND dialect NOT IN ('prefixed', 'json') THEN length(html) END AS summary_chars,
+               CASE WHEN i = 0 AND dialect = 'json' THEN md5(html)
+                    WHEN i = 0 AND dialect = 'prefixed' THEN md5('<div><p>' || {_ESCAPED} || '</p></div>') END AS content_md5,
+               CASE i WHEN 0 THEN 1704067200000000 + page_id * 3600000000 END AS at_us,
+               CASE i WHEN 0 THEN 'Ann Lee' ELSE '' END AS authors,
+               CASE WHEN i = 0 THEN concat(url, '.png') END AS thumbnail
+        FROM {{pages}}, (VALUES (0), (1)) v(i), (VALUES {", ".join(f"('{d}')" for d in DIALECTS)}) d(dialect)""",
 )
 def feed_document_source(spark: SparkSession, sf: str) -> DataFrame:
     [pages] = load(spark, sf, "pages")
-    rows = readers.parse_feeds(feed_bodies(pages))
+    bodies = feed_bodies(pages).select("page_id", "dialect", decode_bytes(F.col("content")).alias("body"))
+    rows = readers.parse_feeds(bodies)
     return rows.select(
-        "page_id", big("entry_pos"), F.get("links", F.lit(0)).alias("link"), "title",
-        F.length("summary").cast("bigint").alias("summary_chars"), us(F.coalesce("published", "updated")).alias("at_us"),
-        joined("authors").alias("authors"), F.get(F.flatten(F.transform("media", lambda m: m.thumbnails)), F.lit(0)).alias("thumbnail"),
+        "page_id", "dialect", big("entry_pos"), F.get("links", F.lit(0)).alias("link"), "title",
+        F.length("summary").cast("bigint").alias("summary_chars"), F.md5("content_body").alias("content_md5"),
+        us(F.coalesce("published", "updated")).alias("at_us"), joined("authors").alias("authors"),
+        F.get(F.flatten(F.transform("media", lambda m: m.thumbnails)), F.lit(0)).alias("thumbnail"),
     )
 
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from newsflow.functions.text import parse_http_date
 from newsflow.plans.scan import explode_once
-from newsflow.sources import schemas
+from newsflow.sources import dialects, schemas
 
 MEDIA = "array<struct<thumbnails: array<string>, content: array<struct<url: string, content_type: string>>>>"
 CORRUPT = "_corrupt_record"
+JSON_FEED_VERSION = "https://jsonfeed.org/version/1"  # fixed value: 1 and 1.1
 
 
 def read_leases(spark: SparkSession, path: str) -> DataFrame:
@@ -59,18 +60,34 @@ def _decode(
 def with_feed(bodies: DataFrame, body: str = "body", out: str = "feed") -> DataFrame:
     """``bodies`` with their parsed form in place of the text: entries, updated, and readable.
 
-    RSS 2.0 and Atom, told apart by what the parsed root holds; a body that is neither is not readable and has no
-    entries. The text is parsed once.
+    RSS 2.0 and its elders, RSS 1.0 (RDF), Atom and JSON Feed, told apart by the root. Elements are known by their
+    namespaces, not by the prefixes that a document chose for them. A body that is none of these, or no well-formed
+    document, is not readable and has no entries. The text is parsed once.
     """
-    feed = F.from_xml(F.col(body), schemas.FEED_BODY, {"mode": "PERMISSIVE", "ignoreNamespace": "false"})
+    xml_schema = f"{schemas.FEED_BODY}, {CORRUPT} string"
+    options = {"mode": "PERMISSIVE", "ignoreNamespace": "false", "columnNameOfCorruptRecord": CORRUPT}
     keys = [c for c in bodies.columns if c != body]
-    rows = bodies.select(*keys, feed.alias("__f"))
-    f = F.col("__f")
-    rss = f.channel.isNotNull()
-    atom = f.entry.isNotNull() | (f.id.isNotNull() & f.updated.isNotNull())
-    entries = F.when(rss, _rss_entries(f)).when(atom, _atom_entries(f))
-    updated = _timestamp(F.when(rss, f.channel.lastBuildDate).otherwise(f.updated))
-    return rows.select(*keys, F.struct(entries.alias("entries"), updated.alias("updated"), (rss | atom).alias("readable")).alias(out))
+    rooted = bodies.select(*keys, F.col(body).alias("__body"), dialects.root_name(F.col(body)).alias("__root"))
+    text, root, f, j = (F.col(c) for c in ("__body", "__root", "__f", "__j"))
+    markup = F.when(root.isin("rss", "RDF", "feed", "entry"), dialects.feed_markup(text))
+    rows = rooted.select(
+        *keys, root, F.from_xml(markup, xml_schema, options).alias("__f"),
+        F.from_json(F.when(root == "{", text), schemas.JSON_FEED).alias("__j"),
+    )
+    formed = f.isNotNull() & f.getField(CORRUPT).isNull()
+    rss = formed & (root == "rss") & f.channel.isNotNull()
+    rdf = formed & (root == "RDF") & (f.channel.isNotNull() | f.getField("item").isNotNull())
+    atom = formed & root.isin("feed", "entry")
+    json = (root == "{") & F.startswith(j.version, F.lit(JSON_FEED_VERSION))
+    entries = (
+        F.when(rss, _rss_entries(f.channel.item)).when(rdf, _rss_entries(f.getField("item")))
+        .when(atom, _atom_entries(f)).when(json, _json_entries(j))
+    )
+    updated = _timestamp(
+        F.when(rss, f.channel.lastBuildDate).when(rdf, f.channel.getField("dc:date")).when(atom, f.updated)
+    )
+    readable = F.coalesce(rss | rdf | atom | json, F.lit(False))
+    return rows.select(*keys, F.struct(entries.alias("entries"), updated.alias("updated"), readable.alias("readable")).alias(out))
 
 
 def feed_entries(feeds: DataFrame, feed: str = "feed") -> DataFrame:
@@ -130,7 +147,7 @@ def _urls(elements: Column) -> Column:
     return _strings(F.transform(elements, lambda t: t.getField("_url")))
 
 
-def _rss_entries(feed: Column) -> Column:
+def _rss_entries(items: Column) -> Column:
     none = F.lit(None).cast("string")
 
     def entry(i: Column) -> Column:
@@ -148,7 +165,7 @@ def _rss_entries(feed: Column) -> Column:
             media=_media(i, i.enclosure),
         )
 
-    return F.transform(feed.channel.item, entry)
+    return F.transform(items, entry)
 
 
 def _atom_entries(feed: Column) -> Column:
@@ -168,9 +185,30 @@ def _atom_entries(feed: Column) -> Column:
     return F.transform(feed.entry, entry)
 
 
+def _json_entries(feed: Column) -> Column:
+    def entry(i: Column) -> Column:
+        names = F.coalesce(F.transform(i.authors, lambda a: a.getField("name")), F.array(i.author.getField("name")))
+        files = F.transform(i.attachments, lambda a: F.struct(a.url.alias("url"), a.mime_type.alias("content_type")))
+        media = F.struct(F.filter(F.array(i.image), lambda x: x.isNotNull()).alias("thumbnails"), files.alias("content"))
+        return _entry(
+            links=F.filter(F.array(i.url), lambda x: x.isNotNull()),
+            title=i.title,
+            summary=i.summary,
+            content_body=F.coalesce(i.content_html, i.content_text),
+            content_src=F.lit(None).cast("string"),
+            authors=F.filter(names, lambda a: a.isNotNull()),
+            published=_timestamp(i.date_published),
+            updated=_timestamp(i.date_modified),
+            media=F.array(media).cast(MEDIA),
+        )
+
+    return F.transform(feed.getField("items"), entry)
+
+
 def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
-    """Landed feed files, one row per file: path, body. Files are split over the cluster by size."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
+    """Landed feed files, one row per file: path, body. Bytes become text by the document's own encoding."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", dialects.decode_bytes(F.col("content")).alias("body"))
 
 
 def read_status(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:

@@ -39,12 +39,21 @@ _MEDIA = (
     f"`media:thumbnail`: array<struct<_url: string>>, `media:content`: {_MEDIA_CONTENT}, "
     f"`media:group`: array<struct<`media:thumbnail`: array<struct<_url: string>>, `media:content`: {_MEDIA_CONTENT}>>"
 )
-# One landed feed body as the XML reader sees it: ``channel`` is there for RSS 2.0, the rest for Atom.
+_ITEM = (
+    "struct<title: string, link: string, description: string, `content:encoded`: string, pubDate: string, `dc:date`: string, "
+    f"author: string, `dc:creator`: array<string>, enclosure: array<struct<_url: string, _type: string>>, {_MEDIA}>"
+)
+# One landed feed body as the XML reader sees it: ``channel`` is there for RSS, with its items inside (RSS 2.0) or beside it
+# (RSS 1.0); the rest is Atom.
 FEED_BODY = (
-    "channel struct<lastBuildDate: string, pubDate: string, item: array<struct<title: string, link: string, "
-    "description: string, `content:encoded`: string, pubDate: string, `dc:date`: string, author: string, "
-    f"`dc:creator`: array<string>, enclosure: array<struct<_url: string, _type: string>>, {_MEDIA}>>>, "
+    f"channel struct<lastBuildDate: string, pubDate: string, `dc:date`: string, item: array<{_ITEM}>>, item array<{_ITEM}>, "
     "id string, title string, updated string, entry array<struct<title: string, link: array<struct<_href: string, _rel: string>>, "
     "summary: string, content: struct<_VALUE: string, _type: string, _src: string>, published: string, "
     f"updated: string, author: array<struct<name: string>>, {_MEDIA}>>"
 )
+# The same for JSON Feed.
+JSON_FEED = (
+    "version string, items array<struct<title: string, url: string, summary: string, content_html: string, content_text: string, "
+    "date_published: string, date_modified: string, author: struct<name: string>, authors: array<struct<name: string>>, "
+    "image: string, attachments: array<struct<url: string, mime_type: string>>>>"
+)

@@ -54,6 +54,62 @@ def test_feed_files(spark, tmp_path):
     assert (atom.content_src, atom.authors) == ("https://y/c.png", ["Ann Lee", "Bob Ray"])
 
 
+RDF = """<?xml version="1.0" encoding="ISO-8859-1"?><!DOCTYPE r:RDF><r:RDF xmlns:r="http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+ xmlns="http://purl.org/rss/1.0/" xmlns:d="http://purl.org/dc/elements/1.1/" xmlns:dc="http://purl.org/rss/1.0/modules/content/">
+<channel r:about="u"><title>c</title><d:date>2024-01-03T09:00:00Z</d:date><items><r:Seq><r:li resource="u"/></r:Seq></items></channel>
+<item r:about="a"><title>Caf\xe9 \x80</title><link>https://z/1</link><description>x</description><d:creator>Ann Lee</d:creator>
+<d:date>2024-01-03T10:00:00Z</d:date><dc:encoded><![CDATA[<p><d:b>kept</d:b></p>]]></dc:encoded></item>
+<item><title>Two</title><link>https://z/2</link></item></r:RDF>"""
+PREFIXED = """<a:feed xmlns:a="http://www.w3.org/2005/Atom" xmlns:m='http://search.yahoo.com/mrss/' xmlns:h="http://www.w3.org/1999/xhtml">
+<a:entry><a:title type="xhtml"><h:div>T <h:b>x</h:b></h:div></a:title><a:link href="https://y/1"/><m:thumbnail url="https://y/t.png"/>
+<a:content type="xhtml"><h:div class="c"><h:p>One &amp; <h:br/>two</h:p></h:div></a:content><a:published>2024-01-03T10:00:00Z</a:published>
+<a:author><a:name>Ann Lee</a:name></a:author></a:entry></a:feed>"""
+JSON = {
+    "version": "https://jsonfeed.org/version/1.1", "title": "c", "items": [
+        {"id": "1", "url": "https://j/1", "title": "One", "content_html": "<p>b</p>", "date_published": "2024-01-03T10:00:00+02:00",
+         "authors": [{"name": "Ann Lee"}, {"url": "x"}], "image": "https://j/i.png", "attachments": [{"url": "https://j/a.jpg", "mime_type": "image/jpeg"}]},
+        {"id": "2", "content_text": "plain", "author": {"name": "Bob Ray"}},
+    ],
+}
+
+
+def test_feed_dialects(spark, tmp_path):
+    """RSS 1.0 with odd prefixes in a Western encoding, prefixed Atom with XHTML, JSON Feed, a lone entry, other charsets."""
+    bare = RSS.split("?>", 1)[1].strip()
+    (tmp_path / "rdf").write_bytes(RDF.encode("latin-1"))
+    (tmp_path / "prefixed").write_text(PREFIXED)
+    (tmp_path / "json").write_text("\ufeff " + json.dumps(JSON))
+    (tmp_path / "entry").write_text(ATOM.replace('<feed xmlns="http://www.w3.org/2005/Atom"><entry>', '<entry xmlns="http://www.w3.org/2005/Atom">').replace("</feed>", ""))
+    (tmp_path / "utf16").write_bytes(RSS.replace("One", "\u00c9\u6f22").encode("utf-16"))
+    (tmp_path / "utf16le").write_bytes(("<?xml version='1.0'?>" + bare).encode("utf-16-le"))
+    (tmp_path / "latin9").write_bytes(('<?xml version="1.0" encoding="iso-8859-15"?>' + bare.replace("One", "5 \u20ac")).encode("iso-8859-15"))
+    (tmp_path / "bad8").write_bytes(RSS.replace("One", "O\xffe").encode("latin-1"))
+    broken = {"cut": RSS[: len(RSS) // 2], "html": "<html><channel/></html>", "otherjson": '{"version": "2", "items": []}', "nojson": "{x", "blank": " "}
+    for name, text in broken.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "atomlink").write_text(RSS.replace("<item>", '<a:link rel="self" href="s"/><item><a:link href="t"/>').replace("<rss ", '<rss xmlns:a="http://www.w3.org/2005/Atom" '))
+    bodies = readers.read_feed_files(spark, str(tmp_path)).withColumn("feed", F.substring_index("path", "/", -1)).drop("path")
+    readable = {r.feed: r.readable for r in readers.with_feed(bodies, out="parsed").select("feed", "parsed.readable").collect()}
+    assert readable == {p.name: p.name not in broken for p in tmp_path.iterdir()}
+    rows = {(r.feed, r.entry_pos): r for r in readers.parse_feeds(bodies).collect()}
+    rdf = rows["rdf", 0]
+    assert (rdf.title, rdf.links, rdf.authors, rdf.content_body) == ("Caf\u00e9 \u20ac", ["https://z/1"], ["Ann Lee"], "<p><d:b>kept</d:b></p>")
+    assert rdf.published.isoformat() == "2024-01-03T10:00:00" and rows["rdf", 1].title == "Two"
+    atom = rows["prefixed", 0]
+    assert (atom.title, atom.links, atom.authors) == ("<div>T <b>x</b></div>", ["https://y/1"], ["Ann Lee"])
+    assert atom.content_body == '<div class="c"><p>One &amp; <br/>two</p></div>'
+    assert atom.media[0].thumbnails == ["https://y/t.png"]
+    one, two = rows["json", 0], rows["json", 1]
+    assert (one.links, one.title, one.content_body, one.authors) == (["https://j/1"], "One", "<p>b</p>", ["Ann Lee"])
+    assert one.published.isoformat() == "2024-01-03T08:00:00" and one.media[0].thumbnails == ["https://j/i.png"]
+    assert [tuple(c) for c in one.media[0].content] == [("https://j/a.jpg", "image/jpeg")]
+    assert (two.links, two.content_body, two.authors) == ([], "plain", ["Bob Ray"])
+    assert rows["entry", 0].links == ["https://y/1", "https://y/2"]
+    titles = {"utf16": "\u00c9\u6f22", "utf16le": "One", "latin9": "5 \u20ac", "bad8": "O\ufffde", "atomlink": "One"}
+    assert {k: rows[k, 0].title for k in titles} == titles
+    assert rows["atomlink", 0].links[0].strip() == "https://x/1"
+
+
 def test_task_payloads(spark, tmp_path):
     payload = {"job_id": "j", "requested_at": "2024-01-01T00:00:00Z", "ingest": True, "feeds": [{"feed_id": 1, "feed_url": "u", "fetchprotection": 1}, {"feed_id": 2, "feed_url": "v", "fetchprotection": 1, "etag": "e"}]}
     lines = [
