@@ -194,13 +194,14 @@ def assign_rate_slots(
     order: str = "event_id",
     step_us: int = 100_000,
     segment_us: int = 3_600_000_000,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Reserve a slot per request: slot = max(arrival, previous slot of the host + step).
 
     Closed form: with i the request's number on its host, slot = i*step + max over j<=i of (arrival_j - j*step).
     Hosts are cut into time segments. A segment reports its count and local maximum; the scan over those
     summaries gives the number of earlier requests and the earlier maximum, so a hot host is spread over as
-    many tasks as it has segments.
+    many tasks as it has segments. ``carried`` (host, next_slot_us): hosts whose first free slot is already known.
     """
     base = requests.withColumns(
         {"__a": F.unix_micros(F.col(arrival)), SEGMENT: time_segment(F.col(arrival), segment_us)}
@@ -218,6 +219,11 @@ def assign_rate_slots(
         "__offset",
         F.max(F.col("__m") - F.col("__offset") * step_us).over(before).alias("__earlier"),
     )
+    if carried is not None:
+        # The first request's number is 1, so the slot before it stands for everything earlier.
+        known = carried.select(F.col(host).alias("__host"), (F.col("next_slot_us") - step_us).alias("__known"))
+        carry = carry.join(known, F.col(host).eqNullSafe(F.col("__host")), "left")
+        carry = carry.select(host, SEGMENT, "__offset", F.greatest("__earlier", "__known").alias("__earlier"))
     number = F.col("__i") + F.col("__offset")
     peak = F.max("__lag").over(local.rowsBetween(Window.unboundedPreceding, 0))
     slot = number * step_us + F.greatest(peak - F.col("__offset") * step_us, F.col("__earlier"))

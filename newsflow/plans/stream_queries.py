@@ -16,6 +16,7 @@ from newsflow.plans.telemetry_queries import SPACING_MS
 from newsflow.plans.work_queries import RATE_SQL, SIX_HOURS_US
 from newsflow.sources import readers
 from newsflow.streaming import jobs
+from newsflow.streaming.carried import MicroBatches
 
 
 def run_folder(spark: SparkSession) -> str:
@@ -33,14 +34,6 @@ def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return table.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
-def drain(stream: DataFrame, folder: str) -> DataFrame:
-    """Run a stream until its input is used up, into Parquet, and read the result."""
-    writer = stream.writeStream.format("parquet").option("path", f"{folder}/out")
-    running = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
-
-
 @query("s1_stream_ingest", ASSEMBLED_SQL)
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Two entries of a page arrive together, so the first keeps its place."""
@@ -62,7 +55,7 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
         F.array(F.lit("By Alice Martin, ALICE  MARTIN"), F.lit("AFP")).alias("authors"), "e.published",
         F.lit(None).cast("timestamp").alias("updated"), F.array().cast(readers.MEDIA).alias("media"), hour.alias("arrived_at"),
     )
-    rows = drain(jobs.ingest_entries(entries, marks, late="30 days"), run_folder(spark))
+    rows = jobs.Ingest(entries, run_folder(spark), marks, keep="30 days").drain()
     return rows.select(
         "feed_id", "source_pos", "title", "url", "summary", joined("authors").alias("authors"),
         us("published_at").alias("published_us"), "image_url",
@@ -71,18 +64,31 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s2_stream_rate_slots", RATE_SQL)
 def stream_rate_slots(spark: SparkSession, sf: str) -> DataFrame:
-    jobs.use_state_store(spark)
     events = stream_table(spark, sf, "events")
-    rows = drain(jobs.stream_rate_slots(events, "user_id", SIX_HOURS_US), run_folder(spark))
-    return rows.select("event_id", "slot_us")
+    batches = jobs.rate_slots(events, run_folder(spark), "user_id", SIX_HOURS_US, segment_us=24 * 3_600_000_000)
+    return batches.drain().select("event_id", "slot_us")
 
 
 @query("s3_stream_status", ORACLES["h3_throttle"])
 def stream_status(spark: SparkSession, sf: str) -> DataFrame:
-    jobs.use_state_store(spark)
+    rows = _status(spark, sf).drain().where(F.col("kind") == "emitted")
+    return rows.select(F.col("worker").cast("bigint").alias("worker"), "event_id")
+
+
+@query("s3_stream_status_fold", ORACLES["h1_status_fold"])
+def stream_status_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """What the workers carry when all updates are in."""
+    batches = _status(spark, sf)
+    batches.drain()
+    return jobs.snapshots(batches).select(
+        F.col("worker").cast("bigint").alias("worker"), "phase", "server_connection", "current_task_id", "last_error",
+        "completed_task_count", "bytes_received", us("last_server_contact_at").alias("contact_us"), us("last_updated_at").alias("updated_us"),
+    )
+
+
+def _status(spark: SparkSession, sf: str) -> MicroBatches:
     updates = spark.sql(VIEWS["v_status"], events=stream_table(spark, sf, "events"))
-    rows = drain(jobs.stream_status(updates, interval_ms=SPACING_MS), run_folder(spark))
-    return rows.where(~F.col("flush")).select(F.col("worker").cast("bigint").alias("worker"), "event_id")
+    return jobs.status(updates, run_folder(spark), interval_ms=SPACING_MS, segment_us=24 * 3_600_000_000)
 
 
 @query(
@@ -98,31 +104,42 @@ def stream_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     sources = documents.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("summary"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select("id", "embedding").write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        batch.where("error IS NULL").select("id", "embedding").write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
     jobs.stream_embeddings(sources, letter_share_model, write, f"{folder}/checkpoint", 64, None).start().awaitTermination()
     return vector_rows(spark.read.parquet(f"{folder}/out"))
 
 
+# Results of five slots for each task: one in 22 comes twice, one in 35 for a slot that its task does not have, and some
+# of the others come once more when the task may be complete.
+RESULTS_SQL = """
+    SELECT doc_id // 5 AS task_id, doc_id % 5 + CASE WHEN doc_id % 35 = 0 THEN 9 ELSE 0 END AS feed_index,
+           1 + (CASE WHEN doc_id % 22 = 1 THEN 1 ELSE 0 END) AS n
+    FROM {documents}"""
+
+
 @query(
     "s5_stream_task_completion",
-    """WITH d AS (SELECT doc_id // 5 AS task_id, doc_id % 5 AS feed_index, doc_id FROM {documents} WHERE doc_id % 35 <> 0)
-       SELECT task_id, 'task_complete' AS kind, CAST(NULL AS BIGINT) AS feed_index FROM d GROUP BY task_id HAVING count(*) = 5
-       UNION ALL SELECT task_id, 'completed_twice', feed_index FROM d WHERE doc_id % 22 = 1
-       UNION ALL SELECT task_id, 'missing_slot', feed_index + 9 FROM d WHERE doc_id % 33 = 2""",
+    f"""WITH r AS ({RESULTS_SQL}), good AS (SELECT * FROM r WHERE feed_index < 5),
+             done AS (SELECT task_id, count(*) AS delivered FROM good GROUP BY task_id)
+       SELECT task_id, 'task_complete' AS kind, CAST(NULL AS BIGINT) AS feed_index, CAST(NULL AS BIGINT) AS copies FROM done WHERE delivered = 5
+       UNION ALL SELECT task_id, 'completed_twice', feed_index, CAST(n - 1 AS BIGINT) FROM good WHERE n > 1
+       UNION ALL SELECT task_id, 'missing_slot', feed_index, CAST(n AS BIGINT) FROM r WHERE feed_index >= 5
+       UNION ALL SELECT d.task_id, 'open_slot', s.i, CAST(NULL AS BIGINT)
+                 FROM (SELECT task_id FROM done WHERE delivered < 5) d, (SELECT unnest(range(5)) AS i) s
+                 WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.task_id = d.task_id AND g.feed_index = s.i)""",
 )
 def stream_task_completion(spark: SparkSession, sf: str) -> DataFrame:
-    jobs.use_state_store(spark)
+    """Every document delivers a slot of its task; what is still open at the end is listed as well."""
     n = F.col("doc_id")
     documents = stream_table(spark, sf, "documents")
-    slot = (n % 5).cast("bigint")
-    slots = F.when(n % 22 == 1, F.array(slot, slot)).otherwise(F.array(slot))
-    slots = F.when(n % 33 == 2, F.concat(slots, F.array(slot + 9))).otherwise(slots)
-    slots = F.when(n % 35 != 0, slots)  # the others have no result
+    slot = (n % 5 + F.when(n % 35 == 0, 9).otherwise(0)).cast("bigint")
     results = documents.select(
-        F.floor(n / 5).alias("task_id"), F.lit(1).cast("bigint").alias("execution_id"), F.explode(slots).alias("feed_index"),
-        F.lit(5).cast("bigint").alias("total_feeds"), F.lit("success").alias("status"),
+        F.floor(n / 5).alias("task_id"), F.lit(1).cast("bigint").alias("execution_id"),
+        F.explode(F.when(n % 22 == 1, F.array(slot, slot)).otherwise(F.array(slot))).alias("feed_index"),
+        F.lit(5).cast("bigint").alias("total_feeds"),
     )
-    rows = drain(jobs.stream_task_completion(results), run_folder(spark))
-    index = F.when(F.col("kind") != "task_complete", F.col("feed_index"))
-    return rows.select("task_id", "kind", index.alias("feed_index"))
+    batches = jobs.task_completion(results, run_folder(spark))
+    rows = batches.drain().select("task_id", "kind", "feed_index", "copies")
+    none = F.lit(None).cast("bigint")
+    return rows.unionByName(jobs.open_slots(batches).select("task_id", F.lit("open_slot").alias("kind"), "feed_index", none.alias("copies")))

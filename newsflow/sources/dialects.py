@@ -67,7 +67,8 @@ def root_prefix(body: Column) -> Column:
 
 def root_name(body: Column) -> Column:
     """Name of the root element without its prefix; ``{`` for a JSON object; empty for other text."""
-    return F.when(F.rlike(body, F.lit(r"^[\x{FEFF}\s]*\{")), "{").otherwise(F.regexp_extract(body, _ROOT, 2))
+    first = F.regexp_extract(body, r"(?s)^[\x{FEFF}\s]*(.)", 1)
+    return F.when(first == "{", first).when(first == "<", F.regexp_extract(body, _ROOT, 2)).otherwise("")
 
 
 def _outside_cdata(body: Column, change) -> Column:  # noqa: ANN001
@@ -91,18 +92,22 @@ def with_known_prefixes(body: Column) -> Column:
     no change passes as it is.
     """
     known = F.create_map(*[F.lit(x) for pair in NAMESPACES for x in pair])
-    names = F.regexp_extract_all(body, F.lit(_DECLARED), F.lit(1))
-    spaces = F.regexp_extract_all(body, F.lit(_DECLARED), F.lit(2))
-    own = F.when(root_name(body) == "RDF", "rss").when(root_name(body).isin("feed", "entry"), "atom").otherwise("")
-
-    def entry(name: Column, space: Column) -> Column:
-        wanted = F.try_element_at(known, space)
-        new = F.when((wanted == own) | (wanted == "xhtml"), "").otherwise(F.concat(wanted, F.lit(":")))
-        return F.struct(name.alias("old"), new.alias("new"))
-
-    pairs = F.zip_with(names, spaces, entry)
-    first = F.filter(pairs, lambda p, i: p.new.isNotNull() & (F.array_position(names, p.old) == i + 1))
-    changed = F.filter(first, lambda p: p.new != F.concat(p.old, F.lit(":")))
+    root = root_name(body)
+    own = F.when(root == "RDF", "rss").when(root.isin("feed", "entry"), "atom").otherwise("")
+    declared = F.struct(
+        F.regexp_extract_all(body, F.lit(_DECLARED), F.lit(1)).alias("names"),
+        F.regexp_extract_all(body, F.lit(_DECLARED), F.lit(2)).alias("spaces"), own.alias("own"),
+    )
+
+    def changed(d: Column) -> Column:
+        def entry(name: Column, space: Column) -> Column:
+            wanted = F.try_element_at(known, space)
+            new = F.when((wanted == d.own) | (wanted == "xhtml"), "").otherwise(F.concat(wanted, F.lit(":")))
+            return F.struct(name.alias("old"), new.alias("new"))
+
+        pairs = F.zip_with(d.names, d.spaces, entry)
+        first = F.filter(pairs, lambda p, i: p.new.isNotNull() & (F.array_position(d.names, p.old) == i + 1))
+        return F.filter(first, lambda p: p.new != F.concat(p.old, F.lit(":")))
 
     def rename(pairs: Column) -> Column:
         numbered = F.transform(pairs, lambda p, i: F.struct(p.old, p.new, F.concat(F.lit(_HELD), i.cast("string"), F.lit(":")).alias("held")))
@@ -116,7 +121,8 @@ def with_known_prefixes(body: Column) -> Column:
 
         return _outside_cdata(body, change)
 
-    return let(changed, lambda c: F.when(F.size(c) > 0, rename(c)).otherwise(body))
+    renamed = let(declared, lambda d: let(changed(d), lambda c: F.when(F.size(c) > 0, rename(c)).otherwise(body)))
+    return F.when(F.contains(body, F.lit("xmlns:")), renamed).otherwise(body)
 
 
 def with_xhtml_as_text(body: Column) -> Column:
@@ -129,11 +135,11 @@ def with_xhtml_as_text(body: Column) -> Column:
 
     # A section within XHTML cannot stand inside another one; its text does.
     kept = F.translate(_outside_cdata(wrapped, restored), _OPEN + _CLOSE, "")
-    return F.when(F.rlike(body, F.lit(r"""\btype\s*=\s*["']xhtml["']""")), kept).otherwise(body)
+    return F.when(F.contains(body, F.lit("xhtml")), kept).otherwise(body)
 
 
 def feed_markup(body: Column) -> Column:
     """An XML feed in the one spelling that the readers' schema names; a lone Atom entry as a feed of one."""
-    known = with_xhtml_as_text(with_known_prefixes(body))
+    known = let(with_known_prefixes(body), with_xhtml_as_text)
     alone = F.concat(F.lit("<feed>"), F.regexp_replace(known, r"(?s)^[\x{FEFF}\s]*<\?xml.*?\?>", ""), F.lit("</feed>"))
     return F.when(root_name(body) == "entry", alone).otherwise(known)

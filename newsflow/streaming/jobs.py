@@ -1,217 +1,223 @@
-"""Continuous forms: entry ingest, rate slots, status fold with throttle, embedding, task completion.
+"""Continuous forms: entry ingest, rate slots, status fold, embedding, task completion.
 
-Keyed state lives in Spark's state store (RocksDB), so state follows its key between executors and survives
-their loss through the checkpoint.
+All but embedding carry small tables from micro-batch to micro-batch (see ``carried``) and run the batch operators on each.
+Rows that come late are never dropped: they count where they still can, and are told apart where they cannot.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from newsflow.operators import telemetry
 from newsflow.operators.embed import embed, with_passage
 from newsflow.operators.entries import finish_sources, published_since, with_first_link, with_required_title
-from newsflow.operators.telemetry import CLEARING_OPS, FORCED_OPS, PERSIST_INTERVAL_MS
-
-STATE_STORE = {
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    ),
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-}
+from newsflow.operators.fetch import assign_rate_slots
+from newsflow.operators.telemetry import HOUR_US, ORDER, PERSIST_INTERVAL_MS, saturating_sum
+from newsflow.plans.scan import running, time_segment
+from newsflow.streaming.carried import MicroBatches, Once, Tables
+
 FEED_POLL_SECONDS, EMBEDDING_POLL_SECONDS = 5, 30  # fixed values
+CLOCK = "us bigint"
 
 
-def use_state_store(spark: SparkSession) -> None:
-    for key, value in STATE_STORE.items():
-        spark.conf.set(key, value)
+def _clock(rows: DataFrame, time: str, held: Tables) -> tuple[int | None, DataFrame]:
+    """The newest event time so far, as a number and as a table of one row."""
+    newest = rows.select(F.unix_micros(time).alias("us")).unionByName(held["clock"]).agg(F.max("us").alias("us"))
+    return newest.first().us, newest
 
 
-def ingest_entries(entries: DataFrame, feeds: DataFrame | None = None, late: str = "1 day") -> DataFrame:
-    """Entry stream -> source stream. Copies of a feed's URL within ``late`` of the first are dropped.
+# ---- entries ------------------------------------------------------------------------------------
+class Ingest:
+    """Entry stream -> source stream; of the entries of a feed with one URL the one at the lowest position comes through.
 
-    ``entries`` needs ``arrived_at`` (event time of landing). Dedup stands before the date and title tests, as
-    in the batch form; the state per (feed, url) expires with the watermark.
+    ``entries`` needs ``arrived_at`` (event time of landing). An entry waits until the newest arrival is ``hold`` past the
+    first one of its URL, so that of copies from several files the first position wins whatever order the files came in. Then
+    it goes out once; for ``keep`` from then on further copies are dropped. An entry that comes later than that is new, and
+    one whose time to wait is over goes out at once. Dedup stands before the date and title tests, as in the batch form.
     """
-    keyed = with_first_link(entries).withWatermark("arrived_at", late)
-    kept = keyed.dropDuplicatesWithinWatermark(["feed_id", "url"])
-    return finish_sources(published_since(kept, feeds).transform(with_required_title))
 
+    def __init__(self, entries: DataFrame, folder: str, feeds: DataFrame | None = None, hold: str = "1 hour", keep: str = "1 day"):
+        self.feeds, self.hold, self.keep = feeds, F.expr(f"INTERVAL {hold}"), F.expr(f"INTERVAL {keep}")
+        self.names = with_first_link(entries).columns
+        waiting = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in with_first_link(entries).schema)
+        self.key = f"feed_id {entries.schema['feed_id'].dataType.simpleString()}, url string"
+        self.batches = MicroBatches(
+            entries, self._step, folder,
+            replaced={"waiting": f"{waiting}, __first timestamp", "clock": CLOCK},
+            grown={"gone": f"{self.key}, until timestamp"}, keep=self._still,
+        )
+
+    def _step(self, rows: DataFrame, held: Tables, once: Once) -> tuple[DataFrame, Tables]:
+        now, clock = _clock(rows, "arrived_at", held)
+        at = F.timestamp_micros(F.lit(now).cast("bigint"))
+        first = self._first(with_first_link(rows).withColumn("__first", F.col("arrived_at")).unionByName(held["waiting"]))
+        same = [F.col(f"f.{c}").eqNullSafe(F.col(f"g.{c}")) for c in ("feed_id", "url")]
+        gone = held["gone"].where(F.col("until") >= at)
+        open_ = once(first.alias("f").join(gone.alias("g"), same, "left_anti"))
+        due = F.coalesce(F.col("__first") + self.hold <= at, F.lit(False))
+        left = open_.where(due).select("feed_id", "url", (at + self.keep).alias("until"))
+        return self._finished(open_.where(due)), {"waiting": open_.where(~due), "gone": left, "clock": clock}
+
+    def _first(self, rows: DataFrame) -> DataFrame:
+        """The lowest position of each URL, as a partial aggregate: copies are reduced before the shuffle."""
+        best = F.min_by(F.struct(*self.names), F.struct("entry_pos", "arrived_at"))
+        grouped = rows.groupBy("feed_id", "url").agg(best.alias("e"), F.min("__first").alias("__first"))
+        return grouped.select("e.*", "__first")
+
+    def _finished(self, rows: DataFrame) -> DataFrame:
+        return finish_sources(published_since(rows.select(self.names), self.feeds).transform(with_required_title))
+
+    def _still(self, name: str, rows: DataFrame, left: Tables) -> DataFrame:
+        now = F.timestamp_micros(F.lit(left["clock"].first().us).cast("bigint"))
+        return rows.where(F.col("until") >= now)
+
+    def drain(self) -> DataFrame:
+        """Run until the input is used up; entries that still wait go out as well, since nothing can come before them."""
+        return self.batches.drain().unionByName(self.waiting())
+
+    def waiting(self) -> DataFrame:
+        """The sources that would go out if the stream ended now."""
+        return self._finished(self.batches.latest()["waiting"])
+
+
+# ---- rate slots ---------------------------------------------------------------------------------
+def rate_slots(
+    requests: DataFrame, folder: str, host: str = "host_key", step_us: int = 100_000, segment_us: int = HOUR_US
+) -> MicroBatches:
+    """Slot of every request: host_key, event_id, arrival_us, slot_us. Input: host, event_id, ts.
+
+    A host carries its next free slot. In a micro-batch its requests, in arrival order, get their slots from the segmented
+    max-plus scan of the batch form, which starts from that slot, so a host with a third of all requests is many tasks.
+    """
+    rows = requests.select(F.col(host).cast("string").alias("host_key"), "event_id", "ts")
 
-class RateSlots(StatefulProcessor):
-    """Next free slot of one host."""
+    def step(rows: DataFrame, held: Tables, once: Once) -> tuple[DataFrame, Tables]:
+        slots = assign_rate_slots(rows, step_us=step_us, segment_us=segment_us, carried=held["hosts"])
+        out = once(slots.select("host_key", "event_id", F.unix_micros("ts").alias("arrival_us"), "slot_us"))
+        nexts = out.select("host_key", (F.col("slot_us") + step_us).alias("next_slot_us")).unionByName(held["hosts"])
+        return out, {"hosts": nexts.groupBy("host_key").agg(F.max("next_slot_us").alias("next_slot_us"))}
 
-    def __init__(self, step_us: int) -> None:
-        self.step_us = step_us
+    return MicroBatches(rows, step, folder, replaced={"hosts": "host_key string, next_slot_us bigint"})
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.next_slot = handle.getValueState("next_slot", "us bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        batches = list(rows)
-        arrivals, events = (np.concatenate([b[c].to_numpy("int64") for b in batches]) for c in ("arrival_us", "event_id"))
-        order = np.lexsort((events, arrivals))
-        arrivals, events = arrivals[order], events[order]
-        state = self.next_slot.get()
-        steps = np.arange(len(arrivals), dtype="int64") * self.step_us
-        lag = arrivals - steps
-        if state is not None:
-            lag[0] = max(lag[0], state[0])
-        slots = steps + np.maximum.accumulate(lag)
-        self.next_slot.update((int(slots[-1]) + self.step_us,))
-        yield pd.DataFrame({"host_key": key[0], "event_id": events, "arrival_us": arrivals, "slot_us": slots})
+# ---- status -------------------------------------------------------------------------------------
+FIELDS = {
+    "phase": "string", "server_connection": "string", "last_server_contact_at": "timestamp", "current_task_id": "bigint",
+    "current_execution_id": "bigint", "has_task": "boolean", "current_feed_id": "bigint", "current_feed_url": "string",
+    "last_error": "string",
+}
+TOTALS = ("completed_task_count", "bytes_sent", "bytes_received")
+_ORDER = "struct<ts: timestamp, event_id: bigint>"
+SUMMARY = (
+    f"worker string, started_at timestamp, __at {_ORDER}, "
+    + ", ".join(f"`{f}` struct<v: {t}>, `__at_{f}` {_ORDER}" for f, t in FIELDS.items())
+    + ", "
+    + ", ".join(f"{t} bigint" for t in TOTALS)
+)
+WORKERS = f"{SUMMARY}, __emitted {_ORDER}"
+INPUTS = {
+    "worker": "string", "event_id": "bigint", "ts": "timestamp", "op": "string", "error": "string", "feed_id": "bigint", "feed_url": "string",
+    "task_id": "bigint", "execution_id": "bigint", "bytes_sent": "bigint", "bytes_received": "bigint",
+}
 
-    def close(self) -> None:
-        pass
 
+def _summary_rows(updates: DataFrame) -> DataFrame:
+    """Every update in the form of a summary of one: what it writes, and when."""
+    at = F.struct(*ORDER)
+    writes = telemetry.field_updates(updates)
+    held = [x for f, w in writes.items() for x in (w.alias(f), F.when(w.isNotNull(), at).alias(f"__at_{f}"))]
+    totals = [F.when(F.col("op").isin("completed", "task_recorded"), 1).otherwise(0).cast("bigint").alias(TOTALS[0])]
+    totals += [F.coalesce(F.col(t), F.lit(0)).cast("bigint").alias(t) for t in TOTALS[1:]]
+    return updates.select("worker", F.col("ts").alias("started_at"), at.alias("__at"), *held, *totals)
 
-def stream_rate_slots(requests: DataFrame, host: str = "host_key", step_us: int = 100_000) -> DataFrame:
-    """Slot of every request in arrival order: host_key, event_id, arrival_us, slot_us.
 
-    Input: host, event_id, ts. A host is one state key; the rows of a micro-batch are put in arrival order, so
-    the source's rows-per-trigger option bounds what a key holds in memory.
-    """
-    rows = requests.select(
-        F.col(host).cast("string").alias("host_key"), "event_id", F.unix_micros("ts").alias("arrival_us")
-    )
-    return rows.groupBy("host_key").transformWithStateInPandas(
-        statefulProcessor=RateSlots(step_us),
-        outputStructType="host_key string, event_id bigint, arrival_us bigint, slot_us bigint",
-        outputMode="Append",
-        timeMode="None",
-    )
-
-
-SNAPSHOT = (
-    "phase string, has_task boolean, current_feed_id bigint, last_error string, server_connection string, "
-    "completed_task_count bigint, bytes_received bigint, last_updated_us bigint"
-)
-_START = {
-    "phase": "starting", "has_task": False, "current_feed_id": None, "last_error": None,
-    "server_connection": "unknown", "completed_task_count": 0, "bytes_received": 0, "last_updated_us": 0,
-}
+def merged(summaries: DataFrame) -> DataFrame:
+    """One summary for each worker: of every field the newest write, of totals the sum. Order and grouping do not matter."""
+    held = [
+        x for f in FIELDS
+        for x in (F.max_by(f, f"__at_{f}").alias(f), F.max(f"__at_{f}").alias(f"__at_{f}"))
+    ]
+    totals = [saturating_sum(F.col(t)).alias(t) for t in TOTALS]
+    return summaries.groupBy("worker").agg(F.min("started_at").alias("started_at"), F.max("__at").alias("__at"), *held, *totals)
+
+
+def _snapshot(source: str = "") -> list[Column]:
+    fields = [F.coalesce(F.col(f"{source}{f}.v"), F.lit(telemetry.DEFAULTS.get(f)).cast(t)).alias(f) for f, t in FIELDS.items()]
+    return fields + [F.col(f"{source}{t}").alias(t) for t in TOTALS]
+
 
+def status(
+    updates: DataFrame, folder: str, worker: str = "worker", interval_ms: int = PERSIST_INTERVAL_MS, segment_us: int = HOUR_US
+) -> MicroBatches:
+    """Status updates -> snapshots: worker, event_id, kind, the snapshot's fields, last_updated_at.
 
-def apply_update(snapshot: dict, row: dict) -> dict:
-    """One status update on a snapshot."""
-    op, new = row["op"], dict(snapshot)
-    if op in ("idle", "completed"):
-        new["phase"] = "idle"
-    elif op in ("processing", "error", "stopped"):
-        new["phase"] = op
-    if op in CLEARING_OPS:
-        new.update(has_task=False, current_feed_id=None)
-    if op == "processing":
-        new["has_task"] = True
-    if op in ("connected", "disconnected"):
-        new["server_connection"] = op
-    if op in ("error", "disconnected"):
-        new["last_error"] = row["error"] if row["error"] is not None else op
-    elif op in ("idle", "processing", "completed", "task_recorded"):
-        new["last_error"] = None
-    if op == "set_feed":
-        new["current_feed_id"] = row["feed_id"]
-    new["completed_task_count"] += op in ("completed", "task_recorded")
-    new["bytes_received"] = min(new["bytes_received"] + row["bytes_received"], 2**63 - 1)
-    new["last_updated_us"] = row["us"]
-    return new
-
-
-_UPDATE = ["us", "event_id", "op", "bytes_received", "error", "feed_id"]
-
-
-def _updates(batches: Iterator[pd.DataFrame]) -> list[dict]:
-    """The updates of one key in this micro-batch, in event order."""
-    rows = []
-    for batch in batches:
-        rows += [dict(zip(_UPDATE, row, strict=True)) for row in zip(*(batch[c].tolist() for c in _UPDATE), strict=True)]
-    for row in rows:
-        row["feed_id"] = None if row["feed_id"] != row["feed_id"] else row["feed_id"]
-    return sorted(rows, key=lambda r: (r["us"], r["event_id"]))
-
-
-class StatusFold(StatefulProcessor):
-    """Snapshot of one worker; emits when forced or due, and once more when its event-time timer fires."""
-
-    def __init__(self, interval_us: int) -> None:
-        self.interval_us = interval_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("status", "snapshot string, emitted_us bigint, dirty boolean")
-
-    def _emit(self, worker: str, event_id: int | None, snapshot: dict, flush: bool) -> dict:
-        return {"worker": worker, "event_id": event_id, "flush": flush, **snapshot}
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        held = self.state.get()
-        snapshot, emitted, dirty = (json.loads(held[0]), held[1], held[2]) if held is not None else (_START, None, False)
-        had_timer = dirty
-        out = []
-        for row in _updates(rows):
-            snapshot = apply_update(snapshot, row)
-            due = emitted is None or row["op"] in FORCED_OPS or row["us"] - emitted >= self.interval_us
-            dirty = not due
-            if due:
-                emitted = row["us"]
-                out.append(self._emit(key[0], row["event_id"], snapshot, flush=False))
-        if out:
-            yield _frame(out)
-        self.state.update((json.dumps(snapshot), emitted, dirty))
-        if had_timer:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-        if dirty:
-            self.handle.registerTimer((emitted + self.interval_us) // 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        held = self.state.get()
-        if held is not None and held[2]:
-            snapshot = json.loads(held[0])
-            self.state.update((held[0], snapshot["last_updated_us"], False))
-            yield _frame([self._emit(key[0], None, snapshot, flush=True)])
-
-    def close(self) -> None:
-        pass
-
-
-_STATUS_OUT = f"worker string, event_id bigint, flush boolean, {SNAPSHOT}"
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows)
-    for column in ("event_id", "current_feed_id"):
-        frame[column] = frame[column].astype("Int64")
-    return frame
-
-
-def stream_status(
-    updates: DataFrame, worker: str = "worker", interval_ms: int = PERSIST_INTERVAL_MS, late: str = "10 seconds"
-) -> DataFrame:
-    """Status updates -> emitted snapshots: forced or due ones at once, the last held one on an event-time timer."""
-    optional = {"error": "string", "feed_id": "bigint"}
-    extra = [
-        F.col(n) if n in updates.columns else F.lit(None).cast(t).alias(n) for n, t in optional.items()
-    ]
-    rows = updates.withWatermark("ts", late).select(
-        F.col(worker).cast("string").alias("worker"), "event_id", "ts", F.unix_micros("ts").alias("us"), "op",
-        F.coalesce("bytes_received", F.lit(0)).cast("bigint").alias("bytes_received"), *extra,
+    ``kind`` is ``emitted`` for updates that are forced or due, ``flush`` for what was held back when the newest update of
+    any worker is one interval past the last emission, ``correction`` when updates came that are older than what had been
+    folded: they change totals and whatever nothing newer has set, and the corrected snapshot is given once for the batch.
+    A worker carries one summary; summaries merge in any order, so after any sequence of batches it equals the fold of all
+    its updates. Emissions are those of the throttle, started from the last one.
+    """
+    named = {n: F.col(n) if n in updates.columns else F.lit(None) for n in INPUTS} | {"worker": F.col(worker)}
+    rows = updates.select(*[c.cast(INPUTS[n]).alias(n) for n, c in named.items()])
+    step_us = interval_ms * 1000
+    at = F.struct(*ORDER)
+
+    def step(rows: DataFrame, held: Tables, once: Once) -> tuple[DataFrame, Tables]:
+        now, clock = _clock(rows, "ts", held)
+        workers = held["workers"]
+        known = workers.select(F.col("worker").alias("__w"), F.col("__at").alias("__known"))
+        placed = rows.join(known, F.col("worker").eqNullSafe(F.col("__w")), "left")
+        is_late = F.col("__known").isNotNull() & (at <= F.col("__known"))
+        late, fresh = (placed.where(c).select(rows.columns) for c in (is_late, ~is_late))
+
+        base = once(merged(_summary_rows(late).unionByName(workers.drop("__emitted"))))
+        after = once(merged(_summary_rows(fresh).unionByName(base)))
+        # Emissions: the throttle, with the last emission of each worker as a forced update before its new ones.
+        last = workers.where("__emitted IS NOT NULL").select("worker", "__emitted.ts", "__emitted.event_id", F.lit("idle").alias("op"), F.lit(True).alias("old"))
+        light = fresh.select("worker", "ts", "event_id", "op", F.lit(False).alias("old")).unionByName(last)
+        emitted = once(telemetry.throttle(light, "worker", interval_ms, segment_us).where(~F.col("old")).select("worker", *ORDER))
+        history = _history(fresh, base, segment_us)
+        same = [F.col(f"h.{c}").eqNullSafe(F.col(f"e.{c}")) for c in ("worker", *ORDER)]
+        shown = history.alias("h").join(emitted.alias("e"), same, "left_semi").withColumn("kind", F.lit("emitted"))
+
+        newest = emitted.groupBy("worker").agg(F.max(at).alias("__new")).select(F.col("worker").alias("__n"), "__new")
+        old = workers.select(F.col("worker").alias("__o"), F.col("__emitted").alias("__old"))
+        joined = after.join(newest, F.col("worker").eqNullSafe(F.col("__n")), "left").join(old, F.col("worker").eqNullSafe(F.col("__o")), "left")
+        kept = joined.withColumn("__emitted", F.coalesce("__new", "__old")).drop("__new", "__old", "__n", "__o")
+        waits = (F.col("__at") > F.col("__emitted")) & (F.unix_micros("__emitted.ts") + step_us <= F.lit(now))
+        one = [F.col("__at.event_id").alias("event_id"), *_snapshot(), F.col("__at.ts").alias("last_updated_at")]
+        flushed = kept.where(waits).select("worker", *one, F.lit("flush").alias("kind"))
+        touched = late.select(F.col("worker").alias("__l")).distinct()
+        corrected = after.join(touched, F.col("worker").eqNullSafe(F.col("__l")), "left_semi").select("worker", *one, F.lit("correction").alias("kind"))
+        out = shown.select(corrected.columns).unionByName(flushed).unionByName(corrected)
+        done = kept.withColumn("__emitted", F.when(waits, F.col("__at")).otherwise(F.col("__emitted")))
+        return out.withColumn("event_id", F.when(F.col("kind") == "emitted", F.col("event_id"))), {"workers": done, "clock": clock}
+
+    return MicroBatches(rows, step, folder, replaced={"workers": WORKERS, "clock": CLOCK})
+
+
+def _history(fresh: DataFrame, base: DataFrame, segment_us: int) -> DataFrame:
+    """The snapshot after every new update, the carried summaries standing in for all that came before."""
+    new = _summary_rows(fresh).withColumn("old", F.lit(False))
+    both = new.unionByName(base.withColumn("old", F.lit(True)))
+    rows = both.select("worker", "__at.ts", "__at.event_id", "old", *[F.col(f).alias(f"__w_{f}") for f in FIELDS], *[F.col(t).alias(f"__t_{t}") for t in TOTALS])
+    folded = running(
+        rows, ["worker"], ORDER, time_segment(F.col("ts"), segment_us),
+        last={f: F.col(f"__w_{f}") for f in FIELDS}, total={t: F.col(f"__t_{t}") for t in TOTALS},
     )
-    return rows.groupBy("worker").transformWithStateInPandas(
-        statefulProcessor=StatusFold(interval_ms * 1000),
-        outputStructType=_STATUS_OUT,
-        outputMode="Append",
-        timeMode="EventTime",
-    )
+    return folded.where(~F.col("old")).select("worker", *ORDER, *_snapshot(), F.col("ts").alias("last_updated_at"))
+
+
+def snapshots(batches: MicroBatches) -> DataFrame:
+    """Every worker's snapshot after the last batch: what ``fold_status`` gives for all updates so far."""
+    return batches.latest()["workers"].select("worker", "started_at", F.col("__at.ts").alias("last_updated_at"), *_snapshot())
 
 
+# ---- embeddings ---------------------------------------------------------------------------------
 def stream_embeddings(
     sources: DataFrame,
     make_model: Callable[[], Callable],
@@ -219,61 +225,81 @@ def stream_embeddings(
     checkpoint: str,
     batch_size: int = 32,
     poll_seconds: int | None = EMBEDDING_POLL_SECONDS,
+    error: str | None = "error",
 ) -> DataStreamWriter:
-    """Sources -> vectors, handed to ``write`` per micro-batch. ``poll_seconds`` None drains what is there."""
-    vectors = embed(with_passage(sources), make_model, batch_size)
+    """Sources -> vectors, handed to ``write`` per micro-batch. ``poll_seconds`` None drains what is there.
+
+    Sources of a batch that the model fails on come with the message in the column ``error`` and no vector; with ``error``
+    None such a batch ends the stream.
+    """
+    vectors = embed(with_passage(sources), make_model, batch_size, error=error)
     trigger = {"availableNow": True} if poll_seconds is None else {"processingTime": f"{poll_seconds} seconds"}
     return vectors.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger)
 
 
-class TaskCompletion(StatefulProcessor):
-    """Delivered slots of one task: its total and one entry per delivered feed."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", "n bigint, delivered bigint")
-        self.slots = handle.getMapState("slots", "feed_index bigint", "status string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        held = self.total.get()
-        total, delivered = held if held is not None else (None, 0)
-        for batch in rows:
-            out = []
-            for index, status, n in zip(batch["feed_index"], batch["status"], batch["total_feeds"], strict=True):
-                total = int(n) if total is None else total
-                slot = (int(index),)
-                if not 0 <= int(index) < total:
-                    kind = "missing_slot"
-                elif self.slots.containsKey(slot):
-                    kind = "completed_twice"
-                else:
-                    self.slots.updateValue(slot, (status,))
-                    delivered += 1
-                    kind = "task_complete" if delivered == total else None
-                if kind:
-                    out.append({"kind": kind, "feed_index": int(index), "delivered": delivered, "total_feeds": total})
-            if out:
-                frame = pd.DataFrame(out)
-                frame.insert(0, "execution_id", key[1])
-                frame.insert(0, "task_id", key[0])
-                yield frame
-        self.total.update((total, delivered))
-
-    def close(self) -> None:
-        pass
-
-
-def stream_task_completion(results: DataFrame) -> DataFrame:
-    """Feed results -> one ``task_complete`` row when the last open slot is delivered, plus error rows.
-
-    Input: task_id, execution_id, feed_index, total_feeds, status. The results themselves stay in their table;
-    the completion row says that they can be assembled, so state holds only slot numbers.
+# ---- task completion ----------------------------------------------------------------------------
+BITS = 32_768  # slots in one bitmap, Spark's own size
+SLOTS = "task_id bigint, execution_id bigint, total_feeds bigint, bucket bigint, bits binary"
+ENDED = "task_id bigint, execution_id bigint, total_feeds bigint, until timestamp"
+TASK = ["task_id", "execution_id"]
+
+
+def has_bit(bits: Column, position: Column) -> Column:
+    """Whether a bitmap holds a position."""
+    byte = F.conv(F.hex(F.substring(bits, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte.cast("bigint"), (position % 8).cast("int")) == 1, F.lit(False))
+
+
+def task_completion(results: DataFrame, folder: str, time: str | None = None, keep: str = "1 day") -> MicroBatches:
+    """Feed results -> task_id, execution_id, kind, feed_index, copies, delivered, total_feeds.
+
+    ``kind``: ``task_complete`` once, in the batch that fills the last open slot; ``completed_twice`` for a slot that was
+    delivered before, ``missing_slot`` for one that the task does not have, each with the number of results. Input: task_id,
+    execution_id, feed_index, total_feeds. A task carries a bitmap of its delivered slots; when it is complete, that goes
+    and a short row stays until the newest ``time`` (processing time without one) is ``keep`` later.
     """
-    rows = results.select("task_id", "execution_id", "feed_index", "total_feeds", "status")
-    return rows.groupBy("task_id", "execution_id").transformWithStateInPandas(
-        statefulProcessor=TaskCompletion(),
-        outputStructType=(
-            "task_id bigint, execution_id bigint, kind string, feed_index bigint, delivered bigint, total_feeds bigint"
-        ),
-        outputMode="Append",
-        timeMode="None",
-    )
+    when = F.col(time) if time else F.current_timestamp()
+    rows = results.select(*[F.col(c).cast("bigint").alias(c) for c in (*TASK, "feed_index", "total_feeds")], when.cast("timestamp").alias("ts"))
+
+    def step(rows: DataFrame, held: Tables, once: Once) -> tuple[DataFrame, Tables]:
+        now, clock = _clock(rows, "ts", held)
+        at = F.timestamp_micros(F.lit(now).cast("bigint"))
+        ended = held["ended"].where(F.col("until") >= at)
+        sizes = rows.groupBy(*TASK).agg(F.min("total_feeds").alias("__rows"))
+        sizes = sizes.join(held["slots"].groupBy(*TASK).agg(F.min("total_feeds").alias("__held")), TASK, "full_outer")
+        sizes = sizes.join(ended.select(*TASK, F.col("total_feeds").alias("__ended")), TASK, "left")
+        sizes = sizes.select(*TASK, F.coalesce("__ended", "__held", "__rows").alias("total_feeds"), F.col("__ended").isNotNull().alias("over"))
+
+        each = once(rows.groupBy(*TASK, "feed_index").agg(F.count("*").alias("copies")).join(sizes, TASK))
+        bucket = F.floor(F.col("feed_index") / BITS).cast("bigint")
+        each = each.withColumns({"bucket": bucket, "position": F.col("feed_index") % BITS})
+        real = F.col("feed_index").isNotNull() & F.col("feed_index").between(0, F.col("total_feeds") - 1)
+        before = held["slots"].select(*TASK, "bucket", F.col("bits").alias("__bits"))
+        asked = each.join(before, [*TASK, "bucket"], "left")
+        twice = F.col("over") | has_bit(F.col("__bits"), F.col("position"))
+        surplus = F.when(~real, F.col("copies")).when(twice, F.col("copies")).otherwise(F.col("copies") - 1)
+        wrong = asked.withColumns({"kind": F.when(real, "completed_twice").otherwise("missing_slot"), "copies": surplus}).where("copies > 0")
+
+        new = each.where(real & ~F.col("over")).groupBy(*TASK, "total_feeds", "bucket").agg(F.bitmap_construct_agg("position").alias("bits"))
+        after = once(new.unionByName(held["slots"]).groupBy(*TASK, "bucket").agg(F.min("total_feeds").alias("total_feeds"), F.bitmap_or_agg("bits").alias("bits")))
+        counts = after.groupBy(*TASK).agg(F.sum(F.bitmap_count("bits")).alias("delivered"), F.min("total_feeds").alias("total_feeds"))
+        full = F.col("delivered") == F.col("total_feeds")
+        complete = counts.where(full)
+        filled = complete.select(*TASK, F.lit("task_complete").alias("kind"), F.lit(None).cast("bigint").alias("feed_index"), F.lit(None).cast("bigint").alias("copies"), "delivered", "total_feeds")
+        errors = wrong.join(counts.select(*TASK, "delivered"), TASK, "left").withColumn("delivered", F.when(F.col("over"), F.col("total_feeds")).otherwise(F.coalesce("delivered", F.lit(0))))
+        out = errors.select(filled.columns).unionByName(filled)
+        open_ = after.join(complete.select(*TASK), TASK, "left_anti").select("task_id", "execution_id", "total_feeds", "bucket", "bits")
+        keeps = ended.unionByName(complete.select(*TASK, "total_feeds", (at + F.expr(f"INTERVAL {keep}")).alias("until")))
+        return out, {"slots": open_, "ended": keeps, "clock": clock}
+
+    return MicroBatches(rows, step, folder, replaced={"slots": SLOTS, "ended": ENDED, "clock": CLOCK})
+
+
+def open_slots(batches: MicroBatches) -> DataFrame:
+    """(task_id, execution_id, feed_index) of the slots that tasks with some result still wait for."""
+    held = batches.latest()["slots"]
+    tasks = held.groupBy(*TASK).agg(F.min("total_feeds").alias("total_feeds"))
+    wanted = tasks.select(*TASK, F.explode(F.expr("sequence(0L, total_feeds - 1)")).alias("feed_index"))
+    wanted = wanted.withColumn("bucket", F.floor(F.col("feed_index") / BITS).cast("bigint"))
+    asked = wanted.join(held.select(*TASK, "bucket", "bits"), [*TASK, "bucket"], "left")
+    return asked.where(~has_bit(F.col("bits"), F.col("feed_index") % BITS)).select(*TASK, "feed_index")
