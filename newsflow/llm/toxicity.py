@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,8 +105,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
 
     Severity is derived: a toxic row is of grade 2 when it holds at least the median number of toxic cues (features that
     stand in toxic rows nine times in ten), else of grade 1. Rows of equal text count as one, toxic if any of them is;
-    common words are left out by their share of the clean rows, so none for being common among toxic ones. At most ``max_rows`` labelled rows are used, chosen by the
-    hash of their id; without toxic rows the model never rejects.
+    common words are left out by their share of the clean rows, so none for being common among toxic ones. At most ``max_rows``
+    labelled ids are used, chosen by their hash; of rows with one id the smallest text counts, so no more texts than that
+    are fitted or reach the driver. Without toxic rows the model never rejects.
     """
     spark = docs.sparkSession
     chosen = (
@@ -132,8 +134,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
     rows = common.store(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # at most max_rows pairs of numbers
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.count("*").alias("copies"))
         .groupBy("text")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.count("*").alias("copies"))
+        .agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.sum("copies").alias("copies"))
         .mapInPandas(count, "doc_id bigint, toxic int, copies bigint, f array<string>, n array<int>")
     )
     toxic = F.col("toxic") > 0
@@ -180,27 +184,43 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
     return Model({f: float(weights[i]) for f, i in index.items()}, thresholds)
 
 
+MADE = "tox_severity double, tox_probability double, tox_rejected boolean"
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with tox_severity (expected grade), tox_probability (of grade 1 or more) and tox_rejected.
 
-    NULL and empty texts are clean. Repeated rows are scored alike. Columns of these names are replaced; others pass.
+    NULL and empty texts are clean, long ones are read whole. Repeated rows are scored alike. Columns of these names are
+    replaced; others pass.
     """
-    made = ["tox_severity", "tox_probability", "tox_rejected"]
-    kept = docs.drop(*made)
+    kept = docs.drop(*(c.split()[0] for c in MADE.split(", ")))
+    return _scored(kept, model, text_col, MADE)
+
+
+def not_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``score`` does not reject, with just their own columns, whatever these are called."""
+    return _scored(docs, model, text_col, None)
+
+
+def _scored(docs: DataFrame, model: Model, text_col: str, made: str | None) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
-    place = [f.name for f in kept.schema].index(text_col)
+    names = [f.name for f in docs.schema]
+    place = names.index(text_col)
+    added = [c.split()[0] for c in made.split(", ")] if made else []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*known.value)
-        for batch in batches:
-            p = np.array([own.exceed(t) for t in batch.iloc[:, place]]).reshape(len(batch), -1)
-            batch["tox_severity"] = p.sum(axis=1)
-            batch["tox_probability"] = p[:, 0]
-            batch["tox_rejected"] = p[:, 0] >= REJECT
-            yield batch
+        for part in common.slices(batches):
+            p = np.array([own.exceed(t.as_py()) for t in part.column(place)]).reshape(part.num_rows, -1)
+            rejected = p[:, 0] >= REJECT
+            if made:
+                columns = [*part.columns, pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(rejected)]
+                yield pa.RecordBatch.from_arrays(columns, [*names, *added])
+            else:
+                yield part.filter(pa.array(~rejected))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInPandas(run, f"{schema}, tox_severity double, tox_probability double, tox_rejected boolean")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{schema}, {made}" if made else schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -213,4 +233,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not rejected. The model learns from the labelled rows among them."""
     model = train(docs, common.table(spark, sf_dir, "labels"))
-    return score(docs, model).where(~F.col("tox_rejected")).select(*docs.columns)
+    return not_rejected(docs, model)

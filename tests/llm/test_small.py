@@ -256,3 +256,29 @@ def test_quality(spark, documents, prose):
     empty = quality.train(docs, labels.limit(0))
     assert {r.quality_score for r in quality.score(docs, empty).collect()} == {0.5}
     assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_stage_keeps_columns_and_bounds_its_sample(spark, tmp_path):
+    rows = [(i % 5, f"blorg snarf word{i}" if i % 3 == 0 else f"calm plain text number{i}", float(i)) for i in range(300)]
+    rows += [(None, None, 0.5), (7, "", 0.1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, tox_severity double").withColumn("_row", F.lit(1)).withColumn("tox_rejected", F.lit("own"))
+    marks = spark.createDataFrame([(i, int(i == 0)) for i in range(5)], "doc_id bigint, toxic int")
+    marks.write.parquet(f"file://{tmp_path}/labels.parquet")
+    got = toxicity.stage(spark, docs, f"file://{tmp_path}")
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in docs.collect()}
+    assert toxicity.stage(spark, docs.limit(0), f"file://{tmp_path}").collect() == []
+    seen = []
+    fit = toxicity.fit
+
+    def spy(row, col, val, grades, n, **more):
+        seen.append(len(grades))
+        return fit(row, col, val, grades, n, **more)
+
+    toxicity.fit = spy
+    try:
+        toxicity.train(docs, marks, max_rows=2)
+        toxicity.train(docs, marks)
+    finally:
+        toxicity.fit = fit
+    assert all(n <= 5 for n in seen)
