@@ -119,10 +119,11 @@ MANIFEST_KEY = ["product", "platform", "arch", "runtime_bundle"]
 
 
 def _match_manifest(installed: DataFrame, manifests: DataFrame, prefix: str) -> DataFrame:
-    """Left join on the manifest key; NULL runtime bundles match each other."""
-    named = manifests.select(
-        *[F.coalesce(F.col(k), F.lit("")).alias(f"__{k}") for k in MANIFEST_KEY],
-        F.struct("latest_version", "minimum_supported_version").alias(prefix),
+    """Left join on the manifest key; NULL runtime bundles match each other. Of manifests with one key the newest counts."""
+    versions = ["latest_version", "minimum_supported_version"]
+    order = F.struct(*[x for v in versions for x in (semver(F.col(v)), F.col(v))])
+    named = manifests.groupBy(*[F.coalesce(F.col(k), F.lit("")).alias(f"__{k}") for k in MANIFEST_KEY]).agg(
+        F.max_by(F.struct(*versions), order).alias(prefix)
     )
     same = reduce(
         lambda a, b: a & b,

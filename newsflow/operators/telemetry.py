@@ -472,8 +472,14 @@ def alert_rows(snapshots: DataFrame, now: Column) -> DataFrame:
 
 
 def reconcile_versions(installs: DataFrame, snapshots: DataFrame, worker: str = "worker") -> DataFrame:
-    """Stored version replaced by the snapshot's when the worker is installed and the snapshot names one."""
-    seen = snapshots.select(worker, F.nullif(trim_ws(F.col("app_version")), F.lit("")).alias("__seen"))
+    """Stored version replaced by the snapshot's when the worker is installed and the snapshot names one.
+
+    Of several snapshots of a worker the newest by ``last_updated_at`` counts, without such times the one of the highest
+    text, so an install stays one row.
+    """
+    order = F.struct(_column(snapshots, "last_updated_at", "timestamp"), F.col("app_version"))
+    newest = snapshots.groupBy(worker).agg(F.max_by("app_version", order).alias("__seen"))
+    seen = newest.select(worker, F.nullif(trim_ws(F.col("__seen")), F.lit("")).alias("__seen"))
     changed = F.col("installed") & F.col("__seen").isNotNull()
     return (
         installs.join(seen, worker, "left")

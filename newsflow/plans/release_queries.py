@@ -123,7 +123,7 @@ def _installed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _manifests(spark: SparkSession, sf: str, parity: int | None) -> DataFrame:
-    """One manifest per key: the highest part key wins. ``parity`` keeps products of that parity."""
+    """Two manifests per key, that of the highest part key and one that is older than any. ``parity`` keeps products of that parity."""
     [items] = load(spark, sf, "v_releases")
     keys = ["product", "platform", "arch", "runtime_bundle"]
     best = items.groupBy(*keys).agg(F.max("p_partkey").alias("k"))
@@ -131,6 +131,7 @@ def _manifests(spark: SparkSession, sf: str, parity: int | None) -> DataFrame:
     minimum = F.concat_ws(".", (k % 2).cast("string"), (k % 5).cast("string"), F.lit("0"))
     latest = F.concat_ws(".", (k % 3).cast("string"), (k % 12).cast("string"), (k % 10).cast("string"))
     rows = best.select(*keys, latest.alias("latest_version"), minimum.alias("minimum_supported_version"))
+    rows = rows.unionByName(rows.withColumns({v: F.lit("0.0.0") for v in ("latest_version", "minimum_supported_version")}))
     if parity is None:
         return rows
     return rows.where(F.substring("product", 2, 9).cast("int") % 2 == parity)

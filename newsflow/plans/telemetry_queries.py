@@ -241,9 +241,11 @@ def version_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     customers, orders = load(spark, sf, "customer", "orders")
     n = F.col("c_custkey")
     installs = customers.select(n.alias("worker"), (n % 3 != 0).alias("installed"), F.lit("0.1.0").alias("installed_version"))
-    version = F.concat(F.lit(" 1."), (F.max("o_orderkey") % 7).cast("string"), F.lit(".0 "))
-    seen = orders.groupBy("o_custkey").agg(version.alias("v")).select(
-        F.col("o_custkey").alias("worker"), F.when(F.col("o_custkey") % 5 == 0, F.lit("  ")).otherwise(F.col("v")).alias("app_version")
+    # A snapshot for each order, so most workers have several; the newest counts.
+    version = F.concat(F.lit(" 1."), (F.col("o_orderkey") % 7).cast("string"), F.lit(".0 "))
+    seen = orders.select(
+        F.col("o_custkey").alias("worker"), F.when(F.col("o_custkey") % 5 == 0, F.lit("  ")).otherwise(version).alias("app_version"),
+        F.timestamp_seconds("o_orderkey").alias("last_updated_at"),
     )
     return telemetry.reconcile_versions(installs, seen).select("worker", "installed_version")
 

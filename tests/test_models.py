@@ -355,3 +355,20 @@ def test_hosts_versions_and_idle_queue(spark):
     assert [r.v for r in rows.collect()] == order
     slots = spark.createDataFrame([], "task_id int, execution_id int, job_id string, feed_index int, feed_id int, feed_url string, host_key string, state string")
     assert tasks.queue_totals(slots).first().current_task_label is None
+
+
+def test_repeated_snapshots_and_manifests_keep_one_row_per_install(spark):
+    from newsflow.operators import releases, telemetry
+
+    installs = spark.createDataFrame([("a", True, "0.1.0"), ("b", True, "0.1.0"), ("c", False, "0.1.0")], "worker string, installed boolean, installed_version string")
+    seen = [("a", "1.0.0", 5), ("a", " 1.2.0 ", 9), ("a", "9.0.0", 1), ("b", "2.0.0", 1), ("b", "  ", 2), ("c", "3.0.0", 1)]
+    seen = spark.createDataFrame(seen, "worker string, app_version string, at bigint").selectExpr("worker", "app_version", "timestamp_seconds(at) AS last_updated_at")
+    got = telemetry.reconcile_versions(installs, seen).collect()
+    assert sorted((r.worker, r.installed_version) for r in got) == [("a", "1.2.0"), ("b", "0.1.0"), ("c", "0.1.0")]
+
+    key = "product string, platform string, arch string, runtime_bundle string"
+    held = spark.createDataFrame([("p", "l", "x", None, "1.9.0")], f"{key}, current_version string")
+    rows = [("p", "l", "x", None, "1.10.0", "1.0.0"), ("p", "l", "x", None, "1.9.0", "1.0.0"), ("p", "l", "x", "", "1.2.0", "0.1.0")]
+    manifests = spark.createDataFrame(rows, f"{key}, latest_version string, minimum_supported_version string")
+    for got in (releases.check_releases(held, manifests), releases.check_releases_cached(held, manifests, manifests)):
+        assert [(r.status, r.latest_version) for r in got.collect()] == [("update_available", "1.10.0")]
