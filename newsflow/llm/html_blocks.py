@@ -68,6 +68,12 @@ BOILERPLATE_WORDS = frozenset(
     "complementary contentinfo".split()
 )
 ARTICLE_WORDS = frozenset("article content main post entry story body articlebody text".split())
+LEADING_WORDS = frozenset(
+    "ad ads advert adverts advertisement cookie cookies consent gdpr newsletter subscribe subscription signup popup modal "
+    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer copyright sidebar widget widgets related "
+    "recommended share sharing social comment comments commentlist respond reply replies disqus sponsor sponsored promo".split()
+)  # these say what an element is when they begin its name as well: comment-body, ad-slot
+STATES = frozenset("has no not with without is js when if".split())  # what follows them in a name is a state of the page
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -92,12 +98,34 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+def parts(name: str) -> list[str]:
+    """The words of a class, id or role; none when it tells a state (has-sidebar, no-js)."""
+    words = [w.lower() for w in NAME_WORDS.findall(name)]
+    return [] if words and words[0] in STATES else words
+
+
+def said_by(names: list[str]) -> int:
+    """What names say: a boilerplate word as whole name or last part comes first, then an article word as whole name,
+    then a boilerplate word that begins a name, then any article word."""
+    split = [p for p in map(parts, names) if p]
+    if any(p[-1] in BOILERPLATE_WORDS for p in split):
+        return -1
+    if any(len(p) == 1 and p[0] in ARTICLE_WORDS for p in split):
+        return 1
+    if any(p[0] in LEADING_WORDS for p in split):
+        return -1
+    return int(any(w in ARTICLE_WORDS for p in split for w in p))
+
+
 def hint(tag: str, attributes: str, outer: int, begins: str = "") -> int:
     """What an element says of its content, which ``begins`` so: 1 article, -1 boilerplate, 0 nothing.
 
-    Headings and terms are often called header, and their ids are often made of their text: neither says anything. Names
-    of paragraphs, headings and list items lift no text out of boilerplate.
+    html and body hold the article and all the rest, so they say nothing. Headings and terms are often called header,
+    and their ids are often made of their text: neither says anything. Names of paragraphs, headings and list items lift
+    no text out of boilerplate.
     """
+    if tag in ("html", "body"):
+        return 0
     named = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
     style = named.get("style", "").replace(" ", "").lower()
     if "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in style:
@@ -108,17 +136,14 @@ def hint(tag: str, attributes: str, outer: int, begins: str = "") -> int:
         return -1
     if tag in ARTICLE_TAGS:
         return 1
-    said = [w.lower() for k in ("class", "id", "role") for w in NAME_WORDS.findall(named.get(k, ""))]
+    names = [w for k in ("class", "id", "role") for w in named.get(k, "").split()]
     if tag in HEADINGS or tag in ("th", "dt", "dd"):
         slug = [w.lower() for w in NAME_WORDS.findall(named.get("id", ""))]
         if slug and slug == [w.lower() for w in NAME_WORDS.findall(begins)][: len(slug)]:
-            said = [w.lower() for k in ("class", "role") for w in NAME_WORDS.findall(named.get(k, ""))]
-        said = [w for w in said if w != "header"]
-    if any(w in BOILERPLATE_WORDS for w in said):
-        return -1
-    if outer < 0 and tag in PLAIN and tag not in CELLS:
-        return 0
-    return 1 if any(w in ARTICLE_WORDS for w in said) else 0
+            names = [w for k in ("class", "role") for w in named.get(k, "").split()]
+        names = [w for w in names if parts(w)[-1:] != ["header"]]
+    said = said_by(names)
+    return 0 if said > 0 and outer < 0 and tag in PLAIN and tag not in CELLS else said
 
 
 class Open:
@@ -282,17 +307,19 @@ def features(found: list[Block]) -> np.ndarray:
     return np.column_stack(columns) if found else np.empty((0, len(columns)))
 
 
-# The labelled table: blocks of ten kinds of page, in page order: words, linked words, hint, heading, is article.
+# The labelled table: blocks of twelve kinds of page, in page order: words, linked words, hint, heading, is article.
 PAGES = (
     ((6, 6, -1, 0, 0), (7, 0, -1, 0, 0), (9, 0, 1, 1, 1), (60, 0, 1, 0, 1), (3, 0, 1, 0, 1), (1, 0, 1, 0, 1), (9, 0, -1, 0, 0)),
     ((1, 1, -1, 0, 0), (1, 1, -1, 0, 0), (1, 1, -1, 0, 0), (12, 0, 1, 1, 1), (250, 4, 1, 0, 1), (18, 0, 1, 0, 1), (14, 2, -1, 0, 0)),
     ((2, 2, 0, 0, 0), (1, 0, 0, 0, 0), (3, 3, 0, 0, 0), (8, 0, 0, 1, 1), (45, 0, 0, 0, 1), (70, 3, 0, 0, 1), (5, 0, 0, 0, 1), (80, 0, 0, 0, 1), (6, 5, 0, 0, 0)),
-    ((5, 5, -1, 0, 0), (30, 3, -1, 0, 0), (10, 0, 1, 1, 1), (2, 0, 1, 0, 1), (120, 0, 1, 0, 1), (25, 0, -1, 0, 0), (90, 2, 1, 0, 1), (8, 8, 1, 0, 0), (40, 0, -1, 0, 0), (35, 0, -1, 0, 0)),
+    ((5, 5, -1, 0, 0), (30, 3, -1, 0, 0), (10, 0, 1, 1, 1), (2, 0, 1, 0, 1), (120, 0, 1, 0, 1), (25, 0, -1, 0, 0), (90, 2, 1, 0, 1), (8, 8, 1, 0, 1), (40, 0, -1, 0, 0), (35, 0, -1, 0, 0)),
     ((4, 4, 0, 0, 0), (2, 0, 0, 0, 0), (5, 5, 0, 0, 0), (40, 0, -1, 0, 0), (7, 0, 0, 1, 1), (22, 0, 0, 0, 1), (4, 0, 0, 0, 1), (31, 0, 0, 0, 1), (16, 0, -1, 0, 0), (3, 3, 0, 0, 0), (3, 3, 0, 0, 0)),
     ((3, 0, -1, 1, 0), (5, 5, -1, 0, 0), (2, 0, 1, 1, 1), (1, 0, 1, 0, 1), (400, 0, 1, 0, 1), (20, 20, -1, 0, 0), (60, 1, -1, 0, 0), (2, 0, -1, 1, 0)),
-    ((12, 0, -1, 0, 0), (15, 1, -1, 0, 0), (6, 0, 1, 1, 1), (28, 2, 1, 0, 1), (5, 0, 1, 1, 1), (33, 0, 1, 0, 1), (9, 3, 1, 0, 1), (4, 4, 1, 0, 0), (110, 0, -1, 0, 0)),
+    ((12, 0, -1, 0, 0), (15, 1, -1, 0, 0), (6, 0, 1, 1, 1), (28, 2, 1, 0, 1), (5, 0, 1, 1, 1), (33, 0, 1, 0, 1), (9, 3, 1, 0, 1), (4, 4, 1, 0, 1), (110, 0, -1, 0, 0)),
     ((1, 1, 0, 0, 0), (2, 2, 0, 0, 0), (150, 0, 0, 0, 1), (95, 0, 0, 0, 1), (2, 2, 0, 0, 0), (3, 0, 0, 0, 0), (2, 2, 0, 0, 0)),
-    ((10, 10, 1, 0, 0), (6, 0, 1, 0, 1), (18, 0, 1, 0, 1), (12, 6, 1, 0, 1), (20, 19, 1, 0, 0), (7, 0, 1, 0, 1)),
+    ((10, 10, 1, 0, 1), (6, 0, 1, 0, 1), (18, 0, 1, 0, 1), (12, 6, 1, 0, 1), (20, 19, 1, 0, 1), (7, 0, 1, 0, 1)),
+    ((2, 2, 0, 0, 0), (3, 3, 0, 0, 0), (3, 0, 0, 1, 1), (48, 0, 0, 0, 1), (2, 0, 0, 1, 1), (66, 1, 0, 0, 1), (2, 0, 0, 1, 0), (4, 4, 0, 0, 0), (5, 5, 0, 0, 0), (4, 0, 0, 0, 0)),
+    ((1, 1, 0, 0, 0), (3, 0, 0, 0, 0), (5, 0, 0, 1, 1), (27, 0, 0, 0, 1), (4, 0, 0, 0, 1), (33, 12, 0, 0, 1), (2, 0, 0, 1, 0), (3, 3, 0, 0, 0), (3, 0, 0, 0, 0)),
     ((6, 1, -1, 0, 0), (4, 0, -1, 1, 0), (70, 0, -1, 0, 0), (11, 0, 0, 1, 1), (38, 0, 0, 0, 1), (26, 1, 0, 0, 1), (9, 0, -1, 0, 0)),
 )
 

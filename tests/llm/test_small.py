@@ -162,6 +162,36 @@ def test_cells_of_a_table_layout():
     assert html_blocks.main_text(page, tree)[0] == f"Discussion\n{TEXT}"
 
 
+@pytest.mark.parametrize(
+    "opens",
+    [
+        *(f'<body class="{c}"><div>' for c in "has-sidebar no-sidebar page-form legal-news with-comments text-search".split()),
+        '<html class="hidden-js no-js header-fixed"><body><div>',
+        *(f'<body><div class="{c}">' for c in ("post related-story", "legal-news", "layout has-sidebar", "no-comments")),
+    ],
+)
+def test_names_that_speak_of_the_page_lose_no_article(opens):
+    tree = html_blocks.grow(*html_blocks.training_table())
+    page = f"{opens}<h1>Three word title</h1><p>{TEXT}</p><p>{TEXT}</p></div></body></html>"
+    assert html_blocks.main_text(page, tree)[0] == f"Three word title\n{TEXT}\n{TEXT}"
+
+
+@pytest.mark.parametrize(
+    "name", ["post-sidebar", "comment-body", "commentsArea", "ad-slot", "related-posts", "sidebar", "post-footer content", "cookie-notice"]
+)
+def test_names_of_boilerplate(name):
+    tree = html_blocks.grow(*html_blocks.training_table())
+    page = f'<body><article><p>{TEXT}</p></article><div class="{name}"><p>{TEXT}</p></div></body>'
+    assert html_blocks.main_text(page, tree)[0] == TEXT
+
+
+def test_links_in_an_article_belong_to_it():
+    tree = html_blocks.grow(*html_blocks.training_table())
+    links = "<ul><li><a href=x>First source</a><li><a href=y>Second source of it</a></ul><p>See <a href=z>this list of words</a></p>"
+    page = f"<body><nav><a href=a>Away</a></nav><article><p>{TEXT}</p>{links}</article><p><a href=b>Home</a></p></body>"
+    assert html_blocks.main_text(page, tree)[0] == f"{TEXT}\nFirst source\nSecond source of it\nSee this list of words"
+
+
 def test_math_is_text():
     page = f"<article><p>{TEXT} <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> holds</p></article>"
     assert [b.text for b in html_blocks.blocks(page)] == [f"{TEXT} x=1 holds"]
