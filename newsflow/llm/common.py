@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -45,6 +45,12 @@ def literal_rows(spark: SparkSession, rows: str, schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(rows), f"array<struct<{schema}>>")))
 
 
+def apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but ``used`` under names of their place, which clash with nothing, and the way back."""
+    names = [c if c in used else f"user_{i}_" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
+
+
 def slices(batches, rows: int = 500):
     """Arrow batches cut into smaller ones, so that a task holds few texts and results at a time."""
     for batch in batches:

@@ -340,9 +340,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class: that of the smallest id (NULL is the largest); of repeated rows one."""
-    found = classes(docs).where(F.col("head") & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    rows, back = common.apart(docs, "doc_id", "text")
+    found = classes(rows).where(F.col("head") & F.col("doc_id").eqNullSafe(F.col("class_id")))
     kept = found.select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid")).distinct()
-    rows = docs.withColumn("_text", digest("text"))
+    rows = rows.withColumn("_text", digest("text"))
     rows = rows.join(kept, (F.col("_text") == F.col("_rid")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     once = F.row_number().over(Window.partitionBy("_text", "doc_id").orderBy("_text"))
-    return rows.withColumn("_once", once).where(F.col("_once") == 1).select(*docs.columns)
+    return rows.withColumn("_once", once).where(F.col("_once") == 1).select(*back)

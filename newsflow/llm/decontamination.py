@@ -203,6 +203,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a test item."""
-    keyed = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text")))
+    rows, back = common.apart(docs, "doc_id", "text")
+    keyed = rows.withColumn("_row", F.struct("doc_id", F.xxhash64("text")))
     found = leaks(keyed, common.table(spark, sf_dir, "benchmark"), id_col="_row").select("_row").distinct()
-    return keyed.join(found, "_row", "left_anti").select(*docs.columns)
+    return keyed.join(found, "_row", "left_anti").select(*back)

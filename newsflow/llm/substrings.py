@@ -87,10 +87,8 @@ def has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, crc, text): the key of a document is its id (NULL: after all others) and the checksum of its text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(2**63 - 1))
-    return docs.select(doc.alias("doc"), F.crc32(text.cast("binary")).alias("crc"), text.alias("text"))
+    """(doc, part, text): the key of a document is its id (NULL: after all others) and a digest of its text."""
+    return docs.select(*(c.alias(n) for c, n in zip(_columns(docs, id_col, text_col), ("doc", "part", "text"))))
 
 
 def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
@@ -123,16 +121,16 @@ def anchor_hashes(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, seeds: np.ndarray) -> DataFrame:
-    """(anchor, run, doc, crc, start, n) of the runs whose anchor the bitmap lets through."""
+    """(anchor, run, doc, part, start, n) of the runs whose anchor the bitmap lets through."""
     known = docs.sparkSession.sparkContext.broadcast(seeds)
-    names = ["anchor", "run", "doc", "crc", "start", "n"]
+    names = ["anchor", "run", "doc", "part", "start", "n"]
 
     def make():
         hasher, bits = Hasher(), known.value
 
         def work(batch):
             parts = [[] for _ in names]
-            for doc, crc, text in zip(*batch.columns):
+            for doc, part, text in zip(*batch.columns):
                 n_words = hasher.load(text.as_py())
                 if n_words < WINDOW:
                     continue
@@ -140,7 +138,7 @@ def occurrences(docs: DataFrame, seeds: np.ndarray) -> DataFrame:
                 ok = has(bits, anchor)
                 count = int(ok.sum())
                 if count:
-                    row = (anchor[ok].view(np.int64), run[ok].view(np.int64), np.full(count, doc.as_py()), np.full(count, crc.as_py()))
+                    row = (anchor[ok].view(np.int64), run[ok].view(np.int64), np.full(count, doc.as_py()), np.full(count, part.as_py()))
                     for p, v in zip(parts, (*row, start[ok].astype(np.int32), n[ok].astype(np.int32))):
                         p.append(v)
             if parts[0]:
@@ -148,12 +146,12 @@ def occurrences(docs: DataFrame, seeds: np.ndarray) -> DataFrame:
 
         return work
 
-    return mapped(docs, make, "anchor bigint, run bigint, doc bigint, crc bigint, start int, n int")
+    return mapped(docs, make, "anchor bigint, run bigint, doc bigint, part bigint, start int, n int")
 
 
 def only(docs: DataFrame, keys: DataFrame, wanted: bool) -> DataFrame:
     """Documents that a bitmap of ``keys`` lets through, or those that it does not."""
-    known = docs.sparkSession.sparkContext.broadcast(bitmap(keys.select(F.xxhash64("doc", "crc").alias("h")), "h"))
+    known = docs.sparkSession.sparkContext.broadcast(bitmap(keys.select(F.xxhash64("doc", "part").alias("h")), "h"))
     place = len(docs.columns)
 
     def make():
@@ -167,25 +165,25 @@ def only(docs: DataFrame, keys: DataFrame, wanted: bool) -> DataFrame:
         return work
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return mapped(docs.withColumn("_h", F.xxhash64("doc", "crc")), make, schema)
+    return mapped(docs.withColumn("_h", F.xxhash64("doc", "part")), make, schema)
 
 
 def window_hashes(spans: DataFrame) -> DataFrame:
-    """(anchor, window, doc, crc, start): the windows of given runs; ``spans`` holds (doc, crc, text, runs)."""
-    names = ["anchor", "window", "doc", "crc", "start"]
+    """(anchor, window, doc, part, start): the windows of given runs; ``spans`` holds (doc, part, text, runs)."""
+    names = ["anchor", "window", "doc", "part", "start"]
 
     def make():
         hasher = Hasher()
 
         def work(batch):
             parts = [[] for _ in names]
-            for doc, crc, text, runs in zip(*batch.columns):
+            for doc, part, text, runs in zip(*batch.columns):
                 hasher.load(text.as_py())
                 runs = runs.as_py()
                 n = np.array([r["n"] for r in runs])
                 start = np.repeat([r["start"] for r in runs], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 anchor = np.repeat(np.array([r["anchor"] for r in runs], np.int64), n)
-                row = (anchor, hasher.of(start, WINDOW).view(np.int64), np.full(len(start), doc.as_py()), np.full(len(start), crc.as_py()))
+                row = (anchor, hasher.of(start, WINDOW).view(np.int64), np.full(len(start), doc.as_py()), np.full(len(start), part.as_py()))
                 for p, v in zip(parts, (*row, start.astype(np.int32))):
                     p.append(v)
             if parts[0]:
@@ -193,36 +191,35 @@ def window_hashes(spans: DataFrame) -> DataFrame:
 
         return work
 
-    return mapped(spans, make, "anchor bigint, window bigint, doc bigint, crc bigint, start int")
+    return mapped(spans, make, "anchor bigint, window bigint, doc bigint, part bigint, start int")
 
 
 def order() -> Column:
-    return F.struct("doc", "crc", "start")
+    return F.struct("doc", "part", "start")
 
 
 def later(rows: DataFrame, firsts: DataFrame, *content: str) -> DataFrame:
-    """The rows that are not the first of their content, in order of (doc, crc, start)."""
+    """The rows that are not the first of their content, in order of (doc, part, start)."""
     return rows.join(firsts.where("_n > 1").select(*content, "_first"), list(content)).where(order() != F.col("_first"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc, crc, spans): per document the starts and lengths in words of all windows that occur earlier."""
+    """(doc, part, spans): per document the starts and lengths in words of all windows that occur earlier."""
     seeds = anchor_hashes(docs).groupBy("anchor").count().where("count > 1").select("anchor")
     found = common.store(occurrences(docs, bitmap(seeds, "anchor")))
     kinds = common.store(
         found.groupBy("anchor", "run").agg(F.count("*").alias("_n"), F.min(order()).alias("_first"), F.min("n").alias("n"))
     )
-    whole = later(found, kinds, "anchor", "run").select("doc", "crc", "start", (F.col("n") + WINDOW - 1).alias("length"))
+    whole = later(found, kinds, "anchor", "run").select("doc", "part", "start", (F.col("n") + WINDOW - 1).alias("length"))
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
     edges = common.store(kinds.join(mixed, "anchor").select("anchor", "_first.*", "n"))
-    spans = edges.groupBy("doc", "crc").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
-    texts = only(docs, edges, True).join(spans, ["doc", "crc"]).select("doc", "crc", "text", "runs")
+    spans = edges.groupBy("doc", "part").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
+    texts = only(docs, edges, True).join(spans, ["doc", "part"]).select("doc", "part", "text", "runs")
     windows = common.store(window_hashes(texts))
     firsts = windows.groupBy("anchor", "window").agg(F.count("*").alias("_n"), F.min(order()).alias("_first"))
-    single = later(windows, firsts, "anchor", "window").select("doc", "crc", "start", F.lit(WINDOW).alias("length"))
-    return common.store(
-        whole.unionAll(single).groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    )
+    single = later(windows, firsts, "anchor", "window").select("doc", "part", "start", F.lit(WINDOW).alias("length"))
+    spans = F.collect_set(F.struct("start", "length"))  # equal rows give equal spans: an array is as long as its text has
+    return common.store(whole.unionAll(single).groupBy("doc", "part").agg(spans.alias("spans")))
 
 
 def covered(n_words: int, spans) -> np.ndarray:
@@ -252,20 +249,20 @@ def trimmed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with text_col cut, and dd_words, dd_removed, dd_sha256.
 
     Each word goes that a 20-word window covers whose words also start earlier: in a document of smaller id, or earlier
-    in the same one. Rows of one id with different texts are documents in order of the texts' crc32; equal rows are one
-    document and are cut alike. A NULL id comes after all others. NULL text counts as empty and comes back empty; texts
-    under 20 words stay. Texts without a repeat come back as they are, else the kept passages joined by one space.
-    Other columns pass unchanged; an empty table gives no rows.
+    in the same one. Rows of one id with different texts are documents in order of 64 bits of the texts' SHA-256; equal
+    rows are one document and are cut alike. A NULL id comes after all others. NULL text counts as empty and comes back
+    empty; texts under 20 words stay; very long ones are cut whole, one at a time. Texts without a repeat come back as
+    they are, else the kept passages joined by one space. Other columns pass unchanged; an empty table gives no rows.
     """
     made = ["dd_words", "dd_removed", "dd_sha256"]
     rest = [c for c in docs.columns if c not in (text_col, *made)]
     keyed = documents(docs, id_col, text_col)
     rows = docs.select(
         F.struct(*rest).alias("_rest"),
-        *(c.alias(n) for c, n in zip(_columns(docs, id_col, text_col), ("doc", "crc", "text"))),
+        *(c.alias(n) for c, n in zip(_columns(docs, id_col, text_col), ("doc", "part", "text"))),
     )
     found = repeats(keyed)
-    hit = only(rows, found, True).join(found, ["doc", "crc"], "left")
+    hit = only(rows, found, True).join(found, ["doc", "part"], "left")
     clean = only(rows, found, False).withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType))
     both = clean.select("_rest", "text", "spans").unionByName(hit.select("_rest", "text", "spans"))
 
@@ -286,7 +283,8 @@ def trimmed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column, Column]:
     text = F.coalesce(docs[text_col], F.lit(""))
-    return F.coalesce(docs[id_col].cast("bigint"), F.lit(2**63 - 1)), F.crc32(text.cast("binary")), text
+    part = F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, -10).cast("bigint")
+    return F.coalesce(docs[id_col].cast("bigint"), F.lit(2**63 - 1)), part, text
 
 
 def brute_force(docs: list[tuple[int, str]]) -> list[tuple]:
@@ -319,8 +317,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without repeated passages; n_chars follows the text."""
-    out = trimmed(docs)
+    rows, back = common.apart(docs, "doc_id", "text", "n_chars")
+    out = trimmed(rows)
     if "n_chars" in docs.columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("dd_removed") > 0, length).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*back)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import sys
 import zlib
@@ -103,6 +104,51 @@ def test_repeated_rows_are_one_document(spark, documents, prose):
     assert len(substrings.stage(spark, documents([(1, text), (2, text)]), "").where("n_chars = 0").collect()) == 1
 
 
+def test_equal_checksums_are_two_documents(spark, documents, prose):
+    """Two texts of one id are told apart by more than a checksum that texts can share."""
+    shared, seen, pair = prose(30, 1), {}, None
+    for i in range(400_000):
+        text = f"{hashlib.sha256(str(i).encode()).hexdigest()[:12]} {shared}"
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other != text:
+            pair = other, text
+            break
+    assert pair
+    got = substrings.trimmed(documents([(None, t) for t in pair])).collect()
+    assert sorted(r.dd_removed for r in got) == [0, 30]
+
+
+def test_spans_do_not_grow_with_equal_rows(spark, documents, prose):
+    shared = prose(40, 1)
+    rows = [(1, f"{prose(30, 2)} {shared}"), (3, f"{shared} {prose(25, 4)}")] + [(2, f"{prose(22, 3)} {shared} tail {shared}")] * 300
+    keyed = substrings.documents(documents(rows), "doc_id", "text")
+    sizes = {r.doc: r.n for r in substrings.repeats(keyed).select("doc", F.size("spans").alias("n")).collect()}
+    assert set(sizes) == {2, 3} and max(sizes.values()) <= 2 * 62
+    got = substrings.trimmed(documents(rows)).select("doc_id", "dd_removed").distinct().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0), (2, 80), (3, 40)]
+
+
+CLASH = ["_row", "_text", "_id", "_once", "_rid", "dd_words", "dd_sha256", "tox_severity", "spans", "rid", "user_0_", "a.b"]
+
+
+def clashing(docs):
+    own = docs.columns
+    return docs.select(*own, *(F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in CLASH))
+
+
+def test_stages_give_back_columns_of_any_name(spark, documents, prose, tmp_path):
+    rows = [(i, f"{prose(60, i)} {prose(40, 99)}") for i in range(8)] + [(7, f"{prose(60, 7)} {prose(40, 99)}")]
+    bench = [(1, "x", prose(20, 3))]
+    spark.createDataFrame(bench, "item_id bigint, name string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage in (substrings.stage, dart_minhash.stage, decontamination.stage):
+        docs = clashing(documents(rows))
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+        kept = got.collect()
+        assert kept and all(r[c] == f"{c}{r.doc_id}" for r in kept for c in CLASH)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def brute_align(a, b):
     best, row = 0, [0] * (len(b) + 1)
     for x in a:
