@@ -49,22 +49,27 @@ def embed(
     text: str = "passage",
     out: str = "embedding",
     error: str | None = None,
+    within: list[str] | None = None,
 ) -> DataFrame:
     """Vectors of a text column from a pluggable model.
 
     ``make_model`` runs once per Python worker and returns a function from a batch of texts to a 2-D array.
     Spark decides the partitions; rows need no shuffle. With ``error`` a batch on which the model fails gets NULL vectors
-    and the message in that column, and the others go on; without it the failure ends the job.
+    and the message in that column, and the others go on; without it the failure ends the job. Batches end where the
+    values of the columns ``within`` change, so that a failure stays with the task it belongs to.
     """
     size = max(batch_size, 1)
 
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = make_model()
-        for batch in batches:
+        for batch, keys in batches:
             vectors: list = []
             messages: list = []
-            for at in range(0, len(batch), size):
-                texts = batch.iloc[at : at + size].to_numpy()
+            changes = np.flatnonzero(np.diff(keys.to_numpy())) + 1
+            edges = [0, *changes.tolist(), len(batch)]
+            cuts = [(at, min(at + size, end)) for begin, end in zip(edges, edges[1:]) for at in range(begin, end, size)]
+            for at, end in cuts:
+                texts = batch.iloc[at:end].to_numpy()
                 try:
                     made = np.asarray(model(texts), dtype=np.float32)
                     if len(made) != len(texts):
@@ -80,7 +85,8 @@ def embed(
 
     # Taken for non-deterministic so that the optimizer never computes it twice.
     run = F.pandas_udf(predict, "v array<float>, e string").asNondeterministic()
-    rows = sources.withColumn("__made", run(F.col(text)))
+    key = F.xxhash64(*within) if within else F.lit(0).cast("bigint")
+    rows = sources.withColumn("__made", run(F.col(text), key))
     columns = {out: F.col("__made.v")} | ({error: F.col("__made.e")} if error else {})
     return rows.withColumns(columns).drop("__made")
 

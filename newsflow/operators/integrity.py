@@ -9,6 +9,7 @@ from newsflow.functions.canonical import PRESERVE, canonical_json, hmac_sha256,
 from newsflow.functions.text import ascii_lower, redact_secret, trim_ws
 
 LEASE_FIELDS = ["lease_id", "session_id", "trace_id", "task_type", "worker_version"]
+AFTER_SIGNATURE = ',"signed_at":'  # the key that follows the signature in key order
 
 
 def with_canonical(payloads: DataFrame, payload: str = "payload", mode: str = PRESERVE, out: str = "canonical") -> DataFrame:
@@ -19,29 +20,34 @@ def _fragment(name: str, value: Column) -> Column:
     return F.concat(F.lit(f'"{name}":'), value)
 
 
+def _json_string(value: Column) -> Column:
+    return F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r'^\{"v":|\}$', "")
+
+
 def sign_payloads(
-    rows: DataFrame, api_key: Column, body: str = "result_payload", mode: str = PRESERVE
+    rows: DataFrame, api_key: Column, body: str = "result_payload", mode: str = PRESERVE, error: str | None = None
 ) -> DataFrame:
     """Signed request bodies: adds ``signature`` and ``request_body``.
 
     ``rows`` holds the lease columns, ``signed_at``, ``nonce`` and ``body``: result_payload as JSON text or
-    error_message as plain text. The signature covers all fields but itself, in key order.
+    error_message as plain text. Rows with a message in ``error`` report that failure instead of a result. The signature
+    covers all fields but itself, in key order; the body is the signed text with the signature set in at its place.
     """
-    value = F.col(body)
-    if body == "error_message":
-        value = F.get_json_object(F.to_json(F.struct(value.alias("v"))), "$")
-        value = F.regexp_replace(value, r'^\{"v":|\}$', "")
+    value = _json_string(F.col(body)) if body == "error_message" else F.coalesce(F.col(body), F.lit("null"))
+    said = _fragment(body, value)
+    if error:
+        failed = _fragment("error_message", _json_string(F.col(error)))
+        said = F.when(F.col(error).isNotNull(), failed).otherwise(said)
     fields = F.to_json(F.struct(*LEASE_FIELDS, "signed_at", "nonce"), {"ignoreNullFields": "false"})
-
-    def document(*extra: Column) -> Column:
-        opened = F.regexp_replace(fields, r"\}$", "")
-        return F.concat(F.concat_ws(",", opened, _fragment(body, F.coalesce(value, F.lit("null"))), *extra), F.lit("}"))
-
-    signed = rows.withColumn("__signed", canonical_json(document(), mode)).withColumn(
+    document = F.concat(F.regexp_replace(fields, r"\}$", ""), F.lit(","), said, F.lit("}"))
+    signed = rows.withColumn("__signed", canonical_json(document, mode)).withColumn(
         "signature", hmac_sha256(signing_secret(api_key), F.col("__signed"))
     )
-    quoted = F.concat(F.lit('"'), F.col("signature"), F.lit('"'))
-    return signed.withColumn("request_body", canonical_json(document(_fragment("signature", quoted)), mode)).drop("__signed")
+    # Text values hold no bare quotes, so the last such key is the document's own.
+    tail = F.substring_index("__signed", AFTER_SIGNATURE, -1)
+    head = F.left("__signed", F.length("__signed") - F.length(tail) - len(AFTER_SIGNATURE))
+    whole = F.concat(head, F.lit(',"signature":"'), "signature", F.lit('"' + AFTER_SIGNATURE), tail)
+    return signed.withColumn("request_body", whole).drop("__signed")
 
 
 def normalized_digest(digest: Column) -> Column:

@@ -66,15 +66,21 @@ def task_result_payloads(results: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.select(*TASK, F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
 
 
-def embedding_payloads(vectors: DataFrame) -> DataFrame:
+def embedding_payloads(vectors: DataFrame, error: str | None = None) -> DataFrame:
     """Embedding document of every task, ``{"sources": [{id, embedding}]}``, in order of position.
 
-    ``vectors``: task key, source_pos, id, embedding; one lease in, one document out.
+    ``vectors``: task key, source_pos, id, embedding; one lease in, one document out. With ``error``, a column of messages,
+    a task in which any source has one gives no document but, as ``error_message``, the one of its first position.
     """
     item = F.struct("source_pos", F.struct("id", F.col("embedding").cast("array<double>").alias("embedding")).alias("s"))
-    rows = vectors.groupBy(*TASK).agg(F.array_sort(F.collect_list(item)).alias("__i"))
-    payload = F.struct(F.transform("__i", lambda i: i.s).alias("sources"))
-    return rows.select(*TASK, F.to_json(payload).alias("payload"))
+    made = [F.array_sort(F.collect_list(item)).alias("__i")]
+    if error:
+        made.append(F.min_by(error, F.when(F.col(error).isNotNull(), F.col("source_pos"))).alias("error_message"))
+    rows = vectors.groupBy(*TASK).agg(*made)
+    payload = F.to_json(F.struct(F.transform("__i", lambda i: i.s).alias("sources")))
+    if not error:
+        return rows.select(*TASK, payload.alias("payload"))
+    return rows.select(*TASK, F.when(F.col("error_message").isNull(), payload).alias("payload"), "error_message")
 
 
 def write_payloads(payloads: DataFrame, path: str, mode: str = "append") -> None:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 import json
 
 from pyspark.sql import functions as F
 
+from newsflow.operators import integrity
 from newsflow.plans import lifecycle
 from newsflow.plans.embed_queries import letter_share_model
 from test_io import ATOM, RSS
@@ -74,3 +77,48 @@ def test_embedding_task(spark):
     assert sorted((r.source_pos, r.id, len(r.embedding)) for r in vectors.collect()) == [(0, 7, 16), (1, 5, 16)]
     signed = lifecycle.sign_documents(documents, leases, F.lit("key"), F.lit("t"), F.lit("n"), embedding=True).first()
     assert [s["id"] for s in json.loads(signed.request_body)["result_payload"]["sources"]] == [7, 5]
+
+
+def test_failures_are_signed_and_stay_with_their_task(spark):
+    def model():
+        def predict(texts):
+            if any("poison" in t for t in texts):
+                raise RuntimeError('bad "text"')
+            return letter_share_model()(texts)
+
+        return predict
+
+    def lease(task, *titles):
+        sources = [{"id": task * 10 + i, "title": t, "summary": None, "url": "u"} for i, t in enumerate(titles)]
+        payload = json.dumps({"job_id": "j", "worker_version": "1", "sources": sources})
+        return (task, 0, f"l{task}", "s", "t", "embed.source", "1", payload)
+
+    rows = [lease(1, "a", "b", "poison"), lease(2, "c"), lease(3, "poison"), (4, 0, "l4", "s", "t", "embed.source", "1", "{")]
+    leases = spark.createDataFrame(rows, LEASE).coalesce(1)
+    vectors, documents = lifecycle.embedding_tasks(leases, model, 32)
+    assert {r.id for r in vectors.collect()} == {20}
+    signed = lifecycle.sign_documents(documents, leases, F.lit("key"), F.lit("t"), F.lit("n"), embedding=True).collect()
+    bodies = {r.task_id: json.loads(r.request_body) for r in signed}
+    assert [s["id"] for s in bodies[2]["result_payload"]["sources"]] == [20] and "error_message" not in bodies[2]
+    assert {t: b["error_message"] for t, b in bodies.items() if t != 2} == {1: 'bad "text"', 3: 'bad "text"', 4: lifecycle.UNREADABLE_TASK}
+    for row in signed:
+        body = json.loads(row.request_body)
+        assert "result_payload" in body or row.task_id != 2
+        signature = body.pop("signature")
+        text = json.dumps(body, sort_keys=True, separators=(",", ":"))
+        secret = hashlib.sha256(b"key").hexdigest().encode()
+        if row.task_id != 2:  # numbers of vectors have their own text form
+            assert signature == hmac.new(secret, text.encode(), hashlib.sha256).hexdigest()
+    feeds = spark.createDataFrame([(5, 0, "l5", "s", "t", "rss.fetch", "1", '{"feeds": 1}')], LEASE)
+    done = lifecycle.feed_tasks(feeds, spark.createDataFrame([], LOG))
+    [row] = lifecycle.sign_documents(done.documents, feeds, F.lit("key"), F.lit("t"), F.lit("n")).collect()
+    assert json.loads(row.request_body)["error_message"] == lifecycle.UNREADABLE_TASK
+
+
+def test_signature_stands_where_keys_say(spark):
+    body = json.dumps({"a": ',"signed_at":"x"', "signed_at": {"z": ',"signed_at":'}, "zz": 'q","signed_at":"'})
+    row = (1, 2, "l", 's,"signed_at":', 't,"signed_at":', "w", 'v","signed_at":"1', body, "when", "n")
+    columns = "task_id int, execution_id int, lease_id string, session_id string, trace_id string, task_type string, worker_version string, result_payload string, signed_at string, nonce string"
+    got = integrity.sign_payloads(spark.createDataFrame([row], columns), F.lit("key")).first()
+    parsed = json.loads(got.request_body)
+    assert parsed["result_payload"] == json.loads(body) and list(parsed) == sorted(parsed) and parsed["signature"] == got.signature

@@ -15,7 +15,7 @@ from newsflow.plans.inputs import TABLES
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 # Python runs only where Spark has no built-in: inference, canonical number text, greedy walk, keyed state.
-PYTHON = {"f3_embed", "g1_canonical_payload", "g2_signatures", "h3_throttle"}
+PYTHON = {"f3_embed", "g1_canonical_payload", "g2_signatures", "h3_throttle", "lifecycle_embedding_tasks"}
 
 
 @pytest.fixture(scope="module")
@@ -59,6 +59,12 @@ def test_query(spark, duck, name):
     assert rows_of(got) == rows_of(expected)
 
 
+def test_signing_reads_a_payload_in_python_once(spark):
+    plan = QUERIES["g2_signatures"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    [node] = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert node.count("canonical(") == 1, node
+
+
 def test_every_query_is_registered():
     assert entry_points.queries().keys() >= QUERIES.keys()
     assert entry_points.oracle_sql().items() >= ORACLES.items()
