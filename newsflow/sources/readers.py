@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -291,9 +294,36 @@ def empty_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], schemas.RELEASE)
 
 
-def scan_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every artifact file below a folder."""
-    return digest_contents(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+def scan_artifacts(spark: SparkSession, path: str, buffer_bytes: int = 1 << 22) -> DataFrame:
+    """SHA-256 of every artifact file below a folder: (path, length, sha256).
+
+    Spark lists the files and packs them into tasks by length; contents never become rows. A task reads a file through one
+    buffer of ``buffer_bytes``, so files may be of any size; empty ones, which Spark's listing leaves out, give no row. Files
+    are opened by pyarrow's file systems, which the executors need for the scheme of ``path``.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+    def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_file_digest(p, buffer_bytes) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["path", "length", "sha256"])
+
+    return files.mapInArrow(digests, "path string, length bigint, sha256 string")
+
+
+def _file_digest(path: str, buffer_bytes: int) -> str:
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        files, place = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        host, _, place = rest.removeprefix("//").partition("/")
+        files, base = fs.FileSystem.from_uri(f"{scheme.replace('s3a', 's3')}://{host}/")
+        place = f"{base.rstrip('/')}/{place}"
+    digest = hashlib.sha256()
+    with files.open_input_stream(place, compression=None) as stream:
+        while chunk := stream.read(buffer_bytes):
+            digest.update(chunk)
+    return digest.hexdigest()
 
 
 def digest_contents(files: DataFrame, content: str = "content") -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+from urllib.parse import quote
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.functions.text import rfc3339
@@ -92,6 +97,72 @@ def write_embeddings(vectors: DataFrame, path: str, mode: str = "append") -> Non
     vectors.withColumn("embedding", F.col("embedding").cast("array<double>")).write.mode(mode).parquet(path)
 
 
+def write_run(rows: DataFrame, path: str, run: str) -> bool:
+    """Rows as Parquet under the key of a run, which counts once however often it is written.
+
+    An attempt writes into a folder of its own below ``path/attempts``; then a manifest ``path/runs/<run>`` that names it is
+    put in place by a rename that never replaces. Only what a manifest names is read (``read_runs``), so a job that died, a
+    retry, or two that run at once leave one copy. False says that the run stood already and nothing was added.
+    """
+    spark = rows.sparkSession
+    files = _files(spark, path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    manifest = hadoop.Path(f"{path}/runs/{quote(run, safe='')}")
+    if files.exists(manifest):
+        return False
+    attempt = uuid.uuid4().hex
+    rows.write.parquet(f"{path}/attempts/{attempt}")
+    draft = hadoop.Path(f"{path}/drafts/{attempt}")
+    out = files.create(draft, False)
+    out.write(bytearray(attempt.encode()))
+    out.close()
+    files.mkdirs(manifest.getParent())
+    never_replace = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    context = hadoop.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(files.makeQualified(draft), files.makeQualified(manifest), never_replace)
+    except Py4JJavaError as lost:
+        if "FileAlreadyExistsException" not in lost.java_exception.getClass().getName():
+            raise
+        files.delete(draft, False)
+        files.delete(hadoop.Path(f"{path}/attempts/{attempt}"), True)
+        return False
+    return True
+
+
+def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of all committed runs; the driver holds one name for each run."""
+    files = _files(spark, path)
+    runs = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/runs")
+    found = files.listStatus(runs) if files.exists(runs) else []
+    attempts = [r.getPath() for r in found if not r.getPath().getName().startswith(".")]
+    names = [_content(spark, files, p) for p in attempts]
+    if not names:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/attempts/{n}" for n in names])
+
+
+def run_writer(path: str, job: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: each micro-batch is a run of its own, so one that is replayed adds nothing."""
+
+    def write(rows: DataFrame, number: int) -> None:
+        write_run(rows, path, f"{job}/{number}")
+
+    return write
+
+
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _content(spark: SparkSession, files, path) -> str:  # noqa: ANN001
+    stream = files.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def catalog_documents(items: DataFrame) -> DataFrame:
     """Catalogue items in total order as documents ``{"items": [...]}``, one for each partition of the order.
 

@@ -183,3 +183,69 @@ def test_embedding_sink(spark, tmp_path):
     body = json.loads(spark.read.parquet(str(tmp_path / "p")).first().payload)
     assert [s["id"] for s in body["sources"]] == [10, 11]
     assert body["sources"][0]["embedding"] == [0.5, 1.0]
+
+
+def test_large_artifacts_are_read_in_buffers(spark, tmp_path):
+    big = tmp_path / "a folder" / "big-1.0.0.gz"  # no archive in truth: what is hashed is the file as it lies there
+    big.parent.mkdir()
+    with open(big, "wb") as out:
+        out.write(b"head")
+        out.truncate((1 << 31) + 5)  # sparse, and longer than a row may be
+    (tmp_path / "small.bin").write_bytes(b"x")
+    want = hashlib.sha256(b"head")
+    zeros = bytes(1 << 20)
+    for _ in range(2047):
+        want.update(zeros)
+    want.update(bytes((1 << 20) + 1))
+    scanned = readers.scan_artifacts(spark, str(tmp_path), buffer_bytes=1 << 20)
+    got = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in scanned.collect()}
+    assert got == {"big-1.0.0.gz": ((1 << 31) + 5, want.hexdigest()), "small.bin": (1, hashlib.sha256(b"x").hexdigest())}
+    assert "content" not in scanned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_count_once(spark, tmp_path):
+    place, schema = str(tmp_path / "runs of a job"), "task_id bigint, payload string"
+    assert sinks.read_runs(spark, place, schema).count() == 0
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], schema)
+    assert sinks.write_run(rows, place, "job/1")
+    assert not sinks.write_run(rows, place, "job/1")
+    rows.write.parquet(f"{place}/attempts/died")  # a job that ended before its manifest
+    assert sinks.write_run(rows.where("task_id = 1").withColumn("payload", F.lit("c")), place, "job/2")
+    got = sorted(tuple(r) for r in sinks.read_runs(spark, place, schema).collect())
+    assert got == [(1, "a"), (1, "c"), (2, "b")]
+
+
+def test_runs_that_race_leave_one(spark, tmp_path, monkeypatch):
+    place, schema = str(tmp_path / "r"), "task_id bigint, payload string"
+    rows = spark.createDataFrame([(1, "a")], schema)
+
+    class Blind:
+        """The other writer's manifest is not there yet when this one looks."""
+
+        def __init__(self, files):
+            self.files = files
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+        def exists(self, path):
+            return False
+
+    assert sinks.write_run(rows, place, "k")
+    real = sinks._files
+    with monkeypatch.context() as patch:
+        patch.setattr(sinks, "_files", lambda *a: Blind(real(*a)))
+        assert not sinks.write_run(rows, place, "k")
+    assert sinks.read_runs(spark, place, schema).count() == 1
+    assert len(list((tmp_path / "r" / "attempts").iterdir())) == 1 and not list((tmp_path / "r" / "drafts").glob("[!.]*"))
+
+
+def test_replayed_micro_batches_count_once(spark, tmp_path):
+    source, place, schema = tmp_path / "in", str(tmp_path / "out"), "task_id bigint, payload string"
+    spark.createDataFrame([(i, f"p{i}") for i in range(6)], schema).repartition(3).write.parquet(str(source))
+    for checkpoint in ("first", "lost"):  # with its checkpoint lost, the stream reads all batches again
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        writer = stream.writeStream.option("checkpointLocation", str(tmp_path / checkpoint))
+        writer.foreachBatch(sinks.run_writer(place, "results")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(tuple(r) for r in sinks.read_runs(spark, place, schema).collect())
+    assert got == [(i, f"p{i}") for i in range(6)]
