@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsflow.functions.text import ascii_lower, let, one_line_detail, trim_ws, truncate_chars
@@ -350,35 +350,84 @@ def carry_valid(loads: DataFrame, worker: str = "worker", segment_us: int = HOUR
     more = F.coalesce(
         loaded & (F.col("completed_task_count") > F.col("__prior.v.completed_task_count")), F.lit(False)
     )
-    detail = F.coalesce(one_line_detail(_column(loads, "detail", "string")), F.lit("Please try again."))
-    prefix = F.coalesce(_column(loads, "prefix", "string"), F.lit("Worker status file is invalid."))
     return rows.select(
         *loads.columns,
         F.col("__held.v").alias("snapshot"),
         more.alias("completed_work"),
-        F.when(F.col("load") == "error", F.concat(prefix, F.lit(" "), detail)).alias("warning"),
+        _load_warning(loads).alias("warning"),
     )
 
 
+def _load_warning(loads: DataFrame) -> Column:
+    detail = F.coalesce(one_line_detail(_column(loads, "detail", "string")), F.lit("Please try again."))
+    prefix = F.coalesce(_column(loads, "prefix", "string"), F.lit("Worker status file is invalid."))
+    return F.when(F.col("load") == "error", F.concat(prefix, F.lit(" "), detail))
+
+
 def completed_work(loads: DataFrame, worker: str = "worker") -> DataFrame:
     """Loads whose completed count rose above the snapshot before."""
     return carry_valid(loads, worker).where(F.col("completed_work"))
 
 
 def processing_hint(loads: DataFrame, worker: str = "worker", segment_us: int = HOUR_US) -> DataFrame:
-    """``hint_until`` after every load: set by observed processing or completed work, cleared by error/stopped."""
-    rows = carry_valid(loads, worker, segment_us)
-    loaded = F.col("load") == "loaded"
-    until = F.col("ts") + F.expr(f"INTERVAL {HINT_SECONDS} SECONDS")
-    empty = F.struct(F.lit(None).cast("timestamp").alias("v"))
-    observed = (F.col("phase") == "processing") | F.col("has_task") | F.col("completed_work")
-    write = F.when(loaded & F.col("phase").isin("error", "stopped"), empty).when(
-        loaded & observed, F.struct(until.alias("v"))
+    """``carry_valid`` with ``hint_until`` after every load: set by observed processing or completed work, cleared by
+    error/stopped.
+
+    Whether a load shows completed work hangs on the snapshot before it, and the hint on that. Within a segment only the
+    first load that sets or clears a snapshot looks beyond it, so a segment is summed up by its last snapshot, its last
+    certain hint and what that first load writes if the count has risen; one scan over the summaries settles both. Rows
+    are shuffled once, by (worker, segment).
+    """
+    names = [c for c in ("phase", "has_task", "completed_task_count", "app_version") if c in loads.columns]
+    snapshot = F.struct(*names)
+    none = F.lit(None).cast(loads.select(snapshot.alias("s")).schema["s"].dataType)
+    is_loaded = F.col("load") == "loaded"
+    held = F.when(is_loaded, F.struct(snapshot.alias("v"))).when(F.col("load") == "missing", F.struct(none.alias("v")))
+    count = F.col("completed_task_count")
+    until = F.struct((F.col("ts") + F.expr(f"INTERVAL {HINT_SECONDS} SECONDS")).alias("v"))
+    cleared = F.struct(F.lit(None).cast("timestamp").alias("v"))
+
+    def written(more: Column) -> Column:
+        observed = (F.col("phase") == "processing") | F.col("has_task") | more
+        return F.when(is_loaded & F.col("phase").isin("error", "stopped"), cleared).when(is_loaded & observed, until)
+
+    def rose(prior: Column) -> Column:
+        return F.coalesce(is_loaded & (count > prior.getField("v").getField("completed_task_count")), F.lit(False))
+
+    key = [F.struct(F.col(worker).alias("k")).alias("__key"), time_segment(F.col("ts"), segment_us).alias(SEGMENT)]
+    cut = ["__key", SEGMENT]  # a struct, so that rows without a worker meet in the join too
+    local = Window.partitionBy(*cut).orderBy(*ORDER)
+    upto, until_here = (local.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
+    rows = (
+        loads.select("*", *key)
+        .withColumn("__own", held)
+        .withColumns({"__held": F.last("__own", True).over(upto), "__prior": F.last("__own", True).over(until_here)})
+        .withColumn("__write", written(rose(F.col("__prior"))))
+        .withColumn("__hint", F.last("__write", True).over(upto))
+    )
+    opens = F.col("__own").isNotNull() & F.col("__prior").isNull()
+    first = F.struct(F.when(is_loaded, count).alias("count"), written(F.lit(True)).alias("write"))
+    position = F.struct(*ORDER)
+    summary = rows.groupBy(*cut).agg(
+        F.max_by("__held", position).alias("held"),
+        F.max_by("__hint", position).alias("hint"),
+        F.max(F.when(opens, first)).alias("__first"),
     )
-    hinted = running(
-        rows, [worker], ORDER, time_segment(F.col("ts"), segment_us), last={"__hint": write}
+    before = Window.partitionBy("__key").orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    risen = F.col("__first.count") > F.col("__before.v.completed_task_count")
+    summary = summary.withColumn("__before", F.last("held", True).over(before))
+    summary = summary.withColumn("__opening", F.when(risen, F.col("__first.write")))
+    settled = F.coalesce("hint", "__opening")
+    summary = summary.select(*cut, "__before", "__opening", F.last(settled, True).over(before).alias("__carried"))
+
+    opening = F.when(F.col("__held").isNotNull(), F.col("__opening"))
+    return rows.join(summary, cut, "left").select(
+        *loads.columns,
+        F.coalesce("__held", "__before").getField("v").alias("snapshot"),
+        rose(F.coalesce("__prior", "__before")).alias("completed_work"),
+        _load_warning(loads).alias("warning"),
+        F.coalesce(F.col("__hint"), opening, F.col("__carried")).getField("v").alias("hint_until"),
     )
-    return hinted.withColumn("hint_until", F.col("__hint.v")).drop("__hint")
 
 
 def recent_processing(hint_until: Column, now: Column) -> Column:

@@ -372,3 +372,43 @@ def test_repeated_snapshots_and_manifests_keep_one_row_per_install(spark):
     manifests = spark.createDataFrame(rows, f"{key}, latest_version string, minimum_supported_version string")
     for got in (releases.check_releases(held, manifests), releases.check_releases_cached(held, manifests, manifests)):
         assert [(r.status, r.latest_version) for r in got.collect()] == [("update_available", "1.10.0")]
+
+
+# ---- processing hint ----------------------------------------------------------------------------
+def sequential_hint(loads):
+    """(event_id -> snapshot count, completed work, hint end) by walking one worker after the other."""
+    out, held, until = {}, {}, {}
+    for worker, us, event, load, phase, has_task, count in sorted(loads, key=lambda r: (r[0] is None, r[0], r[1], r[2])):
+        before = held.get(worker)
+        more = load == "loaded" and before is not None and None not in (before[0], count) and count > before[0]
+        if load != "error":
+            held[worker] = (count,) if load == "loaded" else None
+        if load == "loaded" and phase in ("error", "stopped"):
+            until[worker] = None
+        elif load == "loaded" and (phase == "processing" or has_task or more):
+            until[worker] = us + telemetry.HINT_SECONDS * SECOND
+        out[event] = (held.get(worker) and held[worker][0], more, until.get(worker))
+    return out
+
+
+def test_processing_hint(spark):
+    rng = random.Random(17)
+    rows = []
+    for event in range(1500):
+        worker = None if rng.random() < 0.1 else hot_key(rng)
+        phase = rng.choice(["idle"] * 6 + ["processing", "error", "stopped", None])
+        load = rng.choice(["loaded"] * 3 + ["error", "missing"])
+        count = None if rng.random() < 0.1 else rng.randrange(6)
+        rows.append((worker, BASE + rng.randrange(400) * SECOND, event, load, phase, rng.choice([None, False, False, True]), count))
+    schema = "worker int, us bigint, event_id int, load string, phase string, has_task boolean, completed_task_count bigint"
+    loads = at(spark.createDataFrame(rows, schema))
+    want = sequential_hint(rows)
+    for width in (7 * SECOND, 3600 * SECOND):
+        got = telemetry.processing_hint(loads, segment_us=width).withColumn("until_us", F.unix_micros("hint_until"))
+        assert {r.event_id: (r.snapshot and r.snapshot.completed_task_count, r.completed_work, r.until_us) for r in got.collect()} == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = telemetry.processing_hint(loads)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") <= 4, plan
