@@ -15,7 +15,7 @@ from newsflow.plans.inputs import TABLES
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 # Python runs only where Spark has no built-in: inference, canonical number text, greedy walk, keyed state.
-PYTHON = {"f3_embed", "g1_canonical_payload", "g2_signatures", "h3_throttle", "lifecycle_embedding_tasks"}
+PYTHON = {"f3_embed", "g1_canonical_payload", "g2_signatures", "h3_throttle", "lifecycle_embedding_tasks", "lifecycle_feed_tasks"}
 
 
 @pytest.fixture(scope="module")
