@@ -1,17 +1,23 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-A word is what stands between white space, in lower case and without ASCII punctuation. Every run of three consecutive
-words of a test item is a seed, however many documents hold it. A document that holds a seed is aligned with the item
-around it; the score is that of the best local alignment, divided by that of the item with itself. A copy with words
-changed, inserted or left out keeps a high score. Regions that share too few words with the item to reach the score
-asked for are not aligned; equal regions are aligned once.
+A word is what stands between white space, in lower case and without ASCII punctuation. Two kinds of seeds join documents
+and test items. Every run of three consecutive words of an item is one, however many documents hold it. The others are the
+item's rarest words, by how often all documents hold them: a score of ``least`` needs ``least`` of the item's words, so of
+its rarest ones, taken until ``SEEDS`` more than may be missing are chosen, at least ``SEEDS`` stand in the passage, and
+no passage that reaches the score is longer than ``reach`` says. So every passage that can reach the score is aligned,
+also one without two words in a row. Items under ``SHORT`` words, half of which meet by chance, go by runs alone.
 
-The test items are read in blocks of at most ``BLOCK_WORDS`` words, so what the tasks get is bounded; a larger benchmark
-takes more passes over the documents.
+A document that holds seeds is aligned with the item around them; the score is that of the best local alignment, divided
+by that of the item with itself. Regions that share too few words with the item to reach the score asked for are not
+aligned; equal regions are aligned once.
+
+The test items are read in blocks of at most ``BLOCK_WORDS`` words, so what the tasks get, and the counts of their words
+that come back, is bounded; a larger benchmark takes more passes over the documents.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +28,9 @@ from pyspark.sql import functions as F
 from newsflow.llm import common
 
 U64 = np.uint64
-GRAM = 3  # words of a seed
+GRAM = 3  # words of a run that is a seed
+SEEDS = 4  # rare words of an item that a passage must hold
+SHORT = 8  # items of fewer words are found by runs alone
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5  # score from which a document counts as contaminated
 BLOCK_WORDS = 1_000_000
@@ -87,6 +95,17 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def _joined(item: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """Regions in order of (item, low), overlapping ones of an item as one."""
+    if not len(item):
+        return []
+    apart = item * (length + 1)  # regions of two items never touch
+    reach = np.maximum.accumulate(high + apart)
+    new = np.flatnonzero(np.append(True, (low + apart)[1:] > reach[:-1]))
+    ends = reach[np.append(new[1:], len(item)) - 1] - apart[new]
+    return list(zip(item[new].tolist(), low[new].tolist(), ends.tolist()))
+
+
 class Items:
     """A block of test items with their seeds."""
 
@@ -107,6 +126,60 @@ class Items:
         self.first = np.append(np.searchsorted(every[order], self.seeds.keys), len(every))
         self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
         self.offset = np.concatenate([*(np.arange(len(g)) for g in grams), np.empty(0, np.int64)]).astype(np.int64)[order]
+        self.vocabulary = Lookup(np.concatenate([*self.words, np.empty(0, U64)]))
+
+    def choose(self, counts: np.ndarray, least: float) -> None:
+        """Take the rarest words of each item as seeds; ``counts`` are those of the vocabulary in all documents."""
+        self.need = np.maximum(1, np.ceil(least * self.sizes - 1e-9)).astype(np.int64)
+        self.hits = np.minimum(self.need, SEEDS)
+        self.reach = np.maximum(self.sizes, np.floor(3 * self.sizes - MATCH * least * self.sizes + 1e-9).astype(np.int64))
+        seeds, items = [np.empty(0, U64)], [np.empty(0, np.int64)]
+        for i, words in enumerate(self.words):
+            if len(words) < SHORT:
+                continue
+            often = counts[np.searchsorted(self.vocabulary.keys, words)]
+            taken = len(words) - self.need[i] + self.hits[i]
+            seeds.append(np.unique(words[np.lexsort((words, often))[:taken]]))
+            items.append(np.full(len(seeds[-1]), i))
+        every = np.concatenate(seeds)
+        order = np.argsort(every, kind="stable")
+        self.rare = Lookup(every)
+        self.rare_first = np.append(np.searchsorted(every[order], self.rare.keys), len(every))
+        self.rare_item = np.concatenate(items)[order]
+
+    def sparse_regions(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first word, end word) where enough rare words of an item, and enough of all its words, stand together."""
+        place, key = self.rare(hashes)
+        if not len(place):
+            return
+        held = self.rare_first[key + 1] - self.rare_first[key]
+        item = self.rare_item[np.repeat(self.rare_first[key] - np.cumsum(held) + held, held) + np.arange(held.sum())]
+        place = np.repeat(place, held)
+        order = np.lexsort((place, item))
+        item, place = item[order], place[order]
+        last = np.arange(len(item)) + self.hits[item] - 1
+        inside = np.flatnonzero(last < len(item))
+        last = last[inside]
+        close = (item[last] == item[inside]) & (place[last] - place[inside] < self.reach[item[inside]])
+        begin, end = place[inside[close]], place[last[close]]
+        for i, low, high in self._merged(item[inside[close]], begin, end, len(hashes)):
+            part = hashes[low:high]
+            words = self.bags[i][0]
+            at = np.minimum(np.searchsorted(words, part), len(words) - 1)
+            own = np.flatnonzero(words[at] == part)
+            more = int(self.need[i]) - 1
+            if more >= len(own):
+                continue
+            begin, end = own[: len(own) - more], own[more:]
+            together = end - begin < self.reach[i]
+            begin, end = begin[together] + low, end[together] + low
+            yield from self._merged(np.full(len(begin), i), begin, end, len(hashes))
+
+    def _merged(self, item: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+        """Where a passage may lie that holds the words ``begin`` to ``end``; overlapping regions of an item as one."""
+        low = np.maximum(0, end - self.reach[item] + 1)
+        high = np.minimum(length, begin + self.reach[item])
+        return _joined(item, low, high, length)
 
     def regions(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, first word, end word) around the seeds in a text, overlapping ones of an item as one."""
@@ -125,10 +198,7 @@ class Items:
             high = np.minimum(len(hashes), start + self.sizes[item] + slack)
             order = np.lexsort((low, item))
             item, low, high = item[order], low[order], high[order]
-            apart = item * (len(hashes) + 1)  # regions of two items never touch
-            reach = np.maximum.accumulate(high + apart)
-            new = np.flatnonzero(np.append(True, (low + apart)[1:] > reach[:-1])) if len(item) else item
-            yield from zip(item[new].tolist(), low[new].tolist(), (reach[np.append(new[1:], len(item)) - 1] - apart[new]).tolist())
+            yield from _joined(item, low, high, len(hashes))
 
     def shared(self, item: int, part: np.ndarray) -> int:
         """Words that the item and ``part`` have in common, repeats included: no alignment matches more."""
@@ -139,7 +209,9 @@ class Items:
     def matches(self, hashes: np.ndarray, least: float, memory: dict) -> list[tuple[int, float, int, int]]:
         """(item id, score, first word, end word) of the best alignment with each item that reaches ``least``."""
         found: dict[int, tuple[int, int, int]] = {}
-        for item, low, high in self.regions(hashes):
+        for item, low, high in itertools.chain(self.regions(hashes), self.sparse_regions(hashes)):
+            if found.get(item, (0,))[0] == MATCH * len(self.words[item]):
+                continue  # a whole copy
             part = hashes[low:high]
             if MATCH * self.shared(item, part) < least * MATCH * len(self.words[item]):
                 continue
@@ -168,6 +240,26 @@ def blocks_of(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(rows)
 
 
+def word_counts(docs: DataFrame, items: Items) -> np.ndarray:
+    """How often all documents hold each word of the items."""
+    known = docs.sparkSession.sparkContext.broadcast(items.vocabulary)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = known.value
+        counts = np.zeros(len(own.keys), np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                word, n = np.unique(own(words_of(text))[1], return_counts=True)
+                counts[word] += n
+        seen = np.flatnonzero(counts)
+        yield pd.DataFrame({"word": seen, "n": counts[seen]})
+
+    found = docs.select("text").mapInPandas(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(len(items.vocabulary.keys), np.int64)
+    counts[found["word"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return counts
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, score, first_word, end_word): documents with a passage of a test item, one row for each item.
 
@@ -180,6 +272,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: s
     schema = f"id {docs.schema['id'].dataType.simpleString()}, item_id bigint, score double, first_word int, end_word int"
     out = docs.sparkSession.createDataFrame([], schema)
     for items in blocks_of(benchmark):
+        items.choose(word_counts(docs, items), least)
         known = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:

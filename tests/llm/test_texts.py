@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import sys
 import zlib
@@ -202,6 +203,48 @@ def test_many_copies_of_one_edited_item(spark, documents, prose, step, verbatim)
     assert all(r.score >= 0.6 for r in got)
 
 
+def edited(words, step, how, rng):
+    """Every ``step``-th word changed or left out, or a word put in after it."""
+    out = []
+    for k, word in enumerate(words):
+        own = f"new{rng.randrange(10**6)}"
+        if k % step != step - 1:
+            out.append(word)
+        elif how == "changed":
+            out.append(own)
+        elif how == "inserted":
+            out += [word, own]
+    return out
+
+
+def test_leaks_equal_alignment_of_all_pairs(spark, documents):
+    """No document that reaches the score is lost, whatever was done to the item; common words are very common."""
+    rng = random.Random(23)
+    common_words = ["the", "of", "and", "to", "in"]
+
+    def words(n, own):
+        return [rng.choice(common_words) if rng.random() < 0.45 else f"{own}{rng.randrange(60)}" for _ in range(n)]
+
+    items = [(i, words(rng.choice([8, 15, 24, 40]), "w")) for i in range(12)] + [(12, common_words * 2), (13, ["one", "two", "three", "four"])]
+    rows = [(i, words(rng.randrange(0, 90), "w")) for i in range(40)]
+    for (item, copy), step, how in itertools.product(items, (1, 2, 3, 4, 6), ("changed", "left out", "inserted")):
+        around = rng.choice([0, 3, 60])
+        rows.append((len(rows), words(around, "x") + edited(copy, step, how, rng) + words(around, "y")))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    got = decontamination.leaks(documents([(i, " ".join(w)) for i, w in rows]), bench).collect()
+    want, runs = {}, {}
+    for doc, text in rows:
+        held = decontamination.words_of(" ".join(text))
+        for item, copy in items:
+            own = decontamination.words_of(" ".join(copy))
+            score = decontamination.align(own, held)[0] / (decontamination.MATCH * len(own))
+            if score >= decontamination.LEAST and len(own) >= decontamination.SHORT:
+                want[doc, item] = score
+                runs[doc, item] = bool(np.isin(decontamination.grams_of(held), decontamination.grams_of(own)).any())
+    assert {(r.doc_id, r.item_id): r.score for r in got if r.item_id != 13} == want
+    assert len(want) > 100 and list(runs.values()).count(False) > 10  # many have no three words in a row left
+
+
 def test_bound_of_alignment():
     rng = np.random.default_rng(3)
     for _ in range(200):
