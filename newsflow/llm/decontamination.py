@@ -3,8 +3,8 @@
 A word is what stands between white space, in lower case and without ASCII punctuation. Two kinds of seeds join documents
 and test items. Every run of three consecutive words of an item is one, however many documents hold it. The others are the
 item's rarest words, by how often all documents hold them: a score of ``least`` needs ``least`` of the item's words, so of
-its rarest ones, taken until ``SEEDS`` more than may be missing are chosen, at least ``SEEDS`` stand in the passage, and
-no passage that reaches the score is longer than ``reach`` says. So every passage that can reach the score is aligned,
+its rarest ones, taken until ``SEEDS`` more than may be missing are chosen, at least ``SEEDS`` stand in the passage, and the
+fewer words a passage shares, the shorter it must be to reach the score (``LEVELS``). So every passage that can reach the score is aligned,
 also one without two words in a row. Items under ``SHORT`` words, half of which meet by chance, go by runs alone.
 
 A document that holds seeds is aligned with the item around them; the score is that of the best local alignment, divided
@@ -30,6 +30,7 @@ from newsflow.llm import common
 U64 = np.uint64
 GRAM = 3  # words of a run that is a seed
 SEEDS = 4  # rare words of an item that a passage must hold
+LEVELS = 4  # steps of the number of words in common, each with the length that a passage may have
 SHORT = 8  # items of fewer words are found by runs alone
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5  # score from which a document counts as contaminated
@@ -132,7 +133,11 @@ class Items:
         """Take the rarest words of each item as seeds; ``counts`` are those of the vocabulary in all documents."""
         self.need = np.maximum(1, np.ceil(least * self.sizes - 1e-9)).astype(np.int64)
         self.hits = np.minimum(self.need, SEEDS)
-        self.reach = np.maximum(self.sizes, np.floor(3 * self.sizes - MATCH * least * self.sizes + 1e-9).astype(np.int64))
+        # with m words in common a passage of that score is at most 3 m - 2 least n words long: the fewer, the shorter
+        steps = np.arange(LEVELS + 1)[:, None]
+        bounds = self.need + (self.sizes + 1 - self.need) * steps // LEVELS
+        reach = np.floor(3 * (bounds[1:] - 1) - MATCH * least * self.sizes + 1e-9).astype(np.int64)
+        self.common, self.reach = bounds[:-1], np.where(bounds[1:] > bounds[:-1], np.maximum(reach, 0), 0)
         seeds, items = [np.empty(0, U64)], [np.empty(0, np.int64)]
         for i, words in enumerate(self.words):
             if len(words) < SHORT:
@@ -157,29 +162,50 @@ class Items:
         place = np.repeat(place, held)
         order = np.lexsort((place, item))
         item, place = item[order], place[order]
-        last = np.arange(len(item)) + self.hits[item] - 1
-        inside = np.flatnonzero(last < len(item))
-        last = last[inside]
-        close = (item[last] == item[inside]) & (place[last] - place[inside] < self.reach[item[inside]])
-        begin, end = place[inside[close]], place[last[close]]
-        for i, low, high in self._merged(item[inside[close]], begin, end, len(hashes)):
-            part = hashes[low:high]
-            words = self.bags[i][0]
-            at = np.minimum(np.searchsorted(words, part), len(words) - 1)
-            own = np.flatnonzero(words[at] == part)
-            more = int(self.need[i]) - 1
-            if more >= len(own):
-                continue
-            begin, end = own[: len(own) - more], own[more:]
-            together = end - begin < self.reach[i]
-            begin, end = begin[together] + low, end[together] + low
-            yield from self._merged(np.full(len(begin), i), begin, end, len(hashes))
-
-    def _merged(self, item: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-        """Where a passage may lie that holds the words ``begin`` to ``end``; overlapping regions of an item as one."""
-        low = np.maximum(0, end - self.reach[item] + 1)
-        high = np.minimum(length, begin + self.reach[item])
-        return _joined(item, low, high, length)
+        kept = []
+        for words, reach in zip(self.common, self.reach):
+            last = np.arange(len(item)) + (words - self.need + self.hits)[item] - 1
+            inside = np.flatnonzero(last < len(item))
+            last = last[inside]
+            close = (item[last] == item[inside]) & (place[last] - place[inside] < reach[item[inside]])
+            kept.append((item[inside[close]], place[inside[close]], place[last[close]]))
+        item, begin, end = (np.concatenate(part) for part in zip(*kept))
+        if not len(item):
+            return
+        order = np.lexsort((end, item))
+        item, begin, end = item[order], begin[order], end[order]
+        widest = self.reach.max(0)[item]
+        low, high = np.maximum(0, end - widest + 1), np.minimum(len(hashes), begin + widest)
+        for i, low, high in _joined(item, low, high, len(hashes)):
+            yield from self._dense(i, low, high, hashes[low:high])
+
+    def _dense(self, item: int, low: int, high: int, part: np.ndarray) -> list[tuple[int, int, int]]:
+        """Where ``part``, the words from ``low`` on, holds enough of the item's words near enough to each other.
+
+        A word counts as often as the item holds it, so an occurrence counts for the stretches that begin after the
+        one that many before it.
+        """
+        words, most = self.bags[item]
+        at = np.minimum(np.searchsorted(words, part), len(words) - 1)
+        place = np.flatnonzero(words[at] == part)
+        if len(place) < self.need[item]:
+            return []
+        word = at[place]
+        order = np.argsort(word, kind="stable")
+        word, place = word[order], place[order]
+        earlier = np.arange(len(word)) - most[word]
+        again = (earlier >= 0) & (word[earlier] == word)
+        after = np.where(again, place[earlier], -1)
+        starts = []
+        for least, reach in zip(self.common[:, item], self.reach[:, item]):
+            first = np.maximum(after, place - reach) + 1
+            edge = np.bincount(first, minlength=len(part) + 1) - np.bincount(place + 1, minlength=len(part) + 1)
+            start = np.flatnonzero(np.cumsum(edge[:-1]) >= least)
+            starts.append((start, np.minimum(start + reach, len(part))))
+        begin, end = (np.concatenate(side) for side in zip(*starts))
+        order = np.argsort(begin, kind="stable")
+        begin, end = begin[order] + low, end[order] + low
+        return _joined(np.full(len(begin), item), begin, end, high)
 
     def regions(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, first word, end word) around the seeds in a text, overlapping ones of an item as one."""
