@@ -29,7 +29,7 @@ from newsflow.llm import common
 
 U64 = np.uint64
 GRAM = 3  # words of a run that is a seed
-SEEDS = 4  # rare words of an item that a passage must hold
+SEEDS = 6  # rare words of an item that a passage must hold
 LEVELS = 4  # steps of the number of words in common, each with the length that a passage may have
 SHORT = 8  # items of fewer words are found by runs alone
 MATCH, MISMATCH, GAP = 2, -1, -1
