@@ -34,4 +34,8 @@ QUERIES = {
     "op13_fill_middle": fill_middle.query,
 }
 # The others are tested against brute force.
-ORACLES: dict[str, str] = {"op12_kneser_ney": kneser_ney.SQL, "op13_fill_middle": fill_middle.SQL}
+ORACLES: dict[str, str] = {
+    "op4_seed_extend": substrings.SQL,
+    "op12_kneser_ney": kneser_ney.SQL,
+    "op13_fill_middle": fill_middle.SQL,
+}

@@ -287,6 +287,22 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Colum
     return F.coalesce(docs[id_col].cast("bigint"), F.lit(2**63 - 1)), part, text
 
 
+# Every window with its place; a word goes if a repeated window began less than a window's length before it.
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+     k AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS content FROM s),
+     r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) > 1 AS later FROM k),
+     p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+     c AS (SELECT p.doc_id, word, j, coalesce(j - max(CASE WHEN later THEN j END) OVER (PARTITION BY p.doc_id ORDER BY j) < 20, false) AS gone
+           FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.i = p.j),
+     g AS (SELECT doc_id, count(*) AS n_words, count(CASE WHEN gone THEN 1 END) AS n_removed,
+                  string_agg(CASE WHEN NOT gone THEN word END, ' ' ORDER BY j) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
 def brute_force(docs: list[tuple[int, str]]) -> list[tuple]:
     """(doc_id, n_words, n_removed, kept_sha256) by a dictionary of all windows."""
     seen: dict[tuple, int] = {}

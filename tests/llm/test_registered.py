@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import zlib
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
 from newsflow.llm import substrings
-from newsflow.llm.queries import QUERIES
+from newsflow.llm.queries import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 WHOLE = {1, 2, 4, 5, 7, 8, 10, 11, 12, 13}  # one row for each document
@@ -31,6 +32,11 @@ def test_query(spark, texts, name):
     if number == 4:
         want = substrings.brute_force(list(texts.items()))
         assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows) == want
+        duck = duckdb.connect()
+        duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+        said = duck.execute(ORACLES[name])
+        columns = [c[0] for c in said.description]
+        assert columns == ["doc_id", "n_words", "n_removed", "kept_sha256"] and sorted(said.fetchall()) == want
     if number == 7:
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
         assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
