@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,8 +15,12 @@ from newsflow.functions import text as t
 from newsflow.functions.bylines import with_authors
 from newsflow.functions.canonical import (
     EXPONENT_SIGN,
+    HELD_BYTES,
+    HELD_ROWS,
     PRESERVE,
+    canonical_json,
     canonical_text,
+    held_slices,
     hmac_sha256,
     number_text,
     signing_secret,
@@ -147,6 +152,23 @@ def test_canonical_json():
     )
 
 
+def test_canonical_json_holds_few_texts_at_a_time(spark):
+    long_, over = "x" * (HELD_BYTES // 4), "y" * (HELD_BYTES + 1)
+    texts = [long_, None, long_, long_, over, "", *["z"] * (HELD_ROWS + 1), long_, long_, long_, long_, long_]
+    slices = [s.to_pylist() for s in held_slices(pa.array(texts))]
+    assert [t for s in slices for t in s] == texts
+    assert [over] in slices
+    for s in slices:
+        assert len(s) <= HELD_ROWS and (len(s) == 1 or sum(len(t or "") for t in s) <= HELD_BYTES)
+    assert [len(s) for s in held_slices(pa.array([], pa.string()))] == [0]
+    rows = [(i, None if t is None else json.dumps({"b": t, "a": 1e-7})) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, v string").repartition(1)
+    modes = df.select("i", "v", canonical_json(F.col("v")).alias("p"), canonical_json(F.col("v"), EXPONENT_SIGN).alias("e"))
+    for r in modes.collect():
+        assert r.p == (None if r.v is None else canonical_text(r.v))
+        assert r.e == (None if r.v is None else canonical_text(r.v, EXPONENT_SIGN))
+
+
 @pytest.mark.parametrize(
     ("value", "expected"),
     [
