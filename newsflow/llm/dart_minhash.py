@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -156,24 +157,27 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def bands_of(texts: DataFrame, bands: int, rows: int) -> DataFrame:
     """(rid, band): band keys of every text that has words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def signed(ids: list, parts: list[np.ndarray]) -> pa.RecordBatch:
+        keys = band_keys(signatures(parts, bands * rows), bands, rows)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.reshape(-1)))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), lists], ["rid", "bands"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
             ids, parts, held = [], [], 0
-            for i, (rid, text) in enumerate(zip(batch["rid"], batch["text"])):
-                own = shingles(text)
+            for rid, text in zip(batch.column(0), batch.column(1)):
+                own = shingles(text.as_py())
                 if len(own):
-                    ids.append(rid)
+                    ids.append(rid.as_py())
                     parts.append(own)
                     held += len(own)
-                if ids and (held > CHUNK_WORDS or i + 1 == len(batch)):
-                    keys = band_keys(signatures(parts, bands * rows), bands, rows)
-                    yield pd.DataFrame({"rid": ids, "bands": list(keys)})
+                if held > CHUNK_WORDS:
+                    yield signed(ids, parts)
                     ids, parts, held = [], [], 0
             if ids:
-                keys = band_keys(signatures(parts, bands * rows), bands, rows)
-                yield pd.DataFrame({"rid": ids, "bands": list(keys)})
+                yield signed(ids, parts)
 
-    return texts.select("rid", "text").mapInPandas(run, "rid binary, bands array<bigint>").select(
+    return texts.select("rid", "text").mapInArrow(run, "rid binary, bands array<bigint>").select(
         "rid", F.explode("bands").alias("band")
     )
 
@@ -181,15 +185,15 @@ def bands_of(texts: DataFrame, bands: int, rows: int) -> DataFrame:
 def occurrences(texts: DataFrame) -> DataFrame:
     """(rid, units): 32-bit hashes of every shingle with the number of its occurrence, all different."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
             units = []
-            for text in batch["text"]:
-                _, key, level = weighted([shingles(text)])
+            for text in batch.column(1):
+                _, key, level = weighted([shingles(text.as_py())])
                 units.append(np.unique((common.mix(key + common.mix(level.astype(U64) + U64(1))) >> U64(32)).astype(np.uint32).view(np.int32)))
-            yield pd.DataFrame({"rid": batch["rid"], "units": units})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.list_(pa.int32()))], ["rid", "units"])
 
-    return texts.select("rid", "text").mapInPandas(run, "rid binary, units array<int>")
+    return texts.select("rid", "text").mapInArrow(run, "rid binary, units array<int>")
 
 
 def verified(pairs: DataFrame, units: DataFrame, least: float) -> DataFrame:

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +22,7 @@ from newsflow.llm import common
 
 MAX_ROWS = 12_000  # labelled rows the model is fitted on
 MAX_FEATURES = 4_096
+HELD = 100  # rows whose counted features a worker holds at a time
 MIN_ROWS = 5  # training rows that must hold a feature, copies included
 MAX_SHARE = 0.2  # of the clean training rows that may hold it: function words say how long a text is, not what
 REJECT = 0.35  # least probability of grade 1 or more
@@ -44,6 +44,20 @@ def counted(text: str | None) -> Counter:
     return out
 
 
+def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counted features of labelled rows, HELD rows at a time."""
+    for part in common.slices(batches, HELD):
+        got = [counted(t) for t in part.column("text").to_pylist()]
+        columns = [
+            part.column("doc_id").cast(pa.int64()),
+            part.column("toxic").cast(pa.int32()),
+            part.column("copies"),
+            pa.array([list(c) for c in got], pa.list_(pa.string())),
+            pa.array([list(c.values()) for c in got], pa.list_(pa.int32())),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "copies", "f", "n"])
+
+
 @dataclass
 class Model:
     """Shared weights by feature and the ordered thresholds."""
@@ -118,19 +132,6 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
         .limit(max_rows)
     )
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = [counted(t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "toxic": batch["toxic"],
-                    "copies": batch["copies"],
-                    "f": [list(c) for c in got],
-                    "n": [list(c.values()) for c in got],
-                }
-            )
-
     rows = common.store(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # at most max_rows pairs of numbers
@@ -138,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
         .agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.count("*").alias("copies"))
         .groupBy("text")
         .agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.sum("copies").alias("copies"))
-        .mapInPandas(count, "doc_id bigint, toxic int, copies bigint, f array<string>, n array<int>")
+        .mapInArrow(feature_rows, "doc_id bigint, toxic int, copies bigint, f array<string>, n array<int>")
     )
     toxic = F.col("toxic") > 0
     totals = rows.agg(F.count("*").alias("n"), F.sum(toxic.cast("int")).alias("t")).first()
@@ -159,21 +160,21 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
     cues = {r.f for r in best if r.t >= 0.9 * r.n}
     known = spark.sparkContext.broadcast((index, cues))
 
-    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, cues = known.value
-        for batch in batches:
-            pairs = [[(index[f], int(c)) for f, c in zip(fs, ns) if f in index] for fs, ns in zip(batch["f"], batch["n"])]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "toxic": batch["toxic"],
-                    "cues": [sum(int(c) for f, c in zip(fs, ns) if f in cues) for fs, ns in zip(batch["f"], batch["n"])],
-                    "col": [[f for f, _ in p] for p in pairs],
-                    "val": [[c for _, c in p] for p in pairs],
-                }
-            )
-
-    sample = rows.mapInPandas(narrow, "doc_id bigint, toxic int, cues int, col array<int>, val array<int>").toPandas()
+        for part in common.slices(batches, HELD):
+            held = [[*zip(fs, ns)] for fs, ns in zip(part.column("f").to_pylist(), part.column("n").to_pylist())]
+            pairs = [[(index[f], n) for f, n in p if f in index] for p in held]
+            columns = [
+                part.column("doc_id"),
+                part.column("toxic"),
+                pa.array([sum(n for f, n in p if f in cues) for p in held], pa.int32()),
+                pa.array([[f for f, _ in p] for p in pairs], pa.list_(pa.int32())),
+                pa.array([[n for _, n in p] for p in pairs], pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "cues", "col", "val"])
+
+    sample = rows.mapInArrow(narrow, "doc_id bigint, toxic int, cues int, col array<int>, val array<int>").toPandas()
     sample = sample.sort_values(["doc_id", "cues"], kind="stable")
     bad = sample["toxic"].to_numpy() > 0
     severe = sample["cues"].to_numpy() >= max(2, np.median(sample["cues"].to_numpy()[bad]))

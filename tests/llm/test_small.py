@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,6 +253,17 @@ def test_toxicity_where_toxic_rows_are_common(spark, documents, prose):
         assert all(got[i] for i, _ in group)
 
 
+def test_training_holds_few_rows_at_a_time():
+    n = 3 * toxicity.HELD + 1
+    columns = [range(n), [i % 2 for i in range(n)], [1] * n, [f"word{i} word{i} x" for i in range(n)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "toxic", "copies", "text"])
+    out = list(toxicity.feature_rows([batch]))
+    assert max(b.num_rows for b in out) <= toxicity.HELD
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == [*range(n)]
+    assert all(dict(zip(r["f"], r["n"])) == toxicity.counted(t) for r, t in zip(rows, columns[3]))
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 6, 400)
