@@ -8,9 +8,14 @@ the remaining symbols; the lengths lead to any token without expanding what stan
 
 from __future__ import annotations
 
+import json
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +37,39 @@ SHARD = (
 )
 
 
+# ---- fixed values: how the byte-level pre-tokenizer cuts and spells ASCII text ----------------------
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+SPELLED = {c: 0x100 + i for i, c in enumerate([*range(0x21), 0x7F])}  # the other ASCII characters stand for themselves
+# -------------------------------------------------------------------------------------------------
+
+
+class Pieces(dict):
+    """Ids of what the pre-tokenizer cuts out of ASCII text, by the model itself; remembered."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= Encoder.KEPT:
+            self.clear()
+        spelled = piece.replace(" ", "\u0120") if piece.isprintable() else piece.translate(SPELLED)
+        ids = array("I", [t.id for t in self.model.tokenize(spelled)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        self[piece] = got = ids.tobytes()
+        return got
+
+
 class Encoder:
     """A tokenizers model that remembers the ids of what stands between single spaces.
 
     The pre-tokenizer never joins what stands before and behind a single space between other characters, so a text may
-    be cut there. What is new is encoded in one go, in a text of its own, and parted at the ids that begin with a space.
-    Texts that hold other white space around a space are encoded whole.
+    be cut there. New parts in ASCII are cut as the byte-level pre-tokenizer does, and its model gives the ids of each
+    piece. Other new parts, and those of tokenizers of another kind or with added tokens, are encoded in one go, in a text
+    of its own, and parted at the ids that begin with a space. Texts that hold other white space around a space are
+    encoded whole.
     """
 
     KEPT = 700_000  # parts remembered in each of two generations
@@ -50,6 +82,11 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         self.opens = np.zeros(self.model.get_vocab_size(), bool)
         self.opens[[i for t, i in self.model.get_vocab().items() if t.startswith("\u0120")]] = True
+        cut = self.model.pre_tokenizer
+        cut = json.loads(cut.__getstate__()) if cut is not None and self.model.normalizer is None else {}
+        plain = BYTE_LEVEL.items() <= cut.items() and type(self.model.model).__name__ == "BPE"
+        self.pieces = Pieces(self.model.model) if plain else None
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -62,6 +99,10 @@ class Encoder:
             self.old, self.known = self.known, {}
         new = [p for p in parts if p not in self.old]
         self.known.update((p, self.old[p]) for p in parts if p in self.old)
+        if new and self.pieces is not None and not any(a in " ".join(new) for a in self.added):
+            get = self.pieces.__getitem__
+            self.known.update((p, b"".join(map(get, CUT.findall(" " + p)))) for p in new if p.isascii())
+            new = [p for p in new if not p.isascii()]
         if new:
             ids = self.ids(" " + " ".join(new))
             edge = np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4
@@ -85,6 +126,12 @@ class Encoder:
         return self.ids(first).tobytes() + b"".join(got)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of a worker, which keeps the parts that earlier tasks have met."""
+    return Encoder(path)
+
+
 @dataclass
 class Grammar:
     """Rules (two symbols each) from symbol ``first`` on, their expansion lengths, and the symbols left."""
@@ -95,6 +142,16 @@ class Grammar:
     symbols: np.ndarray
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The tokens of the symbols; where these outnumber the rules, each rule is expanded once and then copied."""
+        if len(symbols) > len(self.rules) > 0:
+            flat = self.expand(np.arange(self.first, self.first + len(self.rules)))
+            start, n = np.cumsum(self.lengths) - self.lengths, self.sizes(symbols)
+            out, first = np.repeat(symbols, n), np.cumsum(n) - n
+            at = np.flatnonzero(symbols >= self.first)
+            shift = np.repeat(start[symbols[at] - self.first] - first[at], n[at])
+            place = np.flatnonzero(out >= self.first)
+            out[place] = flat[place + shift]
+            return out
         while (at := symbols >= self.first).any():
             n = np.where(at, 2, 1)
             out = np.empty(n.sum(), np.int64)
@@ -189,8 +246,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, parts: int, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
-        first = max(encoder.model.get_vocab_size(), END + 1)
+        own, part = encoder(tokenizer), TaskContext.get().partitionId()
+        first = max(own.model.get_vocab_size(), END + 1)
         end = np.array([END], "<u4").tobytes()
         block, ids, rows, held = 0, [], [], 0
 
@@ -213,7 +270,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, parts: int, id_col:
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows.append(encoder.encode(text.as_py() or "") + end)
+                rows.append(own.encode(text.as_py() or "") + end)
                 ids.append(doc)
                 held += len(rows[-1]) // 4
                 if held >= SHARD_TOKENS:

@@ -203,7 +203,7 @@ def test_many_copies_of_one_edited_item(spark, documents, prose, step, verbatim)
     assert all(r.score >= 0.6 for r in got)
 
 
-def edited(words, step, how, rng):
+def edited_words(words, step, how, rng):
     """Every ``step``-th word changed or left out, or a word put in after it."""
     out = []
     for k, word in enumerate(words):
@@ -229,7 +229,7 @@ def test_leaks_equal_alignment_of_all_pairs(spark, documents):
     rows = [(i, words(rng.randrange(0, 90), "w")) for i in range(40)]
     for (item, copy), step, how in itertools.product(items, (1, 2, 3, 4, 6), ("changed", "left out", "inserted")):
         around = rng.choice([0, 3, 60])
-        rows.append((len(rows), words(around, "x") + edited(copy, step, how, rng) + words(around, "y")))
+        rows.append((len(rows), words(around, "x") + edited_words(copy, step, how, rng) + words(around, "y")))
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
     got = decontamination.leaks(documents([(i, " ".join(w)) for i, w in rows]), bench).collect()
     want, runs = {}, {}
@@ -285,6 +285,24 @@ def test_token_files(spark, documents, prose, tmp_path, monkeypatch):
     assert token_files.digests(token_files.read_shards(spark, f"file://{tmp_path}/e")).count() == 0
 
 
+def test_encoder_meets_pieces_again_and_rules_expand_once():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_files.encoder(path) is token_files.encoder(path)  # later tasks of a worker find what earlier ones met
+    own, rng = token_files.Encoder(path), random.Random(7)
+    bits = ["'s", "'ll", "'", "a", "Zq", "12", "\n", "\t", " ", "  ", "\x00", "\x1c", "\x7f", "é", "\u00a0", "<|endoftext|>", "<|", "...", "!?", "\x0b", "日本"]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) + rng.choice(["", " b", " "]) for _ in range(rng.randint(0, 12)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == own.model.encode(text, add_special_tokens=False).ids, text
+    own.encode("a few words, some of them words")
+    assert own.pieces[" words"] == own.ids(" words").tobytes()
+    tokens = np.array([rng.randrange(40) for _ in range(30_000)], "<u4")
+    got, _ = token_files.repair(tokens, np.append(np.zeros(len(tokens) - 1, bool), True), 50_257)
+    assert len(got.rules) and len(got.symbols) > len(got.rules)
+    assert (got.expand(got.symbols) == tokens).all()
+
+
 def test_pieces_equal_the_library(spark, documents, prose):
     import sentencepiece
 
