@@ -8,8 +8,8 @@ the remaining symbols; the lengths lead to any token without expanding what stan
 
 from __future__ import annotations
 
+import codecs
 import json
-import re
 import sys
 import zlib
 from array import array
@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,6 +27,7 @@ from pyspark.sql.window import Window
 from newsflow.llm import common
 
 SHARD_TOKENS = 1 << 20  # a shard is closed after the document that reaches this
+SLICE_BYTES = 4 << 20  # text encoded at once, beyond one document
 MIN_PAIRS = 24  # times that a pair must stand in a shard to get a rule
 ROUND_RULES = 4_096  # rules made in one round
 ROUNDS = 6
@@ -37,98 +39,175 @@ SHARD = (
 )
 
 
-# ---- fixed values: how the byte-level pre-tokenizer cuts and spells ASCII text ----------------------
+# ---- fixed values: how the byte-level pre-tokenizer cuts and spells text ----------------------------
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-SPELLED = {c: 0x100 + i for i, c in enumerate([*range(0x21), 0x7F])}  # the other ASCII characters stand for themselves
+LETTER, NUMBER, OTHER, SPACE, UNKNOWN = range(5)
+SHORT, LONG = [*b"stmd"], [b"re", b"ve", b"ll"]  # what an apostrophe takes with it
+RESPELLED = [*range(0x21), *range(0x7F, 0xA1), 0xAD]  # bytes spelled by characters from U+0100 on; others stand for themselves
+SPELLED = "".join(chr(0x100 + RESPELLED.index(b) if b in RESPELLED else b) for b in range(0x100))
 # -------------------------------------------------------------------------------------------------
 
 
+class Cuts:
+    """Where the byte-level pre-tokenizer cuts texts, for many texts at once.
+
+    It cuts out contractions, runs of letters, of numbers and of other characters, each with one space in front, and white
+    space. Which kind a character is, the pre-tokenizer itself tells, once for each character that is met.
+    """
+
+    def __init__(self, cut):
+        self.cut = cut
+        self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
+
+    def learn(self, points: np.ndarray) -> None:
+        for c in np.unique(points).tolist():
+            joins = [k for k, run in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(self.cut.pre_tokenize_str(run + chr(c))) == 1]
+            self.kinds[c] = joins[0] if joins else SPACE
+
+    def of_points(self, points: np.ndarray) -> np.ndarray:
+        got = self.kinds[points]
+        if (got == UNKNOWN).any():
+            self.learn(points[got == UNKNOWN])
+            got = self.kinds[points]
+        return got
+
+    def of_bytes(self, raw: np.ndarray) -> np.ndarray:
+        """The kind of every byte: that of its character."""
+        lead = np.flatnonzero(raw >= 0xC0)
+        plain = np.full(256, UNKNOWN, np.uint8)
+        plain[:0x80] = self.of_points(np.arange(0x80))
+        kinds = plain[raw]
+        if len(lead):
+            b = raw[lead].astype(np.int64)
+            width = 2 + (b >= 0xE0) + (b >= 0xF0)
+            point = b & (0xFF >> (width + 1))
+            for k in range(1, 4):
+                more = width > k
+                point[more] = (point[more] << 6) | (raw[lead[more] + k] & 0x3F)
+            kind = self.of_points(point)
+            for k in range(4):
+                more = width > k
+                kinds[lead[more] + k] = kind[more]
+        return kinds
+
+    def starts(self, raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """The places in the bytes ``raw`` at which pieces start; ``edges``: those at which texts start, and the end."""
+        size = len(raw)
+        first = np.zeros(size + 3, bool)
+        first[edges] = True
+        kinds = self.of_bytes(raw)
+        cut = first.copy()
+        cut[1:size] |= kinds[1:] != kinds[:-1]
+        # The last white space before something else is a piece of its own, or stands in front of what follows if it is a space.
+        gap = kinds == SPACE
+        at = np.flatnonzero(gap[:-1] > gap[1:]) + 1
+        at = at[~first[at]]
+        last = at - 1
+        while (inside := (raw[last] & 0xC0) == 0x80).any():
+            last = last - inside
+        cut[last] = True
+        cut[at] = raw[last] != 0x20
+        # Contractions: an apostrophe that starts a piece takes one or two letters; the rest is another piece.
+        mark = np.flatnonzero(raw == 0x27)
+        mark = mark[cut[mark] & ~first[mark + 1]]
+        after = np.append(raw, np.zeros(2, np.uint8))
+        one, two = after[mark + 1], after[mark + 2]
+        short = np.isin(one, SHORT)
+        long = np.any([(one == a) & (two == b) for a, b in LONG], axis=0) & ~first[mark + 2]
+        cut[mark[short | long] + 1] = False
+        cut[mark[short] + 2] = True
+        cut[mark[long] + 3] = True
+        return np.flatnonzero(cut[:size])
+
+
 class Pieces(dict):
-    """Ids of what the pre-tokenizer cuts out of ASCII text, by the model itself; remembered."""
+    """Ids of what the pre-tokenizer cuts out, by the model itself; remembered in two generations."""
 
     def __init__(self, model):
         super().__init__()
         self.model = model
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= Encoder.KEPT:
+            self.old = self.copy()
             self.clear()
-        spelled = piece.replace(" ", "\u0120") if piece.isprintable() else piece.translate(SPELLED)
-        ids = array("I", [t.id for t in self.model.tokenize(spelled)])
-        if sys.byteorder == "big":
-            ids.byteswap()
-        self[piece] = got = ids.tobytes()
+        got = self.old.get(piece)
+        if got is None:
+            spelled, _ = codecs.charmap_decode(piece.encode(), "strict", SPELLED)
+            ids = array("I", [t.id for t in self.model.tokenize(spelled)])
+            if sys.byteorder == "big":
+                ids.byteswap()
+            got = ids.tobytes()
+        self[piece] = got
         return got
 
 
 class Encoder:
-    """A tokenizers model that remembers the ids of what stands between single spaces.
+    """A tokenizers model that encodes many texts at once and remembers the ids of their pieces.
 
-    The pre-tokenizer never joins what stands before and behind a single space between other characters, so a text may
-    be cut there. New parts in ASCII are cut as the byte-level pre-tokenizer does, and its model gives the ids of each
-    piece. Other new parts, and those of tokenizers of another kind or with added tokens, are encoded in one go, in a text
-    of its own, and parted at the ids that begin with a space. Texts that hold other white space around a space are
-    encoded whole.
+    Texts are cut as the byte-level pre-tokenizer does, equal pieces are brought together, and the model gives the ids of
+    each once. Texts that hold added tokens, and those of tokenizers of another kind, are encoded whole.
     """
 
-    KEPT = 700_000  # parts remembered in each of two generations
+    KEPT = 700_000  # pieces remembered in each of two generations
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.opens = np.zeros(self.model.get_vocab_size(), bool)
-        self.opens[[i for t, i in self.model.get_vocab().items() if t.startswith("\u0120")]] = True
-        cut = self.model.pre_tokenizer
-        cut = json.loads(cut.__getstate__()) if cut is not None and self.model.normalizer is None else {}
+        pre = self.model.pre_tokenizer
+        cut = json.loads(pre.__getstate__()) if pre is not None and self.model.normalizer is None else {}
         plain = BYTE_LEVEL.items() <= cut.items() and type(self.model.model).__name__ == "BPE"
+        plain = plain and self.model.truncation is None and self.model.padding is None
         self.pieces = Pieces(self.model.model) if plain else None
+        self.cuts = Cuts(pre)
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def learn(self, parts: list[str]) -> bool:
-        """Remember new parts; False if the text may not be cut around one of them."""
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            return False
-        if len(self.known) + len(parts) > self.KEPT:
-            self.old, self.known = self.known, {}
-        new = [p for p in parts if p not in self.old]
-        self.known.update((p, self.old[p]) for p in parts if p in self.old)
-        if new and self.pieces is not None and not any(a in " ".join(new) for a in self.added):
-            get = self.pieces.__getitem__
-            self.known.update((p, b"".join(map(get, CUT.findall(" " + p)))) for p in new if p.isascii())
-            new = [p for p in new if not p.isascii()]
-        if new:
-            ids = self.ids(" " + " ".join(new))
-            edge = np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4
-            if len(edge) != len(new) + 1:
-                return False
-            raw = ids.tobytes()
-            self.known.update(zip(new, map(raw.__getitem__, map(slice, edge[:-1].tolist(), edge[1:].tolist()))))
-        return True
+    def by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = texts.cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        edges = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        low, size = int(edges[0]), int(edges[-1] - edges[0])
+        if not size:
+            return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
+        data, edges = data.slice(low, size), edges - low
+        start = self.cuts.starts(np.frombuffer(data, np.uint8), edges)
+        offsets = pa.py_buffer(np.append(start, size))
+        coded = pa.Array.from_buffers(pa.large_string(), len(start), [None, offsets, data]).dictionary_encode()
+        got = [*map(self.pieces.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist())]
+        ids = np.frombuffer(b"".join(got), "<u4")
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        which = coded.indices.to_numpy()
+        n = size[which]
+        end = np.cumsum(n)
+        shift = (np.cumsum(size) - size)[which] - (end - n)
+        out = ids[np.repeat(shift, n) + np.arange(end[-1])]
+        return out, np.diff(np.append(0, end)[np.searchsorted(start, edges)])
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        whole = np.full(len(texts), self.pieces is None)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        got, n = self.by_pieces(pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts) if whole.any() else texts)
+        if whole.any():
+            rows = np.split(got, np.cumsum(n)[:-1])
+            for i in np.flatnonzero(whole).tolist():
+                rows[i] = self.ids(texts[i].as_py())
+            got, n = np.concatenate(rows), np.array([*map(len, rows)], np.int64)
+        return got, n
 
     def encode(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if not first or first[-1].isspace():
-            return self.ids(text).tobytes()
-        got = [*map(self.known.get, rest)]
-        if None in got:
-            new = list({p for p, g in zip(rest, got) if g is None})
-            full = len(self.known) + len(new) > self.KEPT
-            if not self.learn(list(set(rest)) if full else new):
-                return self.ids(text).tobytes()
-            got = map(self.known.__getitem__, rest)
-        return self.ids(first).tobytes() + b"".join(got)
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """The encoder of a worker, which keeps the parts that earlier tasks have met."""
+    """The encoder of a worker, which keeps the pieces that earlier tasks have met."""
     return Encoder(path)
 
 
@@ -187,38 +266,40 @@ def repair(tokens: np.ndarray, ends: np.ndarray, first: int) -> tuple[Grammar, n
     A round counts the pairs in a table, takes the most frequent and replaces them from left to right; new symbols take
     part in the next round.
     """
-    symbols, ends = tokens.astype(np.uint32), ends.copy()
+    symbols, last = tokens.astype(np.uint32), np.flatnonzero(ends)
     rules, lengths = [], []
     made = 0
-    left_of, right_of = np.zeros((2, (1 << SLOTS) + 1), np.uint32)
+    none = 1 << SLOTS
+    pair_of = np.zeros(none + 1, np.uint64)
     for turn_ in range(ROUNDS):
         if len(symbols) < 2:
             break
         left, right = symbols[:-1], symbols[1:]
         slot = left * np.uint32(0x9E3779B1 ^ (turn_ << 8)) + right * np.uint32(0x85EBCA77)
-        slot = ((slot ^ (slot >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - SLOTS)
-        slot[ends[:-1]] = 1 << SLOTS
+        slot = (((slot ^ (slot >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - SLOTS)).astype(np.intp)
+        slot[last[last < len(slot)]] = none
+        pairs = (left.astype(np.uint64) << np.uint64(32)) | right
         # One pair stands for each slot of the table; another one in the same slot waits for the next round.
-        left_of[slot], right_of[slot] = left, right
-        at = np.flatnonzero((left_of[slot] == left) & (right_of[slot] == right) & (slot < 1 << SLOTS))
-        slot = slot[at]
-        count = np.bincount(slot, minlength=1 << SLOTS)
+        pair_of[slot] = pairs
+        np.putmask(slot, pair_of[slot] != pairs, none)
+        count = np.bincount(slot, minlength=none + 1)[:none]
         best = np.flatnonzero(count >= MIN_PAIRS)
         if not len(best):
             break
         best = best[np.argsort(-count[best], kind="stable")[:ROUND_RULES]]
-        number = np.full(1 << SLOTS, -1, np.int32)
+        number = np.full(none + 1, -1, np.int32)
         number[best] = np.arange(len(best), dtype=np.int32)
         rule = number[slot]
-        at, rule = at[rule >= 0], rule[rule >= 0]
+        at = np.flatnonzero(rule >= 0)
+        rule = rule[at]
         # Of neighbouring places take every second one, from the left.
-        fresh = np.append(True, np.diff(at) > 1)
-        run = np.flatnonzero(fresh)
-        turn = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-        at, rule = at[turn % 2 == 0], rule[turn % 2 == 0]
+        run = np.flatnonzero(np.append(True, at[1:] - at[:-1] > 1))
+        turn = (at - np.repeat(at[run], np.diff(np.append(run, len(at))))) & 1
+        at, rule = at[turn == 0], rule[turn == 0]
         seen = np.bincount(rule, minlength=len(best)) > 0
         used, rule = np.flatnonzero(seen), (np.cumsum(seen) - 1)[rule]
-        pair = np.stack([left_of[best[used]], right_of[best[used]]], axis=1).astype(np.int64)
+        pair = pair_of[best[used]]
+        pair = np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
         known = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
         size = np.ones(pair.shape, np.int64)
         inner = pair >= first
@@ -226,14 +307,24 @@ def repair(tokens: np.ndarray, ends: np.ndarray, first: int) -> tuple[Grammar, n
         rules.append(pair)
         lengths.append(size.sum(axis=1))
         symbols[at] = (first + made + rule).astype(np.uint32)
-        ends[at] = ends[at + 1]
+        # The right symbol of each pair goes; a document that ended with it now ends with the rule before it.
+        last = last - np.searchsorted(at + 1, last, "right")
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols, ends = symbols[keep], ends[keep]
+        symbols = symbols[keep]
         made += len(used)
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
     sizes = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
-    return Grammar(first, table, sizes, symbols.astype(np.int64)), np.flatnonzero(ends) + 1
+    return Grammar(first, table, sizes, symbols.astype(np.int64)), last + 1
+
+
+def text_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of ids and texts in slices of about SLICE_BYTES of text; no text is cut."""
+    if batch.num_rows:
+        size = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = (np.cumsum(size) - size) // SLICE_BYTES
+        edge = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(edge, edge[1:]))
 
 
 def write_shards(docs: DataFrame, tokenizer: str, path: str, parts: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -248,14 +339,13 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, parts: int, id_col:
 
         own, part = encoder(tokenizer), TaskContext.get().partitionId()
         first = max(own.model.get_vocab_size(), END + 1)
-        end = np.array([END], "<u4").tobytes()
         block, ids, rows, held = 0, [], [], 0
 
         def close() -> pa.RecordBatch:
-            n = np.array([len(r) // 4 for r in rows], np.int64)
+            n = np.array([*map(len, rows)], np.int64)
             ends = np.zeros(int(n.sum()), bool)
             ends[np.cumsum(n) - 1] = True
-            got, doc_symbols = repair(np.frombuffer(b"".join(rows), "<u4"), ends, first)
+            got, doc_symbols = repair(np.concatenate(rows), ends, first)
             columns = [
                 pa.array([part], pa.int32()),
                 pa.array([block], pa.int32()),
@@ -268,11 +358,14 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, parts: int, id_col:
             names = [c.split()[0] for c in SHARD.split(", ")]
             return pa.RecordBatch.from_arrays(columns, names)
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows.append(own.encode(text.as_py() or "") + end)
+        for docs in (s for b in batches for s in text_slices(b)):
+            tokens, n = own.encode_all(docs.column(1))
+            edge = np.cumsum(n)
+            tokens, edge = np.insert(tokens, edge, END), edge + np.arange(1, len(edge) + 1)
+            for doc, a, b in zip(docs.column(0).to_pylist(), [0, *edge.tolist()], edge.tolist()):
+                rows.append(tokens[a:b])
                 ids.append(doc)
-                held += len(rows[-1]) // 4
+                held += b - a
                 if held >= SHARD_TOKENS:
                     yield close()
                     block, ids, rows, held = block + 1, [], [], 0

@@ -10,6 +10,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,6 +304,48 @@ def test_encoder_meets_pieces_again_and_rules_expand_once():
     assert (got.expand(got.symbols) == tokens).all()
 
 
+def test_encoder_gives_the_model_each_piece_once(monkeypatch):
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(11)
+    own, added = token_files.Encoder(path), "<|endoftext|>"
+    bits = ["'s", "'ve", "'re", "'", "s", "ÉTÉ", "où", "²", "½", "٣", "\u0301", "\u2003", "\u3000", "\u0085", "\ufeff", "日本", "🙂", "𝒳", " ", "  ", "\n", "\t", "!", "7"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", "", " b", " "]) for _ in range(rng.randint(0, 14))) for _ in range(2_000)]
+    texts += ["".join(map(chr, rng.choices([*range(0x20, 0xD800), *range(0xE000, 0x11000)], k=8))) for _ in range(500)]
+    want = [t.ids for t in own.model.encode_batch(texts, add_special_tokens=False)]
+    whole, met = own.ids, []
+    monkeypatch.setattr(own, "ids", lambda text: met.append(text) or whole(text))
+    got, n = own.encode_all(pa.array([*texts, f"é {added} è", ""])[1:])  # a slice of a larger array
+    assert met == [f"é {added} è"]
+    rows = [r.tolist() for r in np.split(got, np.cumsum(n)[:-1])]
+    assert rows == [*want[1:], own.model.encode(met[0], add_special_tokens=False).ids, []]
+    asked = []
+    monkeypatch.setattr(token_files.Pieces, "__missing__", lambda self, piece: asked.append(piece) or b"")
+    assert [np.frombuffer(own.encode(t), "<u4").tolist() for t in texts[1:]] == want[1:] and met == met[:1] and not asked
+
+
+def test_pieces_are_kept_in_two_generations(monkeypatch):
+    monkeypatch.setattr(token_files.Encoder, "KEPT", 5)
+    own = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ["a b c d e f g", "a b x y z é è", "f g x à"] * 3:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == own.model.encode(text, add_special_tokens=False).ids
+        assert len(own.pieces) <= 5 and len(own.pieces.old) <= 5
+
+
+def test_documents_end_where_their_symbols_do(spark, documents, prose, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SLICE_BYTES", 500)  # slices of a few documents, one of a single long one
+    rows = [(i, prose(60 * (i % 4), i % 5)) for i in range(40)] + [(50, prose(3_000, 1)), (51, None), (52, "été " * 400)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_shards(documents(rows), path, f"file://{tmp_path}/t", 2)
+    own, met = token_files.Encoder(path), 0
+    for shard in (r.asDict() for r in token_files.read_shards(spark, f"file://{tmp_path}/t").collect()):
+        got = token_files.grammar(shard)
+        edges = [0, *np.frombuffer(shard["doc_symbols"], "<u4").tolist()]
+        for doc, a, b in zip(shard["doc_ids"], edges[:-1], edges[1:], strict=True):
+            want = own.model.encode(dict(rows)[doc] or "", add_special_tokens=False).ids
+            assert got.expand(got.symbols[a:b]).tolist() == [*want, 0]
+            met += 1
+    assert met == len(rows)
+
+
 def test_pieces_equal_the_library(spark, documents, prose):
     import sentencepiece
 
